@@ -17,7 +17,15 @@ BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text handled at once; the temporaries of one slice are a few dozen times this.
 SLICE_BYTES = 1 << 20
 
-_powers: dict[int, np.ndarray] = {}
+
+class _Cache(dict):
+    """A dict that is sent to executors empty."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers: dict[int, np.ndarray] = _Cache()
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

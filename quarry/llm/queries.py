@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, token_counts, topk_search
+from . import chat_format, html_extract, suffix_dedup, token_counts, topk_search
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -45,13 +45,19 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece counts of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_html_extraction, op5_exact_topk, op7_chat_formatting, op10_token_counts)}
+    return {f.__name__: f for f in (op4_html_extraction, op5_exact_topk, op7_chat_formatting, op9_suffix_array_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

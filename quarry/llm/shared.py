@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -31,6 +32,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a join side that is broadcast at most; a larger side is shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
+    """left join right, right being broadcast only if it is counted to take BROADCAST_BYTES at most.
+
+    right should be cheap to count (a result of cut()); row_bytes is what one of its rows takes.
+    """
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        right = F.broadcast(right)
+    return left.join(right, on, how)
+
+
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
