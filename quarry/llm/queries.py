@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, suffix_dedup, token_counts, topk_search
+from . import chat_format, decontaminate, html_extract, suffix_dedup, token_counts, topk_search
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -28,6 +28,19 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that 10-word windows of benchmark items hit, and those items."""
+    out = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return out.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_item_ids", ","), 256).alias("items_sha256"),
+        (F.col("_n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1 made of control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_html_extraction, op5_exact_topk, op7_chat_formatting, op9_suffix_array_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op9_suffix_array_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
