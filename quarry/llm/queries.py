@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, suffix_dedup, token_counts, topk_search
+from . import chat_format, decontaminate, html_extract, language, quality, suffix_dedup, token_counts, topk_search
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -17,6 +17,13 @@ TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 SPECIAL_CONVERSATION = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.with_fold(quality.score_quality(docs, forest), 0.7)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
@@ -58,6 +65,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.with_fold(language.identify(docs, language.fit(docs)))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 400-byte strings."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
@@ -70,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op9_suffix_array_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_classifier, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
