@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, language, quality, suffix_dedup, token_counts, topk_search
+from . import chat_format, decontaminate, html_extract, jaccard_join, language, quality, suffix_dedup, token_counts, topk_search
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -17,6 +17,11 @@ TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 SPECIAL_CONVERSATION = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of Jaccard similarity 0.9 or more of 3-word shingles connect."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -83,7 +88,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
