@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language, quality, suffix_dedup, token_counts, topk_search
+from . import chat_format, decontaminate, html_extract, jaccard_join, language, mixing, quality, suffix_dedup, token_counts, topk_search
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -17,6 +17,17 @@ TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 SPECIAL_CONVERSATION = "<|im_end|><|im_start|>assistant ok"
 
 
+#: Target weights of the mix: domains, and languages within each domain; sources of a language are alike.
+MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1, (None, "en"): 4, (None, "fr"): 2, (None, "de"): 2, (None, "es"): 1}
+
+
+def mix_levels() -> dict[str, Column]:
+    """The tree of documents: four domains by the number in the source's name, languages, sources."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    domain = F.when(F.length(number) > 0, F.concat(F.lit("domain"), F.pmod(number.cast("bigint"), F.lit(4)).cast("string")))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that links of Jaccard similarity 0.9 or more of 3-word shingles connect."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
@@ -29,6 +40,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_fold(quality.score_quality(docs, forest), 0.7)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a mix of half of all tokens, with their epochs and used tokens."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=1)
+    return mixed.select("doc_id", F.col("_path")[0].alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), F.col("_n_tokens").alias("n_tokens"), F.col("_used_tokens").alias("used_tokens"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
@@ -88,7 +105,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_source_mixing, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
