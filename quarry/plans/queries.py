@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, plugins  # noqa: F401
+from . import corpus, evaluation, plugins, running  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
