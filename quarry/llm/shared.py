@@ -33,7 +33,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of a join side that is broadcast at most; a larger side is shuffled.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
@@ -46,6 +46,20 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int)
     return left.join(right, on, how)
 
 
+def join_lists(left: DataFrame, lists: DataFrame, key: str, how: str) -> DataFrame:
+    """left join lists (inner or left), lists having a wide row for each of some keys.
+
+    The lists are shuffled; of left only the rows that have one, as far as the keys can be broadcast. lists should be a result of cut().
+    """
+    keys = lists.select(key)
+    if lists.count() * 16 > BROADCAST_BYTES:
+        return left.join(lists, key, how)
+    found = left.join(F.broadcast(keys), key, "left_semi").join(lists, key)
+    if how == "inner":
+        return found
+    return found.unionByName(left.join(F.broadcast(keys), key, "left_anti"), allowMissingColumns=True)
+
+
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

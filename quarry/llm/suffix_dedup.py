@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import BASE_INVERSE, SLICE_BYTES, U64, mix, powers, prefix_sums, span_hashes, text_slices
-from .shared import cut, schema, sized_join
+from .shared import cut, join_lists, schema, sized_join
 
 #: Low bits of a selection key that hold the position; a segment is shorter than 2^22 bytes.
 POSITION = U64((1 << 22) - 1)
@@ -163,7 +163,7 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
         unsettled = cut(known.filter("lo is null").select("g").distinct())
         rest = sized_join(known.filter(F.col("lo").isNull() | (F.col("lo") == place)), unsettled, "g", "left_semi", 8)
         todo = cut(rest.groupBy("fp").agg(F.collect_set(F.struct("p", "a", "b")).alias("todo")))
-        items = cut(sized_join(long, todo, "fp", "inner", 120).select("fp", "text", "todo").mapInArrow(partial(_items, length=length, width=width), ITEMS))
+        items = cut(join_lists(long, todo, "fp", "inner").select("fp", "text", "todo").mapInArrow(partial(_items, length=length, width=width), ITEMS))
         live = sized_join(items, _several(items, "g", F.xxhash64("fp", "c")).select("g"), "g", "left_semi", 8)
     covered.append(live.select("fp", F.col("a").alias("s"), (F.col("b") + length).alias("e")))
     spans = covered[0]
@@ -222,7 +222,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", keep:
     """
     rows = docs.select(*keep, F.col(text).alias("_text")).withColumn("_fp", F.xxhash64(F.coalesce("_text", F.lit("")), F.octet_length("_text")))
     spans = cut(repeated_spans(rows.select(F.col("_fp").alias("fp"), F.col("_text").alias("text")), length))
-    joined = sized_join(rows, spans.select(F.col("fp").alias("_fp"), F.col("spans").alias("_spans")), "_fp", "left", 120).drop("_fp")
+    joined = join_lists(rows, spans.select(F.col("fp").alias("_fp"), F.col("spans").alias("_spans")), "_fp", "left").drop("_fp")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     ddl = f"{out}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string" + ", _kept string" * with_text
     return joined.mapInArrow(partial(_remove, text="_text", with_text=with_text), schema(ddl))
