@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language, mixing, quality, suffix_dedup, token_counts, topk_search
+from . import chat_format, decontaminate, html_extract, jaccard_join, language, mixing, oracle, quality, suffix_dedup, token_counts, topk_search
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -109,4 +109,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can state the result; classifiers, extraction, byte strings and piece counts are tested against brute force or held-out labels."""
+    return {
+        "op1_ngram_jaccard_join": oracle.JACCARD,
+        "op3_source_mixing": oracle.mix(MIX_WEIGHTS, 0.5, 2, 1),
+        "op5_exact_topk": oracle.TOPK,
+        "op6_benchmark_decontamination": oracle.LEAKS,
+        "op7_chat_formatting": oracle.CHATS,
+    }
