@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard_join, mixing, quality, suffix_dedup
 from quarry.llm.queries import MIX_WEIGHTS, mix_levels
-from quarry.llm.shared import cut, sized_join, table
+from quarry.llm.shared import cut, free_prefix, sized_join, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score 0.7 or more)."""
+    p = free_prefix(docs)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, forest, keep=tuple(docs.columns)).filter(F.col("_score") >= 0.7).select(docs.columns)
+    return quality.score_quality(docs, forest, keep=tuple(docs.columns), prefix=p).filter(F.col(f"{p}score") >= 0.7).select(docs.columns)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,29 +32,34 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if several.isEmpty():
         return kept.select(docs.columns)
     first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    again = sized_join(kept, several, "doc_id", "left_semi", 16).withColumn("_row", F.row_number().over(first)).filter("_row = 1")
-    return sized_join(kept, several, "doc_id", "left_anti", 16).select(docs.columns).unionByName(again.select(docs.columns))
+    again = sized_join(kept, several, "doc_id", "left_semi", 16).select(F.struct(*docs.columns).alias("r"), F.row_number().over(first).alias("n")).filter("n = 1").select("r.*")
+    return sized_join(kept, several, "doc_id", "left_anti", 16).select(docs.columns).unionByName(again)
 
 
 def repeated_string_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their 400-byte strings that stand elsewhere too; one that loses its whole text goes."""
-    out = suffix_dedup.remove_repeats(docs, length=400, keep=tuple(c for c in docs.columns if c != "text"), with_text=True)
-    left = out.filter((F.col("_n_removed") == 0) | (F.trim(F.coalesce("_kept", F.lit(""))) != "")).withColumnRenamed("_kept", "text")
+    p = free_prefix(docs)
+    out = suffix_dedup.remove_repeats(docs, length=400, keep=tuple(c for c in docs.columns if c != "text"), with_text=True, prefix=p)
+    removed = F.col(f"{p}n_removed")
+    left = out.filter((removed == 0) | (F.trim(F.coalesce(f"{p}kept", F.lit(""))) != "")).withColumnRenamed(f"{p}kept", "text")
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(docs.columns)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a 10-word window of a benchmark item."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), size=10, keep=tuple(docs.columns))
-    return found.filter(F.col("_n_hit") == 0).select(docs.columns)
+    p = free_prefix(docs)
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), size=10, keep=tuple(docs.columns), prefix=p)
+    return found.filter(F.col(f"{p}n_hit") == 0).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents and epochs of a mix of half of all tokens by domain, language and source."""
-    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=1)
-    return mixed.select(*docs.columns, F.col("_epoch").alias("epoch"), F.col("_n_tokens").alias("n_tokens"), F.col("_used_tokens").alias("used_tokens"))
+    p = free_prefix(docs)
+    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=1, prefix=p)
+    made = [m for m in ("epoch", "n_tokens", "used_tokens") if m not in docs.columns]
+    return mixed.select(*docs.columns, *(F.col(f"{p}{m}").alias(m) for m in made))
 
 
 STAGES = [

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import byte_table, text_slices, utf8, word_hashes, words
-from .shared import schema
+from .shared import Carried, kept_arrays
 
 #: Bytes of benchmark text that are searched for, and broadcast, at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
 
-FOUND = "_n_words long, _hit_spans array<struct<start:int,end:int>>, _item_ids array<string>, _matches array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
+FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>, matches array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
 
 
 class Windows:
@@ -105,8 +105,8 @@ def _runs(flags: np.ndarray, rows: np.ndarray):
     return rows[at[first]], at[first], at[last] + 1
 
 
-def _search(batches, text: str, block, more: bool):
-    """Adds what the block's windows hit to each row; more: the rows come from an earlier block and have its findings."""
+def _search(batches, text: str, block, more: bool, keep_text: bool):
+    """Adds what the block's windows hit to each row; more: the rows come from an earlier block and have its findings; keep_text: another block follows."""
     w = block.value
     table = byte_table("alnum")
     for part, data, offsets in text_slices(batches, text):
@@ -123,7 +123,7 @@ def _search(batches, text: str, block, more: bool):
         np.add.at(change, at, 1)
         np.add.at(change, at + w.lengths[window], -1)
         flags = np.cumsum(change[:-1]) > 0
-        old = [part.column(part.schema.get_field_index(f"_{k}")).to_pylist() if more else [None] * n_rows for k in ("hit_spans", "item_ids", "matches")]
+        old = [part.column(part.schema.get_field_index(k)).to_pylist() if more else [None] * n_rows for k in ("hit_spans", "item_ids", "matches")]
         spans: list[list] = [x or [] for x in old[0]]
         for row, s, e in zip(*_runs(flags, rows), strict=True):
             spans[row].append({"start": int(s - base[row]), "end": int(e - base[row])})
@@ -152,10 +152,12 @@ def _search(batches, text: str, block, more: bool):
                 if name is not None:
                     ids[row[f]].add(name)
                     matches[row[f]].append({"item_id": name, "doc_word": int(place[f]), "item_word": int(inner[f]), "n_words": int(size[k])})
-        names = [n for n in part.schema.names if n not in ("_n_words", "_hit_spans", "_item_ids", "_matches")]
+        names, arrays = kept_arrays(part)
+        if text == "t" and keep_text:
+            names, arrays = [*names, "t"], [*arrays, part.column(part.schema.get_field_index("t"))]
         kinds = [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))]
         found = [pa.array(np.bincount(rows, minlength=n_rows)), *(pa.array(x, k) for x, k in zip((spans, [sorted(x) for x in ids], matches), kinds, strict=True))]
-        yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *found], [*names, "_n_words", "_hit_spans", "_item_ids", "_matches"])
+        yield pa.RecordBatch.from_arrays([*arrays, *found], [*names, "n_words", "hit_spans", "item_ids", "matches"])
 
 
 def _union_length(spans):
@@ -165,27 +167,27 @@ def _union_length(spans):
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc.n.cast("long"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """What each whole document shares with test items: keep columns, _n_words, _n_hit, _item_ids, _matches, _hit_spans.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", prefix: str = "_") -> DataFrame:
+    """What each whole document shares with test items: keep columns and, after prefix, n_words, n_hit, item_ids, matches, hit_spans.
 
     Words are runs of ASCII letters and digits and of anything outside ASCII, with A-Z in lower case. A window is `size` consecutive words of an item, or
     all words of an item that has fewer but one; a document's word is hit if an occurrence of a window covers it.
-    _item_ids are the ids (as strings, sorted) of items with windows in the document; _matches has the longest match of each. Null or empty
+    item_ids are the ids (as strings, sorted) of items with windows in the document; matches has the longest match of each. Null or empty
     texts have no words and no hits, nor do documents if the benchmark is empty. An item without an id hits words but
-    is not listed; items that repeat an id count once. Only keep columns are taken from docs, so others may have any names; repeated rows each give their row.
+    is not listed; items that repeat an id count once. Other columns of docs may have any names; repeated rows each give their row, an empty table none.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).filter(F.octet_length("t") > 0)
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    name = text if text in keep else "_text"
-    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias(name)]))
+    made = {f"{prefix}{m}": m for m in ("n_words", "n_hit", "item_ids", "matches", "hit_spans")}
+    carried = Carried(docs, keep, text, made)
+    rows = carried.rows
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
         got = part.orderBy("id", "t").toArrow()
         block = spark.sparkContext.broadcast(Windows(got.column("id").to_pylist(), got.column("t").to_pylist(), size))
-        out = schema(FOUND)
-        fields = [f for f in rows.schema.fields if f.name not in out.names]
-        rows = rows.mapInArrow(partial(_search, text=name, block=block, more=b > 0), type(out)([*fields, *out.fields]))
-    out = rows.withColumn("_n_hit", _union_length(F.col("_hit_spans")))
-    return out.select(*keep, "_n_words", "_n_hit", "_item_ids", "_matches", "_hit_spans")
+        last = b == blocks - 1
+        search = partial(_search, text=carried.text, block=block, more=b > 0, keep_text=not last)
+        rows = carried.run(search, FOUND if last or carried.text != "t" else "t string, " + FOUND, rows)
+    return carried.restore(rows.withColumn("n_hit", _union_length(F.col("hit_spans"))), made)

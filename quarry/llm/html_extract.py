@@ -7,12 +7,13 @@ is kept with those siblings that score near it, and what is named as furniture i
 from __future__ import annotations
 
 import re
+from functools import partial
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import schema
+from .shared import Carried, kept_arrays
 
 # HTML element names by role, and the words of class, id and role attributes that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,9 +252,8 @@ def _ancestors(node: Node):
 
 def _extract(batches, html: str):
     for batch in batches:
-        texts = [extract(x.as_py()) for x in batch.column(html)]
-        names = [n for n in batch.schema.names if n != html]
-        arrays = [batch.column(n) for n in names]
+        texts = [extract(x.as_py()) for x in batch.column(batch.schema.get_field_index(html))]
+        names, arrays = kept_arrays(batch)
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
 
@@ -261,10 +261,8 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
     """The main text of every page: keep columns, text, n_chars (code points).
 
     A null or empty page, and one without any main text, give an empty text. The whole page is read; repeated rows each give
-    their row. Only the columns in keep are taken from pages, so that others may have any names (text and n_chars too).
+    their row, an empty table gives none. Other columns of pages may have any names (text and n_chars too).
     """
-    from functools import partial
-
-    narrow = pages.select(*keep, html)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != html)
-    return narrow.mapInArrow(partial(_extract, html=html), schema(f"{ddl}, text string, n_chars long"))
+    carried = Carried(pages, keep, html, ("text", "n_chars"))
+    out = carried.run(partial(_extract, html=carried.text), "text string, n_chars long")
+    return carried.restore(out, {"text": "text", "n_chars": "n_chars"})

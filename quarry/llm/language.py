@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .numeric import text_slices
 from .sampling import held_out, learning_rows
-from .shared import schema
+from .shared import Carried, kept_arrays
 
 #: Documents of each language that a model is fitted on at most.
 FIT_ROWS = 1500
@@ -144,8 +144,8 @@ def _predict(batches, text: str, codes):
             silent = ~_has_letter(d, o)
             best, score = np.where(silent, -1, best), np.where(silent, 0.0, score)
             own = part.slice(at, end - at)
-            kept = [c for c in own.schema.names if c != "_said"]
-            yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(c)) for c in kept), pa.array(names[best], pa.string()), pa.array(score), pa.array(doubt | silent)], [*kept, "_lang", "_score", "_ambiguous"])
+            kept, arrays = kept_arrays(own)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(score), pa.array(doubt | silent)], [*kept, "lang", "score", "ambiguous"])
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
@@ -157,17 +157,16 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
     return Codes(x, got.column("y").to_pylist())
 
 
-def identify(docs: DataFrame, codes: Codes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, _lang (a learned language, or `und` if the text is null or has no letter), _score (0 to 1), _ambiguous.
+def identify(docs: DataFrame, codes: Codes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "_") -> DataFrame:
+    """keep columns and, after prefix, lang (a learned language, or `und` if the text is null or has no letter), score (0 to 1), ambiguous.
 
     Every whole text is read; language labels, source and id are no inputs. `und` has score 0 and is ambiguous; with nothing
     learned all rows are `und`. Repeated rows each give their row; an empty table gives none; columns not in keep may have any names.
     """
-    name = text if text in keep else "_said"
-    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias(name)]))
-    out = schema("_lang string, _score double, _ambiguous boolean")
+    made = {f"{prefix}{m}": m for m in ("lang", "score", "ambiguous")}
+    carried = Carried(docs, keep, text, made)
     model = docs.sparkSession.sparkContext.broadcast(codes)
-    return rows.mapInArrow(partial(_predict, text=name, codes=model), type(out)([*(f for f in rows.schema.fields if f.name != "_said"), *out.fields]))
+    return carried.restore(carried.run(partial(_predict, text=carried.text, codes=model), "lang string, score double, ambiguous boolean"), made)
 
 
 def with_fold(found: DataFrame) -> DataFrame:

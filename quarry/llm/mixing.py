@@ -70,33 +70,34 @@ def _order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float], fraction: float = 0.5, max_epochs: int = 2, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of a mix: docs' columns, then _path (names of its tree nodes), _epoch, _n_tokens, _used_tokens.
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float], fraction: float = 0.5, max_epochs: int = 2, seed: int = 1, doc_id: str = "doc_id", text: str = "text", prefix: str = "_") -> DataFrame:
+    """The documents of a mix: docs' columns and, after prefix, path (names of its tree nodes), epoch, n_tokens, used_tokens.
 
     levels: the tree's levels from the top, as columns of docs. A leaf with budget b and t tokens gives b // t whole epochs and then, in the order of a seeded hash of the id (a new one for
-    each epoch), the documents before its remaining budget is used up; of the last one only _used_tokens are in the mix. A leaf's used tokens sum up to its budget. Null levels
+    each epoch), the documents before its remaining budget is used up; of the last one only used_tokens are in the mix. A leaf's used tokens sum up to its budget. Null levels
     are nodes of their own; a null or empty text has 0 tokens and comes with whole epochs and within prefixes; a null id orders as an empty one;
-    repeated rows each count. An empty table gives no rows. Columns of docs that begin with an underscore and have one of these names are replaced.
+    repeated rows each count. An empty table gives no rows. Columns of docs may have any names; one with the name of a made column is replaced.
     """
-    names = ("_path", "_n_tokens", "_leaf")
-    base = docs.drop(*names, "_epoch", "_used_tokens").withColumns({"_path": F.array(*(c.cast("string") for c in levels.values())), "_n_tokens": count_tokens(F.col(text))}).withColumn("_leaf", F.to_json("_path", {"ignoreNullFields": "false"}))
-    kept = [c for c in docs.columns if c not in (*names, "_epoch", "_used_tokens")]
-    leaves = cut(base.groupBy("_leaf").agg(F.first("_path").alias("path"), F.sum("_n_tokens").alias("tokens")).withColumnRenamed("_leaf", "leaf"))
+    path, row = F.array(*(c.cast("string") for c in levels.values())), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    base = docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), path.alias("path"), F.to_json(path, {"ignoreNullFields": "false"}).alias("leaf"), count_tokens(F.col(f"`{text}`")).alias("n_tokens"))
+    leaves = cut(base.groupBy("leaf").agg(F.first("path").alias("path"), F.sum("n_tokens").alias("tokens")))
     budgets = leaf_budgets(leaves, len(levels), weights, fraction, max_epochs).filter("tokens > 0")
     whole = F.floor(F.col("budget") / F.col("tokens")).cast("long")
-    plan = cut(budgets.select(F.col("leaf").alias("_leaf"), whole.alias("_whole"), (F.col("budget") - whole * F.col("tokens")).alias("_rest")))
-    key = _order_key(seed, F.col("_whole"), F.col(doc_id))
-    partial = sized_join(base.select(doc_id, "_leaf", "_n_tokens"), plan.filter("_rest > 0"), "_leaf", "inner", 200)
-    sums = partial.groupBy("_leaf", "_rest", F.substring(key, 1, BUCKET_DIGITS).alias("_edge")).agg(F.sum("_n_tokens").alias("n"))
-    until = F.sum("n").over(Window.partitionBy("_leaf").orderBy("_edge"))
-    edge = sums.withColumn("until", until).filter((F.col("until") - F.col("n") < F.col("_rest")) & (F.col("until") >= F.col("_rest"))).select("_leaf", "_edge", (F.col("until") - F.col("n")).alias("_before"))
-    plan = cut(plan.join(edge, "_leaf", "left"))
-    rows = sized_join(base, plan, "_leaf", "inner", 200).withColumn("_key", key)
-    bucket = F.substring("_key", 1, BUCKET_DIGITS)
-    out = [*kept, "_path", "_epoch", "_n_tokens", "_used_tokens"]
-    epochs = rows.filter("_whole > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole") - 1))).withColumn("_used_tokens", F.col("_n_tokens")).select(out)
-    early = rows.filter((F.col("_rest") > 0) & (bucket < F.col("_edge"))).select(*kept, "_path", F.col("_whole").alias("_epoch"), "_n_tokens", F.col("_n_tokens").alias("_used_tokens"))
-    near = Window.partitionBy("_leaf").orderBy("_key", doc_id, "_n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter((F.col("_rest") > 0) & (bucket == F.col("_edge"))).withColumn("_left", F.col("_rest") - F.col("_before") - F.coalesce(F.sum("_n_tokens").over(near), F.lit(0))).filter("_left > 0")
-    last = last.select(*kept, "_path", F.col("_whole").alias("_epoch"), "_n_tokens", F.least("_n_tokens", "_left").alias("_used_tokens"))
-    return epochs.unionByName(early).unionByName(last)
+    plan = cut(budgets.select("leaf", whole.alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest")))
+    key = _order_key(seed, F.col("whole"), F.col("id"))
+    partial = sized_join(base.select("id", "leaf", "n_tokens"), plan.filter("rest > 0"), "leaf", "inner", 200)
+    sums = partial.groupBy("leaf", "rest", F.substring(key, 1, BUCKET_DIGITS).alias("edge")).agg(F.sum("n_tokens").alias("n"))
+    until = F.sum("n").over(Window.partitionBy("leaf").orderBy("edge"))
+    edge = sums.withColumn("until", until).filter((F.col("until") - F.col("n") < F.col("rest")) & (F.col("until") >= F.col("rest"))).select("leaf", "edge", (F.col("until") - F.col("n")).alias("before"))
+    plan = cut(plan.join(edge, "leaf", "left"))
+    rows = sized_join(base, plan, "leaf", "inner", 200).withColumn("key", key)
+    bucket = F.substring("key", 1, BUCKET_DIGITS)
+    out = ["row", "path", "epoch", "n_tokens", "used_tokens"]
+    epochs = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("used_tokens", F.col("n_tokens")).select(out)
+    early = rows.filter((F.col("rest") > 0) & (bucket < F.col("edge"))).withColumns({"epoch": F.col("whole"), "used_tokens": F.col("n_tokens")}).select(out)
+    near = Window.partitionBy("leaf").orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter((F.col("rest") > 0) & (bucket == F.col("edge"))).withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(near), F.lit(0))).filter("left > 0")
+    last = last.withColumns({"epoch": F.col("whole"), "used_tokens": F.least("n_tokens", "left")}).select(out)
+    names = [f"{prefix}{m}" for m in out[1:]]
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in names]
+    return epochs.unionByName(early).unionByName(last).select(*kept, *(F.col(c).alias(n) for c, n in zip(out[1:], names, strict=True)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .numeric import byte_table, text_slices, word_hashes, words
 from .sampling import held_out, learning_rows
-from .shared import schema
+from .shared import Carried, kept_arrays
 
 #: Labelled documents of each class that a model is fitted on at most.
 FIT_ROWS = 10_000
@@ -147,9 +147,8 @@ def _measure(batches):
 def _score(batches, text: str, forest):
     model = forest.value
     for part, data, offsets in text_slices(batches, text):
-        names = [n for n in part.schema.names if n != "_scored"]
-        score = model.score(statistics(data, offsets))
-        yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(score)], [*names, "_score"])
+        names, arrays = kept_arrays(part)
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(model.score(statistics(data, offsets)))], [*names, "score"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
@@ -166,17 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
     return Forest(x, got.column("y").to_numpy().astype(float))
 
 
-def score_quality(docs: DataFrame, forest: Forest, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns and _score (0 to 1; higher: better) of every whole text.
+def score_quality(docs: DataFrame, forest: Forest, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "_") -> DataFrame:
+    """keep columns and, after prefix, score (0 to 1; higher: better) of every whole text.
 
     A null or empty text is scored by the statistics of an empty text. Labels, language, source and id are no inputs of the score. Repeated
     rows each give their row; an empty table gives none; columns not in keep may have any names.
     """
-    name = text if text in keep else "_scored"
-    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias(name)]))
-    out = schema("_score double")
+    carried = Carried(docs, keep, text, (f"{prefix}score",))
     model = docs.sparkSession.sparkContext.broadcast(forest)
-    return rows.mapInArrow(partial(_score, text=name, forest=model), type(out)([*(f for f in rows.schema.fields if f.name != "_scored"), *out.fields]))
+    return carried.restore(carried.run(partial(_score, text=carried.text, forest=model), "score double"), {f"{prefix}score": "score"})
 
 
 def with_fold(scored: DataFrame, cutoff: float = 0.7) -> DataFrame:

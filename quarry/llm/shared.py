@@ -64,8 +64,40 @@ def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it while df has such a column."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = "_" + name
-    return name
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+class Carried:
+    """Columns that go with a text through a Python operator, under names of their own, so that no name of the input clashes.
+
+    rows has k0, k1, ... for the columns in keep, and the text under the name `text`. A kept column with the name of a made one is left out.
+    """
+
+    def __init__(self, docs: DataFrame, keep, text: str, made):
+        taken = {m.lower() for m in made}
+        self.names = [k for k in keep if k.lower() not in taken]
+        self.text = f"k{self.names.index(text)}" if text in self.names else "t"
+        extra = [] if text in self.names else [F.col(f"`{text}`").alias("t")]
+        self.rows = docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(self.names)), *extra)
+
+    def run(self, function, ddl: str, rows: DataFrame | None = None) -> DataFrame:
+        """function over the rows' Arrow batches; it drops t and other columns beside the kept ones and adds those of ddl."""
+        out = schema(ddl)
+        rows = self.rows if rows is None else rows
+        kept = [f for f in rows.schema.fields if f.name.startswith("k")]
+        return rows.mapInArrow(function, T.StructType([*kept, *out.fields]))
+
+    def restore(self, df: DataFrame, made: dict[str, object]) -> DataFrame:
+        """The kept columns under their names, and made ones: name to column or name in df."""
+        return df.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(self.names)), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in made.items()))
+
+
+def kept_arrays(batch):
+    """(names, arrays) of a batch's kept columns."""
+    names = [n for n in batch.schema.names if n.startswith("k")]
+    return names, [batch.column(batch.schema.get_field_index(n)) for n in names]

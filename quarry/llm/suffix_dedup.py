@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import BASE_INVERSE, SLICE_BYTES, U64, mix, powers, prefix_sums, span_hashes, text_slices
-from .shared import cut, join_lists, schema, sized_join
+from .shared import Carried, cut, join_lists, kept_arrays, sized_join
 
 #: Low bits of a selection key that hold the position; a segment is shorter than 2^22 bytes.
 POSITION = U64((1 << 22) - 1)
 #: Starts in one range of each round after the first.
 ROUNDS = (25, 5, 1)
 
+MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 ITEMS = "g long, f long, fp long, c int, p int, a int, b int"
 
 
@@ -185,9 +186,9 @@ def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 def _remove(batches, text: str, with_text: bool):
     for batch in batches:
-        names = [n for n in batch.schema.names if n not in (text, "_spans")]
+        names, arrays = kept_arrays(batch)
         values = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        spans = batch.column(batch.schema.get_field_index("_spans"))
+        spans = batch.column(batch.schema.get_field_index("spans"))
         kept_texts, sizes, removed, runs, digests = [], [], [], [], []
         for value, own in zip(values, spans, strict=True):
             raw = value.as_py()
@@ -205,24 +206,25 @@ def _remove(batches, text: str, with_text: bool):
             digests.append(hashlib.sha256(left).hexdigest())
             if with_text:
                 kept_texts.append(None if raw is None else left.decode("utf-8", "ignore") if gone else left.decode("utf-8"))
-        arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
         more = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
         if with_text:
             more.append(pa.array(kept_texts, pa.string()))
-        yield pa.RecordBatch.from_arrays([*arrays, *more], [*names, *("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256"), *(["_kept"] * with_text)])
+        yield pa.RecordBatch.from_arrays([*arrays, *more], [*names, *MADE, *(["kept"] * with_text)])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, prefix: str = "_") -> DataFrame:
     """Every document without the bytes that repeated strings of length bytes cover.
 
-    keep columns, _n_bytes, _n_removed, _n_spans (maximal removed runs), _kept_sha256, and with_text also _kept: the
+    keep columns and, after prefix, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with_text also kept: the
     kept bytes as text, without the rest of a character that a span's edge cuts. All occurrences are removed, the first too, and strings
     are judged on the input. Strings never span two documents. A null or empty text, and one shorter than length, loses nothing (null stays null);
-    repeated rows are two places each, so that they lose all their bytes if they have length of them. An empty table gives no rows.
+    repeated rows are two places each, so that they lose all their bytes if they have length of them. An empty table gives no rows; other columns of docs may have any names.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text")).withColumn("_fp", F.xxhash64(F.coalesce("_text", F.lit("")), F.octet_length("_text")))
-    spans = cut(repeated_spans(rows.select(F.col("_fp").alias("fp"), F.col("_text").alias("text")), length))
-    joined = join_lists(rows, spans.select(F.col("fp").alias("_fp"), F.col("spans").alias("_spans")), "_fp", "left").drop("_fp")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    ddl = f"{out}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string" + ", _kept string" * with_text
-    return joined.mapInArrow(partial(_remove, text="_text", with_text=with_text), schema(ddl))
+    made = {f"{prefix}{m}": m for m in (*MADE, *(["kept"] * with_text))}
+    carried = Carried(docs, keep, text, made)
+    value = F.col(carried.text)
+    rows = carried.rows.withColumn("fp", F.xxhash64(F.coalesce(value, F.lit("")), F.octet_length(value)))
+    spans = cut(repeated_spans(rows.select("fp", value.alias("text")), length))
+    joined = join_lists(rows, spans, "fp", "left").drop("fp")
+    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    return carried.restore(carried.run(partial(_remove, text=carried.text, with_text=with_text), ddl, joined), made)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import schema
+from .shared import Carried, kept_arrays
 
 #: Distinct words whose counts a Python worker keeps; the memory is emptied beyond it, results stay the same.
 MEMORY_WORDS = 200_000
@@ -102,7 +102,7 @@ def _count(batches, text: str, automaton):
     machine = automaton.value
     for batch in batches:
         out = np.zeros((batch.num_rows, 3), np.int64)
-        for row, value in enumerate(batch.column(text)):
+        for row, value in enumerate(batch.column(batch.schema.get_field_index(text))):
             value = value.as_py()
             if value:
                 for word, n in Counter(value.split()).items():
@@ -114,8 +114,7 @@ def _count(batches, text: str, automaton):
                         if len(word) <= 64:
                             known[word] = got
                     out[row] += (n, n * abs(got), n * (got < 0))
-        arrays = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != text]
-        names = [name for name in batch.schema.names if name != text]
+        names, arrays = kept_arrays(batch)
         yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(out[:, i]) for i in range(3))], [*names, "n_words", "n_tokens", "n_unknown"])
 
 
@@ -123,14 +122,12 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text", keep: tup
     """Word-piece counts of every whole text: keep columns, n_words, n_tokens, n_unknown.
 
     Words are what str.split() gives; an unknown word is one token. A null or empty text has zero
-    of each. Repeated rows each give their row; only the columns in keep are taken from docs, so
-    that others may have any names. model_file is read on the driver; the automaton, whose size is that of
+    of each. Repeated rows each give their row, an empty table none; other columns of docs may have any names, and
+    a kept one with the name of a count is left out. model_file is read on the driver; the automaton, whose size is that of
     the vocabulary, is broadcast.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(*pieces_of(model_file)))
-    narrow = docs.select(*keep, text)
-    out = [f for f in narrow.schema.fields if f.name != text]
-    kind = schema("n_words long, n_tokens long, n_unknown long")
-    kind.fields[:0] = out
-    kind.names[:0] = [f.name for f in out]
-    return narrow.mapInArrow(partial(_count, text=text, automaton=automaton), type(kind)(kind.fields))
+    made = ("n_words", "n_tokens", "n_unknown")
+    carried = Carried(docs, keep, text, made)
+    out = carried.run(partial(_count, text=carried.text, automaton=automaton), ", ".join(f"{m} long" for m in made))
+    return carried.restore(out, {m: m for m in made})
