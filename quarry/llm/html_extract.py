@@ -142,6 +142,12 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _again(root: Node, order: list[Node]) -> list[Node]:
+    for n in order:
+        n.length = n.linked = n.links = n.commas = 0
+    return _measure(root)
+
+
 def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
@@ -204,14 +210,18 @@ def extract(html: str | None) -> str:
     root = parse(html)
     order = _measure(root)
     total = root.length
-    named = [n for n in order if n.named and not n.holds and n.length * 2 <= total]
+    named = [n for n in order if n.named and not n.holds]
     menus = [n for n in order if n.tag in ("ul", "ol") and n.links >= 3 and _density(n) >= 0.8]
     if named or menus:
         for n in [*named, *menus]:
             n.dropped = True
-        for n in order:
-            n.length = n.linked = n.links = n.commas = 0
-        order = _measure(root)
+        order = _again(root, order)
+        plain = root.length - root.linked
+        if plain < 25 and total > 5 * plain:
+            # the names mark the only text there is
+            for n in named:
+                n.dropped = n.tag in DROPPED
+            order = _again(root, order + named)
     _score(order)
     holders = [n for n in order if n.tag not in INLINE and n.length and n.tag != "#root"]
     if not holders:
@@ -230,7 +240,7 @@ def extract(html: str | None) -> str:
     if best.tag in ("html", "body") or best.parent is None:
         _blocks(best, out)
         return " ".join(out)
-    least = max(10.0, best.score * 0.2)
+    least = best.score * 0.2
     for sibling in best.parent.children:
         if sibling is best:
             _blocks(sibling, out)
