@@ -98,13 +98,13 @@ def line_labels(rows: DataFrame, classes: dict[int, str]) -> DataFrame:
     return rows.select("id", code.alias("code"), F.try_element_at(at, F.array_max("labels")).alias("cwe")).filter((F.length("code") >= 30) & F.col("cwe").isNotNull())
 
 
-def mine_files(files: DataFrame, patterns: list[str], most: int = 100_000, least: int = 50) -> DataFrame:
-    """path, code of binaryFile rows that are small, are no tests, hold a pattern, and are the first with their content."""
+def mine_files(files: DataFrame, patterns: list[str], root: str = "", most: int = 100_000, least: int = 50) -> DataFrame:
+    """path, code of binaryFile rows that are small, are no tests (by the path below root), hold a pattern, and are the first with their content."""
     from ..functions import text as X
     from ..operators.curate import keep_first
 
     code = F.decode("content", "UTF-8")
-    small = files.filter((F.col("length") <= most) & F.endswith("path", F.lit(".py")) & ~X.is_test_path(F.col("path"))).select("path", code.alias("code"))
+    small = files.filter((F.col("length") <= most) & F.endswith("path", F.lit(".py")) & ~X.is_test_path(F.substring_index("path", root, -1) if root else F.col("path"))).select("path", code.alias("code"))
     hit = small.filter((F.length("code") >= least) & X.any_of(F.col("code"), patterns))
     first = keep_first(hit.select("path", code_hash(F.col("code")).alias("h")), F.col("h"), ["path"]).filter("kept").select("path")
     return hit.join(first, "path", "left_semi")
