@@ -154,3 +154,26 @@ def excerpt(code: Column, line: Column, window: int = 8) -> Column:
     numbered = F.transform(lines(code), lambda x, i: F.concat(F.when(i + 1 == line, F.lit("> ")).otherwise(F.lit("  ")), (i + 1).cast("string"), F.lit(": "), x))
     start = F.greatest(line - window, F.lit(1))
     return F.array_join(F.slice(numbered, start, line + window - start + 1), "\n")
+
+
+def issue_key(issue: Column) -> Column:
+    """An issue without its details in brackets."""
+    return F.trim(F.element_at(F.split(issue, r"\("), 1))
+
+
+def skip_reason(reason: Column, most: int = 80) -> Column:
+    """A long reason up to its colon."""
+    return F.when(F.length(reason) > most, F.element_at(F.split(reason, ":"), 1)).otherwise(reason)
+
+
+def names_python(descriptions: Column, references: Column, hints: str = r"(?i)\bpython\b|pypi\.org|\bdjango\b|\bflask\b|\.py\b") -> Column:
+    """Whether a description (struct<lang, value>, English ones count) or a reference (a link) hints at the language."""
+    told = F.exists(descriptions, lambda d: (d.lang == "en") & d.value.rlike(hints))
+    linked = F.exists(references, lambda u: u.rlike(hints))
+    return F.coalesce(told, F.lit(False)) | F.coalesce(linked, F.lit(False))
+
+
+def recorded_line(code: Column, pattern: Column) -> Column:
+    """The line of the first match of a pattern that each row has of its own; null without a match."""
+    at = F.regexp_instr(code, pattern)
+    return F.when(at > 0, F.size(F.split(F.substr(code, F.lit(1), at), "\n"))).cast("int")

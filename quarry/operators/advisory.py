@@ -85,3 +85,35 @@ def proximity(lines: DataFrame, window: int) -> DataFrame:
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
     return tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out
+
+
+SCAN_REPORT = "results array<struct<filename:string,test_id:string,line_number:int>>"
+SARIF_REPORT = """runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string,properties:struct<tags:array<string>,cwe:array<string>>>>>>,
+results:array<struct<ruleId:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>"""
+
+
+def scan_findings(reports: DataFrame) -> DataFrame:
+    """path, rule of each finding of scanner reports (column json)."""
+    return reports.select(F.explode(F.from_json("json", SCAN_REPORT)["results"]).alias("r")).select(F.col("r.filename").alias("path"), F.col("r.test_id").alias("rule"))
+
+
+def sarif_findings(reports: DataFrame) -> DataFrame:
+    """path, cwe of each result of SARIF reports (column json): target classes of its rule's tags and class list."""
+    run = reports.select(F.explode(F.from_json("json", SARIF_REPORT)["runs"]).alias("run"), F.monotonically_increasing_id().alias("report"))
+    listed = lambda p: F.array_compact(F.transform(F.coalesce(p.cwe, F.array().cast("array<string>")), X.normalize_class))
+    rule = run.select("report", F.explode("run.tool.driver.rules").alias("r")).select("report", F.col("r.id").alias("rule"), F.array_union(sarif_classes(F.coalesce("r.properties.tags", F.array().cast("array<string>"))), listed(F.col("r.properties"))).alias("classes"))
+    result = run.select("report", F.explode("run.results").alias("x")).select("report", F.col("x.ruleId").alias("rule"), F.explode("x.locations").alias("at"))
+    return result.join(rule, ["report", "rule"]).select(F.col("at.physicalLocation.artifactLocation.uri").alias("path"), F.explode("classes").alias("cwe")).distinct()
+
+
+def first_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (cve_id, ...) with cwe: the target class of least ordinal that classes (cve_id, ordinal, cwe) has for the advisory; null without one."""
+    fit = classes.filter(F.col("cwe").isin(K.TARGETS)).groupBy("cve_id").agg(F.min_by("cwe", "ordinal").alias("cwe"))
+    return rows.join(fit, "cve_id", "left")
+
+
+def audit_pages(rows: DataFrame) -> DataFrame:
+    """cwe, page: Markdown of the audited rows (id, cwe, source, line, pattern, excerpt) of each class, by id."""
+    entry = F.format_string("### %s\n\n- source: %s\n- line: %s\n- pattern: `%s`\n\n```python\n%s\n```\n\n- [ ] label is right\n", "id", F.coalesce("source", F.lit("unknown")), F.coalesce(F.col("line").cast("string"), F.lit("none")), F.coalesce("pattern", F.lit("none")), F.coalesce("excerpt", F.lit("")))
+    parts = rows.groupBy("cwe").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("text")))).alias("x"))
+    return parts.select("cwe", F.concat(F.lit("## "), "cwe", F.lit("\n\n"), F.array_join(F.transform("x", lambda r: r.text), "\n")).alias("page"))

@@ -73,3 +73,23 @@ def feature_rows(samples: DataFrame) -> DataFrame:
     """Class index (unknown classes are safe) of each row for training tables."""
     at = F.create_map(*(x for i, c in enumerate(K.LABELS) for x in (F.lit(c), F.lit(i))))
     return samples.withColumn("class_index", F.coalesce(F.try_element_at(at, F.col("cwe")), F.lit(len(K.LABELS) - 1)))
+
+
+def ldam_loss(logits: Column, label: Column, margins: Column, scale: float = 30.0) -> Column:
+    """Cross entropy of scaled logits (an array) with the label's margin taken from its own logit; label counts from 0."""
+    moved = F.transform(logits, lambda x, i: (F.when(i == label, x - F.get(margins, i)).otherwise(x)) * scale)
+    top = F.array_max(moved)
+    total = F.aggregate(F.transform(moved, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    return F.ln(total) + top - F.get(moved, label)
+
+
+def supcon_loss(rows: DataFrame, temperature: float = 0.07) -> DataFrame:
+    """batch, loss: supervised contrastive loss over the vectors (id, batch, label, v) of each batch; rows without another of their label do not count."""
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = rows.select("id", "batch", "label", F.transform("v", lambda x: x / length).alias("v"))
+    other = unit.select("batch", F.col("id").alias("o"), F.col("label").alias("ol"), F.col("v").alias("ov"))
+    dot = F.aggregate(F.zip_with("v", "ov", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / temperature
+    pairs = unit.join(other, "batch").filter("id <> o").select("batch", "id", (F.col("label") == F.col("ol")).alias("same"), dot.alias("s"))
+    by = pairs.groupBy("batch", "id").agg(F.max("s").alias("top"))
+    parts = pairs.join(by, ["batch", "id"]).groupBy("batch", "id", "top").agg(F.ln(F.sum(F.exp(F.col("s") - F.col("top")))).alias("log"), F.avg(F.when(F.col("same"), F.col("s"))).alias("mean"))
+    return parts.filter("mean is not null").groupBy("batch").agg(F.avg(F.col("log") + F.col("top") - F.col("mean")).alias("loss"))

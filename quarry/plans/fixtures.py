@@ -151,3 +151,33 @@ GOLD = [
     ("g", "clean", "d", "CWE-22", []),
     ("g", "clean", "e", "CWE-22", ["CWE-22"]),
 ]
+
+SLUGS = [(1, "CVE-2020-1", "GHSA-A", "x"), (2, "", "GHSA-B", "x"), (3, None, None, "x")]
+SLUGS_WANT = [(1, "cve-2020-1"), (2, "ghsa-b"), (3, "nocve-2d711642b726b044")]
+
+LABELLED_LINES = [("a", ["def f():\n", "    return eval(x)  # 30 or more\n"], [0, 3]), ("b", ["short"], [3]), ("c", ["y" * 40], [0]), ("d", ["z" * 40], [5])]
+LABELLED_WANT = [("a", "CWE-94"), ("d", "CWE-89")]
+
+SCANS = [('{"results": [{"filename": "/t/s1.py", "test_id": "B608", "line_number": 3}, {"filename": "/t/s2.py", "test_id": "B101"}]}',), ('{"results": []}',)]
+SCANS_WANT = [("/t/s1.py", "B608"), ("/t/s2.py", "B101")]
+SARIFS = [
+    ('{"runs": [{"tool": {"driver": {"rules": [{"id": "r1", "properties": {"tags": ["external/cwe/cwe-089"]}}, {"id": "r2", "properties": {"cwe": ["CWE-79", "CWE-20"]}}]}},'
+     '"results": [{"ruleId": "r1", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "s1.py"}}}]}, {"ruleId": "r2", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "s2.py"}}}]}]}]}',),
+]
+SARIFS_WANT = [("s1.py", "CWE-89"), ("s2.py", "CWE-79")]
+
+CVES = [("r1", "CVE-1"), ("r2", "CVE-2"), ("r3", None)]
+CVE_CLASSES = [("CVE-1", 1, "CWE-20"), ("CVE-1", 2, "CWE-79"), ("CVE-1", 3, "CWE-89"), ("CVE-2", 1, "CWE-20")]
+CVE_CLASSES_WANT = [("r1", "CWE-79"), ("r2", None), ("r3", None)]
+
+ISSUES = [("label CWE-1 not supported (false label?)",), ("plain issue",), ("a (b) c (d)",)]
+ISSUES_WANT = [("label CWE-1 not supported",), ("plain issue",), ("a",)]
+
+HINTS = [(1, "en", "A bug in Django", "x"), (2, "fr", "Un bug Django", "x"), (3, "en", "A bug in C", "https://pypi.org/p"), (4, "en", "none", "none")]
+HINTS_WANT = [(1, True), (2, False), (3, True), (4, False)]
+
+SCORES = [(1, [9.8], [8.0], [7.0]), (2, [], [8.1], [7.0]), (3, None, [], [6.4]), (4, None, None, None)]
+SCORES_WANT = [(1, 9.8), (2, 8.1), (3, 6.4), (4, None)]
+
+RECORDED = [(1, "a = 1\nb = run(x)\n", "run\\("), (2, "nothing", "run\\("), (3, "eval(x)", "(?i)EVAL")]
+RECORDED_WANT = [(1, 2), (2, None), (3, 1)]
