@@ -215,13 +215,14 @@ def extract(html: str | None) -> str:
     if named or menus:
         for n in [*named, *menus]:
             n.dropped = True
-        order = _again(root, order)
+        whole = order
+        order = _again(root, whole)
         plain = root.length - root.linked
         if plain < 25 and total > 5 * plain:
             # the names mark the only text there is
             for n in named:
                 n.dropped = n.tag in DROPPED
-            order = _again(root, order + named)
+            order = _again(root, whole)
     _score(order)
     holders = [n for n in order if n.tag not in INLINE and n.length and n.tag != "#root"]
     if not holders:
