@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard_join, mixing, quality, suffix_dedup
 from quarry.llm.queries import MIX_WEIGHTS, mix_levels
-from quarry.llm.shared import cut, free_prefix, sized_join, table
+from quarry.llm.shared import columns, cut, free_prefix, sized_join, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score 0.7 or more)."""
     p = free_prefix(docs)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, forest, keep=tuple(docs.columns), prefix=p).filter(F.col(f"{p}score") >= 0.7).select(docs.columns)
+    return quality.score_quality(docs, forest, keep=tuple(docs.columns), prefix=p).filter(F.col(f"{p}score") >= 0.7).select(*columns(docs))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,10 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept = sized_join(docs, gone, "doc_id", "left_anti", 16)
     several = cut(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
     if several.isEmpty():
-        return kept.select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    again = sized_join(kept, several, "doc_id", "left_semi", 16).select(F.struct(*docs.columns).alias("r"), F.row_number().over(first).alias("n")).filter("n = 1").select("r.*")
-    return sized_join(kept, several, "doc_id", "left_anti", 16).select(docs.columns).unionByName(again)
+        return kept.select(*columns(docs))
+    first = Window.partitionBy("doc_id").orderBy(*columns(docs, "text"))
+    again = sized_join(kept, several, "doc_id", "left_semi", 16).select(F.struct(*columns(docs)).alias("r"), F.row_number().over(first).alias("n")).filter("n = 1").select("r.*")
+    return sized_join(kept, several, "doc_id", "left_anti", 16).select(*columns(docs)).unionByName(again)
 
 
 def repeated_string_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +44,14 @@ def repeated_string_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     left = out.filter((removed == 0) | (F.trim(F.coalesce(f"{p}kept", F.lit(""))) != "")).withColumnRenamed(f"{p}kept", "text")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    return left.select(*columns(docs))
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a 10-word window of a benchmark item."""
     p = free_prefix(docs)
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), size=10, keep=tuple(docs.columns), prefix=p)
-    return found.filter(F.col(f"{p}n_hit") == 0).select(docs.columns)
+    return found.filter(F.col(f"{p}n_hit") == 0).select(*columns(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = free_prefix(docs)
     mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=1, prefix=p)
     made = [m for m in ("epoch", "n_tokens", "used_tokens") if m not in docs.columns]
-    return mixed.select(*docs.columns, *(F.col(f"{p}{m}").alias(m) for m in made))
+    return mixed.select(*columns(docs), *(F.col(f"{p}{m}").alias(m) for m in made))
 
 
 STAGES = [

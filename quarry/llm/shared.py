@@ -64,6 +64,11 @@ def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def columns(df: DataFrame, first: str | None = None) -> list:
+    """The columns of df, whatever their names, one of them first if it is named."""
+    return [F.col(f"`{c}`") for c in sorted(df.columns, key=lambda c: c != first)]
+
+
 def free_prefix(df: DataFrame) -> str:
     """Underscores that no column of df begins with."""
     prefix = "_"
