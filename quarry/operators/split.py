@@ -14,6 +14,19 @@ def seeded(seed: int, key: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), key), 256)
 
 
+def seeded_rank(df: DataFrame, by: str, seed: int) -> DataFrame:
+    """df with r, the rank (from 0) of each id in seeded order within its value of by, and n, the rows of that value.
+
+    Ranks are counted per range of hashes first and within ranges then, so that a value that a third of all rows have is not ranked by one task.
+    """
+    rows = df.withColumn("_o", seeded(seed, F.col("id"))).withColumn("_k", F.struct(F.coalesce(by, F.lit("")).alias("v"), F.col(by).isNull().alias("z"), F.substring("_o", 1, 3).alias("b")))
+    value = Window.partitionBy("_k.v", "_k.z")
+    sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_k", F.sum("_n").over(value).alias("n"), (F.sum("_n").over(value.orderBy("_k.b")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy("_o", "id")) - 1
+    return rows.join(sizes, "_k").withColumn("r", F.col("_before") + rank).drop("_o", "_k", "_before")
+
+
 def cap_per_group(df: DataFrame, keys: list[str], cap: int, order: list) -> DataFrame:
     """Rows with `kept`: the first cap of each group; rows whose last key is null are in no group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -23,11 +36,9 @@ def cap_per_group(df: DataFrame, keys: list[str], cap: int, order: list) -> Data
 def stratified_split(df: DataFrame, seed: int = 42, rare: int = 10) -> DataFrame:
     """id, cwe, split: 70 / 15 / 15 per class with one of each at least; a rare class gives one to test, one to val.
 
-    Ranks in seeded hash order need one window per class; only ids and classes are shuffled.
+    Only ids and classes are shuffled.
     """
-    by = Window.partitionBy("cwe")
-    rows = df.select("id", "cwe", seeded(seed, F.col("id")).alias("_o"))
-    rows = rows.withColumn("r", F.row_number().over(by.orderBy("_o", "id")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
+    rows = seeded_rank(df.select("id", "cwe"), "cwe", seed)
     val = F.greatest(F.bround(F.col("n") * 0.15), F.lit(1))
     train = F.greatest(F.bround(F.col("n") * 0.7), F.lit(1))
     train = F.least(train, F.col("n") - val - F.greatest(F.col("n") - train - val, F.lit(1)))
@@ -38,9 +49,7 @@ def stratified_split(df: DataFrame, seed: int = 42, rare: int = 10) -> DataFrame
 
 def simple_split(df: DataFrame, seed: int = 42) -> DataFrame:
     """id, cwe, split: 15 % val and test each, one at least; a class too small for that is all train."""
-    by = Window.partitionBy("cwe")
-    rows = df.select("id", "cwe", seeded(seed, F.col("id")).alias("_o"))
-    rows = rows.withColumn("r", F.row_number().over(by.orderBy("_o", "id")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
+    rows = seeded_rank(df.select("id", "cwe"), "cwe", seed)
     part = F.greatest(F.bround(F.col("n") * 0.15), F.lit(1))
     train = F.col("n") - 2 * part
     return rows.select("id", "cwe", F.when((train < 1) | (F.col("r") < train), "train").when(F.col("r") < train + part, "val").otherwise("test").alias("split"))
@@ -127,6 +136,5 @@ def leakage(df: DataFrame, key: str = "group_key") -> DataFrame:
 
 def sample_per_class(df: DataFrame, k: int, keep_all: int = 30, seed: int = 1) -> DataFrame:
     """All rows of classes with at most keep_all rows, else k in seeded order."""
-    by = Window.partitionBy("cwe")
-    rows = df.withColumn("_r", F.row_number().over(by.orderBy(seeded(seed, F.col("id")), "id"))).withColumn("_n", F.count(F.lit(1)).over(by))
-    return rows.filter((F.col("_n") <= keep_all) | (F.col("_r") <= k)).drop("_r", "_n")
+    chosen = seeded_rank(df.select("id", "cwe"), "cwe", seed).filter((F.col("n") <= keep_all) | (F.col("r") < k)).select("id")
+    return df.join(chosen, "id", "left_semi")
