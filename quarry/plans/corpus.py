@@ -435,7 +435,7 @@ def export_index(spark, d):
     from pyspark.sql import Window
 
     s = R.samples(spark, d, False).filter("cwe <> 'safe'")
-    return s.select("id", "cwe", F.row_number().over(Window.partitionBy("cwe", "framework").orderBy("id")).alias("folder_index"))
+    return s.select("id", "cwe", F.row_number().over(Window.partitionBy("cwe", "framework").orderBy("id")).cast("long").alias("folder_index"))
 
 
 # lines and differences
