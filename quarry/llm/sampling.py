@@ -9,6 +9,8 @@ from .shared import cut, sized_join
 
 #: Fixed values of the fold rule: crc32(doc_id as text) mod 4, of which remainder 2 is held out.
 FOLDS, HELD_OUT = 4, 2
+#: Ranges of id hashes that rows are counted in, to find where a class has enough of them.
+RANGES = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -24,8 +26,14 @@ def learning_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFra
     """
     fine = labels.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     single = fine.groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.filter("doc_id is not null").select("doc_id").distinct()
-    chosen = cut(single.join(ids, "doc_id", "left_semi").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).drop("n"))
+    there = cut(single.join(ids, "doc_id", "left_semi").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(RANGES))))
+    # rows are counted by range first, so that only the ranges that are needed are ranked, not a whole class in one task
+    until = F.sum("n").over(Window.partitionBy("y").orderBy("h"))
+    counts = there.groupBy("y", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("before", until - F.col("n"))
+    last = cut(counts.filter(F.col("before") < per_class).groupBy("y").agg(F.max("h").alias("last")))
+    order = Window.partitionBy("y").orderBy("h", F.xxhash64("doc_id"), "doc_id")
+    near = sized_join(there, last, "y", "inner", 64).filter(F.col("h") <= F.col("last"))
+    chosen = cut(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).select("doc_id", "y"))
     texts = sized_join(docs.select("doc_id", "text"), chosen, "doc_id", "inner", 64)
     return texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
