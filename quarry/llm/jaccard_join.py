@@ -4,21 +4,24 @@ The Jaccard distance is a metric, so pivots and the triangle inequality bound wh
 tell it apart, as nearly all distances are close to 1; so the space is first cut into regions that no link leaves:
 
 1. Sets within the radius differ in at most D shingles. Shingles are hashed into D + 1 + e parts; two linked sets agree in e + 1 parts at least. A part's
-   name is a hash of the shingles that fall into it; sets with a part of the same name share a region (e is
-   chosen so that this holds for parts that are not empty). Sizes are binned; a set near a bin's upper end is replicated to the next bin.
-   Shingles of more than one document in HEAVY are left out of the parts, which keeps the bound.
+   name is a hash of the shingles that fall into it; sets with a part of the same name share a region. Of a set with E <= e empty parts, e + 1 - E parts that are
+   not empty agree with those of any set linked to it, so the first D + 1 parts that are not empty hold one of them and are all that is named. Sizes are
+   binned, with D for the sets of a bin and all larger ones that can link to them; a set is replicated to the lower bins where it can
+   have links. Shingles of more than one document in HEAVY are left out of the parts, which keeps the bound. A region that gets too large is cut again by the
+   same rule, without the shingles that are frequent in it.
 2. Inside a region documents become pivots until each document is within the radius of one (its Voronoi cell); documents between one and two radii from a pivot
    are replicated to its cell's boundary and compared, unless they are connected already: by the triangle inequality no other document can link into it.
-3. A region of too many documents is cut into the Voronoi cells of a few pivots first, with windows d(x, p) <= d(x, own) + 2 r, and its cells again; what does not get smaller is
-   joined exactly in pairs of blocks.
+3. A region too large for one task gets one pivot after another over the cluster: the documents within the radius of it form its cell and are connected; those within two radii are its
+   boundary and are joined with the cell, both in blocks; all outside the cell go on as a region of their own. What stays too large is joined in pairs of blocks.
 
 Links are verified by integer arithmetic on whole sets.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,22 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .numeric import U64, byte_table, long_lists, mix, text_slices, word_hashes, words
-from .shared import cut, schema, sized_join
+from .shared import cut, partitions, sized_join
 
-#: A shingle in more than one of so many documents tells no sets apart; so the list has at most HEAVY times the mean set size entries.
-HEAVY = 512
+#: A shingle in more than one of so many documents tells no sets apart (the next numbers hold for documents of large regions); so a
+#: list of such shingles has at most that number times the mean set size entries.
+HEAVY = (512, 2048, 8192)
 #: Documents that local counts of frequent shingles are made of.
 BLOCK_ROWS = 4096
-#: Documents of a region that one task joins at most, and pivots of one cut.
-REGION_ROWS, PIVOTS = 2000, 32
-RATIO = 1.25
+#: Documents and shingles of a region that one task joins at most; pivots that are tried for one cell, and cells before blocks.
+REGION_ROWS, REGION_SHINGLES, PIVOTS, CELLS = 8000, 6_000_000, 8, 2
+#: Documents and shingles of a large region that are measured against pivots at once.
+SHARE_ROWS, SHARE_SHINGLES = 1000, 1_000_000
+RATIO = 1.4
+#: Share of a set that should be left without frequent shingles for its parts to be filled.
+SHARE = 0.9
+#: Part names and documents that a Python worker compares before any are shuffled.
+BLOCK_NAMES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int):
@@ -78,70 +88,79 @@ def set_names(code: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return mix(_sums(mix(code), row, len(sizes)) + sizes.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-@lru_cache
 def bins(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(largest size, parts, spare parts e) of each bin of set sizes."""
-    tops, at = [], 1
-    while at < 1 << 40:
-        tops.append(at)
-        at = max(at + 1, int(at * RATIO))
-    parts, spare, below = [], [], 0
-    for top in tops:
-        differ = 2 * top * (100 - percent) // (100 + percent)
-        least = 0.75 * (below + 1) * percent / 100
-        for e in range(2, differ + 5):
-            m = differ + 1 + e
-            empty = m * math.exp(-least / m)
-            if empty + 3 * math.sqrt(empty) <= e:
-                break
-        parts.append(differ + 1 + e)
-        spare.append(e)
-        below = top
-        if top > 1 << 26:
-            break
-    return np.array(tops[: len(parts)]), np.array(parts), np.array(spare)
-
-
-def part_names(code: np.ndarray, row: np.ndarray, sizes: np.ndarray, light: np.ndarray, percent: int):
-    """(names, row of each): of the parts of each set in its own bin, and in the next one if a linked set can be there."""
-    tops, parts, spare = bins(percent)
+    """(largest size, most differing shingles D, spare parts e) of each bin of set sizes."""
+    tops, differ, spare, top, below = [], [], [], 1, 0
+    while below < 1 << 31:
+        d = top * (100 - percent) // percent
+
+        def filled(e, d=d, least=SHARE * (below + 1)):
+            empty = (d + 1 + e) * math.exp(-least / (d + 1 + e))
+            return empty + 2 * math.sqrt(empty) <= e
+
+        tops.append(top)
+        differ.append(d)
+        spare.append(2 + bisect.bisect_left(range(2, d + 4), True, key=filled))
+        top, below = max(top + 1, int(top * RATIO)), top
+    return np.array(tops), np.array(differ), np.array(spare)
+
+
+def _parts(code: np.ndarray, row: np.ndarray, here: np.ndarray, k: np.ndarray, table, tag: int):
+    """(names, row of each, rows with more than e empty parts) of the parts of rows `here` in bin k of each."""
+    _, differ, spare = table
+    m = np.where(here, differ[k] + 1 + spare[k], 0)
+    base = np.cumsum(m) - m
+    mine = here[row]
+    r, c = row[mine], code[mine]
+    salted = mix(c + (2 * k[r] + tag).astype(U64) * U64(0xA0761D6478BD642F))
+    part = ((salted >> U64(32)) * m[r].astype(U64)) >> U64(32)
+    key = base[r] + part.astype(np.int64)
+    total = int(m.sum())
+    sums, filled = _sums(c, key, total), np.bincount(key, minlength=total) > 0
+    who = np.repeat(np.arange(len(m)), m)
+    over = here & (np.bincount(who[~filled], minlength=len(m)) > spare[k])
+    order = np.cumsum(filled)
+    order -= np.append(0, order)[base][who]
+    keep = filled & ((order <= differ[k][who] + 1) | over[who])
+    if tag:
+        keep |= over[who]
+    number = np.arange(total) - base[who]
+    name = mix(mix(sums + U64(1)) + mix(((2 * k[who] + tag) * (1 << 40) + number).astype(U64)))
+    return name[keep], who[keep], over
+
+
+def part_names(code: np.ndarray, row: np.ndarray, sizes: np.ndarray, light: np.ndarray, percent: int, table):
+    """(names, row of each): of the parts of each set in its own bin, and in the lower bins whose sets can be linked to it.
+
+    Parts are of the light shingles. A set that has too many empty ones names all others, and its parts of all shingles too: of two linked sets, either
+    one has few empty parts, and they share one of its named parts, or both name parts of all shingles.
+    """
+    tops = table[0]
     names, owners = [], []
-    code, row = mix(code[light]), row[light]
+    code = mix(code)
     own = np.searchsorted(tops, sizes)
-    largest = np.searchsorted(tops, sizes * 100 // percent)
-    for step in range(int((largest - own).max(initial=0)) + 1):
-        here = (own + step <= largest) & (sizes > 0)
-        k = own + step
-        k = np.minimum(k, len(parts) - 1)
-        m = np.where(here, parts[k], 0)
-        base = np.cumsum(m) - m
-        mine = here[row]
-        r, c = row[mine], code[mine]
-        salted = mix(c + k[r].astype(U64) * U64(0xA0761D6478BD642F))
-        part = ((salted >> U64(32)) * m[r].astype(U64)) >> U64(32)
-        key = base[r] + part.astype(np.int64)
-        total = int(m.sum())
-        sums, filled = _sums(c, key, total), np.bincount(key, minlength=total) > 0
-        who = np.repeat(np.arange(len(m)), m)
-        empties = np.bincount(who[~filled], minlength=len(m))
-        keep = filled | (empties > spare[k])[who]
-        number = np.arange(total) - base[who]
-        name = mix(mix(sums + U64(1)) + mix((k[who] * (1 << 28) + number).astype(U64)))
-        names.append(name[keep])
-        owners.append(who[keep])
-    name, who = np.concatenate(names), np.concatenate(owners)
-    order = np.argsort(who, kind="stable")
-    return name[order], who[order]
-
-
-def _frequent(batches, n: int):
-    """(code, n): shingles in at least one in HEAVY / 2 of the distinct sets of a block of documents."""
+    least = np.searchsorted(tops, -(-sizes * percent // 100))
+    for step in range(int((own - least).max(initial=0)) + 1):
+        k = np.maximum(own - step, 0)
+        here = (own - step >= least) & (sizes > 0)
+        name, who, over = _parts(code[light], row[light], here, k, table, 0)
+        names.append(name)
+        owners.append(who)
+        if over.any():
+            name, who, _ = _parts(code, row, over, k, table, 1)
+            names.append(name)
+            owners.append(who)
+    return np.concatenate(names), np.concatenate(owners)
+
+
+def _frequent(batches, n: int, heavy: int):
+    """(code, n): shingles in at least one in heavy / 2 of the distinct sets of a block of documents."""
     held, docs, seen = [], 0, []
 
     def block():
         sets = np.concatenate([s for s, _ in held]) if held else np.zeros(0, U64)
         value, count = np.unique(sets, return_counts=True)
-        often = count >= max(8, 2 * docs // HEAVY)
+        often = count >= max(8, 2 * docs // heavy)
         return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often])], ["code", "n"])
 
     for _, data, offsets in text_slices(batches, "text"):
@@ -161,18 +180,44 @@ def _frequent(batches, n: int):
         yield block()
 
 
-def _describe(batches, n: int, percent: int, heavy):
-    """(doc_id, n_shingles, fp, parts) of each document."""
-    common = heavy.value
+def _combined(held):
+    """One record batch of held (doc_id, sizes, fp, names, rows of names): of sets with a part of the same name the first one keeps it and the
+    others keep a link to the set before them, so that a name leaves the block once; of copies the first one has all."""
+    ids = pa.concat_arrays([h[0] for h in held])
+    sizes, fp, names = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+    starts = np.cumsum([0, *(len(h[1]) for h in held)])
+    who = np.concatenate([h[4] + a for h, a in zip(held, starts, strict=False)])
+    fresh = np.zeros(len(fp), bool)
+    fresh[np.unique(fp, return_index=True)[1]] = True
+    names, who = names[fresh[who]], who[fresh[who]]
+    order = np.lexsort((who, names))
+    names, who = names[order], who[order]
+    again = np.zeros(len(names), bool)
+    again[1:] = names[1:] == names[:-1]
+    near = np.unique(np.stack([who[again], who[np.flatnonzero(again) - 1]], axis=1), axis=0).reshape(-1, 2)
+    back = np.argsort(who[~again], kind="stable")
+    parts = long_lists(names[~again][back].view(np.int64), np.bincount(who[~again], minlength=len(fp)))
+    links = long_lists(fp[near[:, 1]].view(np.int64), np.bincount(near[:, 0], minlength=len(fp)))
+    return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(fp.view(np.int64)), parts, links], ["doc_id", "n_shingles", "fp", "parts", "near"])
+
+
+def _describe(batches, n: int, percent: int, heavy, table):
+    """(doc_id, n_shingles, fp, parts, near) of each document, a block of documents at a time."""
+    common, held, count = heavy.value, [], 0
     for part, data, offsets in text_slices(batches, "text"):
         code, row, sizes = shingle_sets(data, offsets, n)
         light = np.ones(len(code), bool)
         if len(common):
             light = common[np.minimum(np.searchsorted(common, code), len(common) - 1)] != code
-        names, who = part_names(code, row, sizes, light, percent)
-        lists = long_lists(names.view(np.int64), np.bincount(who, minlength=len(sizes)))
-        fp = set_names(code, row, sizes).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(sizes), pa.array(fp), lists], ["doc_id", "n_shingles", "fp", "parts"])
+        ids = part.column(part.schema.get_field_index("doc_id"))
+        names, who = part_names(code, row, np.where(ids.is_valid().to_numpy(zero_copy_only=False), sizes, 0), light, percent, table)
+        held.append((ids, sizes, set_names(code, row, sizes), names, who))
+        count += len(names)
+        if count >= BLOCK_NAMES or sum(len(h[1]) for h in held) >= BLOCK_ROWS:
+            yield _combined(held)
+            held, count = [], 0
+    if held:
+        yield _combined(held)
 
 
 def _sets(batches, n: int):
@@ -191,14 +236,23 @@ class Region:
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
         self.sizes, n = sizes, len(sizes)
-        owner = np.repeat(np.arange(n), sizes)
-        _, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count[ids] > 1
-        ids, owner = ids[shared], owner[shared]
-        _, ids = np.unique(ids, return_inverse=True)
+        ordered = np.sort(flat)
+        again = np.zeros(len(ordered), bool)
+        again[1:] = ordered[1:] == ordered[:-1]
+        # the second of each run of equal shingles
+        shared = ordered[again & ~np.append(False, again[:-1])] if len(ordered) else ordered
+        del ordered, again
+        ids, owner, ends = [], [], np.cumsum(sizes)
+        for at in range(0, len(flat) if len(shared) else 0, SHARE_SHINGLES):
+            part = flat[at : at + SHARE_SHINGLES]
+            spot = np.minimum(np.searchsorted(shared, part), len(shared) - 1)
+            fit = np.flatnonzero(shared[spot] == part)
+            ids.append(spot[fit])
+            owner.append(np.searchsorted(ends, fit + at, "right"))
+        ids, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, owner))
         self.ids, self.at = ids, np.searchsorted(owner, np.arange(n + 1))
         order = np.argsort(ids, kind="stable")
-        self.owners, self.first = owner[order], np.searchsorted(ids[order], np.arange((ids.max() + 2) if len(ids) else 1))
+        self.owners, self.first = owner[order], np.searchsorted(ids[order], np.arange(len(shared) + 1))
 
     def overlaps(self, ids: np.ndarray) -> np.ndarray:
         """Shingles that each set of the region shares with the given ones."""
@@ -284,80 +338,122 @@ def _join(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(fp[other]), pa.array(fp[roots[other]])], ["u", "v"])
 
 
-def _cells(batches, percent: int, level: int):
-    """Rows of too large groups, each with its group's pivots, replicated to Voronoi cells."""
-    slack = 2 * (100 - percent) / 100 + 1e-9
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        gids = table.column("gid").to_numpy()
-        for gid in np.unique(gids):
-            own = table.filter(pa.array(gids == gid))
-            pivots = own.column("pivots")[0].values
-            pflat, psizes = pivots.flatten().to_numpy().view(U64), pivots.value_lengths().to_numpy()
-            flat, sizes = _flat(own)
-            starts = np.cumsum(sizes) - sizes
-            distance = np.ones((len(psizes), len(sizes)))
-            at = 0
-            for k, size in enumerate(psizes):
-                common = np.add.reduceat(np.append(np.isin(flat, pflat[at : at + size]), False).astype(np.int64), starts)
-                distance[k] = 1 - common / (size + sizes - common)
-                at += size
-            cell, row = np.nonzero(distance <= distance.min(0) + slack)
-            part = own.select(["fp", "codes"]).take(pa.array(row)).combine_chunks()
-            new = mix(np.full(len(cell), gid).view(U64) + mix(cell.astype(U64) + U64(level * 1000 + 1)))
-            for out in part.add_column(0, "gid", pa.array(new.view(np.int64))).to_batches():
-                yield out
+def _measure(batches, percent: int):
+    """(gid, fp, pivot, near) of the pivots of its group within one (near 1) or two (near 2) radii of each set.
+
+    Rows come by key, a share of a group, with copies of the group's pivots first.
+    """
+    window = 1 - 2 * (100 - percent) / 100 - 1e-9
+    for table in _groups(batches, "key"):
+        is_pivot = table.column("pivot").to_numpy()
+        own, pivots = table.filter(pa.array(~is_pivot)), table.filter(pa.array(is_pivot))
+        if not own.num_rows:
+            continue
+        flat, sizes = _flat(own)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        fps, gid = own.column("fp").to_numpy(), own.column("gid")[0].as_py()
+        codes, ends = _flat(pivots)
+        for name, code in zip(pivots.column("fp").to_numpy(), np.split(codes, np.cumsum(ends)[:-1]), strict=True):
+            common = np.bincount(owner[code[np.minimum(np.searchsorted(code, flat), len(code) - 1)] == flat], minlength=len(sizes))
+            union = sizes + len(code) - common
+            near = np.where(100 * common >= percent * union, 1, np.where(common >= window * union, 2, 0))
+            found = np.flatnonzero(near)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), gid)), pa.array(fps[found]), pa.array(np.full(len(found), name)), pa.array(near[found].astype(np.int32))], ["gid", "fp", "pivot", "near"])
 
 
 GROUPED = "gid long, fp long, codes array<long>"
 
 
 def _large(rows: DataFrame) -> DataFrame:
-    return cut(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > REGION_ROWS))
+    """(gid, size) of the groups that are too large for a task. rows: gid, and n, the size of each set."""
+    sizes = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    return cut(sizes.filter((F.col("size") > 1) & ((F.col("size") > REGION_ROWS) | (F.col("shingles") > REGION_SHINGLES))))
 
 
-def _split(rows: DataFrame, large: DataFrame, percent: int, level: int) -> DataFrame:
+def _cell(rows: DataFrame, large: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links of each group's cell to its pivot, groups of cells with their boundaries, groups of all outside the cells)."""
     order = Window.partitionBy("gid").orderBy(F.xxhash64("fp", F.lit(level)), "fp")
-    narrow = sized_join(rows.select("gid", "fp"), large.select("gid"), "gid", "left_semi", 16)
-    chosen = narrow.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).select("gid", "fp")
-    pivots = cut(rows.join(chosen, ["gid", "fp"], "left_semi").groupBy("gid").agg(F.collect_list("codes").alias("pivots")))
-    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    wide = F.broadcast(pivots) if pivots.count() <= 64 else pivots
-    return cut(rows.repartition(parts, F.xxhash64("fp")).join(wide, "gid").mapInArrow(partial(_cells, percent=percent, level=level), GROUPED))
+    chosen = rows.select("gid", "fp").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).select("gid", "fp")
+    shares = large.select("gid", F.greatest(F.ceil(F.col("size") / SHARE_ROWS), F.ceil(F.col("shingles") / SHARE_SHINGLES)).alias("shares"))
+    placed = sized_join(rows, shares, "gid", "inner", 24).withColumn("share", F.pmod(F.xxhash64("fp", F.lit(level)), F.col("shares")))
+    pivots = placed.join(chosen, ["gid", "fp"], "left_semi").dropDuplicates(["gid", "fp"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    named = placed.withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True)))
+    named = named.select(F.xxhash64("gid", "share").alias("key"), "gid", "fp", "codes", "pivot").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    measured = cut(named.mapInArrow(partial(_measure, percent=percent), "gid long, fp long, pivot long, near int"))
+    best = Window.partitionBy("gid").orderBy(F.desc("n"), "pivot")
+    full = measured.filter("near = 1").groupBy("gid", "pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(best)).filter("r = 1").select("gid", "pivot")
+    state = cut(measured.join(full, ["gid", "pivot"], "left_semi").dropDuplicates(["gid", "fp"]))
+    edges = state.filter("near = 1").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    placed = rows.join(state.select("gid", "fp", "near"), ["gid", "fp"], "left")
+    outside = placed.filter("near is null or near = 2").select(F.xxhash64("gid", F.lit(level)).alias("gid"), "fp", "codes")
+    half = REGION_ROWS / 2
+    n = state.groupBy("gid").agg(F.ceil(F.count_if(F.col("near") == 1) / half).alias("n1"), F.ceil(F.count_if(F.col("near") == 2) / half).alias("n2")).filter("n2 > 0")
+    near = placed.filter("near is not null").join(n, "gid")
+    mine, other = F.when(F.col("near") == 1, F.col("n1")).otherwise(F.col("n2")), F.when(F.col("near") == 1, F.col("n2")).otherwise(F.col("n1"))
+    near = near.withColumn("i", F.pmod(F.xxhash64("fp"), mine)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    pair = F.when(F.col("near") == 1, F.struct("i", "j")).otherwise(F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    crossed = near.select(F.xxhash64("gid", F.lit(level), F.lit("boundary"), pair).alias("gid"), "fp", "codes")
+    return edges, crossed, outside
 
 
 def _blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
     """Every pair of blocks of REGION_ROWS / 2 rows of each group as a group of its own."""
-    n = F.ceil(F.col("size") * 2 / REGION_ROWS)
+    n = F.greatest(F.ceil(F.col("size") * 2 / REGION_ROWS), F.ceil(F.col("shingles") * 2 / REGION_SHINGLES))
     own = F.pmod(F.xxhash64("fp"), n)
-    placed = rows.join(F.broadcast(large) if large.count() <= 1000 else large, "gid").withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    placed = sized_join(rows, large, "gid", "inner", 32).withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return placed.select(F.xxhash64("gid", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "fp", "codes")
 
 
-def links(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of links between the sets of each group (gid, fp, codes) that connect what all links of the group connect."""
-    rows, ready = cut(rows), []
-    before = None
-    for level in range(6):
-        large = _large(rows)
-        total = large.agg(F.sum("size")).first()[0] or 0
-        if not total:
+def links(rows: DataFrame, large_rows: DataFrame | None, large: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of links between the sets of each group (gid, fp, codes) that connect what all links of the group connect; large_rows: those of the groups in large, which are cut first."""
+    ready, edges = [rows], []
+    for level in range(CELLS + 1 if large_rows is not None else 0):
+        if level == CELLS:
+            ready.append(_blocks(large_rows, large))
             break
-        ready.append(rows.join(F.broadcast(large) if large.count() <= 100_000 else large, "gid", "left_anti"))
-        rows = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, "gid", "left_semi")
-        if before is not None and total > 0.7 * before:
-            rows = _blocks(rows, large)
+        cell, crossed, outside = _cell(large_rows if level else cut(large_rows), large, percent, level)
+        edges.append(cell)
+        ready.append(crossed)
+        outside = cut(outside)
+        large = _large(outside.select("gid", F.size("codes").alias("n")))
+        ready.append(sized_join(outside, large.select("gid"), "gid", "left_anti", 16))
+        if large.isEmpty():
             break
-        before = total
-        rows = _split(rows, large, percent, level)
-    else:
-        large = _large(rows)
-        ready.append(rows.join(large, "gid", "left_anti"))
-        rows = _blocks(rows, large)
-    for more in ready:
-        rows = rows.unionByName(more)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(partial(_join, percent=percent), "u long, v long")
+        large_rows = sized_join(outside, large.select("gid"), "gid", "left_semi", 16)
+    groups = ready[0]
+    for more in ready[1:]:
+        groups = groups.unionByName(more)
+    out = groups.repartition(partitions(rows.sparkSession), "gid").sortWithinPartitions("gid").mapInArrow(partial(_join, percent=percent), "u long, v long")
+    for more in edges:
+        out = out.unionByName(more)
+    return out
+
+
+def _asked(first: DataFrame, regions: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, gid) of one document of each set of each region."""
+    return cut(first.join(regions.withColumnRenamed("node", "fp"), "fp").select(F.col("rep").alias("doc_id"), "fp", "n", F.col("root").alias("gid")))
+
+
+def _regions(rows: DataFrame, n: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, fp) of every row, and (node, root) of the sets that share a part with others.
+
+    Part names are shuffled once and kept nowhere: next to each other in order, sets of one name are chained; each document's own row goes along under a name of its own.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    often = rows.select("text").mapInArrow(partial(_frequent, n=n, heavy=heavy), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") * heavy >= total)
+    common = np.sort(often.select("code").toArrow().column("code").to_numpy().view(U64))
+    kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == "doc_id")
+    describe = partial(_describe, n=n, percent=percent, heavy=spark.sparkContext.broadcast(common), table=bins(percent))
+    found = rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, fp long, parts array<long>, near array<long>")
+    named = found.select("doc_id", "n_shingles", "fp", "near", F.posexplode(F.array_prepend("parts", F.xxhash64("fp", "doc_id"))).alias("pos", "name"))
+    named = named.select("name", "fp", F.when(F.col("pos") == 0, F.struct("doc_id", "n_shingles", "near")).alias("doc"))
+    chained = named.withColumn("v", F.lag("fp").over(Window.partitionBy("name").orderBy("fp")))
+    kept = cut(chained.filter(F.col("doc").isNotNull() | (F.col("v") != F.col("fp"))).select("doc", F.col("fp").alias("u"), "v"))
+    base = kept.filter("doc is not null").select("doc.doc_id", "doc.n_shingles", F.col("u").alias("fp"))
+    near = kept.filter("doc is not null").select("u", F.explode("doc.near").alias("v"))
+    return base, components(near.unionByName(kept.filter("doc is null").select("u", "v")))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,25 +464,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     links. A row without doc_id links nothing and has no component_id, rows that repeat an id count as one document that has several sets.
     An empty table gives no rows; other columns of docs may have any names.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    total = rows.count()
-    often = rows.select("text").mapInArrow(partial(_frequent, n=n), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") * HEAVY >= total)
-    heavy = np.sort(often.select("code").toArrow().column("code").to_numpy().view(U64))
-    kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == "doc_id")
-    base = cut(rows.mapInArrow(partial(_describe, n=n, percent=percent, heavy=spark.sparkContext.broadcast(heavy)), f"doc_id {kind}, n_shingles long, fp long, parts array<long>"))
-    named = base.filter("doc_id is not null and n_shingles > 0")
-    parts = named.select("fp", F.explode("parts").alias("name"))
-    several = cut(parts.groupBy("name").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("name", "lo"))
-    edges = sized_join(parts, several, "name", "inner", 16).filter("fp <> lo").select(F.col("fp").alias("u"), F.col("lo").alias("v"))
-    regions = components(edges)
-    first = named.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    asked = cut(first.join(regions.withColumnRenamed("node", "fp"), "fp").select(F.col("rep").alias("doc_id"), "fp", F.col("root").alias("gid")))
-    sets = sized_join(rows, asked, "doc_id", "inner", 32).select("gid", "fp", "text").mapInArrow(partial(_sets, n=n), GROUPED)
-    found = components(links(sets, percent))
-    rep = first.join(found.withColumnRenamed("node", "fp"), "fp")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base, regions = _regions(rows, n, percent, HEAVY[0])
+    first = base.filter("doc_id is not null and n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    asked = _asked(first, regions)
+    large = _large(asked)
+    for heavy in HEAVY[1:]:
+        if large.isEmpty():
+            break
+        again = sized_join(asked, large.select("gid"), "gid", "left_semi", 16)
+        texts = sized_join(rows, again.select("doc_id"), "doc_id", "left_semi", 16)
+        finer = _asked(first, _regions(texts, n, percent, heavy)[1])
+        kept = sized_join(asked, large.select("gid"), "gid", "left_anti", 16)
+        asked = cut(kept.unionByName(finer.join(again.select("fp"), "fp", "left_semi")))
+        large = _large(asked)
+    sets = lambda asked: sized_join(rows, asked, "doc_id", "inner", 32).select("gid", "fp", "text").mapInArrow(partial(_sets, n=n), GROUPED)
+    if large.isEmpty():
+        found = components(links(sets(asked), None, large, percent))
+    else:
+        small = cut(sized_join(asked, large.select("gid"), "gid", "left_anti", 16))
+        again = cut(sized_join(asked, large.select("gid"), "gid", "left_semi", 16))
+        found = components(links(sets(small), sets(again), large, percent))
+    rep = first.select("fp", "rep").join(found.withColumnRenamed("node", "fp"), "fp")
     least = rep.groupBy("root").agg(F.min("rep").alias("component"))
     linked = cut(rep.join(least, "root").select("fp", "component"))
-    out = sized_join(base.select("doc_id", "n_shingles", "fp"), linked, "fp", "left", 16)
-    own = out.join(first, "fp", "left")
+    out = sized_join(base, linked, "fp", "left", 16)
+    own = out.join(first.select("fp", "rep"), "fp", "left")
     return own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

@@ -44,9 +44,12 @@ def test_same_groups_as_brute_force(docs, local, n, percent):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
-def test_large_regions_are_cut_and_joined_in_blocks(docs, local, monkeypatch):
+@pytest.mark.parametrize(("cells", "pivots"), [(4, 3), (1, 8), (0, 1)])
+def test_large_regions_are_cut_and_joined_in_blocks(docs, local, monkeypatch, cells, pivots):
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 4)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    monkeypatch.setattr(jaccard_join, "SHARE_ROWS", 3)
     assert {tuple(r) for r in near_duplicates(docs, 3, 90).collect() if r["doc_id"] is not None} == brute(local, 3, 90)
 
 
