@@ -83,15 +83,19 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Boosted trees for a 0/1 target in flat arrays: node i of a tree has the children 2i + 1 and 2i + 2."""
+    """Boosted trees for a 0/1 target in flat arrays: node i of a tree has the children 2i + 1 and 2i + 2.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    weight: how much each row counts (1 without it), in the base rate and in every sum of gradients.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
         n, width = x.shape if len(x) else (0, len(STATISTICS))
         nodes = (1 << DEPTH) - 1
         self.feature = np.zeros((TREES, nodes), np.int32)
         self.threshold = np.full((TREES, nodes), np.inf)
         self.leaf = np.zeros((TREES, nodes + 1))
-        rate = (y.sum() + 0.5) / (n + 1.0)
+        w = np.ones(n) if weight is None else weight
+        rate = ((w * y).sum() + 0.5) / (w.sum() + 1.0)
         self.base = float(np.log(rate / (1 - rate)))
         if n == 0 or y.min() == y.max():
             return
@@ -101,7 +105,7 @@ class Forest:
         margin = np.full(n, self.base)
         for t in range(TREES):
             p = 1 / (1 + np.exp(-margin))
-            g, h = p - y, p * (1 - p)
+            g, h = w * (p - y), w * p * (1 - p)
             at = np.zeros(n, np.int64)
             for level in range(DEPTH):
                 first, width_now = (1 << level) - 1, 1 << level
@@ -141,7 +145,8 @@ def _measure(batches):
     for part, data, offsets in text_slices(batches, "text"):
         x = statistics(data, offsets)
         values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("y")), values], ["doc_id", "y", "x"])
+        kept = ["doc_id", "y", "total"]
+        yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), values], [*kept, "x"])
 
 
 def _score(batches, text: str, forest):
@@ -151,18 +156,26 @@ def _score(batches, text: str, forest):
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(model.score(statistics(data, offsets)))], [*names, "score"])
 
 
+def class_weights(y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A weight for each sampled row, 1 on average, so that each class has the share of its total; 1 for all rows if every row was taken."""
+    w = total / np.bincount(y, minlength=2)[y]
+    return w * (len(w) / w.sum()) if len(w) else w
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
     """A model of labels.quality (1 or more: good), fitted on at most fit_rows documents of each class that are not held out.
 
+    Sampled rows are weighted by the share of their class in all learnable labels, so that a score means the same at every size of the input.
     Statistics are computed where the texts are; the driver gets len(STATISTICS) numbers for each document of the sample. Without
     labels every score is 0.5; with one class alone scores are near that class.
     """
     wanted = labels.select("doc_id", (F.col("quality") >= 1).cast("int").alias("y"))
     rows = learning_rows(docs, wanted, fit_rows)
     kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == "doc_id")
-    got = rows.mapInArrow(_measure, f"doc_id {kind}, y int, x array<double>").orderBy("doc_id").toArrow()
+    got = rows.mapInArrow(_measure, f"doc_id {kind}, y int, total long, x array<double>").orderBy("doc_id").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS)) if got.num_rows else np.zeros((0, len(STATISTICS)))
-    return Forest(x, got.column("y").to_numpy().astype(float))
+    y = got.column("y").to_numpy().astype(np.int64)
+    return Forest(x, y.astype(float), class_weights(y, got.column("total").to_numpy().astype(float)))
 
 
 def score_quality(docs: DataFrame, forest: Forest, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "_") -> DataFrame:

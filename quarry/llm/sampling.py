@@ -19,7 +19,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(doc_id, y, text) of at most per_class documents of each class: those of least hash of their id.
+    """(doc_id, y, total, text) of at most per_class documents of each class: those of least hash of their id. total: documents of the class that could be chosen.
 
     docs: doc_id, text; labels: doc_id, y. Held-out documents, and rows without id or label, are left out. An id
     with several labels counts with the greatest, one with several texts with the least.
@@ -31,9 +31,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFra
     # rows are counted by range first, so that only the ranges that are needed are ranked, not a whole class in one task
     until = F.sum("n").over(Window.partitionBy("y").orderBy("h"))
     counts = there.groupBy("y", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("before", until - F.col("n"))
-    last = cut(counts.filter(F.col("before") < per_class).groupBy("y").agg(F.max("h").alias("last")))
+    needed = F.max(F.when(F.col("before") < per_class, F.col("h")))
+    last = cut(counts.groupBy("y").agg(needed.alias("last"), F.sum("n").alias("total")))
     order = Window.partitionBy("y").orderBy("h", F.xxhash64("doc_id"), "doc_id")
     near = sized_join(there, last, "y", "inner", 64).filter(F.col("h") <= F.col("last"))
-    chosen = cut(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).select("doc_id", "y"))
+    chosen = cut(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).select("doc_id", "y", "total"))
     texts = sized_join(docs.select("doc_id", "text"), chosen, "doc_id", "inner", 64)
-    return texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("total").alias("total"), F.min(F.coalesce("text", F.lit(""))).alias("text"))

@@ -52,6 +52,21 @@ def test_quality_ignores_held_out_labels(spark, labelled):
     assert score(quality.fit(docs, labels)) == score(quality.fit(docs, turned))
 
 
+def test_scores_keep_the_class_shares_of_all_labels_when_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "the same words for all") for i in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(800)], "doc_id long, quality int, toxic int")
+    learned = [int(i % 7 > 0) for i in range(800) if not fold(i)]
+    for fit_rows in (10_000, 40):
+        out = quality.with_fold(quality.score_quality(docs, quality.fit(docs, labels, fit_rows))).collect()
+        assert {r["predicted"] for r in out} == {1} and all(abs(r["score"] - np.mean(learned)) < 0.01 for r in out)
+
+
+def test_class_weights():
+    assert quality.class_weights(np.array([0, 1, 1]), np.array([1.0, 2.0, 2.0])).tolist() == [1, 1, 1]
+    w = quality.class_weights(np.array([0, 0, 1, 1]), np.array([10.0, 10.0, 90.0, 90.0]))
+    assert np.allclose(w, [0.2, 0.2, 1.8, 1.8])
+
+
 def test_forest_scores_like_a_walk_of_each_tree():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, len(quality.STATISTICS)))
