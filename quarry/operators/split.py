@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +77,26 @@ def split_targets(df: DataFrame) -> DataFrame:
     return n.select("cwe", "n", train.alias("train"), val.alias("val"), (F.col("n") - train - val).alias("test"))
 
 
+def _placed(groups, want: dict[str, dict[str, int]]):
+    """The split of each (classes, negative counts) in turn: the one that lacks most of the first class. want, what each split lacks of each class, is used up."""
+    for classes, less in groups:
+        best = max(K.SPLITS, key=lambda s: (want[s][classes[0]], -K.SPLITS.index(s)))
+        for c, n in zip(classes, less, strict=True):
+            want[best][c] += n
+        yield best
+
+
+def _placed_batches(batches, want: dict[str, dict[str, int]]):
+    for batch in batches:
+        splits = list(_placed(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), want))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(splits, pa.string())], ["group_key", "split"])
+
+
 def greedy_group_split(df: DataFrame, seed: int = 42, fractions: tuple[float, float, float] = (0.7, 0.15, 0.15), max_groups: int = 2_000_000) -> DataFrame:
     """id, cwe, group_key, split: whole groups go to the split that lacks most of the group's dominant class, large groups first.
 
-    The choice depends on all choices before it. Up to max_groups groups, group sizes per class (never rows) are gathered and the choice is made on the
-    driver; beyond that, each dominant class chooses for its own groups in a window-free pass: groups in order of size fill a running share.
+    The choice depends on all choices before it, so that one process makes them in turn: up to max_groups groups (never rows) the driver, and beyond that one
+    task that streams the sorted groups and holds what splits lack of each class alone. Both make the same choices.
     """
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions must sum up to 1")
@@ -90,32 +106,18 @@ def greedy_group_split(df: DataFrame, seed: int = 42, fractions: tuple[float, fl
     groups = counts.select("group_key").distinct().count()
     if groups == 0:
         raise ValueError("no samples")
+    totals = {r["cwe"]: r["n"] for r in counts.groupBy("cwe").agg(F.sum("n").alias("n")).collect()}
+    want = {s: {c: round(n * f) for c, n in totals.items()} for s, f in zip(K.SPLITS[:2], fractions, strict=False)}
+    want["test"] = {c: n - want["train"][c] - want["val"][c] for c, n in totals.items()}
+    # the most frequent class of a group, of least name, comes first
+    parts = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "cwe"))).alias("parts")
+    sizes = counts.groupBy("group_key").agg(F.sum("n").alias("size"), parts).select("group_key", "size", seeded(seed, F.col("group_key")).alias("o"), F.col("parts.cwe").alias("classes"), F.col("parts.less").alias("less"))
+    order = (F.desc("size"), "o", "group_key")
     if groups > max_groups:
-        size = counts.groupBy("group_key").agg(F.sum("n").alias("size"))
-        lead = dominant_label(rows).select("group_key", F.col("cwe").alias("lead")).join(size, "group_key")
-        order = Window.partitionBy("lead").orderBy(F.desc("size"), seeded(seed, F.col("group_key")))
-        share = F.sum("size").over(order) / F.sum("size").over(Window.partitionBy("lead"))
-        place = F.when(share <= fractions[0], "train").when(share <= fractions[0] + fractions[1], "val").otherwise("test")
-        chosen = lead.select("group_key", place.alias("split"))
+        chosen = sizes.repartition(1).sortWithinPartitions(*order).select("group_key", "classes", "less").mapInArrow(partial(_placed_batches, want=want), "group_key string, split string")
     else:
-        members: dict[str, dict[str, int]] = defaultdict(dict)
-        totals: dict[str, int] = defaultdict(int)
-        for r in counts.orderBy("group_key", "cwe").toLocalIterator():
-            members[r["group_key"]][r["cwe"]] = r["n"]
-            totals[r["cwe"]] += r["n"]
-        want = {s: {c: round(n * f) for c, n in totals.items()} for s, f in zip(K.SPLITS[:2], fractions, strict=False)}
-        want["test"] = {c: n - want["train"][c] - want["val"][c] for c, n in totals.items()}
-        have = {s: defaultdict(int) for s in K.SPLITS}
-        import hashlib
-
-        order = sorted(members, key=lambda g: (-sum(members[g].values()), hashlib.sha256(f"{seed}:{g}".encode()).hexdigest()))
-        out = []
-        for g in order:
-            lead = min(members[g], key=lambda c: (-members[g][c], c))
-            best = max(K.SPLITS, key=lambda s: (want[s][lead] - have[s][lead], -K.SPLITS.index(s)))
-            out.append((g, best))
-            for c, n in members[g].items():
-                have[best][c] += n
+        members = sizes.orderBy(*order).select("group_key", "classes", "less").collect()
+        out = [(r[0], s) for r, s in zip(members, _placed(((r[1], r[2]) for r in members), want), strict=True)]
         chosen = spark.createDataFrame(out, "group_key string, split string")
     counts.unpersist()
     return rows.join(chosen, "group_key").select("id", "cwe", "group_key", "split")

@@ -38,6 +38,12 @@ def test_no_group_is_in_two_splits(spark, limit):
     assert keys["hn_0"] == keys["CWE-89_0"] and keys["hn_1"] == "repo::own"
 
 
+def test_same_splits_beyond_the_limit(spark):
+    df = corpus(spark, {"CWE-89": 300, "CWE-79": 90, "CWE-502": 20}, repos=25).unionByName(corpus(spark, {"x": 40, "y": 25}))
+    df = df.dropDuplicates(["id"])
+    assert placed(split.greedy_group_split(df, max_groups=0)) == placed(split.greedy_group_split(df))
+
+
 def test_proportions(spark):
     out = split.greedy_group_split(corpus(spark, {"CWE-89": 400, "CWE-79": 200}))
     n = Counter(r["split"] for r in out.collect())
