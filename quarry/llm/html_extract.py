@@ -1,7 +1,7 @@
 """Main-text extraction from HTML by scoring the element tree.
 
 Paragraphs pass points for their length and commas to their ancestors, discounted by link density; the best container
-is kept with those siblings that score near it, and what is named as furniture inside is dropped.
+is kept with those siblings that score near it, and what is named as furniture inside is dropped; a furniture word within a longer name lowers the score alone.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ SCOPE = frozenset("html body table td th caption button object article section m
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertorial sponsor sponsored sponsors banner banners promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations pagination pager comment comments commentlist disqus replies respond form search searchbox skip outbrain taboola teaser complementary contentinfo".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Furniture words that in a longer name, or on a paragraph, say little of what the element is; last words of names of content; first words of names of page states.
+VAGUE = frozenset("form search social header teaser share sharing notice notices related recommended respond promotion overlay".split())
+CONTENT = frozenset("article post entry content body text story main".split())
+STATES = frozenset("has with without no is".split())
 KEPT_TAGS = frozenset("html body main article".split())
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -36,11 +41,11 @@ COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "named", "length", "linked", "links", "commas", "score", "holds")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "hinted", "length", "linked", "links", "commas", "score", "holds")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.dropped = self.named = self.holds = False
+        self.dropped = self.named = self.hinted = self.holds = False
         self.length = self.linked = self.links = self.commas = 0
         self.score = 0.0
 
@@ -52,9 +57,28 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _is_furniture(attributes: dict[str, str]) -> bool:
-    words = {w.lower() for k in ("class", "id", "role") for w in NAME_WORD.findall(attributes.get(k, ""))}
-    return bool(words & FURNITURE)
+def _furniture(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """(named, hinted): whether a whole name is a furniture term, or else whether furniture words stand in names at all.
+
+    A whole name is one of furniture words alone, or the only name of its attribute if it ends in one that is not vague (readerComments).
+    An element that has a name of content as well (content right-sidebar) is hinted.
+    """
+    named = hinted = content = False
+    for key in ("class", "id", "role"):
+        names = [[w.lower() for w in NAME_WORD.findall(x)] for x in attributes.get(key, "").split()]
+        for words in names:
+            if not words:
+                continue
+            content |= words[-1] in CONTENT
+            found = FURNITURE.intersection(words)
+            if not found:
+                continue
+            hinted = True
+            if found == set(words):
+                named |= tag != "p" or not found <= VAGUE
+            elif len(names) == 1 and words[-1] in FURNITURE and words[-1] not in VAGUE:
+                named |= words[0] not in STATES
+    return named and not content, hinted
 
 
 def parse(html: str) -> Node:
@@ -99,8 +123,8 @@ def parse(html: str) -> Node:
             new.dropped = True
         if raw and not raw.isspace():
             attributes = _attributes(raw)
-            if tag not in KEPT_TAGS and _is_furniture(attributes):
-                new.named = True
+            if tag not in KEPT_TAGS:
+                new.named, new.hinted = _furniture(tag, attributes)
             if "hidden" in attributes or HIDDEN.search(attributes.get("style", "")):
                 new.dropped = True
         if tag in RAW:
@@ -172,7 +196,7 @@ def _score(order: list[Node]) -> None:
     for node in order:
         if node.tag in ("article", "main"):
             node.score += 25
-        node.score *= 1 - _density(node)
+        node.score *= (1 - _density(node)) * (0.8 if node.hinted else 1)
 
 
 def _blocks(top: Node, out: list[str]) -> None:
@@ -210,15 +234,18 @@ def extract(html: str | None) -> str:
     root = parse(html)
     order = _measure(root)
     total = root.length
-    named = [n for n in order if n.named and not n.holds]
+    # what is only hinted at goes if it is links or next to nothing
+    named = [n for n in order if not n.holds and (n.named or (n.hinted and (_density(n) >= 0.5 or n.length - n.linked < 25)))]
     menus = [n for n in order if n.tag in ("ul", "ol") and n.links >= 3 and _density(n) >= 0.8]
     if named or menus:
         for n in [*named, *menus]:
             n.dropped = True
         whole = order
         order = _again(root, whole)
+        # headings alone are no text
         plain = root.length - root.linked
-        if plain < 25 and total > 5 * plain:
+        text = plain - sum(n.length - n.linked for n in order if n.tag in HEADINGS)
+        if (plain < 25 and total > 5 * plain) or (text < 25 and total > 3 * plain):
             # the names mark the only text there is
             for n in named:
                 n.dropped = n.tag in DROPPED

@@ -31,6 +31,24 @@ def test_extract(html, text):
     assert extract(html) == text
 
 
+TITLE = "A title of more than twenty-five characters"
+
+
+@pytest.mark.parametrize("names", ["class='content right-sidebar'", "class=has-comments", "id=post-form", "id=search-results", "class=header-offset", "class=sidebar"])
+def test_a_furniture_word_in_a_name_drops_no_whole_text(names):
+    assert extract(f"<body><h1>{TITLE}</h1><div {names}><p>{LONG}</p><p>{LONG} again</p></div></body>") == f"{TITLE} {LONG} {LONG} again"
+
+
+@pytest.mark.parametrize("lead", ["<p class=teaser>{}</p>", "<div class=header-offset>{}</div>", "<div class='has-comments'><p>{}</p></div>"])
+def test_leads_inside_the_article_stay(lead):
+    assert extract(f"<article>{lead.format('Lead: ' + LONG)}<p>{LONG}</p></article>") == f"Lead: {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("furniture", ["<div class=ad>{}</div>", "<p class=ad>{}</p>", "<div class='ad sticky'>{}</div>", "<div class=article-comments>{}</div>", "<div class=share-this><a href=1>{}</a></div>"])
+def test_whole_names_and_link_blocks_go(furniture):
+    assert extract(f"<article><p>{LONG}</p>{furniture.format(LONG)}</article>") == LONG
+
+
 def test_main_text_edge_cases(spark):
     ddl = "page_id long, url string, html string, text string, n_chars int, k0 int"
     rows = [(1, "u", f"<article><p>é{LONG}</p></article>", "x", 1, 2), (2, None, None, None, None, None), (1, "u", f"<article><p>é{LONG}</p></article>", "x", 1, 2), (None, "v", "<div>" * 3000 + LONG, "y", 0, 0)]
