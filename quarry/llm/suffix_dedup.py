@@ -1,9 +1,10 @@
-"""Removal of repeated byte strings by distributed bucket-pointer refinement.
+"""Removal of repeated byte strings by distributed refinement of buckets of equal spans.
 
 A position's bucket is the set of positions whose next q bytes are equal; a bucket's name is a hash of those
 bytes. To find every string of `length` bytes that starts at two places, buckets are refined from q bytes to
-`length` bytes, and as in suffix sorting by bucket pointers a bucket with one member is final and drops out, and a
-longer bucket's name is made of the names of shorter ones at later offsets.
+`length` bytes, and as in suffix sorting by bucket pointers a bucket with one member is final and drops out. A longer bucket's name is
+not made of the names of shorter ones at later offsets, as in suffix sorting: it is a 64-bit fingerprint of the span's bytes, taken anew where the
+text is, as names at later offsets would be needed at every position and shuffled, while anchors name one position of each string.
 
 Round 0 names only one position of each string: the q-gram of least hash among those inside it (q = length / 2), so that equal
 strings choose equal offsets. Around each such anchor, the starts of strings that hold it form a range. For a range of starts,
