@@ -182,13 +182,15 @@ def _frequent(batches, n: int, heavy: int):
 
 def _combined(held):
     """One record batch of held (doc_id, sizes, fp, names, rows of names): of sets with a part of the same name the first one keeps it and the
-    others keep a link to the set before them, so that a name leaves the block once; of copies the first one has all."""
+    others keep a link to the set before them, so that a name leaves the block once; of copies the first one with an id has all."""
     ids = pa.concat_arrays([h[0] for h in held])
     sizes, fp, names = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
     starts = np.cumsum([0, *(len(h[1]) for h in held)])
     who = np.concatenate([h[4] + a for h, a in zip(held, starts, strict=False)])
     fresh = np.zeros(len(fp), bool)
-    fresh[np.unique(fp, return_index=True)[1]] = True
+    # rows without an id have no names, so that they come last
+    first = np.argsort(~ids.is_valid().to_numpy(zero_copy_only=False), kind="stable")
+    fresh[first[np.unique(fp[first], return_index=True)[1]]] = True
     names, who = names[fresh[who]], who[fresh[who]]
     order = np.lexsort((who, names))
     names, who = names[order], who[order]

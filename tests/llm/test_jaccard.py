@@ -53,6 +53,14 @@ def test_large_regions_are_cut_and_joined_in_blocks(docs, local, monkeypatch, ce
     assert {tuple(r) for r in near_duplicates(docs, 3, 90).collect() if r["doc_id"] is not None} == brute(local, 3, 90)
 
 
+def test_a_copy_without_id_takes_no_links_away(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (7, near)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5, 80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(None, None), (5, 5), (7, 5)}
+
+
 def test_empty_table(empty):
     assert near_duplicates(empty, 3, 90).collect() == []
 
