@@ -11,11 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd, so that it has an inverse modulo 2^64.
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Hashes of spans are polynomials modulo this prime: modulo a power of two, structured texts (Thue-Morse words) collide for every base.
+PRIME = U64((1 << 61) - 1)
+BASES = (0x1E3779B97F4A7C15, 0x0F58476D1CE4E5B9)
 #: Bytes of text handled at once; the temporaries of one slice are a few dozen times this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Terms that are summed up before they are brought below the prime again.
+RUN = 1 << 20
 
 
 class _Cache(dict):
@@ -26,17 +28,38 @@ class _Cache(dict):
 
 
 _powers: dict[int, np.ndarray] = _Cache()
+_LOW31, _LOW30, _LOW32, _LOW29 = (U64((1 << n) - 1) for n in (31, 30, 32, 29))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept while not far longer than a slice."""
-    have = _powers.get(int(base))
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = a0 * b1
+    middle += a1 * b0
+    out = a0 * b0
+    out = (out & PRIME) + (out >> U64(61))
+    out += (middle & _LOW30) << U64(31)
+    out += middle >> U64(30)
+    out += a1 * b1 * U64(2)
+    return reduced(out)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo the prime; kept while not far longer than a slice."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 8 * SLICE_BYTES:
-            _powers[int(base)] = have
+        have = np.ones(1, U64)
+        while len(have) < max(n, SLICE_BYTES + 1):
+            step = U64(pow(base, len(have), int(PRIME)))
+            have = np.concatenate([have, times(have, np.full(len(have), step, U64))])
+        if n <= 32 * SLICE_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
@@ -97,9 +120,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-    """Words of all rows: lower-cased bytes, word starts, word ends, row of each word."""
-    low = LOWER[data]
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True):
+    """Words of all rows: bytes (lower-cased if asked for), word starts, word ends, row of each word."""
+    low = LOWER[data] if lower else data
     inside = table[low]
     edge = np.empty(len(low) + 1, bool)
     if len(low) == 0:
@@ -117,16 +140,28 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     return low, starts, ends, rows
 
 
-def prefix_sums(low: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """Running sums of (byte + 1) * base^position modulo 2^64, one longer than the text."""
-    out = np.zeros(len(low) + 1, U64)
-    np.cumsum((low.astype(U64) + U64(1)) * powers(base, len(low)), out=out[1:])
+def prefix_sums(values: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """Running sums of (value + 1) * base^position modulo the prime, one longer than values, which are bytes or numbers below the prime."""
+    out = np.zeros(len(values) + 1, U64)
+    scale = powers(base, len(values))
+    for at in range(0, len(values), RUN):
+        part, by = values[at : at + RUN], scale[at : at + RUN]
+        if part.dtype == np.uint8:
+            part = part.astype(U64) + U64(1)
+            low, high = np.cumsum(part * (by & _LOW32)), np.cumsum(part * (by >> U64(32)))
+        else:
+            term = times(reduced(part + U64(1)), by)
+            low, high = np.cumsum(term & _LOW32), np.cumsum(term >> U64(32))
+        # high * 2^32, of which 2^61 is 1
+        total = reduced(low) + ((high & _LOW29) << U64(32)) + (high >> U64(29)) + out[at]
+        out[at + 1 : at + 1 + len(part)] = reduced(total)
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, inverse: np.uint64 = BASE_INVERSE) -> np.ndarray:
-    """A 64-bit hash of each byte span that depends on its bytes and length alone."""
-    raw = (sums[ends] - sums[starts]) * powers(inverse, len(sums))[starts]
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """A 64-bit hash of each span that depends on its values and length alone."""
+    inverse = pow(base, -1, int(PRIME))
+    raw = times(reduced(sums[ends] + PRIME - sums[starts]), powers(inverse, len(sums))[starts])
     return mix(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

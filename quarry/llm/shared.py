@@ -13,19 +13,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker, where the session sets none.
+BATCH_BYTES = "8m"
+_BATCH, _CLEANUP = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are held several times by each task, so that their bytes are bounded, not their rows alone."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there, so that no later job computes it again.
+    """df written to the checkpoint folder and read from there, so that no later job computes it again; its shuffle files, which nothing reads any more, go.
 
     The folder is the one that the cluster names in spark.checkpoint.dir; only where that is unset
     (a local session in tests) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
+    bounded(spark)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -93,6 +111,7 @@ class Carried:
     def run(self, function, ddl: str, rows: DataFrame | None = None) -> DataFrame:
         """function over the rows' Arrow batches; it drops t and other columns beside the kept ones and adds those of ddl."""
         out = schema(ddl)
+        bounded(self.rows.sparkSession)
         rows = self.rows if rows is None else rows
         kept = [f for f in rows.schema.fields if f.name.startswith("k")]
         return rows.mapInArrow(function, T.StructType([*kept, *out.fields]))

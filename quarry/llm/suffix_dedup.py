@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed refinement of buckets of equal spans.
+"""Removal of repeated strings of bytes, or of words, by distributed refinement of buckets of equal spans.
 
 A position's bucket is the set of positions whose next q bytes are equal; a bucket's name is a hash of those
 bytes. To find every string of `length` bytes that starts at two places, buckets are refined from q bytes to
@@ -12,6 +12,7 @@ the bytes that all its strings share are its core and the bytes that they cover
 string of the range repeats; if the core's bucket has none, no string of it does; otherwise the range is cut into shorter ones (with one member of each repeated cover for comparison), for which
 the next round asks the same, down to single strings. Only bucket names and positions are shuffled, never text, and
 buckets are counted by partial aggregates, so a passage that a third of all documents hold costs no task more than others.
+Beyond round 0 a bucket has two independent names of 64 bits each, so that strings of any corpus are told apart.
 """
 
 from __future__ import annotations
@@ -24,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import BASE_INVERSE, SLICE_BYTES, U64, mix, powers, prefix_sums, span_hashes, text_slices
+from .numeric import BASES, SLICE_BYTES, U64, byte_table, mix, prefix_sums, reduced, row_slices, span_hashes, text_slices, utf8, word_hashes, words
 from .shared import Carried, cut, join_lists, kept_arrays, sized_join
 
 #: Low bits of a selection key that hold the position; a segment is shorter than 2^22 bytes.
 POSITION = U64((1 << 22) - 1)
 #: Starts in one range of each round after the first.
 ROUNDS = (25, 5, 1)
+#: Bytes of text that results are built of at once.
+OUTPUT_BYTES = 1 << 20
 
 MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-ITEMS = "g long, f long, fp long, c int, p int, a int, b int"
+ITEMS = "g long, g2 long, f long, f2 long, fp long, c int, p int, a int, b int"
+CORE, COVER = ["g", "g2"], ["f", "f2"]
+#: What strings are made of: every byte, or words without ASCII white space.
+UNITS = ("bytes", "words")
 
 
 def _segments(offsets: np.ndarray, length: int, limit: int = SLICE_BYTES):
@@ -47,10 +53,12 @@ def _segments(offsets: np.ndarray, length: int, limit: int = SLICE_BYTES):
                 yield row, at, min(b, at + limit + length - 1)
 
 
-def _gram_names(sums: np.ndarray, q: int) -> np.ndarray:
-    """The bucket name of the q-gram at each position."""
-    n = len(sums) - q
-    return mix((sums[q:] - sums[:n]) * powers(BASE_INVERSE, n) + np.full(1, q, U64) * U64(0xD6E8FEB86659FD93))
+def _elements(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a slice and where its rows begin, or the same of its words, each as a number."""
+    if unit == "bytes":
+        return data, offsets
+    low, starts, ends, rows = words(data, offsets, byte_table("space"), lower=False)
+    return reduced(word_hashes(low, starts, ends)), np.searchsorted(rows, np.arange(len(offsets)))
 
 
 def _least(names: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +83,8 @@ def _ranges(data: np.ndarray, offsets: np.ndarray, length: int):
         if hi - lo < length:
             continue
         sums = prefix_sums(data[lo:hi])
-        names = _gram_names(sums, q)
+        grams = np.arange(len(sums) - q)
+        names = span_hashes(sums, grams, grams + q)
         at = _least(names, length - q + 1)
         starts = np.arange(len(at))
         rows = np.searchsorted(offsets, starts + lo, "right") - 1
@@ -95,10 +104,10 @@ def _ranges(data: np.ndarray, offsets: np.ndarray, length: int):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _first(batches, length: int):
+def _first(batches, length: int, unit: str):
     """(g, o): the bucket of each anchor and a name of its place."""
     for part, data, offsets in text_slices(batches, "text"):
-        rows, p, _, _, g = _ranges(data, offsets, length)
+        rows, p, _, _, g = _ranges(*_elements(data, offsets, unit), length)
         fp = part.column(part.schema.get_field_index("fp")).to_numpy().view(U64)[rows]
         place = mix(fp ^ mix(p.astype(U64)))
         yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(place.view(np.int64))], ["g", "o"])
@@ -117,9 +126,10 @@ def _cells(rows, p, a, b, width: int, length: int):
     return rows, p, np.maximum(a, p + c0), np.minimum(b, p + c1), p + c1, p + c0 + length
 
 
-def _items(batches, length: int, width: int | None):
-    """Ranges with the bucket names of core (g) and cover (f): all of round 0, or those of each row's list `todo` cut to width."""
+def _items(batches, length: int, unit: str, width: int | None):
+    """Ranges with the bucket names of core (g, g2) and cover (f, f2): all of round 0, or those of each row's list `todo` cut to width."""
     for part, data, offsets in text_slices(batches, "text"):
+        data, offsets = _elements(data, offsets, unit)
         if width is None:
             rows, p, a, b, _ = _ranges(data, offsets, length)
             size = length - length // 2 + 1
@@ -130,43 +140,54 @@ def _items(batches, length: int, width: int | None):
             p, a, b = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
             size = width
         rows, p, a, b, core, core_end = _cells(rows, p, a, b, size, length)
-        sums = prefix_sums(data)
         start = offsets[rows]
-        g = span_hashes(sums, start + core, start + core_end)
-        f = span_hashes(sums, start + a, start + b + length)
+        names = []
+        for base in BASES:
+            sums = prefix_sums(data, base)
+            names.append((span_hashes(sums, start + core, start + core_end, base), span_hashes(sums, start + a, start + b + length, base)))
+        (g, f), (g2, f2) = names
         fp = part.column(part.schema.get_field_index("fp")).to_numpy()[rows]
         at = [pa.array(x.astype(np.int32)) for x in (core, p, a, b)]
-        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), pa.array(fp), *at], ["g", "f", "fp", "c", "p", "a", "b"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (g, g2, f, f2)), pa.array(fp), *at], [*CORE, *COVER, "fp", "c", "p", "a", "b"])
 
 
-def _several(rows: DataFrame, name: str, place) -> DataFrame:
+def _several(rows: DataFrame, names: list[str], place) -> DataFrame:
     """The buckets with two places at least, counted by partial aggregates."""
-    two = rows.select(name, place.alias("o")).groupBy(name).agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
-    return cut(two.filter(F.col("lo") != F.col("hi")).select(name, "lo"))
+    two = rows.select(*names, place.alias("o")).groupBy(*names).agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+    return cut(two.filter(F.col("lo") != F.col("hi")).select(*names, "lo"))
 
 
-def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
-    """(fp, spans): merged byte spans of each text that strings of length bytes cover which start at two places at least.
+def _copies(texts: DataFrame, unit: str) -> DataFrame:
+    """(fp, s, e): the whole of each text that several rows have."""
+    several = cut(texts.groupBy("fp", F.octet_length("text").alias("size")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("fp").agg(F.min("size").cast("int").alias("e")))
+    if unit == "words":
+        count = F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+"))
+        several = sized_join(texts, several.select("fp"), "fp", "left_semi", 8).groupBy("fp").agg(F.min(count).cast("int").alias("e"))
+    return several.select("fp", F.lit(0).alias("s"), "e")
+
+
+def repeated_spans(texts: DataFrame, length: int = 400, unit: str = "bytes") -> DataFrame:
+    """(fp, spans): merged spans of each text, in its bytes or words, that strings of length units cover which start at two places at least.
 
     texts: fp, text; fp is a 64-bit hash of the text, and rows of equal fp are copies. Texts without such strings have no row.
     """
-    size = F.octet_length("text")
-    long = texts.filter(size >= length).select("fp", "text")
-    copies = texts.filter(size >= length).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("e"))
-    covered = [copies.filter("n > 1").select("fp", F.lit(0).alias("s"), "e")]
-    shared = _several(long.mapInArrow(partial(_first, length=length), "g long, o long"), "g", F.col("o"))
-    items = long.mapInArrow(partial(_items, length=length, width=None), ITEMS)
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {UNITS}")
+    long = texts.filter(F.octet_length("text") >= (length if unit == "bytes" else 2 * length - 1)).select("fp", "text")
+    covered = [_copies(long, unit).filter(F.col("e") >= length)]
+    shared = _several(long.mapInArrow(partial(_first, length=length, unit=unit), "g long, o long"), ["g"], F.col("o"))
+    items = long.mapInArrow(partial(_items, length=length, unit=unit, width=None), ITEMS)
     live = cut(sized_join(items, shared.select("g"), "g", "left_semi", 8))
     for width in ROUNDS:
         place = F.xxhash64("fp", "a")
-        known = cut(sized_join(live, _several(live, "f", place), "f", "left", 16))
+        known = cut(sized_join(live, _several(live, COVER, place), COVER, "left", 24))
         covered.append(known.filter("lo is not null").select("fp", F.col("a").alias("s"), (F.col("b") + length).alias("e")))
         # a repeated cover is settled; one member stays, as long as its core's bucket has ranges that are not
-        unsettled = cut(known.filter("lo is null").select("g").distinct())
-        rest = sized_join(known.filter(F.col("lo").isNull() | (F.col("lo") == place)), unsettled, "g", "left_semi", 8)
+        unsettled = cut(known.filter("lo is null").select(*CORE).distinct())
+        rest = sized_join(known.filter(F.col("lo").isNull() | (F.col("lo") == place)), unsettled, CORE, "left_semi", 16)
         todo = cut(rest.groupBy("fp").agg(F.collect_set(F.struct("p", "a", "b")).alias("todo")))
-        items = cut(join_lists(long, todo, "fp", "inner").select("fp", "text", "todo").mapInArrow(partial(_items, length=length, width=width), ITEMS))
-        live = sized_join(items, _several(items, "g", F.xxhash64("fp", "c")).select("g"), "g", "left_semi", 8)
+        items = cut(join_lists(long, todo, "fp", "inner").select("fp", "text", "todo").mapInArrow(partial(_items, length=length, unit=unit, width=width), ITEMS))
+        live = sized_join(items, _several(items, CORE, F.xxhash64("fp", "c")).select(*CORE), CORE, "left_semi", 16)
     covered.append(live.select("fp", F.col("a").alias("s"), (F.col("b") + length).alias("e")))
     spans = covered[0]
     for more in covered[1:]:
@@ -185,47 +206,62 @@ def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _remove(batches, text: str, with_text: bool):
+def _word_spans(whole: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes."""
+    _, starts, ends, _ = words(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]), byte_table("space"), lower=False)
+    return [(int(starts[s]), int(ends[e - 1])) for s, e in spans]
+
+
+def _remove(batches, text: str, unit: str, with_text: bool):
     for batch in batches:
-        names, arrays = kept_arrays(batch)
-        values = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        spans = batch.column(batch.schema.get_field_index("spans"))
-        kept_texts, sizes, removed, runs, digests = [], [], [], [], []
-        for value, own in zip(values, spans, strict=True):
-            raw = value.as_py()
-            whole = raw or b""
-            got = own.as_py()
-            gone = _merged(np.array([(x["s"], x["e"]) for x in got], np.int64).reshape(-1, 2)) if got else []
-            kept, at = [], 0
-            for s, e in gone:
-                kept.append(whole[at:s])
-                at = e
-            left = b"".join([*kept, whole[at:]]) if gone else whole
-            sizes.append(len(whole))
-            removed.append(len(whole) - len(left))
-            runs.append(len(gone))
-            digests.append(hashlib.sha256(left).hexdigest())
-            if with_text:
-                kept_texts.append(None if raw is None else left.decode("utf-8", "ignore") if gone else left.decode("utf-8"))
-        more = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
+        _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+        for first, end in row_slices(offsets, OUTPUT_BYTES):
+            yield _removed(batch.slice(first, end - first), text, unit, with_text)
+
+
+def _removed(batch, text: str, unit: str, with_text: bool):
+    names, arrays = kept_arrays(batch)
+    values = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+    spans = batch.column(batch.schema.get_field_index("spans"))
+    kept_texts, sizes, removed, runs, digests = [], [], [], [], []
+    for value, own in zip(values, spans, strict=True):
+        raw = value.as_py()
+        whole = raw or b""
+        got = own.as_py()
+        gone = _merged(np.array([(x["s"], x["e"]) for x in got], np.int64).reshape(-1, 2)) if got else []
+        if gone and unit == "words":
+            gone = _word_spans(whole, gone)
+        kept, at = [], 0
+        for s, e in gone:
+            kept.append(whole[at:s])
+            at = e
+        left = b"".join([*kept, whole[at:]]) if gone else whole
+        sizes.append(len(whole))
+        removed.append(len(whole) - len(left))
+        runs.append(len(gone))
+        digests.append(hashlib.sha256(left).hexdigest())
         if with_text:
-            more.append(pa.array(kept_texts, pa.string()))
-        yield pa.RecordBatch.from_arrays([*arrays, *more], [*names, *MADE, *(["kept"] * with_text)])
+            kept_texts.append(None if raw is None else left.decode("utf-8", "ignore") if gone else left.decode("utf-8"))
+    more = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
+    if with_text:
+        more.append(pa.array(kept_texts, pa.string()))
+    return pa.RecordBatch.from_arrays([*arrays, *more], [*names, *MADE, *(["kept"] * with_text)])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, prefix: str = "_") -> DataFrame:
-    """Every document without the bytes that repeated strings of length bytes cover.
+def remove_repeats(docs: DataFrame, length: int = 400, unit: str = "bytes", text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, prefix: str = "_") -> DataFrame:
+    """Every document without the bytes that repeated strings of length bytes, or words, cover.
 
     keep columns and, after prefix, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with_text also kept: the
     kept bytes as text, without the rest of a character that a span's edge cuts. All occurrences are removed, the first too, and strings
     are judged on the input. Strings never span two documents. A null or empty text, and one shorter than length, loses nothing (null stays null);
-    repeated rows are two places each, so that they lose all their bytes if they have length of them. An empty table gives no rows; other columns of docs may have any names.
+    repeated rows are two places each, so that they lose all their bytes if they have length of them. Words are runs without ASCII white space, compared as they are
+    written; a run of words is removed from its first byte to its last. Texts of any length are searched whole, in overlapping segments. An empty table gives no rows; other columns of docs may have any names.
     """
     made = {f"{prefix}{m}": m for m in (*MADE, *(["kept"] * with_text))}
     carried = Carried(docs, keep, text, made)
     value = F.col(carried.text)
     rows = carried.rows.withColumn("fp", F.xxhash64(F.coalesce(value, F.lit("")), F.octet_length(value)))
-    spans = cut(repeated_spans(rows.select("fp", value.alias("text")), length))
+    spans = cut(repeated_spans(rows.select("fp", value.alias("text")), length, unit))
     joined = join_lists(rows, spans, "fp", "left").drop("fp")
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return carried.restore(carried.run(partial(_remove, text=carried.text, with_text=with_text), ddl, joined), made)
+    return carried.restore(carried.run(partial(_remove, text=carried.text, unit=unit, with_text=with_text), ddl, joined), made)

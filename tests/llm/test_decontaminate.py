@@ -74,3 +74,10 @@ def test_empty_tables(spark, docs, empty, benchmark, local):
     assert find_leaks(empty, benchmark).collect() == []
     out = find_leaks(docs, none).collect()
     assert len(out) == len(local) and all(r["_n_hit"] == 0 and r["_item_ids"] == [] for r in out)
+
+
+def test_complementary_thue_morse_words_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    docs = spark.createDataFrame([(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "".join("ab"[b] for b in bits))], "item_id long, text string")
+    assert {(r["doc_id"], r["_n_hit"]) for r in find_leaks(docs, items).collect()} == {(1, 1), (2, 0)}

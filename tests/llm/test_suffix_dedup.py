@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -23,6 +24,44 @@ def brute(texts, length):
     return out
 
 
+def brute_words(texts, length):
+    """(kept text or None) of each text without the runs of words that stand in strings of length words which start twice."""
+    raw = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in raw]
+    named = [[b[s:e] for s, e in spans] for b, spans in zip(raw, at, strict=True)]
+    count = Counter(tuple(w[i : i + length]) for w in named for i in range(len(w) - length + 1))
+    out = []
+    for t, b, spans, w in zip(texts, raw, at, named, strict=True):
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = True
+        bytes_gone = np.zeros(len(b), bool)
+        for i, (s, e) in enumerate(spans):
+            if gone[i]:
+                bytes_gone[s : spans[i + 1][0] if i + 1 < len(w) and gone[i + 1] else e] = True
+        out.append(None if t is None else bytes(np.frombuffer(b, np.uint8)[~bytes_gone]).decode())
+    return out
+
+
+@pytest.mark.parametrize("length", [50, 20, 7])
+def test_same_words_as_brute_force(docs, local, length):
+    got = {(str(r["doc_id"]), r["_kept"]) for r in remove_repeats(docs, length, unit="words", with_text=True).collect()}
+    assert got == {(str(r["doc_id"]), w) for r, w in zip(local, brute_words([r["text"] for r in local], length), strict=True)}
+
+
+def test_an_unknown_unit_is_refused(docs):
+    with pytest.raises(ValueError):
+        remove_repeats(docs, 10, unit="lines")
+
+
+def test_complementary_thue_morse_words_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:] for r in remove_repeats(rows, 1024).collect()} == {i: w[:4] for i, w in enumerate(brute(texts, 1024))}
+
+
 @pytest.mark.parametrize("length", [400, 60, 61])
 def test_same_bytes_as_brute_force(docs, local, length):
     got = remove_repeats(docs, length, keep=("doc_id", "k0", "t", "fp"), with_text=True).collect()
