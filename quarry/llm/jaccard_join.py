@@ -7,12 +7,14 @@ tell it apart, as nearly all distances are close to 1; so the space is first cut
    name is a hash of the shingles that fall into it; sets with a part of the same name share a region. Of a set with E <= e empty parts, e + 1 - E parts that are
    not empty agree with those of any set linked to it, so the first D + 1 parts that are not empty hold one of them and are all that is named. Sizes are
    binned, with D for the sets of a bin and all larger ones that can link to them; a set is replicated to the lower bins where it can
-   have links. Shingles of more than one document in HEAVY are left out of the parts, which keeps the bound. A region that gets too large is cut again by the
-   same rule, without the shingles that are frequent in it.
-2. Inside a region documents become pivots until each document is within the radius of one (its Voronoi cell); documents between one and two radii from a pivot
+   have links. Shingles of more than one document in HEAVY are left out of the parts, which keeps the bound.
+2. A region too large for one task is cut again by the shingles that are rarest in it: with all shingles in one order, the first size - needed + 1 ones of two linked sets
+   have one in common. Shingles are ordered by the sets of the region that hold them, so that shared lines and passages come last, and only sets that
+   share one of their rarest shingles stay in a region.
+3. Inside a region documents become pivots until each document is within the radius of one (its Voronoi cell); documents between one and two radii from a pivot
    are replicated to its cell's boundary and compared, unless they are connected already: by the triangle inequality no other document can link into it.
-3. A region too large for one task gets one pivot after another over the cluster: the documents within the radius of it form its cell and are connected; those within two radii are its
-   boundary and are joined with the cell, both in blocks; all outside the cell go on as a region of their own. What stays too large is joined in pairs of blocks.
+4. A region that is still too large does the same over the cluster, several pivots at a time: documents within the radius of pivots are connected to them and form the cell of
+   the nearest; those within two radii are replicated to the cell's boundary and joined with it, in blocks; all that are in no cell go on as a region of their own, with more pivots.
 
 Links are verified by integer arithmetic on whole sets.
 """
@@ -32,13 +34,14 @@ from .components import components
 from .numeric import U64, byte_table, long_lists, mix, text_slices, word_hashes, words
 from .shared import cut, partitions, sized_join
 
-#: A shingle in more than one of so many documents tells no sets apart (the next numbers hold for documents of large regions); so a
-#: list of such shingles has at most that number times the mean set size entries.
-HEAVY = (512, 2048, 8192)
+#: A shingle in more than one of so many documents tells no sets apart; so the list of such shingles has at most that number times the mean set size entries.
+HEAVY = 512
 #: Documents that local counts of frequent shingles are made of.
 BLOCK_ROWS = 4096
-#: Documents and shingles of a region that one task joins at most; pivots that are tried for one cell, and cells before blocks.
-REGION_ROWS, REGION_SHINGLES, PIVOTS, CELLS = 8000, 6_000_000, 8, 2
+#: Documents and shingles of a region that one task joins at most; pivots of a larger region, and times more of them at each level.
+REGION_ROWS, REGION_SHINGLES, PIVOTS, MORE_PIVOTS = 8000, 6_000_000, 16, 4
+#: Sets with one rare shingle that a task chains at most, and tasks that chain those with one frequent shingle.
+CHAIN_ROWS, REST_PARTS = 1 << 16, 64
 #: Documents and shingles of a large region that are measured against pivots at once.
 SHARE_ROWS, SHARE_SHINGLES = 1000, 1_000_000
 RATIO = 1.4
@@ -155,10 +158,10 @@ def part_names(code: np.ndarray, row: np.ndarray, sizes: np.ndarray, light: np.n
 
 def _frequent(batches, n: int, heavy: int):
     """(code, n): shingles in at least one in heavy / 2 of the distinct sets of a block of documents."""
-    held, docs, seen = [], 0, []
+    held, docs, seen = [], 0, np.zeros(0, U64)
 
     def block():
-        sets = np.concatenate([s for s, _ in held]) if held else np.zeros(0, U64)
+        sets = np.concatenate(held)
         value, count = np.unique(sets, return_counts=True)
         often = count >= max(8, 2 * docs // heavy)
         return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often])], ["code", "n"])
@@ -168,14 +171,14 @@ def _frequent(batches, n: int, heavy: int):
         names = set_names(code, row, sizes)
         fresh = np.zeros(len(sizes), bool)
         fresh[np.unique(names, return_index=True)[1]] = True
-        if seen:
-            fresh &= ~np.isin(names, np.concatenate(seen))
-        seen.append(names[fresh])
-        held.append((code[fresh[row]], None))
-        docs += int(fresh.sum())
-        if docs >= BLOCK_ROWS or sum(len(s) for s, _ in held) > 1 << 21:
+        fresh &= ~np.isin(names, seen)
+        if fresh.any():
+            seen = np.concatenate([seen, names[fresh]])
+            held.append(code[fresh[row]])
+            docs += int(fresh.sum())
+        if docs >= BLOCK_ROWS or sum(map(len, held)) > 1 << 21:
             yield block()
-            held, docs, seen = [], 0, []
+            held, docs, seen = [], 0, np.zeros(0, U64)
     if held:
         yield block()
 
@@ -233,6 +236,31 @@ def _sets(batches, n: int):
         yield out.filter(right)
 
 
+def _tokens(batches, n: int, percent: int, heavy):
+    """(gid, fp, first, light, codes) of each asked set: the length of its prefix, the number of its light shingles, these, and behind them those frequent ones that its prefix has in any case."""
+    common = heavy.value
+    for part, data, offsets in text_slices(batches, "text"):
+        code, row, sizes = shingle_sets(data, offsets, n)
+        asked = part.column(part.schema.get_field_index("fp")).to_numpy()
+        right = set_names(code, row, sizes).view(np.int64) == asked
+        light = np.ones(len(code), bool)
+        if len(common):
+            light = common[np.minimum(np.searchsorted(common, code), len(common) - 1)] != code
+        many = np.bincount(row[light], minlength=len(sizes))
+        first = sizes - -(-sizes * percent // 100) + 1
+        # codes ascend within a row
+        behind = row[~light]
+        order = np.arange(len(behind)) - np.searchsorted(behind, behind)
+        rest = order < (first - many)[behind]
+        kept = light.copy()
+        kept[~light] = rest
+        named = np.flatnonzero(kept)
+        named = named[np.lexsort((~light[named], row[named]))]
+        lists = long_lists(code[named].view(np.int64), np.bincount(row[named], minlength=len(sizes)))
+        out = [part.column(part.schema.get_field_index("gid")), pa.array(asked), pa.array(first), pa.array(many), lists]
+        yield pa.RecordBatch.from_arrays(out, ["gid", "fp", "first", "light", "codes"]).filter(pa.array(right))
+
+
 class Region:
     """The sets of a region with an index from shingles to sets; each shingle that but one set has is left out."""
 
@@ -341,7 +369,7 @@ def _join(batches, percent: int):
 
 
 def _measure(batches, percent: int):
-    """(gid, fp, pivot, near) of the pivots of its group within one (near 1) or two (near 2) radii of each set.
+    """(gid, fp, pivot, near, far) of the pivots of its group within one (near 1) or two (near 2) radii of each set, and their distance.
 
     Rows come by key, a share of a group, with copies of the group's pivots first.
     """
@@ -361,7 +389,7 @@ def _measure(batches, percent: int):
             near = np.where(100 * common >= percent * union, 1, np.where(common >= window * union, 2, 0))
             found = np.flatnonzero(near)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), gid)), pa.array(fps[found]), pa.array(np.full(len(found), name)), pa.array(near[found].astype(np.int32))], ["gid", "fp", "pivot", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), gid)), pa.array(fps[found]), pa.array(np.full(len(found), name)), pa.array(near[found].astype(np.int32)), pa.array(1 - common[found] / union[found])], ["gid", "fp", "pivot", "near", "far"])
 
 
 GROUPED = "gid long, fp long, codes array<long>"
@@ -373,56 +401,48 @@ def _large(rows: DataFrame) -> DataFrame:
     return cut(sizes.filter((F.col("size") > 1) & ((F.col("size") > REGION_ROWS) | (F.col("shingles") > REGION_SHINGLES))))
 
 
-def _cell(rows: DataFrame, large: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links of each group's cell to its pivot, groups of cells with their boundaries, groups of all outside the cells)."""
-    order = Window.partitionBy("gid").orderBy(F.xxhash64("fp", F.lit(level)), "fp")
-    chosen = rows.select("gid", "fp").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).select("gid", "fp")
+def _cells(rows: DataFrame, large: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links of sets to pivots, groups of cells with their boundaries, groups of all in no cell)."""
+    pivots = PIVOTS * MORE_PIVOTS**level
+    order = Window.partitionBy("gid", "share").orderBy(F.xxhash64("fp", F.lit(level)), "fp")
+    again = Window.partitionBy("gid").orderBy(F.xxhash64("fp", F.lit(level)), "fp")
     shares = large.select("gid", F.greatest(F.ceil(F.col("size") / SHARE_ROWS), F.ceil(F.col("shingles") / SHARE_SHINGLES)).alias("shares"))
     placed = sized_join(rows, shares, "gid", "inner", 24).withColumn("share", F.pmod(F.xxhash64("fp", F.lit(level)), F.col("shares")))
-    pivots = placed.join(chosen, ["gid", "fp"], "left_semi").dropDuplicates(["gid", "fp"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    named = placed.withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True)))
+    # the first ones of each share, then of these: no task orders a whole region
+    chosen = placed.select("gid", "fp", "share").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pivots)
+    chosen = cut(chosen.withColumn("r", F.row_number().over(again)).filter(F.col("r") <= pivots).select("gid", "fp"))
+    copies = sized_join(placed, chosen, ["gid", "fp"], "left_semi", 24).dropDuplicates(["gid", "fp"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    named = placed.withColumn("pivot", F.lit(False)).unionByName(copies.withColumn("pivot", F.lit(True)))
     named = named.select(F.xxhash64("gid", "share").alias("key"), "gid", "fp", "codes", "pivot").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    measured = cut(named.mapInArrow(partial(_measure, percent=percent), "gid long, fp long, pivot long, near int"))
-    best = Window.partitionBy("gid").orderBy(F.desc("n"), "pivot")
-    full = measured.filter("near = 1").groupBy("gid", "pivot").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(best)).filter("r = 1").select("gid", "pivot")
-    state = cut(measured.join(full, ["gid", "pivot"], "left_semi").dropDuplicates(["gid", "fp"]))
-    edges = state.filter("near = 1").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
-    placed = rows.join(state.select("gid", "fp", "near"), ["gid", "fp"], "left")
-    outside = placed.filter("near is null or near = 2").select(F.xxhash64("gid", F.lit(level)).alias("gid"), "fp", "codes")
-    half = REGION_ROWS / 2
-    n = state.groupBy("gid").agg(F.ceil(F.count_if(F.col("near") == 1) / half).alias("n1"), F.ceil(F.count_if(F.col("near") == 2) / half).alias("n2")).filter("n2 > 0")
-    near = placed.filter("near is not null").join(n, "gid")
+    measured = cut(named.mapInArrow(partial(_measure, percent=percent), "gid long, fp long, pivot long, near int, far double"))
+    edges = measured.filter("near = 1").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    cell = cut(measured.filter("near = 1").groupBy("gid", "fp").agg(F.min(F.struct("far", "pivot")).alias("m")).select("gid", "fp", F.col("m.pivot").alias("pivot")))
+    outside = rows.join(cell.select("gid", "fp"), ["gid", "fp"], "left_anti").select(F.xxhash64("gid", F.lit(level)).alias("gid"), "fp", "codes")
+    member = cell.withColumn("near", F.lit(1)).unionByName(measured.filter("near = 2").select("gid", "fp", "pivot", "near"))
+    near = rows.select("gid", "fp", F.size("codes").alias("n")).join(member, ["gid", "fp"])
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(F.col("near") == which) * 2 / REGION_ROWS), F.ceil(F.sum(F.when(F.col("near") == which, F.col("n"))) * 2 / REGION_SHINGLES))
+    counts = cut(near.groupBy("gid", "pivot").agg(blocks(1).alias("n1"), blocks(2).alias("n2")).filter("n1 > 0 and n2 > 0"))
     mine, other = F.when(F.col("near") == 1, F.col("n1")).otherwise(F.col("n2")), F.when(F.col("near") == 1, F.col("n2")).otherwise(F.col("n1"))
-    near = near.withColumn("i", F.pmod(F.xxhash64("fp"), mine)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    dealt = sized_join(member, counts, ["gid", "pivot"], "inner", 32).withColumn("i", F.pmod(F.xxhash64("fp"), mine)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
     pair = F.when(F.col("near") == 1, F.struct("i", "j")).otherwise(F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    crossed = near.select(F.xxhash64("gid", F.lit(level), F.lit("boundary"), pair).alias("gid"), "fp", "codes")
+    dealt = dealt.select("gid", "fp", F.xxhash64("gid", F.lit(level), "pivot", pair).alias("group"))
+    crossed = rows.join(dealt, ["gid", "fp"]).select(F.col("group").alias("gid"), "fp", "codes")
     return edges, crossed, outside
 
 
-def _blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Every pair of blocks of REGION_ROWS / 2 rows of each group as a group of its own."""
-    n = F.greatest(F.ceil(F.col("size") * 2 / REGION_ROWS), F.ceil(F.col("shingles") * 2 / REGION_SHINGLES))
-    own = F.pmod(F.xxhash64("fp"), n)
-    placed = sized_join(rows, large, "gid", "inner", 32).withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    return placed.select(F.xxhash64("gid", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "fp", "codes")
-
-
 def links(rows: DataFrame, large_rows: DataFrame | None, large: DataFrame, percent: int) -> DataFrame:
     """(u, v) of links between the sets of each group (gid, fp, codes) that connect what all links of the group connect; large_rows: those of the groups in large, which are cut first."""
-    ready, edges = [rows], []
-    for level in range(CELLS + 1 if large_rows is not None else 0):
-        if level == CELLS:
-            ready.append(_blocks(large_rows, large))
-            break
-        cell, crossed, outside = _cell(large_rows if level else cut(large_rows), large, percent, level)
-        edges.append(cell)
+    ready, edges, level = [rows], [], 0
+    while large_rows is not None:
+        large_rows = cut(large_rows)
+        near, crossed, outside = _cells(large_rows, large, percent, level)
+        edges.append(near)
         ready.append(crossed)
         outside = cut(outside)
         large = _large(outside.select("gid", F.size("codes").alias("n")))
         ready.append(sized_join(outside, large.select("gid"), "gid", "left_anti", 16))
-        if large.isEmpty():
-            break
-        large_rows = sized_join(outside, large.select("gid"), "gid", "left_semi", 16)
+        large_rows = None if large.isEmpty() else sized_join(outside, large.select("gid"), "gid", "left_semi", 16)
+        level += 1
     groups = ready[0]
     for more in ready[1:]:
         groups = groups.unionByName(more)
@@ -437,17 +457,31 @@ def _asked(first: DataFrame, regions: DataFrame) -> DataFrame:
     return cut(first.join(regions.withColumnRenamed("node", "fp"), "fp").select(F.col("rep").alias("doc_id"), "fp", "n", F.col("root").alias("gid")))
 
 
-def _regions(rows: DataFrame, n: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, fp) of every row, and (node, root) of the sets that share a part with others.
+def _rarest(texts: DataFrame, n: int, percent: int, heavy) -> DataFrame:
+    """(node, root) of the sets that share one of their rarest shingles with others of their group. texts: gid, fp, text."""
+    sets = texts.mapInArrow(partial(_tokens, n=n, percent=percent, heavy=heavy), "gid long, fp long, first long, light long, codes array<long>")
+    found = sets.select("gid", "fp", "first", "light", F.posexplode("codes").alias("pos", "code")).withColumn("rest", F.col("pos") >= F.col("light"))
+    found = found.withColumn("part", F.when(F.col("rest"), F.pmod(F.xxhash64("fp"), F.lit(REST_PARTS))).otherwise(0))
+    found = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gid", "code", "part"))).filter("n > 1 or rest")
+    # light shingles that are in one set alone come first and link nothing
+    own = Window.partitionBy("gid", "fp")
+    found = found.withColumn("at", F.col("light") - F.count_if(~F.col("rest")).over(own) + F.row_number().over(own.orderBy("rest", "n", "code"))).filter("rest or at <= first")
+    names = found.select("gid", "fp", "code", F.when(F.col("rest"), F.lit(REST_PARTS)).when(F.col("n") > CHAIN_ROWS, F.ceil(F.col("n") / CHAIN_ROWS)).otherwise(1).alias("parts"))
+    names = names.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    # sets of one name are chained in parts, and the first sets of the parts then
+    within = Window.partitionBy("gid", "code", "part").orderBy("fp")
+    chained = cut(names.select("gid", "code", "parts", F.col("fp").alias("u"), F.lag("fp").over(within).alias("v")).filter("v is not null or parts > 1"))
+    heads = chained.filter("v is null").select("u", F.lag("u").over(Window.partitionBy("gid", "code").orderBy("u")).alias("v"))
+    return components(chained.select("u", "v").unionByName(heads).filter("v is not null"))
+
+
+def _regions(rows: DataFrame, n: int, percent: int, often) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, fp) of every row, and (node, root) of the sets that share a part with others. often: the frequent shingles.
 
     Part names are shuffled once and kept nowhere: next to each other in order, sets of one name are chained; each document's own row goes along under a name of its own.
     """
-    spark = rows.sparkSession
-    total = rows.count()
-    often = rows.select("text").mapInArrow(partial(_frequent, n=n, heavy=heavy), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") * heavy >= total)
-    common = np.sort(often.select("code").toArrow().column("code").to_numpy().view(U64))
     kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == "doc_id")
-    describe = partial(_describe, n=n, percent=percent, heavy=spark.sparkContext.broadcast(common), table=bins(percent))
+    describe = partial(_describe, n=n, percent=percent, heavy=often, table=bins(percent))
     found = rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, fp long, parts array<long>, near array<long>")
     named = found.select("doc_id", "n_shingles", "fp", "near", F.posexplode(F.array_prepend("parts", F.xxhash64("fp", "doc_id"))).alias("pos", "name"))
     named = named.select("name", "fp", F.when(F.col("pos") == 0, F.struct("doc_id", "n_shingles", "near")).alias("doc"))
@@ -458,6 +492,13 @@ def _regions(rows: DataFrame, n: int, percent: int, heavy: int) -> tuple[DataFra
     return base, components(near.unionByName(kept.filter("doc is null").select("u", "v")))
 
 
+def _often(rows: DataFrame, n: int):
+    """The sorted shingles of more than one document in HEAVY, as a broadcast; their number is bounded (see HEAVY)."""
+    total = rows.count()
+    often = rows.select("text").mapInArrow(partial(_frequent, n=n, heavy=HEAVY), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") * HEAVY >= total)
+    return rows.sparkSession.sparkContext.broadcast(np.sort(often.select("code").toArrow().column("code").to_numpy().view(U64)))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: the least doc_id of its component of links.
 
@@ -467,29 +508,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     An empty table gives no rows; other columns of docs may have any names.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    base, regions = _regions(rows, n, percent, HEAVY[0])
-    first = base.filter("doc_id is not null and n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    often = _often(rows, n)
+    base, regions = _regions(rows, n, percent, often)
+    first = cut(base.filter("doc_id is not null and n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     asked = _asked(first, regions)
+    texts = lambda some: sized_join(rows, some, "doc_id", "inner", 32).select("gid", "fp", "text")
+    sets = lambda some: texts(some).mapInArrow(partial(_sets, n=n), GROUPED)
     large = _large(asked)
-    for heavy in HEAVY[1:]:
-        if large.isEmpty():
-            break
-        again = sized_join(asked, large.select("gid"), "gid", "left_semi", 16)
-        texts = sized_join(rows, again.select("doc_id"), "doc_id", "left_semi", 16)
-        finer = _asked(first, _regions(texts, n, percent, heavy)[1])
-        kept = sized_join(asked, large.select("gid"), "gid", "left_anti", 16)
-        asked = cut(kept.unionByName(finer.join(again.select("fp"), "fp", "left_semi")))
-        large = _large(asked)
-    sets = lambda asked: sized_join(rows, asked, "doc_id", "inner", 32).select("gid", "fp", "text").mapInArrow(partial(_sets, n=n), GROUPED)
-    if large.isEmpty():
-        found = components(links(sets(asked), None, large, percent))
-    else:
-        small = cut(sized_join(asked, large.select("gid"), "gid", "left_anti", 16))
+    large_sets = None
+    if not large.isEmpty():
         again = cut(sized_join(asked, large.select("gid"), "gid", "left_semi", 16))
-        found = components(links(sets(small), sets(again), large, percent))
+        finer = again.select("doc_id", "fp", "n").join(_rarest(texts(again), n, percent, often).withColumnRenamed("node", "fp"), "fp")
+        asked = cut(sized_join(asked, large.select("gid"), "gid", "left_anti", 16).unionByName(finer.select("doc_id", "fp", "n", F.xxhash64("root").alias("gid"))))
+        large = _large(asked)
+        if not large.isEmpty():
+            large_sets = sets(cut(sized_join(asked, large.select("gid"), "gid", "left_semi", 16)))
+            asked = cut(sized_join(asked, large.select("gid"), "gid", "left_anti", 16))
+    found = components(links(sets(asked), large_sets, large, percent))
     rep = first.select("fp", "rep").join(found.withColumnRenamed("node", "fp"), "fp")
     least = rep.groupBy("root").agg(F.min("rep").alias("component"))
     linked = cut(rep.join(least, "root").select("fp", "component"))
-    out = sized_join(base, linked, "fp", "left", 16)
-    own = out.join(first.select("fp", "rep"), "fp", "left")
-    return own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    named = cut(sized_join(first.select("fp", "rep"), linked, "fp", "left", 16).select("fp", F.coalesce("component", "rep").alias("component")))
+    out = sized_join(base, named, "fp", "left", 16)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -44,11 +45,11 @@ def test_same_groups_as_brute_force(docs, local, n, percent):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
-@pytest.mark.parametrize(("cells", "pivots"), [(4, 3), (1, 8), (0, 1)])
-def test_large_regions_are_cut_and_joined_in_blocks(docs, local, monkeypatch, cells, pivots):
+@pytest.mark.parametrize(("pivots", "more"), [(3, 1), (8, 2), (1, 4)])
+def test_large_regions_are_cut_and_joined_in_blocks(docs, local, monkeypatch, pivots, more):
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 4)
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
-    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    monkeypatch.setattr(jaccard_join, "MORE_PIVOTS", more)
     monkeypatch.setattr(jaccard_join, "SHARE_ROWS", 3)
     assert {tuple(r) for r in near_duplicates(docs, 3, 90).collect() if r["doc_id"] is not None} == brute(local, 3, 90)
 
@@ -61,6 +62,31 @@ def test_a_copy_without_id_takes_no_links_away(spark):
     assert {(r["doc_id"], r["component_id"]) for r in out} == {(None, None), (5, 5), (7, 5)}
 
 
+def test_complementary_thue_morse_words_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("ab"[b] for b in bits))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 2), (3, 1)}
+
+
+@pytest.mark.parametrize("heavy", [3, 512])
+def test_regions_are_cut_by_their_rarest_shingles(spark, monkeypatch, heavy):
+    rng = random.Random(4)
+    lines = [" ".join(f"l{i}x{k}" for k in range(12)) for i in range(12)]
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    texts = [" ".join([*rng.sample(lines, 6), own(rng.randrange(2, 30))]) for _ in range(120)]
+    texts += [t[: t.rindex(" ")] for t in texts[:40]] + [" ".join(rng.sample(lines, 5)) for _ in range(40)]
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard_join, "CHAIN_ROWS", 3)
+    seen = []
+    rarest = jaccard_join._rarest
+    monkeypatch.setattr(jaccard_join, "_rarest", lambda *a: seen.append(1) or rarest(*a))
+    got = near_duplicates(spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string"), 5, 80).collect()
+    assert {tuple(r) for r in got} == brute(rows, 5, 80) and seen
+
+
 def test_empty_table(empty):
     assert near_duplicates(empty, 3, 90).collect() == []
 
