@@ -9,7 +9,7 @@ import corpus_pipeline as P
 from quarry.llm import queries
 from test_decontaminate import brute as leaks
 from test_jaccard import brute as groups
-from test_suffix_dedup import brute as repeats
+from test_suffix_dedup import brute_words as repeats
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +24,8 @@ def folder(spark, tmp_path_factory):
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
     clean = [prose(rng.randrange(40, 160)) for _ in range(120)]
     passage, leak = prose(90), prose(25)
+    short = " ".join(rng.choice([w for w in words if len(w) < 6]) for _ in range(55))
+    line = prose(14)
     rows, marks = [], []
     for i, t in enumerate(clean):
         rows.append((i, t, rng.choice(["en", "fr", None]), rng.choice(["src0", "src1", "src2"])))
@@ -34,6 +36,8 @@ def folder(spark, tmp_path_factory):
     near = clean[3].split()
     near[7] = "changed"
     rows += [(300, clean[0], "en", "src1"), (301, " ".join(near), "en", "src1"), (302, prose(60) + "\n" + passage, "fr", "src2"), (303, passage + " " + prose(50), "fr", "src2"), (304, prose(30) + " " + leak + " " + prose(30), "en", "src3"), (305, clean[5], None, None), (305, clean[5], None, None)]
+    rows += [(306, f"{prose(70)} {short} {prose(30)}", "en", "src1"), (307, f"{short}\n{prose(80)}", "en", "src2"), (308, f"{line}\n{prose(80)}", "en", "src2"), (309, f"{prose(60)}\n{line}", "en", "src2"), (310, clean[9], "en", "src2"), (310, prose(90), "en", "src2")]
+    assert len(short.encode()) < 400
     sf = str(tmp_path_factory.mktemp("tables"))
     full = [(i, t, a, b, len(t)) for i, t, a, b in rows]
     spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
@@ -68,20 +72,27 @@ def test_quality_keeps_clean_documents(steps):
 
 def test_one_of_each_near_duplicate_group_stays(steps):
     before, after = rows(steps[1]), rows(steps[2])
-    assert sorted(r["doc_id"] for r in after) == sorted({c for _, _, c in groups(before, 5, 80)})
+    single = [r for r in before if r["doc_id"] != 310]
+    assert sorted(r["doc_id"] for r in after if r["doc_id"] != 310) == sorted({c for _, _, c in groups(single, 5, 80)})
     kept = {r["doc_id"] for r in after}
     assert {0, 3, 5} <= kept and not {300, 301, 305} & kept
 
 
-def test_repeated_strings_go(steps):
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(steps):
+    before, after = ([r["text"] for r in rows(s) if r["doc_id"] == 310] for s in steps[1:3])
+    assert len(before) == 2 and len(after) == 1 and after[0] not in {r["text"] for r in rows(steps[1]) if r["doc_id"] == 9}
+
+
+def test_repeated_passages_go(steps):
     before, after = rows(steps[2]), {r["doc_id"]: r for r in rows(steps[3])}
-    for r, w in zip(before, repeats([r["text"] for r in before], 400), strict=True):
-        text = w[4].decode("utf-8", "ignore")
-        if w[1] and not text.strip():
+    for r, text in zip(before, repeats([r["text"] for r in before], 50), strict=True):
+        if text != r["text"] and not text.strip():
             assert r["doc_id"] not in after
         else:
             assert after[r["doc_id"]]["text"] == text and after[r["doc_id"]]["n_chars"] == len(text)
-    assert len(after[302]["text"]) < 450 and after[7]["text"] == next(r["text"] for r in before if r["doc_id"] == 7)
+    whole = {r["doc_id"]: r["text"] for r in before}
+    assert len(after[302]["text"]) < 450 and len(after[306]["text"]) < len(whole[306]) - 200 and len(after[307]["text"]) < len(whole[307]) - 200
+    assert all(after[i]["text"] == whole[i] for i in (7, 308, 309))
 
 
 def test_documents_with_test_windows_go(spark, steps, folder):
