@@ -23,23 +23,30 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the least doc_id, of each group that 5-word shingles of similarity 0.8 or more link.
 
-    Of rows that repeat an id the one with the least text stays; rows without an id are in no group and stay.
+    Rows that repeat an id with other texts are documents of their own; of rows that repeat id and text one stays. Rows without an id are in no group and stay.
     """
-    groups = cut(jaccard_join.near_duplicates(docs, n=5, percent=80))
-    gone = cut(groups.filter("component_id <> doc_id").select("doc_id").distinct())
-    kept = sized_join(docs, gone, "doc_id", "left_anti", 16)
-    several = cut(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    p = free_prefix(docs)
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text")))
+    rows = docs.withColumn(f"{p}key", key)
+    groups = cut(jaccard_join.near_duplicates(rows, n=5, percent=80, doc_id=f"{p}key"))
+    gone = cut(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(f"{p}key")).distinct())
+    kept = sized_join(rows, gone, f"{p}key", "left_anti", 24)
+    several = cut(groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias(f"{p}key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(f"{p}key"))
     if several.isEmpty():
         return kept.select(*columns(docs))
-    first = Window.partitionBy("doc_id").orderBy(*columns(docs, "text"))
-    again = sized_join(kept, several, "doc_id", "left_semi", 16).select(F.struct(*columns(docs)).alias("r"), F.row_number().over(first).alias("n")).filter("n = 1").select("r.*")
-    return sized_join(kept, several, "doc_id", "left_anti", 16).select(*columns(docs)).unionByName(again)
+    first = Window.partitionBy(f"{p}key").orderBy(*columns(docs, "text"))
+    again = sized_join(kept, several, f"{p}key", "left_semi", 24).select(F.struct(*columns(docs)).alias("r"), F.row_number().over(first).alias("n")).filter("n = 1").select("r.*")
+    return sized_join(kept, several, f"{p}key", "left_anti", 24).select(*columns(docs)).unionByName(again)
+
+
+#: Words of a passage that is removed wherever it stands, if it stands twice.
+PASSAGE_WORDS = 50
 
 
 def repeated_string_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their 400-byte strings that stand elsewhere too; one that loses its whole text goes."""
+    """Documents without their passages of 50 words that stand elsewhere too; one that loses its whole text goes."""
     p = free_prefix(docs)
-    out = suffix_dedup.remove_repeats(docs, length=400, keep=tuple(c for c in docs.columns if c != "text"), with_text=True, prefix=p)
+    out = suffix_dedup.remove_repeats(docs, length=PASSAGE_WORDS, unit="words", keep=tuple(c for c in docs.columns if c != "text"), with_text=True, prefix=p)
     removed = F.col(f"{p}n_removed")
     left = out.filter((removed == 0) | (F.trim(F.coalesce(f"{p}kept", F.lit(""))) != "")).withColumnRenamed(f"{p}kept", "text")
     if "n_chars" in docs.columns:
