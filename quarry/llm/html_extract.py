@@ -1,7 +1,8 @@
 """Main-text extraction from HTML by scoring the element tree.
 
-Paragraphs pass points for their length and commas to their ancestors, discounted by link density; the best container
-is kept with those siblings that score near it, and what is named as furniture inside is dropped; a furniture word within a longer name lowers the score alone.
+Paragraphs pass points for their length and commas to their ancestors, discounted by link density. What is marked or named as page furniture or as reader comments is dropped, whatever
+its size; a furniture word within a longer name lowers the score alone. The best container is kept: the outermost article or main element around it, with the articles beside it; on pages
+without such elements, all its siblings and those of its ancestors that are not mostly links.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ SCOPE = frozenset("html body table td th caption button object article section m
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertorial sponsor sponsored sponsors banner banners promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations pagination pager comment comments commentlist disqus replies respond form search searchbox skip outbrain taboola teaser complementary contentinfo".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Furniture words that in a longer name, or on a paragraph, say little of what the element is; last words of names of content; first words of names of page states.
+#: Furniture words that in a longer name, or on a paragraph, say little of what the element is; last words of names of content; words that begin or end names of page states.
 VAGUE = frozenset("form search social header teaser share sharing notice notices related recommended respond promotion overlay".split())
 CONTENT = frozenset("article post entry content body text story main".split())
-STATES = frozenset("has with without no is".split())
-KEPT_TAGS = frozenset("html body main article".split())
+STATES = frozenset("has with without no is open opened closed on off enabled disabled allowed".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+KEPT_TAGS = frozenset("html body main".split())
+ARTICLES = frozenset("article main".split())
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -41,11 +43,12 @@ COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "named", "hinted", "length", "linked", "links", "commas", "score", "holds")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "hinted", "comment", "inside", "length", "linked", "links", "commas", "score", "holds", "holds_main")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.dropped = self.named = self.hinted = self.holds = False
+        self.dropped = self.named = self.hinted = self.comment = self.holds = self.holds_main = False
+        self.inside = parent is not None and (parent.inside or parent.tag in ARTICLES)
         self.length = self.linked = self.links = self.commas = 0
         self.score = 0.0
 
@@ -57,19 +60,20 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _furniture(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """(named, hinted): whether a whole name is a furniture term, or else whether furniture words stand in names at all.
+def _furniture(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+    """(named, hinted, comment): whether a whole name is a furniture term, whether furniture words stand in names at all, whether a name tells of reader comments.
 
-    A whole name is one of furniture words alone, or the only name of its attribute if it ends in one that is not vague (readerComments).
-    An element that has a name of content as well (content right-sidebar) is hinted.
+    A whole name is one of furniture words alone, or the only name of its attribute if it ends in one that is not vague (ad-banner). A name of comments begins or ends with a word for
+    them (readerComments, comment-list) and not with one of a state (has-comments). An element that has a name of content as well (content right-sidebar) is hinted.
     """
-    named = hinted = content = False
+    named = hinted = content = comment = False
     for key in ("class", "id", "role"):
         names = [[w.lower() for w in NAME_WORD.findall(x)] for x in attributes.get(key, "").split()]
         for words in names:
             if not words:
                 continue
             content |= words[-1] in CONTENT
+            comment |= words[0] not in STATES and words[-1] not in STATES and bool(COMMENTS.intersection((words[0], words[-1])))
             found = FURNITURE.intersection(words)
             if not found:
                 continue
@@ -78,7 +82,7 @@ def _furniture(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
                 named |= tag != "p" or not found <= VAGUE
             elif len(names) == 1 and words[-1] in FURNITURE and words[-1] not in VAGUE:
                 named |= words[0] not in STATES
-    return named and not content, hinted
+    return named and not content, hinted, comment
 
 
 def parse(html: str) -> Node:
@@ -124,7 +128,7 @@ def parse(html: str) -> Node:
         if raw and not raw.isspace():
             attributes = _attributes(raw)
             if tag not in KEPT_TAGS:
-                new.named, new.hinted = _furniture(tag, attributes)
+                new.named, new.hinted, new.comment = _furniture(tag, attributes)
             if "hidden" in attributes or HIDDEN.search(attributes.get("style", "")):
                 new.dropped = True
         if tag in RAW:
@@ -162,13 +166,15 @@ def _measure(root: Node) -> list[Node]:
                 node.linked += c.length if c.tag == "a" else c.linked
                 node.links += c.links + (c.tag == "a")
                 node.commas += c.commas
-                node.holds |= c.holds or c.tag in ("article", "main")
+                node.holds |= c.holds or c.tag in ARTICLES
+                node.holds_main |= c.holds_main or c.tag == "main"
     return order
 
 
 def _again(root: Node, order: list[Node]) -> list[Node]:
     for n in order:
         n.length = n.linked = n.links = n.commas = 0
+        n.holds = n.holds_main = False
     return _measure(root)
 
 
@@ -227,65 +233,72 @@ def _blocks(top: Node, out: list[str]) -> None:
     flush()
 
 
+def _without_furniture(root: Node) -> list[Node]:
+    """Drops furniture and comments; what is left, in document order."""
+    order = _measure(root)
+    gone = [n for n in order if n.comment]
+    for n in gone:
+        n.dropped = True
+    if gone:
+        order = _again(root, order)
+    # an article on its own, or what holds the main element, is no furniture
+    named = {n for n in order if n.named and not n.holds_main and (n.tag != "article" or n.inside)}
+    under, free = set(), False
+    for n in order:
+        if n in named or n.parent in under:
+            under.add(n)
+        else:
+            free |= n.tag in ARTICLES
+    if not free:
+        named = {n for n in named if not n.holds}
+    gone = [*named, *(n for n in order if n.hinted and not n.named and not n.holds and _density(n) >= 0.5)]
+    gone += [n for n in order if n.tag in ("ul", "ol") and n.links >= 3 and _density(n) >= 0.8 and not _in_text(n)]
+    for n in gone:
+        n.dropped = True
+    return _again(root, order) if gone else order
+
+
+def _in_text(links: Node) -> bool:
+    """Whether a list of links is part of a text: in an article, or beside paragraphs in an element of the page."""
+    if links.inside:
+        return True
+    up = links.parent
+    if up is None or up.tag in ("#root", "html", "body"):
+        return False
+    return any(isinstance(c, Node) and c.tag == "p" and not c.dropped and c.length and _density(c) < 0.5 for c in up.children)
+
+
 def extract(html: str | None) -> str:
     """The main text of one page, or an empty text."""
     if not html:
         return ""
     root = parse(html)
-    order = _measure(root)
-    total = root.length
-    # what is only hinted at goes if it is links or next to nothing
-    named = [n for n in order if not n.holds and (n.named or (n.hinted and (_density(n) >= 0.5 or n.length - n.linked < 25)))]
-    menus = [n for n in order if n.tag in ("ul", "ol") and n.links >= 3 and _density(n) >= 0.8]
-    if named or menus:
-        for n in [*named, *menus]:
-            n.dropped = True
-        whole = order
-        order = _again(root, whole)
-        # headings alone are no text
-        plain = root.length - root.linked
-        text = plain - sum(n.length - n.linked for n in order if n.tag in HEADINGS)
-        if (plain < 25 and total > 5 * plain) or (text < 25 and total > 3 * plain):
-            # the names mark the only text there is
-            for n in named:
-                n.dropped = n.tag in DROPPED
-            order = _again(root, whole)
+    order = _without_furniture(root)
     _score(order)
+    out: list[str] = []
     holders = [n for n in order if n.tag not in INLINE and n.length and n.tag != "#root"]
     if not holders:
-        out: list[str] = []
         _blocks(root, out)
         return " ".join(out)
-    best = max(holders, key=lambda n: n.score)
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-            if up.tag == "article" and not (up.parent and any(p.tag == "article" for p in _ancestors(up))):
-                break
-        up = up.parent
-    out = []
-    if best.tag in ("html", "body") or best.parent is None:
-        _blocks(best, out)
-        return " ".join(out)
-    least = best.score * 0.2
-    for sibling in best.parent.children:
-        if sibling is best:
-            _blocks(sibling, out)
-        elif isinstance(sibling, Node) and not sibling.dropped and sibling.length:
-            alike = best.tag not in ("article", "main") or sibling.tag == best.tag
-            wordy = best.tag not in ("article", "main") and sibling.tag == "p" and _density(sibling) < 0.25 and sibling.length > 80
-            title = best.tag not in ("article", "main") and sibling.tag in ("h1", "h2")
-            if (alike and sibling.score >= least) or wordy or title:
+    tops = [n for n in order if n.tag in ARTICLES and not n.inside and n.length]
+    if tops:
+        best = up = max((n for n in holders if n.inside or n in tops), key=lambda n: n.score)
+        while up is not None:
+            if up in tops:
+                best = up
+            up = up.parent
+        for sibling in best.parent.children:
+            if sibling is best or (sibling in tops and _density(sibling) < 0.5):
                 _blocks(sibling, out)
-    return " ".join(out)
-
-
-def _ancestors(node: Node):
-    up = node.parent
-    while up is not None:
-        yield up
+        return " ".join(out)
+    up = max(holders, key=lambda n: n.score)
+    while up.parent is not None:
+        for sibling in up.parent.children:
+            if isinstance(sibling, Node) and sibling is not up and _is_block(sibling) and _density(sibling) >= 0.5:
+                sibling.dropped = True
         up = up.parent
+    _blocks(root, out)
+    return " ".join(out)
 
 
 def _extract(batches, html: str):
@@ -299,7 +312,7 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
     """The main text of every page: keep columns, text, n_chars (code points).
 
     A null or empty page, and one without any main text, give an empty text. The whole page is read; repeated rows each give
-    their row, an empty table gives none. Other columns of pages may have any names (text and n_chars too).
+    their row, an empty table gives none. Very long and deep pages are walked without recursion. Other columns of pages may have any names (text and n_chars too).
     """
     carried = Carried(pages, keep, html, ("text", "n_chars"))
     out = carried.run(partial(_extract, html=carried.text), "text string, n_chars long")
