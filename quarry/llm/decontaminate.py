@@ -21,6 +21,9 @@ from .shared import Carried, kept_arrays
 #: Bytes of benchmark text that are searched for, and broadcast, at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
 
+#: Pairs of a place in a slice and a place in an item that are held at once.
+PAIRS = 1 << 19
+
 FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>, matches array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
 
 
@@ -46,8 +49,7 @@ class Windows:
         self.lengths = length[index]
         #: for each window, the items that have it and the word where it begins
         order = np.argsort(of, kind="stable")
-        self.at = np.searchsorted(of[order], np.arange(len(self.keys) + 1))
-        self.items, self.words = rows[begins][order], inner[begins][order]
+        self.items, self.words, self.of = rows[begins][order], inner[begins][order], of[order]
 
 
 def _keys(number: np.ndarray, begins: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
@@ -105,6 +107,77 @@ def _runs(flags: np.ndarray, rows: np.ndarray):
     return rows[at[first]], at[first], at[last] + 1
 
 
+def _longest_of_one(item: int, entries: np.ndarray, places: list[np.ndarray], rows: np.ndarray, w: Windows):
+    """(row, item, place, inner, words) of the longest match of one item in each row: one window of the item after the other, with the matches that end there."""
+    before, length, last = np.zeros(0, np.int64), np.zeros(0, np.int64), -2
+    best: dict[int, tuple] = {}
+    for e in entries:
+        inner = int(w.words[e])
+        at = places[e]
+        if inner != last + 1 or not len(before):
+            run = np.ones(len(at), np.int64)
+        else:
+            spot = np.minimum(np.searchsorted(before, at - 1), len(before) - 1)
+            run = np.where((before[spot] == at - 1) & (rows[at] == rows[before[spot]]), length[spot], 0) + 1
+        begin = at - run + 1
+        order = np.lexsort((begin, -run, rows[at]))
+        first = order[np.unique(rows[at][order], return_index=True)[1]]
+        for k in first:
+            key = (-int(run[k]), int(begin[k]), -(inner - int(run[k]) + 1))
+            row = int(rows[at[k]])
+            if row not in best or key < best[row]:
+                best[row] = key
+        before, length, last = at, run, inner
+    size = int(w.lengths[w.of[entries[0]]])
+    found = np.array([(r, item, k[1], -k[2], size - 1 - k[0]) for r, k in sorted(best.items())], np.int64).reshape(-1, 5)
+    return found.T
+
+
+def _longest_matches(window: np.ndarray, at: np.ndarray, rows: np.ndarray, w: Windows):
+    """(row, item, place, inner, words): the longest match of every item in every row, ties to the first place.
+
+    Places of a window meet all items that have it, some items at a time, so that no more than PAIRS pairs are held.
+    """
+    order = np.lexsort((at, window))
+    sorted_at = at[order]
+    lo = np.searchsorted(window[order], np.arange(len(w.keys) + 1))
+    often = np.diff(lo)[w.of]
+    used = np.flatnonzero(often)
+    per_item = np.bincount(w.items[used], often[used], len(w.ids)).astype(np.int64)
+    total = np.cumsum(per_item)
+    chunk = (total - 1) // PAIRS
+    chunk[per_item > PAIRS] = -1
+    found = []
+    for c in np.unique(chunk[per_item > 0]):
+        mine = used[chunk[w.items[used]] == c]
+        if c < 0:
+            for item in np.unique(w.items[mine]):
+                entries = mine[w.items[mine] == item]
+                entries = entries[np.argsort(w.words[entries], kind="stable")]
+                found.append(_longest_of_one(int(item), entries, {e: sorted_at[lo[w.of[e]] : lo[w.of[e] + 1]] for e in entries}, rows, w))
+            continue
+        many = often[mine]
+        which = np.repeat(np.arange(len(mine)), many)
+        spot = np.repeat(lo[w.of[mine]], many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        place, item, inner = sorted_at[spot], w.items[mine][which], w.words[mine][which]
+        # runs of pairs on one diagonal are one match
+        row = rows[place]
+        order = np.lexsort((place, place - inner, item, row))
+        row, place, item, inner, length = row[order], place[order], item[order], inner[order], w.lengths[w.of[mine]][which][order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((place - inner)[1:] != (place - inner)[:-1]) | (place[1:] > place[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row)) - 1
+        size = place[last] + length[last] - place[first]
+        row, item, place, inner = row[first], item[first], place[first], inner[first]
+        order = np.lexsort((-inner, place, -size, item, row))
+        best = np.ones(len(order), bool)
+        best[1:] = (row[order][1:] != row[order][:-1]) | (item[order][1:] != item[order][:-1])
+        keep = order[best]
+        found.append(np.stack([row[keep], item[keep], place[keep], inner[keep], size[keep]]))
+    return np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+
+
 def _search(batches, text: str, block, more: bool, keep_text: bool):
     """Adds what the block's windows hit to each row; more: the rows come from an earlier block and have its findings; keep_text: another block follows."""
     w = block.value
@@ -130,28 +203,11 @@ def _search(batches, text: str, block, more: bool, keep_text: bool):
         ids: list[set] = [set(x or ()) for x in old[1]]
         matches: list[list] = [x or [] for x in old[2]]
         if len(at):
-            # one entry for each item that has the window, and runs of entries on one diagonal are one match
-            many = w.at[window + 1] - w.at[window]
-            which = np.repeat(np.arange(len(at)), many)
-            entry = w.at[window][which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            row, place, item, inner = rows[at[which]], at[which] - base[rows[at[which]]], w.items[entry], w.words[entry]
-            order = np.lexsort((place, place - inner, item, row))
-            row, place, item, inner, length = row[order], place[order], item[order], inner[order], w.lengths[window][which][order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((place - inner)[1:] != (place - inner)[:-1]) | (place[1:] > place[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(row)) - 1
-            size = place[last] + length[last] - place[first]
-            longest = np.lexsort((place[first], -size, item[first], row[first]))
-            r, i = row[first][longest], item[first][longest]
-            best = np.ones(len(longest), bool)
-            best[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
-            for k in longest[best]:
-                f = first[k]
-                name = w.ids[item[f]]
+            for row, item, place, inner, size in zip(*_longest_matches(window, at, rows, w).tolist(), strict=True):
+                name = w.ids[item]
                 if name is not None:
-                    ids[row[f]].add(name)
-                    matches[row[f]].append({"item_id": name, "doc_word": int(place[f]), "item_word": int(inner[f]), "n_words": int(size[k])})
+                    ids[row].add(name)
+                    matches[row].append({"item_id": name, "doc_word": place - int(base[row]), "item_word": inner, "n_words": size})
         names, arrays = kept_arrays(part)
         if text == "t" and keep_text:
             names, arrays = [*names, "t"], [*arrays, part.column(part.schema.get_field_index("t"))]
@@ -174,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str
     all words of an item that has fewer but one; a document's word is hit if an occurrence of a window covers it.
     item_ids are the ids (as strings, sorted) of items with windows in the document; matches has the longest match of each. Null or empty
     texts have no words and no hits, nor do documents if the benchmark is empty. An item without an id hits words but
-    is not listed; items that repeat an id count once. Other columns of docs may have any names; repeated rows each give their row, an empty table none.
+    is not listed; items that repeat an id count once. Texts and items of any length are searched whole; a window that many items and places share costs time, not memory. Other columns of docs may have any names; repeated rows each give their row, an empty table none.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).filter(F.octet_length("t") > 0)

@@ -81,3 +81,45 @@ def test_complementary_thue_morse_words_are_told_apart(spark):
     docs = spark.createDataFrame([(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))], "doc_id long, text string")
     items = spark.createDataFrame([(7, "".join("ab"[b] for b in bits))], "item_id long, text string")
     assert {(r["doc_id"], r["_n_hit"]) for r in find_leaks(docs, items).collect()} == {(1, 1), (2, 0)}
+
+
+def longest(text, item, size):
+    """Words of the longest match of windows, with its place in text and in item."""
+    a, b = words(text), words(item)
+    size = min(size, len(b))
+    best = None
+    for i in range(len(a) - size + 1):
+        for j in range(len(b) - size + 1):
+            if a[i : i + size] == b[j : j + size] and not (i and j and a[i - 1 : i + size - 1] == b[j - 1 : j + size - 1]):
+                n = size
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = min(best or (0,), (-n, i, -j))
+    return best and (-best[0], best[1], -best[2])
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 19])
+def test_longest_matches_in_any_portion(spark, monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    stop = "one two three four".split()
+    items = [(1, " ".join(stop * 6)), (2, "x y one two three four one two z"), (3, "one two three four one two three q r"), (4, "two three"), (5, "a b c d e f g h")]
+    texts = [" ".join(stop * 9), "c d e f g h a b c d e f g h", "y one two three four one two z one two three four one two three q r", "", "two three two three"]
+    got = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), size=5).collect()
+    for r in got:
+        want = {(str(i), *m) for i, t in items if (m := longest(texts[r["doc_id"]], t, 5))}
+        assert {(m["item_id"], m["n_words"], m["doc_word"], m["item_word"]) for m in r["_matches"]} == want
+
+
+def test_a_window_of_many_items_and_places_is_searched_in_portions():
+    import tracemalloc
+
+    import numpy as np
+
+    window = " ".join(f"w{i}" for i in range(10))
+    block = decontaminate.Windows([str(i) for i in range(4000)], [f"{window} own{i}" for i in range(4000)], 10)
+    at = np.arange(2000) * 11
+    tracemalloc.start()
+    found = decontaminate._longest_matches(np.full(2000, np.flatnonzero(np.bincount(block.of) == 4000)[0]), at, np.zeros(22000, np.int64), block)
+    assert found.shape == (5, 4000) and (found[2] == 0).all() and (found[4] == 10).all()
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
