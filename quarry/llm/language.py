@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from .numeric import text_slices
 from .sampling import held_out, learning_rows
-from .shared import Carried, kept_arrays
+from .shared import Carried, cut, kept_arrays
 
 #: Documents of each language that a model is fitted on at most.
 FIT_ROWS = 1500
 #: Hashed n-gram features; up to so many classes have all possible bits.
 WIDTH, EXHAUSTIVE = 2048, 7
-#: Rows whose features are held at once.
-ROWS = 512
+#: Rows whose features are held at once; tasks of a fit.
+ROWS, FIT_TASKS = 512, 8
 #: A text is ambiguous if the second-best loss is within this share of the best.
 AMBIGUOUS = 0.15
 UNKNOWN = "und"
@@ -77,24 +77,16 @@ def codewords(k: int) -> np.ndarray:
 class Codes:
     """The languages, their codewords, a ridge classifier per bit and the weight of each bit for each language."""
 
-    def __init__(self, x: np.ndarray, names: list[str]):
-        self.languages = sorted(set(names))
-        k = len(self.languages)
-        self.code = codewords(k)
-        self.weights = np.zeros((WIDTH + 1, self.code.shape[1]))
+    def __init__(self, languages: list[str], weights: np.ndarray | None = None):
+        self.languages = languages
+        self.code = codewords(len(languages))
+        self.weights = np.zeros((WIDTH + 1, self.code.shape[1])) if weights is None else weights
         self.trust = np.full(self.code.shape, 1 / max(1, self.code.shape[1]))
-        if k < 2:
-            return
-        y = np.searchsorted(self.languages, names)
-        ones = np.hstack([x, np.ones((len(x), 1))])
-        share = 1 / np.bincount(y, minlength=k)[y]
-        target = self.code[y]
-        left = (ones * share[:, None]).T @ ones
-        left[np.diag_indices(WIDTH)] += 1e-3
-        self.weights = np.linalg.solve(left, (ones * share[:, None]).T @ target)
-        right = (np.sign(ones @ self.weights) == target).astype(float)
-        trust = np.stack([right[y == c].mean(0) for c in range(k)])
-        self.trust = trust / trust.sum(1, keepdims=True)
+
+    def trusted(self, right: np.ndarray) -> Codes:
+        """With weights of bits by how many learned documents of each language a bit is right for."""
+        self.trust = right / np.maximum(right.sum(1, keepdims=True), 1e-12)
+        return self
 
     def decode(self, x: np.ndarray):
         """(class, score, ambiguous): the codeword of least weighted loss and its share among all."""
@@ -109,14 +101,36 @@ class Codes:
         return best, score, two[:, 1] - two[:, 0] < AMBIGUOUS * two[:, 1]
 
 
-def _measure(batches):
-    for part, data, offsets in text_slices(batches, "text", 1 << 18):
+def _features(batches):
+    """(rows, features and a 1) of each slice."""
+    for part, data, offsets in text_slices(batches, "text"):
         for at in range(0, part.num_rows, ROWS):
             end = min(at + ROWS, part.num_rows)
-            x = ngrams(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]).astype(np.float32)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))
-            own = part.slice(at, end - at)
-            yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("doc_id")), own.column(own.schema.get_field_index("y")), values], ["doc_id", "y", "x"])
+            x = ngrams(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            yield part.slice(at, end - at), np.hstack([x, np.ones((len(x), 1))])
+
+
+def _equations(batches, share: dict[str, float], languages: list[str], code: np.ndarray):
+    """The sums of the normal equations of one task: the upper half of features by features, then features by bits."""
+    left = right = None
+    for own, x in _features(batches):
+        names = own.column(own.schema.get_field_index("y")).to_pylist()
+        weighted = (x * np.array([share[y] for y in names])[:, None]).T
+        a, b = weighted @ x, weighted @ code[np.searchsorted(languages, names)]
+        left, right = (a, b) if left is None else (left + a, right + b)
+    if left is not None:
+        sums = np.concatenate([left[np.triu_indices(WIDTH + 1)], right.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+
+def _right(batches, model):
+    """How often each bit is right for the documents of each language in one task."""
+    codes = model.value
+    total = np.zeros(codes.code.shape)
+    for own, x in _features(batches):
+        y = np.searchsorted(codes.languages, own.column(own.schema.get_field_index("y")).to_pylist())
+        np.add.at(total, y, np.sign(x @ codes.weights) == codes.code[y])
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["right"])
 
 
 ASCII_LETTER = np.zeros(256, bool)
@@ -149,19 +163,37 @@ def _predict(batches, text: str, codes):
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
-    """A model of the language labels, fitted on at most fit_rows documents of each language that are not held out."""
-    rows = learning_rows(docs, docs.select("doc_id", F.col("lang").alias("y")), fit_rows)
-    kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == "doc_id")
-    got = rows.mapInArrow(_measure, f"doc_id {kind}, y string, x array<float>").orderBy("doc_id").toArrow()
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH).astype(float) if got.num_rows else np.zeros((0, WIDTH))
-    return Codes(x, got.column("y").to_pylist())
+    """A model of the language labels, fitted on at most fit_rows documents of each language that are not held out.
+
+    Up to EXHAUSTIVE languages have all possible bits, more have random codes whose length grows with the logarithm of their number. The normal equations are summed up by each of
+    FIT_TASKS tasks and then on the driver, one sum after the other, so that it holds a few matrices of the features whatever the number of languages and documents.
+    """
+    spark = docs.sparkSession
+    rows = cut(learning_rows(docs, docs.select("doc_id", F.col("lang").alias("y")), fit_rows).select("doc_id", "y", "text").coalesce(FIT_TASKS).sortWithinPartitions("doc_id"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(counts)
+    codes = Codes(languages)
+    if len(languages) < 2:
+        return codes
+    equations = partial(_equations, share={y: 1 / n for y, n in counts.items()}, languages=languages, code=codes.code)
+    # at most FIT_TASKS sums, of which the driver holds one at a time
+    total = sum(np.frombuffer(r["sums"]) for r in cut(rows.mapInArrow(equations, "sums binary")).toLocalIterator())
+    half = np.triu_indices(WIDTH + 1)
+    left = np.zeros((WIDTH + 1, WIDTH + 1))
+    left[half] = total[: len(half[0])]
+    left = np.triu(left) + np.triu(left, 1).T
+    left[np.diag_indices(WIDTH)] += 1e-3
+    codes = Codes(languages, np.linalg.solve(left, total[len(half[0]) :].reshape(WIDTH + 1, -1)))
+    model = spark.sparkContext.broadcast(codes)
+    right = sum(np.frombuffer(r["right"]).reshape(codes.code.shape) for r in rows.mapInArrow(partial(_right, model=model), "right binary").toLocalIterator())
+    return codes.trusted(right / np.array([[counts[y]] for y in languages]))
 
 
 def identify(docs: DataFrame, codes: Codes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "_") -> DataFrame:
     """keep columns and, after prefix, lang (a learned language, or `und` if the text is null or has no letter), score (0 to 1), ambiguous.
 
     Every whole text is read; language labels, source and id are no inputs. `und` has score 0 and is ambiguous; with nothing
-    learned all rows are `und`. Repeated rows each give their row; an empty table gives none; columns not in keep may have any names.
+    learned all rows are `und`. Texts of any length are read whole. Repeated rows each give their row; an empty table gives none; columns not in keep may have any names.
     """
     made = {f"{prefix}{m}": m for m in ("lang", "score", "ambiguous")}
     carried = Carried(docs, keep, text, made)

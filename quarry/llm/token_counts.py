@@ -24,8 +24,8 @@ MEMORY_WORDS = 200_000
 class Automaton:
     """Greedy longest-match piece counts of words.
 
-    initial: pieces that may begin a word; inner: pieces that may follow. A word that cannot be split
-    wholly counts as one unknown token.
+    initial: pieces that may begin a word; inner: pieces that may follow. An empty initial piece stands before a word that
+    begins with no other one. A word that cannot be split wholly counts as one unknown token.
     """
 
     def __init__(self, initial, inner):
@@ -51,6 +51,8 @@ class Automaton:
             depth[to] = depth[parent] + 1
         order.sort(key=lambda x: depth[x[2]])
         self.fail, self.pops = [-1] * len(final), [0] * len(final)
+        if "" in initial:
+            self.fail[0], self.pops[0] = 1, 1
         for parent, c, to in order:
             if final[to]:
                 self.fail[to], self.pops[to] = 1, 1
@@ -85,7 +87,7 @@ class Automaton:
 
 
 def pieces_of(model_file: str) -> tuple[list[str], list[str]]:
-    """(initial, inner) pieces of a SentencePiece model: those with its word mark begin a word."""
+    """(initial, inner) pieces of a SentencePiece model: those with its word mark, which is taken off once, begin a word; the mark alone is an empty piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -93,8 +95,8 @@ def pieces_of(model_file: str) -> tuple[list[str], list[str]]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i)
-            (initial if piece.startswith("▁") else inner).append(piece.lstrip("▁"))
-    return [p for p in initial if p], inner
+            (initial if piece.startswith("▁") else inner).append(piece.removeprefix("▁"))
+    return initial, inner
 
 
 def _count(batches, text: str, automaton):
@@ -121,7 +123,7 @@ def _count(batches, text: str, automaton):
 def token_counts(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Word-piece counts of every whole text: keep columns, n_words, n_tokens, n_unknown.
 
-    Words are what str.split() gives; an unknown word is one token. A null or empty text has zero
+    Words are what str.split() gives, of any length; an unknown word is one token. A null or empty text has zero
     of each. Repeated rows each give their row, an empty table none; other columns of docs may have any names, and
     a kept one with the name of a count is left out. model_file is read on the driver; the automaton, whose size is that of
     the vocabulary, is broadcast.

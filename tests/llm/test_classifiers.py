@@ -119,3 +119,19 @@ def test_language_edge_cases(spark, docs, empty, local):
     assert language.identify(empty, codes).collect() == []
     one = spark.createDataFrame([(i, "abc def", "xx") for i in range(9)], "doc_id long, text string, lang string")
     assert {r["_lang"] for r in language.identify(one, language.fit(one)).collect()} == {"xx"}
+
+
+def test_many_languages_leave_the_driver_flat(spark):
+    """With 40 languages the driver holds the sums of the equations, not the documents' features."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    letters = [[chr(97 + i) for i in rng.permutation(26)[:8]] for _ in range(40)]
+    rows = [(i, " ".join("".join(rng.choice(letters[i % 40], 5)) for _ in range(40)), f"l{i % 40:02}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    codes = language.fit(docs)
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+    out = {r["doc_id"]: r["lang_pred"] for r in language.with_fold(language.identify(docs, codes)).collect()}
+    assert np.mean([out[i] == lang for i, _, lang in rows if fold(i)]) > 0.9

@@ -78,10 +78,26 @@ def test_main_text_edge_cases(spark):
     assert main_text(spark.createDataFrame([], ddl)).collect() == []
 
 
+def test_pages_against_a_plain_reading(spark):
+    """Every page of the tables has one well-formed article, whose blocks a pattern finds."""
+    import re
+    from html import unescape
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in rows.collect()}
+    for r in main_text(rows).collect():
+        inner = re.search("<article>(.*?)</article>", html[r["page_id"]], re.S)[1]
+        blocks = re.split("</?(?:p|h1)>", inner)
+        texts = [re.sub(r"\s+", " ", unescape(b.replace("<br>", "\n").replace("<b>", "").replace("</b>", ""))).strip() for b in blocks]
+        assert r["text"] == " ".join(t for t in texts if t) and r["n_chars"] == len(r["text"])
+
+
 def greedy(word, initial, inner):
-    n, at = 0, 0
+    n, at, begun = 0, 0, False
+    if "" in initial and not any(word.startswith(p) for p in initial if p):
+        n, begun = 1, True
     while at < len(word):
-        pool = inner if at else initial
+        pool = inner if at or begun else initial
         end = next((e for e in range(len(word), at, -1) if word[at:e] in pool), None)
         if end is None:
             return -1
@@ -92,7 +108,7 @@ def greedy(word, initial, inner):
 def test_automaton_is_greedy_longest_match():
     import itertools
 
-    for initial, inner in (({"a", "ab", "abc", "c"}, {"a", "b", "cab", "bca"}), ({"aa", "a"}, {"b", "aab", "ba"}), (set(), {"a"}), ({"abcd", "a"}, {"bc", "b", "c", "d", "cde"})):
+    for initial, inner in (({"a", "ab", "abc", "c"}, {"a", "b", "cab", "bca"}), ({"aa", "a"}, {"b", "aab", "ba"}), (set(), {"a"}), ({"abcd", "a"}, {"bc", "b", "c", "d", "cde"}), ({"", "ab", "cab"}, {"a", "ca", "b"}), ({""}, {"aa", "b"})):
         machine = Automaton(sorted(initial), sorted(inner))
         for n in range(8):
             for w in itertools.product("abcde"[: 3 if n > 5 else 5], repeat=n):
@@ -105,11 +121,11 @@ def test_counts_of_real_words_match_a_word_piece_model(docs, local, empty):
     from tokenizers import models
 
     initial, inner = pieces_of(MODEL)
-    vocabulary = {p: i for i, p in enumerate(dict.fromkeys([*initial, *("##" + p for p in inner), "[UNK]"]))}
+    vocabulary = {p: i for i, p in enumerate(dict.fromkeys([*("▁" + p for p in initial), *("##" + p for p in inner), "[UNK]"]))}
     model = models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=10**9)
     out = token_counts(docs, MODEL, keep=("doc_id", "text", "k0", "t")).collect()
     assert len(out) == len(local)
     for r in out:
-        pieces = [[t.value for t in model.tokenize(w)] for w in (r["text"] or "").split()]
+        pieces = [[t.value for t in model.tokenize("▁" + w)] for w in (r["text"] or "").split()]
         assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(pieces), sum(map(len, pieces)), sum(p == ["[UNK]"] for p in pieces))
     assert token_counts(empty, MODEL).collect() == []

@@ -34,7 +34,8 @@ def brute(rows, k):
 @pytest.mark.parametrize(("tile", "block", "fan"), [(2048, 2048, 64), (7, 2, 2)])
 def test_top_k_is_exact(spark, monkeypatch, tile, block, fan):
     monkeypatch.setattr(topk_search, "TILE_ROWS", tile)
-    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(topk_search, "TILE_QUERIES", block)
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", block * 64)
     monkeypatch.setattr(topk_search, "FAN_IN", fan)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 1, "p", 2) for i, v in rows], VECTORS).repartition(6)
@@ -48,6 +49,33 @@ def test_large_components_stay_exact(spark):
     assert sorted(tuple(r) for r in top_k(df, df.filter("vec_id = 0")).collect()) == [r for r in brute(rows, 5) if r[0] == 0]
 
 
+def test_products_of_any_size_are_exact_or_refused():
+    a = np.array([[2**40, 2**40, -(2**40)], [3, 1, 2]])
+    b = np.array([[2**20, 2**30, 2**30 - 1], [2**22, -5, 2**22]])
+    assert topk_search._products(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(r, c, strict=True)) for c in b] for r in a]
+    with pytest.raises(OverflowError):
+        topk_search._products(np.array([[2**40] * 4]), np.array([[2**40] * 4]))
+
+
+def test_components_beyond_the_domain_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e300], 1, "p", 2), (1, [1.0], 1, "p", 2)], VECTORS)
+    with pytest.raises(Exception, match="2\\^53"):
+        top_k(df, df).collect()
+
+
+def test_thousands_of_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 2000 * 48)
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-200, 200, (5000, 4))
+    df = spark.createDataFrame([(i, [float(x) / 256 for x in v], 1, "p", 2) for i, v in enumerate(vectors)], VECTORS).repartition(5)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, df, 2).collect()}
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -(10**9))
+    order = np.lexsort((np.broadcast_to(np.arange(5000), scores.shape), -scores), axis=1)
+    assert len(got) == 10000
+    assert all(got[q, r + 1] == (order[q, r], scores[q, order[q, r]]) for q in range(5000) for r in range(2))
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], VECTORS)
     assert top_k(none, none).collect() == []
