@@ -14,14 +14,12 @@ from .shared import cut, sized_join
 
 #: Hexadecimal digits of the order key that name a bucket: a leaf's documents lie in up to 16^3 of them.
 BUCKET_DIGITS = 3
-SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 
 
 def count_tokens(text: Column) -> Column:
     """Words without ASCII white space; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0)).cast("long")
-
-
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 def _share(nodes: DataFrame) -> DataFrame:
     """Adds budget to nodes (parent, node, weight, cap, total): total is the parent's budget; weights fill up to caps."""
@@ -76,28 +74,35 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     levels: the tree's levels from the top, as columns of docs. A leaf with budget b and t tokens gives b // t whole epochs and then, in the order of a seeded hash of the id (a new one for
     each epoch), the documents before its remaining budget is used up; of the last one only used_tokens are in the mix. A leaf's used tokens sum up to its budget. Null levels
     are nodes of their own; a null or empty text has 0 tokens and comes with whole epochs and within prefixes; a null id orders as an empty one;
-    repeated rows each count. An empty table gives no rows. Columns of docs may have any names; one with the name of a made column is replaced.
+    rows that repeat an id are ordered by their tokens and then by a hash of all their columns; repeated rows each count, and texts of any length are counted whole. An empty table gives no rows. Columns of docs may have any names; one with the name of a made column is replaced.
     """
     path, row = F.array(*(c.cast("string") for c in levels.values())), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    base = docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), path.alias("path"), F.to_json(path, {"ignoreNullFields": "false"}).alias("leaf"), count_tokens(F.col(f"`{text}`")).alias("n_tokens"))
-    leaves = cut(base.groupBy("leaf").agg(F.first("path").alias("path"), F.sum("n_tokens").alias("tokens")))
+    own = [F.col(f"`{doc_id}`").alias("id"), path.alias("path"), F.to_json(path, {"ignoreNullFields": "false"}).alias("leaf"), count_tokens(F.col(f"`{text}`")).alias("n_tokens")]
+    base = docs.select(row.alias("row"), *own)
+    # texts are read once for their sizes, and again for the result
+    sizes = cut(docs.select(*own))
+    leaves = cut(sizes.groupBy("leaf").agg(F.first("path").alias("path"), F.sum("n_tokens").alias("tokens")))
     budgets = leaf_budgets(leaves, len(levels), weights, fraction, max_epochs).filter("tokens > 0")
     whole = F.floor(F.col("budget") / F.col("tokens")).cast("long")
     plan = cut(budgets.select("leaf", whole.alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest")))
     key = _order_key(seed, F.col("whole"), F.col("id"))
-    partial = sized_join(base.select("id", "leaf", "n_tokens"), plan.filter("rest > 0"), "leaf", "inner", 200)
+    partial = sized_join(sizes.select("id", "leaf", "n_tokens"), plan.filter("rest > 0"), "leaf", "inner", 200)
     sums = partial.groupBy("leaf", "rest", F.substring(key, 1, BUCKET_DIGITS).alias("edge")).agg(F.sum("n_tokens").alias("n"))
     until = F.sum("n").over(Window.partitionBy("leaf").orderBy("edge"))
     edge = sums.withColumn("until", until).filter((F.col("until") - F.col("n") < F.col("rest")) & (F.col("until") >= F.col("rest"))).select("leaf", "edge", (F.col("until") - F.col("n")).alias("before"))
     plan = cut(plan.join(edge, "leaf", "left"))
-    rows = sized_join(base, plan, "leaf", "inner", 200).withColumn("key", key)
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
+    bucket = F.substring(key, 1, BUCKET_DIGITS)
+    rows = sized_join(base, plan, "leaf", "inner", 200)
     out = ["row", "path", "epoch", "n_tokens", "used_tokens"]
-    epochs = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("used_tokens", F.col("n_tokens")).select(out)
-    early = rows.filter((F.col("rest") > 0) & (bucket < F.col("edge"))).withColumns({"epoch": F.col("whole"), "used_tokens": F.col("n_tokens")}).select(out)
-    near = Window.partitionBy("leaf").orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter((F.col("rest") > 0) & (bucket == F.col("edge"))).withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(near), F.lit(0))).filter("left > 0")
+    use = "array<struct<epoch:bigint,used_tokens:bigint>>"
+    every = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1), lambda e: F.struct(e.alias("epoch"), F.col("n_tokens").alias("used_tokens")))).otherwise(F.array().cast(use))
+    early = F.when((F.col("rest") > 0) & (bucket < F.col("edge")), F.array(F.struct(F.col("whole").alias("epoch"), F.col("n_tokens").alias("used_tokens")))).otherwise(F.array().cast(use))
+    most = rows.withColumn("use", F.explode(F.concat(every, early))).select("row", "path", "use.epoch", "n_tokens", "use.used_tokens")
+    # rows of one order key, such as those without an id, are told apart by size and text
+    near = Window.partitionBy("leaf").orderBy("key", "id", "n_tokens", F.xxhash64(F.to_json("row"))).rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter((F.col("rest") > 0) & (bucket == F.col("edge"))).withColumn("key", key)
+    last = last.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(near), F.lit(0))).filter("left > 0")
     last = last.withColumns({"epoch": F.col("whole"), "used_tokens": F.least("n_tokens", "left")}).select(out)
     names = [f"{prefix}{m}" for m in out[1:]]
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in names]
-    return epochs.unionByName(early).unionByName(last).select(*kept, *(F.col(c).alias(n) for c, n in zip(out[1:], names, strict=True)))
+    return most.unionByName(last).select(*kept, *(F.col(c).alias(n) for c, n in zip(out[1:], names, strict=True)))
