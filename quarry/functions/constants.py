@@ -234,3 +234,94 @@ SUPPORT = {
         r"\baiohttp\s*\.\s*ClientSession\s*\(",
     ],
 }
+
+# What the health audit looks for in a row's code, by signal.
+AUDIT = {
+    "sql_execute": [r"(?i)\.execute\s*\("],
+    "sql_inline": [
+        r"(?i)execute\s*\(\s*f[\"']",
+        r"(?i)execute\s*\(\s*[\"'][^\"']*%\s*",
+        r"(?i)execute\s*\(\s*[\"'][^\"']*\+",
+        r"(?i)execute\s*\(\s*.*\.format\s*\(",
+        r"(?i)execute\s*\(\s*(query|sql|stmt|cmd)\b",
+    ],
+    "sql_multiline": [
+        r"(?i)(query|sql|stmt)\s*=\s*f[\"']",
+        r"(?i)(query|sql|stmt)\s*=\s*[\"'][^\"']*\+",
+        r"(?i)(query|sql|stmt)\s*.*\+=\s*",
+        r"(?i)(query|sql|stmt)\s*=\s*.*\.format\s*\(",
+        r"(?i)(query|sql|stmt)\s*=\s*[\"'][^\"']*%\s*",
+        r"(?i)(query|sql|stmt)\s*=\s*\"[^\"]*\"\s*\+\s*\w",
+    ],
+    "sql_orm": [
+        r"(?i)filter\s*\(\s*[\"'].*%",
+        r"(?i)filter\s*\(\s*f[\"']",
+        r"(?i)\.raw\s*\(\s*f[\"']",
+        r"(?i)\.raw\s*\(\s*[\"'][^\"']*%",
+        r"(?i)text\s*\(\s*f[\"']",
+        r"(?i)text\s*\(\s*[\"'][^\"']*\+",
+    ],
+    "sql_keywords": [r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|DROP)\b"],
+    "command_call": [
+        r"\bos\s*\.\s*system\s*\(",
+        r"\bos\s*\.\s*popen\s*\(",
+        r"\bsubprocess\s*\.\s*(run|call|check_output|Popen)\s*\(",
+        r"\bcommands\s*\.\s*getoutput\s*\(",
+        r"\beval\s*\(",
+        r"\bexec\s*\(",
+    ],
+    "shell_true": [r"shell\s*=\s*True"],
+    "eval_exec": [r"\beval\s*\(|\bexec\s*\("],
+    "file_operation": [
+        r"\bopen\s*\(",
+        r"\bsend_file\s*\(",
+        r"\bsend_from_directory\s*\(",
+        r"\bos\s*\.\s*path\s*\.\s*(join|abspath|realpath)\s*\(",
+        r"\bPathlib|Path\(",
+    ],
+    "traversal_hint": [r"(?i)\.\./|%2e%2e|\\\\\.\\\\"],
+    "deserialization": [
+        r"\bpickle\s*\.\s*loads?\s*\(",
+        r"\byaml\s*\.\s*load\s*\(",
+        r"\bjson\s*\.\s*loads?\s*\(",
+        r"\bmarshal\s*\.\s*loads?\s*\(",
+        r"\bshelve\s*\.",
+        r"\bcPickle\s*\.\s*loads?\s*\(",
+    ],
+    "raw_deserialization": [r"\bpickle\s*\.\s*loads?\s*\(", r"\bmarshal\s*\.\s*loads?\s*\("],
+    "yaml_load": [r"\byaml\s*\.\s*load\s*\("],
+    "safe_yaml": [r"yaml\.safe_load\s*\("],
+    "xss_sink": [
+        r"\bmark_safe\s*\(",
+        r"\bMarkup\s*\(",
+        r"\brender_template_string\s*\(",
+        r"(?s)\bformat_html\s*\(.*%s",
+        r"autoescape\s*=\s*False",
+        r"\|safe\b",
+    ],
+    "dynamic_exec": [
+        r"\beval\s*\(",
+        r"\bexec\s*\(",
+        r"\bcompile\s*\(",
+        r"\b__import__\s*\(",
+        r"\bimportlib\.import_module\s*\(",
+    ],
+    "http_call": [
+        r"\brequests\s*\.\s*(get|post|put|patch|delete|head|request)\s*\(",
+        r"\burllib\.request\.(urlopen|Request)\s*\(",
+        r"\bhttpx\s*\.\s*(get|post|put|patch|delete|AsyncClient)\s*\(",
+        r"\baiohttp\s*\.\s*ClientSession\s*\(",
+        r"\bhttp\.client\.(HTTPConnection|HTTPSConnection)\s*\(",
+    ],
+}
+AUDIT_FLASK = r"(?i)(from flask|import flask)"
+AUDIT_ROUTE = r"@\w+\.(route|get|post|put|delete|patch)\s*\("
+AUDIT_ATTACK = [r"\brequests\.(get|post|put)\s*\(", r"\bsocket\.(connect|send)\s*\(", r"(?i)exploit|payload|target_url|victim"]
+
+# Literal credentials: the assignment that is looked for, and the environment name that the first hint in its key gives.
+CREDENTIAL = r"(?i)(?P<key>password|passwd|secret(?:_key)?|api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|private[_-]?key|aws_(?:secret|access)[_-]?key)(?P<eq>\s*=\s*)(?P<val>['\"][^'\"\s][^'\"]{5,}['\"])"
+CREDENTIAL_NAMES = {
+    "password": "PASSWORD", "passwd": "PASSWORD", "secret": "SECRET", "api_key": "API_KEY", "apikey": "API_KEY", "access_token": "ACCESS_TOKEN", "auth_token": "AUTH_TOKEN",
+    "token": "TOKEN", "client_secret": "CLIENT_SECRET", "private_key": "PRIVATE_KEY", "aws_secret": "AWS_SECRET_ACCESS_KEY", "aws_access": "AWS_ACCESS_KEY_ID",
+}
+CREDENTIAL_DEFAULT = "SECRET"

@@ -145,19 +145,21 @@ def locate(code: str | None, cwe: str | None, recorded: str | None) -> dict:
     return {"line": None, "pattern": None}
 
 
-ASSIGNED = re.compile(r"(?P<name>\w*(?:password|passwd|secret|token|api_?key|private_?key)\w*)\s*=\s*(?P<value>(['\"])[^'\"\n]{8,}\3)", re.I)
+CREDENTIAL = _java(K.CREDENTIAL)
 
 
 def redact(code: str | None) -> str | None:
-    """Code whose first literal credential is read from the environment instead, os imported after the imports at its top."""
-    m = ASSIGNED.search(code or "")
+    """Code whose first literal credential is read from the environment instead, os imported behind the imports of the first 20 lines."""
+    m = CREDENTIAL.search(code or "")
     if m is None:
         return code
-    out = f"{code[: m.start('value')]}os.environ[{m['name'].upper()!r}]{code[m.end('value') :]}"
-    if re.search(r"^\s*import os\b", out, re.M):
+    key = m["key"].lower()
+    name = next((v for hint, v in K.CREDENTIAL_NAMES.items() if hint in key), K.CREDENTIAL_DEFAULT)
+    out = f"{code[: m.start('val')]}os.environ['{name}']{code[m.end('val') :]}"
+    lines = out.splitlines()
+    if any(x.strip() == "import os" or x.strip().startswith("import os,") for x in lines[:20]):
         return out
-    lines = out.split("\n")
-    at = max((i + 1 for i, x in enumerate(lines[:20]) if IMPORT.match(x)), default=0)
+    at = max((i + 1 for i, x in enumerate(lines[:20]) if x.startswith(("import ", "from "))), default=0)
     return "\n".join([*lines[:at], "import os", *lines[at:]])
 
 
@@ -208,16 +210,3 @@ def calls_table():
                         yield chain(node.func), node.lineno
 
     return Calls
-
-
-def yaml_to_json_rows(files):
-    """json of YAML files (path, content), for advisory trees; needs a YAML reader on the executors."""
-    import json
-
-    import yaml
-
-    @pandas_udf("string")
-    def convert(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: json.dumps(yaml.safe_load(b), default=str))
-
-    return files.select("path", convert(F.col("content")).alias("json"))

@@ -22,22 +22,7 @@ def dedup_by_hash(samples: DataFrame) -> DataFrame:
 
 def clean_reason(code: Column, valid: Column) -> Column:
     """Why cleaning drops a row, in order; null if it stays."""
-    return F.when(F.trim(code) == "", "empty").when(~valid, "invalid_syntax").when(X.code_lines(code) < 5, "too_short")
-
-
-def sink_gate(code: Column, cwe: Column, path: Column, near_request: Column | None = None) -> Column:
-    """struct<ok, pattern>: a row's class has a sink in its (comment-free) code. Classes without patterns pass. near_request answers for
-    classes that need request data near the sink."""
-    ok, pattern = F.lit(True), F.lit(None).cast("string")
-    for name, patterns in K.SINKS.items():
-        found = X.first_pattern(code, patterns)
-        if name in K.TEST_EXCLUDED:
-            found = F.when(~X.is_test_path(path), found)
-        if name in K.NEEDS_REQUEST and near_request is not None:
-            found = F.when(near_request, found)
-        ok = F.when(cwe == name, found.isNotNull()).otherwise(ok)
-        pattern = F.when(cwe == name, found).otherwise(pattern)
-    return F.struct(ok.alias("ok"), pattern.alias("pattern"))
+    return F.when(~code.rlike(r"\S"), "empty").when(~valid, "invalid_syntax").when(X.code_lines(code) < 5, "too_short")
 
 
 def refilter_reason(hard_negative: Column, cwe: Column, source: Column, sink_ok: Column) -> Column:
@@ -71,35 +56,58 @@ def purge_reason(code: Column, cwe: Column, valid: Column | None = None, no_exec
 
 def structure(code: Column, valid: Column) -> dict[str, Column]:
     """Structural signals of the health audit."""
-    signals = [code.rlike(r"\brequests\.(get|post|put)\s*\("), code.rlike(r"\bsocket\.(connect|send)\s*\("), code.rlike(r"(?i)exploit|payload|target_url|victim")]
     return {
         "valid_syntax": valid,
-        "has_flask_import": code.rlike(r"(?i)(from flask|import flask)"),
+        "has_flask_import": code.rlike(K.AUDIT_FLASK),
         "has_executable_code": X.executable_lines(code) > 2,
-        "has_route_handler": code.rlike(r"@\w+\.(route|get|post|put|delete|patch)\s*\("),
+        "has_route_handler": code.rlike(K.AUDIT_ROUTE),
         "has_request_taint": code.rlike(K.TAINT_AUDIT),
-        "is_likely_attack": sum((s.cast("int") for s in signals), F.lit(0)) >= 2,
+        "is_likely_attack": sum((code.rlike(p).cast("int") for p in K.AUDIT_ATTACK), F.lit(0)) >= 2,
         "executable_lines": X.executable_lines(code),
     }
 
 
-def class_checks(code: Column, cwe: Column) -> dict[str, Column]:
-    """Whether the audit finds a class's label confirmed or plausible, and whether request data are read (null where the class has no check).
+#: The signals of each class's check; every class has request data, confident and plausible too.
+CLASS_SIGNALS = {
+    "CWE-89": ["sql_execute", "sql_inline", "sql_multiline", "sql_orm", "sql_keywords"],
+    "CWE-78": ["command_call", "shell_true", "eval_exec"],
+    "CWE-22": ["file_operation", "traversal_hint"],
+    "CWE-502": ["deserialization", "raw_deserialization", "yaml_load", "safe_yaml"],
+    "CWE-79": ["xss_sink"],
+    "CWE-94": ["dynamic_exec"],
+    "CWE-918": ["http_call"],
+}
+
+
+def class_signals(code: Column, cwe: str) -> dict[str, Column]:
+    """The signals of one class: has_<signal> for each of CLASS_SIGNALS, has_taint_source, confident, plausible.
 
-    A label is confirmed by an unsafe construction of its class, and plausible with a sink of its class.
+    A label is confirmed by request data beside a sink of its class (for SQL by an unsafe statement that is run), and plausible with a sink alone.
     """
+    has = {name: X.any_of(code, K.AUDIT[name]) for name in CLASS_SIGNALS[cwe]}
     taint = code.rlike(K.TAINT_AUDIT)
-    sql = code.rlike(r"(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b")
-    inline, built = X.any_of(code, K.SUPPORT["CWE-89"][:4]), X.any_of(code, K.SUPPORT["CWE-89"][5:8])
-    orm, runs = X.any_of(code, K.SUPPORT["CWE-89"][8:]), code.rlike(r"(?i)\.execute\s*\(")
-    confirmed, plausible = F.lit(None).cast("boolean"), F.lit(None).cast("boolean")
-    for name, patterns in K.SUPPORT.items():
-        sink = X.any_of(code, patterns)
-        sure, maybe = (sink & taint, sink)
-        if name == "CWE-89":
-            sure, maybe = (runs & (inline | built)) | orm | (sql & taint & built), runs | (sql & taint)
-        confirmed, plausible = F.when(cwe == name, sure).otherwise(confirmed), F.when(cwe == name, maybe).otherwise(plausible)
-    return {"confident": confirmed, "plausible": plausible, "has_taint_source": F.when(confirmed.isNotNull(), taint)}
+    extra = {}
+    if cwe == "CWE-89":
+        built = has["sql_inline"] | has["sql_multiline"]
+        sure = (has["sql_execute"] & built) | has["sql_orm"] | (has["sql_keywords"] & taint & has["sql_multiline"])
+        maybe = has["sql_execute"] | (has["sql_keywords"] & taint)
+        extra["has_unsafe_format"] = built | has["sql_orm"]
+    elif cwe == "CWE-502":
+        extra["has_unsafe_yaml"] = has["yaml_load"] & ~has["safe_yaml"]
+        sure, maybe = (has["raw_deserialization"] | extra["has_unsafe_yaml"]) & taint, has["deserialization"]
+    else:
+        sink = has[CLASS_SIGNALS[cwe][0]]
+        sure, maybe = sink & taint, sink | has.get("eval_exec", has.get("traversal_hint", F.lit(False)))
+    return {f"has_{k}": v for k, v in has.items()} | extra | {"has_taint_source": taint, "confident": sure, "plausible": maybe}
+
+
+def class_checks(code: Column, cwe: Column) -> dict[str, Column]:
+    """confident, plausible and has_taint_source of a row by its class; null where the class has no check."""
+    out = {name: F.lit(None).cast("boolean") for name in ("confident", "plausible", "has_taint_source")}
+    for c in CLASS_SIGNALS:
+        found = class_signals(code, c)
+        out = {name: F.when(cwe == c, found[name]).otherwise(value) for name, value in out.items()}
+    return out
 
 
 def health_issues(s: dict[str, Column], checks: dict[str, Column], cwe: Column) -> Column:

@@ -28,10 +28,22 @@ def seeded_rank(df: DataFrame, by: str, seed: int) -> DataFrame:
     return rows.join(sizes, "_k").withColumn("r", F.col("_before") + rank).drop("_o", "_k", "_before")
 
 
+def ordered_rank(df: DataFrame, by: str, order: str, prefix: int = 8) -> DataFrame:
+    """df with r, the rank (from 1) of each row within its value of by in the order of a text column; counted per prefix of the text first, so that no value is ranked by one task."""
+    rows = df.withColumn("_b", F.substring(order, 1, prefix))
+    sizes = rows.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_b")) - F.col("_n")).select(F.col(by).alias("_by"), F.col("_b").alias("_p"), "_before")
+    near = F.row_number().over(Window.partitionBy(by, "_b").orderBy(order))
+    out = rows.withColumn("_r", near).join(sizes, F.col(by).eqNullSafe(F.col("_by")) & F.col("_b").eqNullSafe(F.col("_p")))
+    return out.withColumn("r", F.col("_before") + F.col("_r")).drop("_b", "_r", "_by", "_p", "_before")
+
+
 def cap_per_group(df: DataFrame, keys: list[str], cap: int, order: list) -> DataFrame:
     """Rows with `kept`: the first cap of each group; rows whose last key is null are in no group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("kept", F.col(keys[-1]).isNull() | (rank <= cap))
+    last = F.col(keys[-1])
+    # rows in no group are kept as they are, and so are not ranked by one task
+    return df.filter(last.isNotNull()).withColumn("kept", rank <= cap).unionByName(df.filter(last.isNull()).withColumn("kept", F.lit(True)))
 
 
 def stratified_split(df: DataFrame, seed: int = 42, rare: int = 10) -> DataFrame:
@@ -77,49 +89,58 @@ def split_targets(df: DataFrame) -> DataFrame:
     return n.select("cwe", "n", train.alias("train"), val.alias("val"), (F.col("n") - train - val).alias("test"))
 
 
-def _placed(groups, want: dict[str, dict[str, int]]):
-    """The split of each (classes, negative counts) in turn: the one that lacks most of the first class. want, what each split lacks of each class, is used up."""
-    for classes, less in groups:
-        best = max(K.SPLITS, key=lambda s: (want[s][classes[0]], -K.SPLITS.index(s)))
-        for c, n in zip(classes, less, strict=True):
-            want[best][c] += n
-        yield best
-
-
-def _placed_batches(batches, want: dict[str, dict[str, int]]):
+def _dealt(lacks: list[int], weight: int, m: int) -> list[int]:
+    """How many of m equal groups each split gets, if each group in turn goes to the split that lacks most and then lacks weight less; ties go to the first."""
+    above = lambda t: [max(0, (x - t) // weight + 1) for x in lacks]
+    high, low = max(lacks) + 1, min(lacks) - weight * (m + 1)
+    while high - low > 1:
+        middle = (high + low) // 2
+        if sum(above(middle)) >= m:
+            low = middle
+        else:
+            high = middle
+    # every lack above low is used up, and some of those that equal it
+    out = above(low + 1)
+    for s, n in enumerate(above(low)):
+        out[s] += min(n - out[s], m - sum(out))
+    return out
+
+
+def _dealt_batches(batches, want: dict[str, dict[str, int]]):
     for batch in batches:
-        splits = list(_placed(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), want))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(splits, pa.string())], ["group_key", "split"])
+        counts = []
+        for classes, less, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            got = _dealt([want[s][classes[0]] for s in K.SPLITS], -less[0], m)
+            for s, n in zip(K.SPLITS, got, strict=True):
+                for c, k in zip(classes, less, strict=True):
+                    want[s][c] += k * n
+            counts.append(got)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in counts], pa.int64()) for i in range(2))], ["kind", "train", "val"])
 
 
-def greedy_group_split(df: DataFrame, seed: int = 42, fractions: tuple[float, float, float] = (0.7, 0.15, 0.15), max_groups: int = 2_000_000) -> DataFrame:
+def greedy_group_split(df: DataFrame, seed: int = 42, fractions: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
     """id, cwe, group_key, split: whole groups go to the split that lacks most of the group's dominant class, large groups first.
 
-    The choice depends on all choices before it, so that one process makes them in turn: up to max_groups groups (never rows) the driver, and beyond that one
-    task that streams the sorted groups and holds what splits lack of each class alone. Both make the same choices.
+    Groups with the same classes and counts are one kind, and kinds of one size come in order of their classes. A choice depends on all before it, but of a kind's groups only how many go to
+    each split matters: one task streams the kinds (never groups or rows) and holds what splits lack; which groups these are is ranked in seeded order by ranges of hashes.
     """
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions must sum up to 1")
-    spark = df.sparkSession
     rows = df if "group_key" in df.columns else group_keys(df)
-    counts = rows.groupBy("group_key", "cwe").agg(F.count(F.lit(1)).alias("n")).persist()
-    groups = counts.select("group_key").distinct().count()
-    if groups == 0:
-        raise ValueError("no samples")
+    counts = rows.groupBy("group_key", "cwe").agg(F.count(F.lit(1)).alias("n"))
     totals = {r["cwe"]: r["n"] for r in counts.groupBy("cwe").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        raise ValueError("no samples")
     want = {s: {c: round(n * f) for c, n in totals.items()} for s, f in zip(K.SPLITS[:2], fractions, strict=False)}
     want["test"] = {c: n - want["train"][c] - want["val"][c] for c, n in totals.items()}
     # the most frequent class of a group, of least name, comes first
     parts = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "cwe"))).alias("parts")
-    sizes = counts.groupBy("group_key").agg(F.sum("n").alias("size"), parts).select("group_key", "size", seeded(seed, F.col("group_key")).alias("o"), F.col("parts.cwe").alias("classes"), F.col("parts.less").alias("less"))
-    order = (F.desc("size"), "o", "group_key")
-    if groups > max_groups:
-        chosen = sizes.repartition(1).sortWithinPartitions(*order).select("group_key", "classes", "less").mapInArrow(partial(_placed_batches, want=want), "group_key string, split string")
-    else:
-        members = sizes.orderBy(*order).select("group_key", "classes", "less").collect()
-        out = [(r[0], s) for r, s in zip(members, _placed(((r[1], r[2]) for r in members), want), strict=True)]
-        chosen = spark.createDataFrame(out, "group_key string, split string")
-    counts.unpersist()
+    groups = counts.groupBy("group_key").agg(F.sum("n").alias("size"), parts).select(F.col("group_key").alias("id"), "size", F.col("parts.cwe").alias("classes"), F.col("parts.less").alias("less"))
+    groups = groups.withColumn("kind", F.to_json(F.struct("classes", "less")))
+    kinds = groups.groupBy("kind", "size", "classes", "less").agg(F.count(F.lit(1)).alias("m")).repartition(1).sortWithinPartitions(F.desc("size"), "classes", "less")
+    dealt = kinds.select("kind", "classes", "less", "m").mapInArrow(partial(_dealt_batches, want=want), "kind string, train long, val long")
+    ranked = seeded_rank(groups.select("id", "kind"), "kind", seed).join(dealt, "kind")
+    chosen = ranked.select(F.col("id").alias("group_key"), F.when(F.col("r") < F.col("train"), "train").when(F.col("r") < F.col("train") + F.col("val"), "val").otherwise("test").alias("split"))
     return rows.join(chosen, "group_key").select("id", "cwe", "group_key", "split")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,93 +52,9 @@ def normalize_text(spark, d):
     return R.read(spark, d, "documents").select("doc_id", F.sha2(X.normalize(F.col("text")), 256).alias("normal_sha"))
 
 
-@query(f"WITH {R.values_sql('p', 'path, want', S.PATHS)} SELECT path, want AS is_test FROM p")
-def path_is_test(spark, d):
-    return S.frame(spark, "path string, want boolean", S.PATHS).select("path", X.is_test_path(F.col("path")).alias("is_test"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, cve', S.CVE_TEXTS_WANT)} SELECT id, cve FROM c")
-def extract_id(spark, d):
-    return S.frame(spark, "id int, text string", S.CVE_TEXTS).select("id", X.extract_cve(F.col("text")).alias("cve"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, framework, is_web, kind, taint', S.SNIPPETS_WANT)} SELECT * FROM c")
-def code_signals(spark, d):
-    c = F.col("code")
-    return S.frame(spark, S.SNIPPET_DDL, S.SNIPPETS).select("id", X.framework(c).alias("framework"), X.is_web(c).alias("is_web"), X.vulnerability(c).alias("kind"), c.rlike(K.TAINT_SOURCE).alias("taint"))
-
-
 # gates and audits
 
 
-@query(f"WITH {R.values_sql('c', 'id, ok, sink_no', S.GATE_WANT)} SELECT * FROM c")
-def sink_gate(spark, d):
-    rows = S.frame(spark, S.SNIPPET_DDL, S.SNIPPETS)
-    gate = curate.sink_gate(F.col("code"), F.col("cwe"), F.col("path"), F.col("code").rlike(K.REQUEST_NEAR))
-    number = F.lit(None).cast("int")
-    for c, patterns in K.SINKS.items():
-        number = F.when(F.col("cwe") == c, F.nullif(F.array_position(F.array(*map(F.lit, patterns)), F.col("g.pattern")).cast("int"), F.lit(0))).otherwise(number)
-    return rows.select("id", "cwe", gate.alias("g")).select("id", F.col("g.ok").alias("ok"), number.alias("sink_no"))
-
-
-SIGNAL = {k: rf"(?i)(^|[ \n]){w}([ \n,.]|$)" for k, w in {"en": "the", "fr": "les", "de": "und", "es": "que"}.items()}
-SIGNAL_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN regexp_matches(text, '{p}')" for k, p in SIGNAL.items()) + " ELSE true END"
-
-
-def _refiltered(spark, d):
-    docs = R.read(spark, d, "documents")
-    ok = reduce(lambda a, kv: F.when(F.col("lang") == kv[0], F.col("text").rlike(kv[1])).otherwise(a), SIGNAL.items(), F.lit(True))
-    rows = docs.select("doc_id", "lang", "source", R.label(F.col("doc_id") % 8).alias("cwe"), ok.alias("ok"))
-    blocked = (F.col("source") == "src3") & (F.col("cwe") == "CWE-94")
-    reason = F.when(F.col("cwe") == "safe", None).when(blocked, "blocked_source").when(~F.col("ok"), "sink_absent")
-    return rows.withColumn("reason", reason)
-
-
-REFILTER_SQL = f"""f AS (SELECT doc_id, lang, source, (['{"', '".join(K.LABELS)}'])[(doc_id % 8 + 1)::INT] AS cwe, {SIGNAL_SQL} AS ok FROM documents),
-g AS (SELECT *, CASE WHEN cwe = 'safe' THEN NULL WHEN source = 'src3' AND cwe = 'CWE-94' THEN 'blocked_source' WHEN NOT ok THEN 'sink_absent' END AS reason FROM f)"""
-
-
-@query(f"""WITH {REFILTER_SQL} SELECT cwe, source, count(*) AS n, count(reason) AS n_rejected, count(*) FILTER (WHERE reason = 'blocked_source') AS n_blocked,
-round(100.0 * count(reason) / count(*), 6) AS reject_pct FROM g GROUP BY GROUPING SETS ((cwe), (source), ())""")
-def refilter_report(spark, d):
-    rows = _refiltered(spark, d)
-    rows.createOrReplaceTempView("_refiltered")
-    return spark.sql("""SELECT cwe, source, count(*) AS n, count(reason) AS n_rejected, count_if(reason = 'blocked_source') AS n_blocked,
-        round(100.0D * count(reason) / count(*), 6) AS reject_pct FROM _refiltered GROUP BY GROUPING SETS ((cwe), (source), ())""")
-
-
-@query(f"WITH {REFILTER_SQL} SELECT doc_id, cwe, source, reason FROM g WHERE reason IS NOT NULL")
-def refilter_quarantine(spark, d):
-    return _refiltered(spark, d).filter("reason is not null").select("doc_id", "cwe", "source", "reason")
-
-
-@query(f"WITH {R.values_sql('c', 'id, reason', S.PURGE_WANT)} SELECT * FROM c")
-def purge_reasons(spark, d):
-    return S.frame(spark, S.SNIPPET_DDL, S.SNIPPETS).select("id", curate.purge_reason(F.col("code"), F.col("cwe")).alias("reason"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, status', S.HEALTH_WANT)} SELECT * FROM c")
-def health_audit(spark, d):
-    rows = S.frame(spark, S.SNIPPET_DDL, S.SNIPPETS)
-    s = curate.structure(F.col("code"), F.lit(True))
-    issues = curate.health_issues(s, curate.class_checks(F.col("code"), F.col("cwe")), F.col("cwe"))
-    return rows.select("id", curate.health_status(issues).alias("status"))
-
-
-@query(f"""WITH {REFILTER_SQL}, s AS (SELECT cwe, source, CASE WHEN reason IS NULL THEN 'PASS' WHEN reason = 'sink_absent' THEN 'FAIL' ELSE 'WARN' END AS status FROM g)
-SELECT status, cwe, source, count(*) AS n FROM s GROUP BY GROUPING SETS ((status), (cwe, status), (source, status))""")
-def health_rollup(spark, d):
-    status = F.when(F.col("reason").isNull(), "PASS").when(F.col("reason") == "sink_absent", "FAIL").otherwise("WARN")
-    _refiltered(spark, d).withColumn("status", status).createOrReplaceTempView("_health")
-    return spark.sql("SELECT status, cwe, source, count(*) AS n FROM _health GROUP BY GROUPING SETS ((status), (cwe, status), (source, status))")
-
-
-@query(f"""WITH {REFILTER_SQL} SELECT cwe, count(*) FILTER (WHERE reason IS NULL) AS kept, count(*) FILTER (WHERE reason = 'sink_absent') AS dropped,
-count(*) FILTER (WHERE reason = 'blocked_source') AS no_data FROM g GROUP BY ROLLUP(cwe)""")
-def diff_filter_report(spark, d):
-    rows = _refiltered(spark, d)
-    return rows.rollup("cwe").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason") == "sink_absent").alias("dropped"), F.count_if(F.col("reason") == "blocked_source").alias("no_data"))
-
 
 @query(f"""{WITH} SELECT id, source, cwe FROM v_samples s WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('src1', 'CWE-78'), ('src2', 'CWE-22'), ('src3', 'CWE-94')) b(source, cwe) WHERE b.source = s.source AND b.cwe = s.cwe)""")
 def blocked_antijoin(spark, d):
@@ -148,13 +62,6 @@ def blocked_antijoin(spark, d):
     return R.samples(spark, d, False).join(F.broadcast(blocked), ["source", "cwe"], "left_anti").select("id", "source", "cwe")
 
 
-@query(r"""WITH l AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) AS n FROM documents),
-r AS (SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN n < 5 THEN 'too_short' ELSE 'valid' END AS outcome FROM l) SELECT outcome, count(*) AS n FROM r GROUP BY outcome""")
-def clean_report(spark, d):
-    reason = F.coalesce(curate.clean_reason(F.col("text"), F.lit(True)), F.lit("valid"))
-    return R.read(spark, d, "documents").select(reason.alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
 # severity
 
 
@@ -432,10 +339,8 @@ def rollback_manifest(spark, d):
 
 @query(f"{WITH} SELECT id, cwe, row_number() OVER (PARTITION BY cwe, framework ORDER BY id) AS folder_index FROM v_samples WHERE cwe <> 'safe'")
 def export_index(spark, d):
-    from pyspark.sql import Window
-
-    s = R.samples(spark, d, False).filter("cwe <> 'safe'")
-    return s.select("id", "cwe", F.row_number().over(Window.partitionBy("cwe", "framework").orderBy("id")).cast("long").alias("folder_index"))
+    s = R.samples(spark, d, False).filter("cwe <> 'safe'").select("id", "cwe", F.struct("cwe", "framework").alias("folder"))
+    return split.ordered_rank(s, "folder", "id").select("id", "cwe", F.col("r").alias("folder_index"))
 
 
 # lines and differences

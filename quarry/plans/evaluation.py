@@ -161,10 +161,10 @@ def head_accuracy(spark, d):
     return rows.groupBy("head").agg(F.count("y").alias("n"), F.round(F.avg((F.col("y") == F.col("yhat")).cast("int")), 9).alias("accuracy"))
 
 
-@query("""WITH e AS (SELECT vec_id, vec_id // 16 AS batch, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, vec_id // 16 AS batch, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT a.batch, count(*) AS n_pairs, round(avg(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))), 6) AS mean_dot FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.batch""")
 def supcon_pairs(spark, d):
-    e = R.read(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 16).cast("long").alias("batch"), "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    e = R.read(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 16).cast("long").alias("batch"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     o = e.select("batch", "label", F.col("vec_id").alias("other"), F.col("v").alias("w"))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return e.join(o, ["batch", "label"]).filter("vec_id <> other").groupBy("batch").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(dot), 6).alias("mean_dot"))

@@ -63,10 +63,9 @@ def issue_keys(spark, d):
     return S.frame(spark, "issue string", S.ISSUES).select(X.issue_key(F.col("issue")).alias("issue"))
 
 
-@query(f"{WITH} SELECT CASE WHEN length(code) > 80 THEN split_part(code, ':', 1) ELSE code END = code AS whole, count(*) AS n FROM v_samples GROUP BY 1")
+@query(f"{WITH} SELECT id, sha256(CASE WHEN length(code) > 80 THEN split_part(code, ':', 1) ELSE code END) AS reason_sha FROM v_samples")
 def skip_reasons(spark, d):
-    rows = R.samples(spark, d)
-    return rows.select((X.skip_reason(F.col("code")) == F.col("code")).alias("whole")).groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
+    return R.samples(spark, d).select("id", F.sha2(X.skip_reason(F.col("code")), 256).alias("reason_sha"))
 
 
 @query(_want("id, relevant", S.HINTS_WANT))
@@ -105,11 +104,12 @@ def count_cube(spark, d):
     return rows.cube("cwe", "framework", "source").agg(F.grouping_id("cwe", "framework", "source").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if("is_hard_negative").alias("n_hard"))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings WHERE label < 4), m AS (SELECT id, label, list_transform(v, lambda x, i: (CASE WHEN i = label + 1 THEN x - 0.1::DOUBLE * i ELSE x END) * 30) AS z FROM e)
+@query("""WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT id, label, list_transform(v, lambda x, i: (CASE WHEN i = label + 1 THEN x - 0.01::DOUBLE * i ELSE x END) * 30) AS z FROM e)
 SELECT id, round(ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) - z[label + 1], 6) AS loss FROM m""")
 def ldam_losses(spark, d):
-    e = R.read(spark, d, "embeddings").filter("label < 4").select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    margins = F.array(*(F.lit(0.1) * (i + 1) for i in range(4)))
+    """The whole vectors are the logits, so that every label has one."""
+    e = R.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    margins = F.transform("v", lambda x, i: F.lit(0.01) * (i + 1))
     return e.select("id", F.round(weights.ldam_loss(F.col("v"), F.col("label"), margins), 6).alias("loss"))
 
 

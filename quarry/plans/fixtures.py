@@ -11,21 +11,6 @@ def frame(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 
 
-PATHS = [
-    ("src/app/main.py", False),
-    ("tests/unit/main.py", True),
-    ("src/test_main.py", True),
-    ("src/main_test.py", True),
-    ("lib/conftest.py", True),
-    ("docs/build.py", True),
-    ("latest/contest.py", False),
-    ("a/examples/b.py", True),
-    (None, False),
-]
-
-CVE_TEXTS = [(1, "fix for cve-2021-12345 and CVE-2020-1"), (2, "nothing"), (3, "CVE-2019-1234, CVE-2020-99999"), (4, None)]
-CVE_TEXTS_WANT = [(1, "CVE-2021-12345"), (2, None), (3, "CVE-2019-1234"), (4, None)]
-
 SNIPPET_DDL = "id int, cwe string, path string, code string"
 SNIPPETS = [
     (1, "CWE-89", "app/db.py", 'from flask import request\n\ndef find(cur):\n    name = request.args["q"]\n    cur.execute(f"SELECT * FROM t WHERE n = {name}")\n    return cur\n'),
@@ -41,31 +26,6 @@ SNIPPETS = [
     (11, "CWE-94", "app/ev.py", '"""eval( is only named here"""\n'),
     (12, "CWE-94", "app/ev.py", "def calc(request):\n    x = request.json['e']\n    return eval(x)\n"),
 ]
-SNIPPETS_WANT = [
-    (1, "flask", True, "sql_injection", True),
-    (2, "unknown", False, None, False),
-    (3, "unknown", False, None, False),
-    (4, "unknown", False, None, False),
-    (5, "unknown", True, "command_injection", True),
-    (6, "unknown", True, "path_traversal", True),
-    (7, "unknown", False, None, False),
-    (8, "unknown", False, "insecure_deserialization", False),
-    (9, "unknown", False, None, False),
-    (10, "unknown", False, None, False),
-    (11, "unknown", False, None, False),
-    (12, "unknown", True, None, True),
-]
-#: whether the gate lets the row pass, and the number of the first pattern found
-GATE_WANT = [(1, True, 1), (2, False, None), (3, False, None), (4, True, 2), (5, True, 1), (6, True, 1), (7, False, None), (8, True, 1), (9, True, 1), (10, True, None), (11, True, 1), (12, True, 1)]
-PURGE_WANT = [
-    (1, None), (2, "no support for CWE-89"), (3, None), (4, None), (5, None), (6, None), (7, None), (8, None),
-    (9, "attack script"), (10, None), (11, "no executable code"), (12, None),
-]
-HEALTH_WANT = [
-    (1, "PASS"), (2, "FAIL"), (3, "WARN"), (4, "WARN"), (5, "PASS"), (6, "PASS"), (7, "WARN"), (8, "WARN"),
-    (9, "WARN"), (10, "PASS"), (11, "FAIL"), (12, "PASS"),
-]
-
 FULL = "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
 VECTORS = [
     (FULL, 9.8, 9.8),

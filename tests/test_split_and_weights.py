@@ -30,18 +30,54 @@ def test_each_row_is_in_one_split_and_runs_agree(spark):
     assert a != placed(split.greedy_group_split(df, seed=7))
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_no_group_is_in_two_splits(spark, limit):
-    out = split.greedy_group_split(corpus(spark, {"CWE-89": 100, "CWE-79": 60, "CWE-502": 20}, repos=15), max_groups=limit)
+def test_no_group_is_in_two_splits(spark):
+    out = split.greedy_group_split(corpus(spark, {"CWE-89": 100, "CWE-79": 60, "CWE-502": 20}, repos=15))
     assert [r["overlap"] for r in split.leakage(out).collect()] == [0, 0, 0]
     keys = {r["id"]: r["group_key"] for r in out.collect()}
     assert keys["hn_0"] == keys["CWE-89_0"] and keys["hn_1"] == "repo::own"
 
 
-def test_same_splits_beyond_the_limit(spark):
-    df = corpus(spark, {"CWE-89": 300, "CWE-79": 90, "CWE-502": 20}, repos=25).unionByName(corpus(spark, {"x": 40, "y": 25}))
-    df = df.dropDuplicates(["id"])
-    assert placed(split.greedy_group_split(df, max_groups=0)) == placed(split.greedy_group_split(df))
+def test_groups_are_dealt_as_one_after_the_other(spark):
+    df = corpus(spark, {"CWE-89": 300, "CWE-79": 90, "CWE-502": 20}, repos=25).unionByName(corpus(spark, {"x": 40, "y": 25})).dropDuplicates(["id"])
+    rows = split.greedy_group_split(df).collect()
+    groups, where = defaultdict(Counter), {}
+    for r in rows:
+        groups[r["group_key"]][r["cwe"]] += 1
+        where[r["group_key"]] = r["split"]
+    total = Counter(r["cwe"] for r in rows)
+    names = ["train", "val", "test"]
+    want = {"train": {c: round(n * 0.7) for c, n in total.items()}, "val": {c: round(n * 0.15) for c, n in total.items()}}
+    want["test"] = {c: n - want["train"][c] - want["val"][c] for c, n in total.items()}
+    kinds = defaultdict(list)
+    for key, counts in groups.items():
+        parts = sorted((-n, c) for c, n in counts.items())
+        kinds[-sum(counts.values()), tuple(c for _, c in parts), tuple(n for n, _ in parts)].append(key)
+    for (_, classes, less), keys in sorted(kinds.items()):
+        got = Counter()
+        for _ in keys:
+            best = max(names, key=lambda s: (want[s][classes[0]], -names.index(s)))
+            got[best] += 1
+            for c, n in zip(classes, less, strict=True):
+                want[best][c] += n
+        assert Counter(where[k] for k in keys) == got
+
+
+@pytest.mark.parametrize(("lacks", "weight", "m"), [([10, 5, 5], 3, 4), ([0, 0, 0], 1, 7), ([-5, 2, 2], 4, 5), ([7, 1, 1], 1, 0), ([100, 3, 50], 7, 33)])
+def test_equal_groups_are_dealt_in_one_step(lacks, weight, m):
+    left, want = list(lacks), [0, 0, 0]
+    for _ in range(m):
+        s = max(range(3), key=lambda i: (left[i], -i))
+        want[s] += 1
+        left[s] -= weight
+    assert split._dealt(lacks, weight, m) == want
+
+
+def test_ordered_rank_counts_within_values(spark):
+    rows = [(f"i{n * 37 % 1000:04}", None if n % 3 == 0 else "ab"[n % 2]) for n in range(400)]
+    got = {r["id"]: r["r"] for r in split.ordered_rank(spark.createDataFrame(rows, "id string, k string"), "k", "id", 4).collect()}
+    for value in (None, "a", "b"):
+        ids = sorted(i for i, k in rows if k == value)
+        assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
 
 
 def test_proportions(spark):
