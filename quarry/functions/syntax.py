@@ -8,7 +8,6 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 

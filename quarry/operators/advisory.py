@@ -112,6 +112,12 @@ def first_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(fit, "cve_id", "left")
 
 
+def fixed_files(files: DataFrame, commits: DataFrame, fixes: DataFrame, classes: DataFrame, targets: list[str]) -> DataFrame:
+    """hash, filename, cve_id, cwe_id, once each: Python files with code before a fix of a target class. files: hash, filename, code_before; commits: hash; fixes: hash, cve_id; classes: cve_id, cwe_id."""
+    wanted = files.filter(F.endswith("filename", F.lit(".py")) & F.col("code_before").isNotNull()).select("hash", "filename")
+    return wanted.join(commits.select("hash"), "hash").join(fixes.select("hash", "cve_id"), "hash").join(classes.filter(F.col("cwe_id").isin(targets)).select("cve_id", "cwe_id"), "cve_id").distinct()
+
+
 def audit_pages(rows: DataFrame) -> DataFrame:
     """cwe, page: Markdown of the audited rows (id, cwe, source, line, pattern, excerpt) of each class, by id."""
     entry = F.format_string("### %s\n\n- source: %s\n- line: %s\n- pattern: `%s`\n\n```python\n%s\n```\n\n- [ ] label is right\n", "id", F.coalesce("source", F.lit("unknown")), F.coalesce(F.col("line").cast("string"), F.lit("none")), F.coalesce("pattern", F.lit("none")), F.coalesce("excerpt", F.lit("")))

@@ -264,13 +264,6 @@ def four_way_join(spark, d):
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
 
 
-@query(f"WITH {S.CVE_TABLES_SQL} SELECT DISTINCT f.hash, f.filename, x.cve_id, w.cwe_id FROM file_change f JOIN commits c ON f.hash = c.hash JOIN fixes x ON x.hash = c.hash JOIN cwe_classification w ON w.cve_id = x.cve_id WHERE f.filename LIKE '%.py' AND w.cwe_id IN ('CWE-89', 'CWE-79') AND f.code_before IS NOT NULL")
-def cve_table_scan(spark, d):
-    for name, (ddl, rows) in S.CVE_TABLES.items():
-        S.frame(spark, ddl, rows).createOrReplaceTempView(f"_{name}")
-    return spark.sql("SELECT DISTINCT f.hash, f.filename, x.cve_id, w.cwe_id FROM _file_change f JOIN _commits c ON f.hash = c.hash JOIN _fixes x ON x.hash = c.hash JOIN _cwe_classification w ON w.cve_id = x.cve_id WHERE f.filename LIKE '%.py' AND w.cwe_id IN ('CWE-89', 'CWE-79') AND f.code_before IS NOT NULL")
-
-
 @query(f"""{WITH}, a AS (SELECT id, cwe, 0 AS batch FROM v_samples WHERE doc_id % 3 <> 0 UNION ALL SELECT id, 'CWE-new' AS cwe, 1 AS batch FROM v_samples WHERE doc_id % 4 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS k FROM a) SELECT id, cwe, batch FROM r WHERE k = 1""")
 def upsert_latest(spark, d):
@@ -353,20 +346,9 @@ def sink_lines(spark, d):
     return R.read(spark, d, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.line", F.sha2("x.text", 256).alias("line_sha"))
 
 
-@query(f"WITH {R.values_sql('c', 'id, modified, evidence', S.PAIRS_WANT)} SELECT * FROM c")
-def sink_modified(spark, d):
-    rows = S.frame(spark, "id int, before string, after string", S.PAIRS)
-    return rows.select("id", advisory.sink_modified(F.col("before"), F.col("after"), K.SINKS["CWE-89"]).alias("x")).select("id", "x.*")
-
-
 @query(r"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS ls FROM documents), n AS (SELECT doc_id AS id, generate_subscripts(ls, 1)::INT AS line, regexp_matches(unnest(ls), '(?i)license|copyright') AS flag FROM l)
 SELECT id, line, max(flag::INT) OVER (PARTITION BY id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS near FROM n""")
 def proximity_window(spark, d):
     flagged = F.transform(X.lines(F.col("text")), lambda t: t.rlike("(?i)license|copyright"))
     rows = R.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(flagged).alias("p", "flag"))
     return advisory.proximity(rows.select("id", (F.col("p") + 1).alias("line"), "flag"), 2).select("id", "line", "near")
-
-
-@query(f"WITH {R.values_sql('c', 'id, shown', S.EXCERPT_WANT)} SELECT * FROM c")
-def excerpt(spark, d):
-    return S.frame(spark, "id int, code string, line int", S.EXCERPTS).select("id", X.excerpt(F.col("code"), F.col("line"), 2).alias("shown"))

@@ -297,7 +297,7 @@ def _reports(spark, d):
     results = F.when(i % 5 == 0, F.array().cast("array<struct<filename:string,test_id:string,line_number:bigint>>")).otherwise(F.array(*(F.struct(F.col("id").alias("filename"), rule(n).alias("test_id"), i.alias("line_number")) for n in (3, 7))))
     tag = F.format_string("external/cwe/cwe-%03d", F.element_at(F.array(*(F.lit(int(k)) for k in K.FOLD)), (i % len(K.FOLD) + 1).cast("int")))
     rules = F.array(F.struct(F.lit("r1").alias("id"), F.struct(F.array(tag, F.lit("security")).alias("tags")).alias("properties")), F.struct(F.lit("r2").alias("id"), F.struct(F.array(F.lit("external/cwe/cwe-089")).alias("tags")).alias("properties")))
-    hits = F.array(F.struct(F.when(i % 3 == 0, "r1").when(i % 3 == 1, "r2").otherwise("r3").alias("ruleId")))
+    hits = F.array(F.struct(F.when(i % 3 == 0, "r1").when(i % 3 == 1, "r2").otherwise("r3").alias("ruleId"), F.array(F.struct(F.struct(F.struct(F.col("id").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations")))
     run = F.struct(F.struct(F.struct(rules.alias("rules")).alias("driver")).alias("tool"), hits.alias("results"))
     answer = F.when(i % 4 == 0, "safe").otherwise(F.concat(F.lit("<think>CWE-22\nor not</think>\nCWE-"), F.element_at(F.array(*map(F.lit, K.FOLD)), (i % len(K.FOLD) + 1).cast("int")), F.lit(" in line 3")))
     return rows, {"rules": F.to_json(F.struct(results.alias("results"))), "sarif": F.to_json(F.struct(F.array(run).alias("runs"))), "verdict": answer}

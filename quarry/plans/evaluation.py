@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import text as X
 from ..operators import advisory, metrics
 from ..sources import relations as R
 from . import fixtures as S
@@ -173,44 +172,6 @@ def supcon_pairs(spark, d):
 # parsing
 
 
-@query(f"WITH {R.values_sql('c', 'raw, cwe', S.RAW_IDS)} SELECT * FROM c")
-def normalize_cwe(spark, d):
-    return S.frame(spark, "raw string, want string", S.RAW_IDS).select("raw", X.normalize_class(F.col("raw")).alias("cwe"))
-
-
-@query(f"WITH {R.values_sql('c', 'rule, cwe', S.RULE_IDS)} SELECT * FROM c")
-def rule_map(spark, d):
-    return S.frame(spark, "rule string, want string", S.RULE_IDS).select("rule", X.rule_class(F.col("rule")).alias("cwe"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, cwe', S.ANSWERS_WANT)} SELECT * FROM c")
-def verdict_parse(spark, d):
-    said = X.parse_response(X.strip_thinking(F.col("text")))
-    return S.frame(spark, "id int, text string", S.ANSWERS).select("id", F.try_element_at(said, F.lit(1)).alias("cwe"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, is_python, cwe, cve_id, commits', S.ADVISORY_WANT)} SELECT * FROM c")
-def advisory_commits(spark, d):
-    a = advisory.parse(S.frame(spark, "json string", S.ADVISORIES))
-    return a.select("id", advisory.is_python(F.col("affected")).alias("is_python"), advisory.first_target(F.col("database_specific.cwe_ids")).alias("cwe"), advisory.cve_alias(F.col("aliases")).alias("cve_id"), F.array_join(advisory.fix_commits(F.col("references"), F.col("affected")), ",").alias("commits"))
-
-
-@query(f"WITH {R.values_sql('c', 'sample_id, predicted', S.FINDINGS_WANT)} SELECT * FROM c")
-def findings_fold(spark, d):
-    f = advisory.fold_findings(S.frame(spark, "sample_id string", S.SCANNED), S.frame(spark, "path string, rule string", S.FINDINGS))
-    return f.select("sample_id", F.array_join("predicted", "|").alias("predicted"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, classes', S.SARIF_WANT)} SELECT * FROM c")
-def sarif_rules(spark, d):
-    return S.frame(spark, "id int, tags array<string>", S.SARIF).select("id", F.array_join(advisory.sarif_classes(F.col("tags")), "|").alias("classes"))
-
-
-@query(f"WITH {R.values_sql('c', 'id, code_before, code_after', S.DIFFS_WANT)} SELECT * FROM c")
-def diff_pairs(spark, d):
-    return advisory.diff_pairs(S.frame(spark, "id int, path string, diff string", S.DIFFS)).select("id", "code_before", "code_after")
-
-
 @query("""SELECT lang, count(*) AS calls, sum(100 + length(text) // 4)::BIGINT AS tokens_in, round(sum(100 + length(text) // 4) / 1e6 * 3.0 + count(*) * 60 / 1e6 * 15.0, 4) AS cost FROM documents GROUP BY ROLLUP(lang)""")
 def cost_projection(spark, d):
     n = (F.floor(F.length("text") / 4) + 100).cast("long")

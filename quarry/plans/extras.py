@@ -7,17 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import advisory, metrics, split, weights
 from ..sources import relations as R
-from ..sources import tables
-from . import fixtures as S
 from .registry import query
 
 WITH = "WITH " + R.SAMPLES_SQL
 
 
-def _want(columns: str, rows) -> str:
-    return f"WITH {R.values_sql('c', columns, rows)} SELECT * FROM c"
-
-
 @query(f"{WITH} SELECT id, ('0x' || substr(sha256(id || ':3'), 1, 8))::BIGINT AS seed, row_number() OVER (ORDER BY sha256('42:' || id), id) AS position FROM v_samples")
 def seeded_order(spark, d):
     """Seeds and a seeded order of all rows: ranks come from counts per key prefix, so that no task sorts everything."""
@@ -31,60 +25,11 @@ def seeded_order(spark, d):
     return rows.join(F.broadcast(before), "bucket").select("id", "seed", (F.col("before") + rank).alias("position"))
 
 
-@query(_want("id, slug", S.SLUGS_WANT))
-def slugs(spark, d):
-    return S.frame(spark, "id int, cve string, ghsa string, code string", S.SLUGS).select("id", X.slug(F.col("cve"), F.col("ghsa"), F.col("code")).alias("slug"))
-
-
-@query(_want("id, cwe", S.LABELLED_WANT))
-def line_labels(spark, d):
-    rows = S.frame(spark, "id string, raw_lines array<string>, labels array<int>", S.LABELLED_LINES)
-    return tables.line_labels(rows, {3: "CWE-94", 5: "CWE-89"}).select("id", "cwe")
-
-
-@query(_want("path, rule", S.SCANS_WANT))
-def scan_reports(spark, d):
-    return advisory.scan_findings(S.frame(spark, "json string", S.SCANS))
-
-
-@query(_want("path, cwe", S.SARIFS_WANT))
-def sarif_reports(spark, d):
-    return advisory.sarif_findings(S.frame(spark, "json string", S.SARIFS))
-
-
-@query(_want("id, cwe", S.CVE_CLASSES_WANT))
-def class_lookup(spark, d):
-    rows = advisory.first_class(S.frame(spark, "id string, cve_id string", S.CVES), S.frame(spark, "cve_id string, ordinal int, cwe string", S.CVE_CLASSES))
-    return rows.select("id", "cwe")
-
-
-@query(_want("issue", S.ISSUES_WANT))
-def issue_keys(spark, d):
-    return S.frame(spark, "issue string", S.ISSUES).select(X.issue_key(F.col("issue")).alias("issue"))
-
-
 @query(f"{WITH} SELECT id, sha256(CASE WHEN length(code) > 80 THEN split_part(code, ':', 1) ELSE code END) AS reason_sha FROM v_samples")
 def skip_reasons(spark, d):
     return R.samples(spark, d).select("id", F.sha2(X.skip_reason(F.col("code")), 256).alias("reason_sha"))
 
 
-@query(_want("id, relevant", S.HINTS_WANT))
-def language_hints(spark, d):
-    rows = S.frame(spark, "id int, lang string, value string, url string", S.HINTS)
-    return rows.select("id", X.names_python(F.array(F.struct("lang", "value")), F.array("url")).alias("relevant"))
-
-
-@query("WITH " + R.values_sql("c", "id, score", S.SCORES_WANT) + " SELECT id, score::DOUBLE AS score FROM c")
-def preferred_scores(spark, d):
-    rows = S.frame(spark, "id int, v31 array<double>, v30 array<double>, v2 array<double>", S.SCORES)
-    return rows.select("id", advisory.preferred_score(F.col("v31"), F.col("v30"), F.col("v2")).alias("score"))
-
-
-@query(_want("id, line", S.RECORDED_WANT))
-def recorded_sinks(spark, d):
-    return S.frame(spark, "id int, code string, pattern string", S.RECORDED).select("id", X.recorded_line(F.col("code"), F.col("pattern")).alias("line"))
-
-
 @query()
 def audit_pages(spark, d):
     """Markdown of five sampled rows of each class with an excerpt of the first line."""

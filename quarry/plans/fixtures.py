@@ -1,31 +1,14 @@
-"""Small constant relations: inputs written for this repository, with the results that they must have."""
+"""Small constant relations with published results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.relations import values_sql
-
 
 def frame(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 
 
-SNIPPET_DDL = "id int, cwe string, path string, code string"
-SNIPPETS = [
-    (1, "CWE-89", "app/db.py", 'from flask import request\n\ndef find(cur):\n    name = request.args["q"]\n    cur.execute(f"SELECT * FROM t WHERE n = {name}")\n    return cur\n'),
-    (2, "CWE-89", "app/db.py", "def total(xs):\n    out = 0\n    for x in xs:\n        out += x\n    return out\n"),
-    (3, "CWE-79", "tests/test_view.py", "def show(x):\n    y = mark_safe(x)\n    return y\n"),
-    (4, "CWE-79", "app/view.py", "def show(x):\n    y = mark_safe(x)\n    return y\n"),
-    (5, "CWE-78", "app/run.py", "import os\n\ndef go(request):\n    os.system(request.form['c'])\n    return 0\n"),
-    (6, "CWE-22", "app/files.py", "def load(request):\n    with open(request.args['p']) as f:\n        return f.read()\n"),
-    (7, "CWE-22", "app/files.py", "def load(name):\n    with open(name) as f:\n        return f.read()\n"),
-    (8, "CWE-502", "app/io.py", "import pickle\n\ndef load(raw):\n    return pickle.loads(raw)\n"),
-    (9, "CWE-918", "tool/send.py", "import requests\n\ndef go(target_url):\n    payload = {'a': 1}\n    requests.post(target_url, payload)\n"),
-    (10, "safe", "app/ok.py", "def ok():\n    a = 1\n    b = 2\n    return a + b\n"),
-    (11, "CWE-94", "app/ev.py", '"""eval( is only named here"""\n'),
-    (12, "CWE-94", "app/ev.py", "def calc(request):\n    x = request.json['e']\n    return eval(x)\n"),
-]
 FULL = "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
 VECTORS = [
     (FULL, 9.8, 9.8),
@@ -38,70 +21,6 @@ VECTORS = [
     ("", None, 0.0),
     (None, None, None),
 ]
-
-CVE_TABLES = {
-    "file_change": ("hash string, filename string, code_before string, code_after string", [("h1", "a.py", "x", "y"), ("h1", "b.js", "x", "y"), ("h2", "c.py", "p", "q"), ("h3", "d.py", None, "z")]),
-    "commits": ("hash string, repo_url string, msg string", [("h1", "u1", "m"), ("h2", "u2", "m"), ("h3", "u3", "m")]),
-    "fixes": ("hash string, cve_id string", [("h1", "CVE-1"), ("h2", "CVE-2"), ("h3", "CVE-1"), ("h1", "CVE-3")]),
-    "cwe_classification": ("cve_id string, cwe_id string", [("CVE-1", "CWE-89"), ("CVE-2", "CWE-20"), ("CVE-3", "CWE-79")]),
-}
-CVE_TABLES_SQL = ", ".join(values_sql(k, ", ".join(c.split()[0] for c in ddl.split(", ")), rows) for k, (ddl, rows) in CVE_TABLES.items())
-
-PAIRS = [
-    (1, "a = 1\ncur.execute(q + x)\n", "a = 1\ncur.execute(q, (x,))\n"),
-    (2, "cur.execute(q)\nb = 2\n", "  cur.execute(q)\nb = 3\n"),
-    (3, "a = 1\n", "a = 2\n"),
-    (4, "cur.execute(q)\n", ""),
-    (5, "z.execute(b)\na.execute(c)\n", "pass\n"),
-]
-PAIRS_WANT = [(1, True, "cur.execute(q + x)"), (2, False, None), (3, None, None), (4, None, None), (5, True, "a.execute(c)")]
-
-EXCERPTS = [(1, "a\nb\nc\nd\ne\nf", 3), (2, "a\nb", 1)]
-EXCERPT_WANT = [(1, "  1: a\n  2: b\n> 3: c\n  4: d\n  5: e"), (2, "> 1: a\n  2: b")]
-
-RAW_IDS = [
-    ("80", "CWE-79"), ("83", "CWE-79"), ("77", "CWE-78"), ("95", "CWE-94"), ("96", "CWE-94"), ("23", "CWE-22"), ("564", "CWE-89"),
-    ("CWE-502: Deserialization", "CWE-502"), ("cwe-89", "CWE-89"), (" CWE-918 ", "CWE-918"), ("327", None), ("20", None), ("0", None), ("", None), ("safe", None), ("CWE-", None), (None, None),
-]
-RULE_IDS = [("B608", "CWE-89"), ("B703", "CWE-79"), ("b608", "CWE-89"), (" B602 ", "CWE-78"), ("B307", "CWE-94"), ("B301", "CWE-502"), ("B310", "CWE-918"), ("B404", None), ("B101", None), ("B999", None), (None, None)]
-
-ANSWERS = [
-    (1, "CWE-89\nThe query is built from input."),
-    (2, "safe - nothing found"),
-    (3, "\n\n  cwe 79 reflected"),
-    (4, "Let me think.\nCWE-22 maybe\nno.\nCWE-78"),
-    (5, "Let me think.\nCWE-22\nSafe after all"),
-    (6, "CWE-327 weak hash"),
-    (7, "It mentions CWE-89 inside a line."),
-    (8, ""),
-    (9, "<think>CWE-89\nhm</think>\nCWE-918"),
-    (10, "<THINK mode=1>a</THINK>safe"),
-]
-ANSWERS_WANT = [(1, "CWE-89"), (2, None), (3, "CWE-79"), (4, "CWE-78"), (5, None), (6, None), (7, None), (8, None), (9, "CWE-918"), (10, None)]
-
-ADVISORIES = [
-    ('{"id":"G-1","aliases":["GHSA-x","CVE-2020-1"],"references":[{"url":"https://github.com/o/r/commit/abcdef1234"},{"url":"https://x.org"},{"url":"https://github.com/o/r/commit/abcdef1234"}],'
-     '"affected":[{"package":{"name":"p","ecosystem":"PyPI"},"ranges":[{"type":"GIT","repo":"https://github.com/o/r.git","events":[{"introduced":"0"},{"fixed":"fedcba9876"}]}]}],"database_specific":{"cwe_ids":["CWE-20","CWE-89","CWE-79"],"severity":"HIGH"}}',),
-    ('{"id":"G-2","aliases":[],"references":[],"affected":[{"package":{"name":"q","ecosystem":"npm"},"ranges":[]}],"database_specific":{"cwe_ids":["CWE-1"],"severity":"LOW"}}',),
-    ('{"id":"G-3","affected":[{"package":{"name":"q","ecosystem":"pypi"}}]}',),
-]
-ADVISORY_WANT = [("G-1", True, "CWE-89", "CVE-2020-1", "o/r@abcdef1234,o/r@fedcba9876"), ("G-2", False, None, None, ""), ("G-3", True, None, None, "")]
-
-SCANNED = [("s1",), ("s2",), ("s3",)]
-FINDINGS = [("/tmp/x/s1.py", "B608"), ("/tmp/x/s1.py", "B102"), ("/tmp/x/s1.py", "B608"), ("s2.py", "B101"), ("/tmp/x/other.py", "B608")]
-FINDINGS_WANT = [("s1", "CWE-89|CWE-94"), ("s2", ""), ("s3", "")]
-
-SARIF = [(1, ["security", "external/cwe/cwe-089", "external/cwe/cwe-564"]), (2, ["external/cwe/cwe-20"]), (3, ["external/cwe/cwe-078", "external/cwe/cwe-094"]), (4, [])]
-SARIF_WANT = [(1, "CWE-89"), (2, ""), (3, "CWE-78|CWE-94"), (4, "")]
-
-DIFFS = [
-    (1, "a.py", "--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,2 @@\n keep\n-old\n+new"),
-    (2, "tests/a.py", "@@\n-old\n+new"),
-    (3, "b.js", "@@\n-old\n+new"),
-    (4, "c.py", "@@\n same"),
-]
-DIFFS_WANT = [(1, "keep\nold", "keep\nnew")]
-
 GOLD_DDL = "tool string, variant string, sample_id string, ground_truth string, predicted array<string>"
 #: five records whose scores are published: macro F1 0.5, hierarchical accuracy 0.41667, kappa 0.16667, agreement 0.4
 GOLD = [
@@ -111,33 +30,3 @@ GOLD = [
     ("g", "clean", "d", "CWE-22", []),
     ("g", "clean", "e", "CWE-22", ["CWE-22"]),
 ]
-
-SLUGS = [(1, "CVE-2020-1", "GHSA-A", "x"), (2, "", "GHSA-B", "x"), (3, None, None, "x")]
-SLUGS_WANT = [(1, "cve-2020-1"), (2, "ghsa-b"), (3, "nocve-2d711642b726b044")]
-
-LABELLED_LINES = [("a", ["def f():\n", "    return eval(x)  # 30 or more\n"], [0, 3]), ("b", ["short"], [3]), ("c", ["y" * 40], [0]), ("d", ["z" * 40], [5])]
-LABELLED_WANT = [("a", "CWE-94"), ("d", "CWE-89")]
-
-SCANS = [('{"results": [{"filename": "/t/s1.py", "test_id": "B608", "line_number": 3}, {"filename": "/t/s2.py", "test_id": "B101"}]}',), ('{"results": []}',)]
-SCANS_WANT = [("/t/s1.py", "B608"), ("/t/s2.py", "B101")]
-SARIFS = [
-    ('{"runs": [{"tool": {"driver": {"rules": [{"id": "r1", "properties": {"tags": ["external/cwe/cwe-089"]}}, {"id": "r2", "properties": {"cwe": ["CWE-79", "CWE-20"]}}]}},'
-     '"results": [{"ruleId": "r1", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "s1.py"}}}]}, {"ruleId": "r2", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "s2.py"}}}]}]}]}',),
-]
-SARIFS_WANT = [("s1.py", "CWE-89"), ("s2.py", "CWE-79")]
-
-CVES = [("r1", "CVE-1"), ("r2", "CVE-2"), ("r3", None)]
-CVE_CLASSES = [("CVE-1", 1, "CWE-20"), ("CVE-1", 2, "CWE-79"), ("CVE-1", 3, "CWE-89"), ("CVE-2", 1, "CWE-20")]
-CVE_CLASSES_WANT = [("r1", "CWE-79"), ("r2", None), ("r3", None)]
-
-ISSUES = [("label CWE-1 not supported (false label?)",), ("plain issue",), ("a (b) c (d)",)]
-ISSUES_WANT = [("label CWE-1 not supported",), ("plain issue",), ("a",)]
-
-HINTS = [(1, "en", "A bug in Django", "x"), (2, "fr", "Un bug Django", "x"), (3, "en", "A bug in C", "https://pypi.org/p"), (4, "en", "none", "none")]
-HINTS_WANT = [(1, True), (2, False), (3, True), (4, False)]
-
-SCORES = [(1, [9.8], [8.0], [7.0]), (2, [], [8.1], [7.0]), (3, None, [], [6.4]), (4, None, None, None)]
-SCORES_WANT = [(1, 9.8), (2, 8.1), (3, 6.4), (4, None)]
-
-RECORDED = [(1, "a = 1\nb = run(x)\n", "run\\("), (2, "nothing", "run\\("), (3, "eval(x)", "(?i)EVAL")]
-RECORDED_WANT = [(1, 2), (2, None), (3, 1)]

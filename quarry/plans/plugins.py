@@ -1,4 +1,4 @@
-"""Queries over syntax-tree plug-ins and parsers; their results have no SQL, tests hold them against contracts."""
+"""Queries over syntax-tree plug-ins and parsers, which no SQL can state; tests hold them against contracts."""
 
 from __future__ import annotations
 
@@ -6,63 +6,59 @@ from pyspark.sql import functions as F
 
 from ..functions import syntax
 from ..operators import transforms
-from ..sources import relations as R
-from . import fixtures as S
+from .curation import code_rows
 from .registry import query
 
 
-def _snippets(spark):
-    rows = S.frame(spark, S.SNIPPET_DDL, S.SNIPPETS)
-    return rows.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), "code", "cwe", "path", F.lit("r").alias("repo"), F.lit(None).cast("string").alias("cve_id"), (F.col("cwe") == "safe").alias("is_hard_negative"))
+def _programs(spark, d):
+    return code_rows(spark, d).select("id", "doc_id", "code", "code_after", "cwe", "path", F.lit("r").alias("repo"), "cve_id", (F.col("cwe") == "safe").alias("is_hard_negative"))
 
 
 @query()
 def mutate_variants(spark, d):
-    return transforms.build_variants(_snippets(spark)).select("id", "variant", "variant_code", F.array_join("applied", "|").alias("applied"))
+    return transforms.build_variants(_programs(spark, d)).select("id", "variant", "variant_code", F.array_join("applied", "|").alias("applied"))
 
 
 @query()
 def variant_rates(spark, d):
-    return transforms.success_rates(transforms.build_variants(_snippets(spark)))
+    return transforms.success_rates(transforms.build_variants(_programs(spark, d)))
 
 
 @query()
 def epoch_augment(spark, d):
-    return transforms.augment(_snippets(spark), F.lit(3), holdout=("taint_through_dict",)).select("id", "variant_code", F.array_join("applied", "|").alias("applied"))
+    return transforms.augment(_programs(spark, d), F.lit(3), holdout=("taint_through_dict",)).select("id", "variant_code", F.array_join("applied", "|").alias("applied"))
 
 
 @query()
 def sanitize_hardneg(spark, d):
-    none = S.frame(spark, "parent_sample_id string", [("s12",)])
-    return transforms.hard_negatives(_snippets(spark), none)
+    rows = _programs(spark, d)
+    return transforms.hard_negatives(rows, rows.filter("doc_id % 10 = 0").select(F.col("id").alias("parent_sample_id")))
 
 
 @query()
 def changed_lines(spark, d):
-    rows = S.frame(spark, "id int, before string, after string", S.PAIRS)
-    return rows.select("id", F.explode(syntax.changed_lines_udf("before", "after")).alias("x")).select("id", "x.op", "x.text")
+    return _programs(spark, d).select("id", F.explode(syntax.changed_lines_udf("code", "code_after")).alias("x")).select("id", "x.op", "x.text")
 
 
 @query()
 def calls(spark, d):
-    spark.udtf.register("quarry_calls", syntax.calls_table())
-    _snippets(spark).createOrReplaceTempView("_snippets")
-    return spark.sql("SELECT s.id, c.call, c.line FROM _snippets s, LATERAL quarry_calls(s.code) c")
+    """Every call of every program, by a table function."""
+    from uuid import uuid4
 
-
-@query()
-def locate_sink(spark, d):
-    rows = _snippets(spark)
-    return rows.select("id", syntax.locate_udf("code", "cwe", F.when(F.col("id") == "s1", "execute")).alias("x")).select("id", "x.line", "x.pattern")
+    name = f"quarry_{uuid4().hex}"
+    spark.udtf.register(name, syntax.calls_table())
+    _programs(spark, d).select("id", "code").createOrReplaceTempView(f"{name}_rows")
+    return spark.sql(f"SELECT s.id, c.call, c.line FROM {name}_rows s, LATERAL {name}(s.code) c")
 
 
 @query()
-def routes(spark, d):
-    code = "@app.route('/x')\ndef x():\n    return 1\n\n@cache\ndef y():\n    return 2\n"
-    return S.frame(spark, "id int, code string", [(1, code), (2, "def (")]).select("id", F.explode_outer(syntax.routes_udf("code")).alias("route"))
+def locate_sink(spark, d):
+    """The line of a recorded pattern, or of the first one of the class's catalogue."""
+    found = syntax.locate_udf("code", "cwe", F.when(F.col("doc_id") % 3 == 0, "execute").when(F.col("doc_id") % 7 == 0, "(broken"))
+    return _programs(spark, d).select("id", found.alias("x")).select("id", "x.line", "x.pattern")
 
 
 @query()
 def redact_credentials(spark, d):
-    rows = S.frame(spark, "id int, code string", [(1, "import re\nDB_PASSWORD = 'Abc123!long'\n"), (2, "x = 1\n")])
-    return rows.select("id", syntax.redact_udf("code").alias("code"))
\ No newline at end of file
+    secret = F.concat(F.lit("import re\nDB_PASSWORD = 'Abc"), F.col("doc_id").cast("string"), F.lit("!long'\n"), F.col("code"))
+    return _programs(spark, d).select("id", syntax.redact_udf(F.when(F.col("doc_id") % 2 == 0, secret).otherwise(F.col("code"))).alias("code"))
