@@ -237,7 +237,7 @@ def _sets(batches, n: int):
 
 
 def _tokens(batches, n: int, percent: int, heavy):
-    """(gid, fp, first, light, codes) of each asked set: the length of its prefix, the number of its light shingles, these, and behind them those frequent ones that its prefix has in any case."""
+    """(gid, fp, slack, codes, rest) of each asked set: the length of its prefix less the number of its light shingles, these, and those frequent ones that its prefix has in any case."""
     common = heavy.value
     for part, data, offsets in text_slices(batches, "text"):
         code, row, sizes = shingle_sets(data, offsets, n)
@@ -252,13 +252,9 @@ def _tokens(batches, n: int, percent: int, heavy):
         behind = row[~light]
         order = np.arange(len(behind)) - np.searchsorted(behind, behind)
         rest = order < (first - many)[behind]
-        kept = light.copy()
-        kept[~light] = rest
-        named = np.flatnonzero(kept)
-        named = named[np.lexsort((~light[named], row[named]))]
-        lists = long_lists(code[named].view(np.int64), np.bincount(row[named], minlength=len(sizes)))
-        out = [part.column(part.schema.get_field_index("gid")), pa.array(asked), pa.array(first), pa.array(many), lists]
-        yield pa.RecordBatch.from_arrays(out, ["gid", "fp", "first", "light", "codes"]).filter(pa.array(right))
+        lists = [long_lists(code[light].view(np.int64), many), long_lists(code[~light][rest].view(np.int64), np.bincount(behind[rest], minlength=len(sizes)))]
+        out = [part.column(part.schema.get_field_index("gid")), pa.array(asked), pa.array((first - many).astype(np.int32)), *lists]
+        yield pa.RecordBatch.from_arrays(out, ["gid", "fp", "slack", "codes", "rest"]).filter(pa.array(right))
 
 
 class Region:
@@ -459,19 +455,24 @@ def _asked(first: DataFrame, regions: DataFrame) -> DataFrame:
 
 def _rarest(texts: DataFrame, n: int, percent: int, heavy) -> DataFrame:
     """(node, root) of the sets that share one of their rarest shingles with others of their group. texts: gid, fp, text."""
-    sets = texts.mapInArrow(partial(_tokens, n=n, percent=percent, heavy=heavy), "gid long, fp long, first long, light long, codes array<long>")
-    found = sets.select("gid", "fp", "first", "light", F.posexplode("codes").alias("pos", "code")).withColumn("rest", F.col("pos") >= F.col("light"))
-    found = found.withColumn("part", F.when(F.col("rest"), F.pmod(F.xxhash64("fp"), F.lit(REST_PARTS))).otherwise(0))
-    found = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gid", "code", "part"))).filter("n > 1 or rest")
+    sets = texts.mapInArrow(partial(_tokens, n=n, percent=percent, heavy=heavy), "gid long, fp long, slack int, codes array<long>, rest array<long>")
+    both = F.concat(F.transform("codes", lambda c: F.struct(c.alias("code"), F.lit(False).alias("rest"))), F.transform("rest", lambda c: F.struct(c.alias("code"), F.lit(True).alias("rest"))))
+    # rows are as narrow as can be: a set is in one group, so that its name stands for both, and so does a hash of group and shingle
+    found = sets.select("gid", "fp", "slack", F.explode(both).alias("c"))
+    part = F.when(F.col("c.rest"), F.pmod(F.xxhash64("fp"), F.lit(REST_PARTS)) + 1).otherwise(0)
+    found = found.select(F.xxhash64("gid", "c.code", part).alias("key"), "fp", F.when(~F.col("c.rest"), F.col("slack")).alias("slack"), F.when(F.col("c.rest"), F.xxhash64("gid", "c.code")).alias("whole"))
+    found = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1 or slack is null")
     # light shingles that are in one set alone come first and link nothing
-    own = Window.partitionBy("gid", "fp")
-    found = found.withColumn("at", F.col("light") - F.count_if(~F.col("rest")).over(own) + F.row_number().over(own.orderBy("rest", "n", "code"))).filter("rest or at <= first")
-    names = found.select("gid", "fp", "code", F.when(F.col("rest"), F.lit(REST_PARTS)).when(F.col("n") > CHAIN_ROWS, F.ceil(F.col("n") / CHAIN_ROWS)).otherwise(1).alias("parts"))
+    own = Window.partitionBy("fp")
+    rank = F.row_number().over(own.orderBy(F.col("slack").isNull(), "n", "key")) - F.count("slack").over(own)
+    found = found.withColumn("at", rank).filter("slack is null or at <= slack")
+    parts = F.when(F.col("slack").isNull(), F.lit(REST_PARTS)).when(F.col("n") > CHAIN_ROWS, F.ceil(F.col("n") / CHAIN_ROWS)).otherwise(1)
+    names = found.select("fp", F.coalesce("whole", "key").alias("code"), parts.alias("parts"))
     names = names.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     # sets of one name are chained in parts, and the first sets of the parts then
-    within = Window.partitionBy("gid", "code", "part").orderBy("fp")
-    chained = cut(names.select("gid", "code", "parts", F.col("fp").alias("u"), F.lag("fp").over(within).alias("v")).filter("v is not null or parts > 1"))
-    heads = chained.filter("v is null").select("u", F.lag("u").over(Window.partitionBy("gid", "code").orderBy("u")).alias("v"))
+    within = Window.partitionBy("code", "part").orderBy("fp")
+    chained = cut(names.select("code", "parts", F.col("fp").alias("u"), F.lag("fp").over(within).alias("v")).filter("v is not null or parts > 1"))
+    heads = chained.filter("v is null").select("u", F.lag("u").over(Window.partitionBy("code").orderBy("u")).alias("v"))
     return components(chained.select("u", "v").unionByName(heads).filter("v is not null"))
 
 
