@@ -325,3 +325,14 @@ CREDENTIAL_NAMES = {
     "token": "TOKEN", "client_secret": "CLIENT_SECRET", "private_key": "PRIVATE_KEY", "aws_secret": "AWS_SECRET_ACCESS_KEY", "aws_access": "AWS_ACCESS_KEY_ID",
 }
 CREDENTIAL_DEFAULT = "SECRET"
+
+# Other names that a renamed variable may get.
+SYNONYMS = {
+    "user": ["visitor", "login_user"], "username": ["user_label", "login_name"], "password": ["pass_text", "pw"], "name": ["caption", "given_name"], "uid": ["user_no", "user_key"],
+    "query": ["statement", "sql_text"], "sql": ["statement", "query_text"], "cursor": ["cur_handle", "db_cursor"], "conn": ["db_link", "connection"], "rows": ["records", "found_rows"], "row": ["record", "entry"],
+    "cmd": ["command", "shell_line"], "command": ["cmd_text", "instruction"], "args": ["arguments", "arg_list"], "output": ["printed", "out_text"],
+    "path": ["location", "file_path"], "filename": ["file_label", "source_file"], "f": ["handle", "stream"], "fp": ["handle", "stream"],
+    "url": ["address", "link"], "host": ["server_name", "machine"], "response": ["answer", "reply"], "resp": ["answer", "reply"], "data": ["content", "blob"], "payload": ["body", "message"], "raw": ["source_bytes", "unparsed"],
+    "result": ["outcome", "produced"], "value": ["amount", "held"], "key": ["lookup_key", "slot"], "item": ["element", "piece"], "items": ["elements", "pieces"], "text": ["words", "passage"], "msg": ["note", "message"],
+    "i": ["position", "at"], "n": ["number", "how_many"], "x": ["value_x", "left_side"], "y": ["value_y", "right_side"],
+}

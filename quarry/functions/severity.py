@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -13,10 +13,13 @@ KEYS = list(K.CVSS_LETTERS)
 
 
 def parts(vector: Column) -> dict[str, Column]:
-    """One metric's letter(s) each; of a repeated metric the last counts."""
-    fields = F.split(vector, "/")
-    last = lambda k: F.try_element_at(F.filter(fields, lambda x: F.startswith(x, F.lit(k + ":"))), F.lit(-1))
-    return {k: F.substring(last(k), len(k) + 2, 100) for k in KEYS}
+    """One metric's letter(s) each, null without any; of a repeated metric the last counts."""
+    return {k: F.nullif(F.regexp_extract(vector, f"(?:.*/|^){k}:([^/]*)", 1), F.lit("")) for k in KEYS}
+
+
+def with_parts(df: DataFrame, vector: str, prefix: str = "_m") -> tuple[DataFrame, dict[str, Column]]:
+    """df with a column for each metric of a vector, and these columns, so that what uses them often reads the vector once."""
+    return df.withColumns({f"{prefix}{k}": v for k, v in parts(F.col(vector)).items()}), {k: F.col(f"{prefix}{k}") for k in KEYS}
 
 
 def words(vector: Column) -> dict[str, Column]:
@@ -24,9 +27,9 @@ def words(vector: Column) -> dict[str, Column]:
     return {k: F.try_element_at(F.create_map(*(F.lit(x) for kv in K.CVSS_WORDS[k].items() for x in kv)), v) for k, v in parts(vector).items()}
 
 
-def is_whole(vector: Column) -> Column:
-    """Whether it is a 3.0 or 3.1 vector with a valid letter for every metric."""
-    fine = [F.coalesce(v.isin(*K.CVSS_LETTERS[k]), F.lit(False)) for k, v in parts(vector).items()]
+def is_whole(vector: Column, letters: dict[str, Column] | None = None) -> Column:
+    """Whether it is a 3.0 or 3.1 vector with a valid letter for every metric; letters: its parts, if they are columns already."""
+    fine = [F.coalesce(v.isin(*K.CVSS_LETTERS[k]), F.lit(False)) for k, v in (letters or parts(vector)).items()]
     return F.coalesce(vector.rlike(r"^CVSS:3\.[01]/"), F.lit(False)) & reduce(lambda a, b: a & b, fine)
 
 
@@ -50,9 +53,9 @@ def base_score(letters: dict[str, Column]) -> Column:
     return F.when(impact <= 0, F.lit(0.0)).otherwise(F.ceil(raw * 10) / F.lit(10.0))
 
 
-def vector_score(vector: Column) -> Column:
+def vector_score(vector: Column, letters: dict[str, Column] | None = None) -> Column:
     """The score of a whole vector, else null."""
-    return F.when(is_whole(vector), base_score(parts(vector)))
+    return F.when(is_whole(vector, letters), base_score(letters or parts(vector)))
 
 
 def lenient_score(vector: Column) -> Column:
@@ -68,11 +71,11 @@ def band(score: Column) -> Column:
     return F.when(score >= 9, "CRITICAL").when(score >= 7, "HIGH").when(score >= 4, "MEDIUM").when(score.isNotNull(), "LOW")
 
 
-def target(vector: Column, score: Column, severity: Column, confidence: Column) -> dict[str, Column]:
+def target(vector: Column, score: Column, severity: Column, confidence: Column, letters: dict[str, Column] | None = None) -> dict[str, Column]:
     """Score, where it is from, confidence and loss weight of a regression target."""
-    whole, own, mid = is_whole(vector), score.isNotNull(), midpoint(severity)
+    whole, own, mid = is_whole(vector, letters), score.isNotNull(), midpoint(severity)
     origin = F.when(whole & own, "advisory").when(whole, "computed_from_vector").when(own, "advisory_score_only").when(mid.isNotNull(), "band_midpoint").otherwise("missing")
-    value = F.coalesce(score, vector_score(vector), mid)
+    value = F.coalesce(score, vector_score(vector, letters), mid)
     sure = F.when(origin == "missing", "low").when((origin == "band_midpoint") & (confidence == "high"), "medium").otherwise(confidence)
     weight = F.when(origin == "missing", 0.0).otherwise(_weight(sure, K.CONFIDENCE_WEIGHTS))
     return {"score": value, "score_source": origin, "confidence": sure, "loss_weight": weight}

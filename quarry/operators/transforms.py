@@ -8,6 +8,7 @@ text stays as it was; otherwise it is what ast.unparse() writes.
 from __future__ import annotations
 
 import ast
+import functools
 import hashlib
 import random
 from collections.abc import Callable
@@ -141,18 +142,30 @@ def _string_split(fn, rng):
                 skip |= {id(x) for x in ast.walk(getattr(node, a))}
         if isinstance(node, ast.JoinedStr):
             skip |= {id(x) for x in node.values}
+        if isinstance(node, ast.FormattedValue) and node.format_spec is not None:
+            skip.add(id(node.format_spec))
         if isinstance(node, ast.MatchValue):
             skip |= {id(x) for x in ast.walk(node)}
 
+    def long(x):
+        return isinstance(x, ast.Constant) and isinstance(x.value, str) and len(x.value) >= 6
+
+    def pieces(x):
+        """A long literal in pieces; a formatted value as a string of its own, so that its format stays."""
+        if isinstance(x, ast.FormattedValue):
+            return [ast.JoinedStr([x])]
+        if not long(x):
+            return [x]
+        cuts = sorted(rng.sample(range(1, len(x.value)), min(3, rng.randint(1, 3))))
+        return [ast.Constant(x.value[a:b]) for a, b in zip([0, *cuts], [*cuts, None], strict=True)]
+
     def edit(node):
-        if isinstance(node, ast.Constant) and isinstance(node.value, str) and len(node.value) >= 6 and id(node) not in skip:
-            cuts = sorted(rng.sample(range(1, len(node.value)), min(3, rng.randint(1, 3))))
-            pieces = [node.value[a:b] for a, b in zip([0, *cuts], [*cuts, None], strict=True)]
-            out = ast.Constant(pieces[0])
-            for p in pieces[1:]:
-                out = ast.BinOp(out, ast.Add(), ast.Constant(p))
-            return out
-        return None
+        if id(node) in skip:
+            return None
+        values = node.values if isinstance(node, ast.JoinedStr) else [node]
+        if not any(map(long, values)):
+            return None
+        return functools.reduce(lambda a, b: ast.BinOp(a, ast.Add(), b), [p for v in values for p in pieces(v)])
 
     return _edit(fn, edit, 8)
 
@@ -170,9 +183,11 @@ def _variable_rename(fn, rng):
     used = {n.id for n in ast.walk(fn) if isinstance(n, ast.Name)} | fixed | inner
     new = {}
     for name in chosen:
-        i = 0
-        while (to := f"var_{seed_of(name, i) % 10_000}") in used:
+        alike = [x for x in K.SYNONYMS.get(name, K.SYNONYMS.get(name.lower(), ())) if x not in used]
+        to, i = rng.choice(alike) if alike else f"var_{seed_of(name, 0) % 10_000}", 0
+        while to in used:
             i += 1
+            to = f"var_{seed_of(name, i) % 10_000}"
         used.add(to)
         new[name] = to
     for n in ast.walk(fn):

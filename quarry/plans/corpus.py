@@ -106,8 +106,8 @@ targets AS (SELECT id, score, score_source, confidence, CASE WHEN score_source =
 
 
 def _targets(spark, d):
-    rows = R.cvss_rows(spark, d)
-    t = V.target(F.col("cvss_vector"), F.col("cvss_score"), F.col("cvss_severity"), F.col("label_confidence"))
+    rows, letters = V.with_parts(R.cvss_rows(spark, d), "cvss_vector")
+    t = V.target(F.col("cvss_vector"), F.col("cvss_score"), F.col("cvss_severity"), F.col("label_confidence"), letters)
     return rows.select("id", *(c.alias(k) for k, c in t.items()))
 
 
@@ -118,8 +118,8 @@ def cvss_targets(spark, d):
 
 @query(f"""WITH {TARGET_SQL} SELECT score_source, confidence, count(*) AS n, count(score) AS with_score, round(avg(loss_weight), 6) AS mean_weight FROM targets GROUP BY GROUPING SETS ((score_source), (confidence), ())""")
 def cvss_summary(spark, d):
-    _targets(spark, d).createOrReplaceTempView("_targets")
-    return spark.sql("SELECT score_source, confidence, count(*) AS n, count(score) AS with_score, round(avg(loss_weight), 6) AS mean_weight FROM _targets GROUP BY GROUPING SETS ((score_source), (confidence), ())")
+    sets = _targets(spark, d).groupingSets([["score_source"], ["confidence"], []], "score_source", "confidence")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("with_score"), F.round(F.avg("loss_weight"), 6).alias("mean_weight"))
 
 
 @query(f"WITH {TARGET_SQL} SELECT id, CASE WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM' WHEN score IS NOT NULL THEN 'LOW' END AS band FROM targets")

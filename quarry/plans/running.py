@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import code_hash
 from ..sources import relations as R
 from ..streaming import incremental
 from .registry import query
@@ -28,15 +29,11 @@ def fill_missing(spark, d):
     return incremental.fill_missing(samples, p.select("sample_id", "predicted")).select("sample_id", F.array_join("predicted", "|").alias("predicted"))
 
 
-@query("""SELECT doc_id FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 1 AND k.text = d.text)
-QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
+@query("""SELECT DISTINCT substr(sha256(text), 1, 16) AS content_hash FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 1 AND k.text = d.text)""")
 def incremental_ingest(spark, d):
-    from ..functions.text import code_hash
-    from ..operators.curate import keep_first
-
+    """Contents of a new half of the documents that the other half has not, once each."""
     docs = R.read(spark, d, "documents").select("doc_id", code_hash(F.col("text")).alias("content_hash"))
-    fresh = docs.filter("doc_id % 2 = 0").join(docs.filter("doc_id % 2 = 1").select("content_hash"), "content_hash", "left_anti")
-    return keep_first(fresh, F.col("content_hash"), ["doc_id"]).filter("kept").select("doc_id")
+    return incremental.new_rows(docs.filter("doc_id % 2 = 0").select("content_hash"), docs.filter("doc_id % 2 = 1"), "content_hash")
 
 
 @query("SELECT date_trunc('day', ts)::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -136,3 +136,29 @@ def test_differences_and_redaction():
     assert syntax.changed_lines("a\nb\n", "a\nc\n") == [{"op": "removed", "text": "b"}, {"op": "added", "text": "c"}]
     assert "os.environ['API_KEY']" in syntax.redact("api_key = 'abcdefgh1234'\n")
     assert random.Random(T.seed_of("a", 1)).random() == random.Random(T.seed_of("a", 1)).random()
+
+
+def test_formatted_strings_are_split_and_mean_the_same():
+    code = "def f(x, y):\n    a = f'SELECT * FROM t WHERE n = {x!r:>8} AND m = {y}'\n    return a + f'{x:{y}}' + f'ab{x}'\n"
+    want = {}
+    exec(code, want)
+    seen = set()
+    for seed in range(6):
+        out, applied, _ = T.mutate(code, ["string_split"], seed)
+        got = {}
+        exec(out, got)
+        assert applied == ["string_split"] and got["f"](7, 3) == want["f"](7, 3) and "SELECT * FROM t WHERE n = " not in out
+        seen.add(out)
+    assert len(seen) > 1
+
+
+def test_renamed_variables_get_other_words():
+    code = "def f(a):\n    query = a + 1\n    zz = query * 2\n    statement = zz\n    return query + zz + statement\n"
+    names = set()
+    for seed in range(12):
+        out, applied, _ = T.mutate(code, ["variable_rename"], seed)
+        got = {}
+        exec(out, got)
+        assert got["f"](5) == 30
+        names |= {n.id for n in ast.walk(ast.parse(out)) if isinstance(n, ast.Name)}
+    assert names & {"sql_text"} and any(n.startswith("var_") for n in names)
