@@ -336,3 +336,17 @@ SYNONYMS = {
     "result": ["outcome", "produced"], "value": ["amount", "held"], "key": ["lookup_key", "slot"], "item": ["element", "piece"], "items": ["elements", "pieces"], "text": ["words", "passage"], "msg": ["note", "message"],
     "i": ["position", "at"], "n": ["number", "how_many"], "x": ["value_x", "left_side"], "y": ["value_y", "right_side"],
 }
+
+# Names of calls that transforms look for first, by class.
+SINK_CALLS = {
+    "CWE-89": ["execute", "executemany", "executescript", "raw", "text", "filter"],
+    "CWE-78": ["system", "popen", "run", "call", "check_output", "Popen"],
+    "CWE-22": ["open", "send_file", "send_from_directory"],
+    "CWE-79": ["Markup", "mark_safe", "render_template_string"],
+    "CWE-94": ["eval", "exec", "compile", "import_module"],
+    "CWE-918": ["get", "post", "put", "patch", "delete", "head", "request", "urlopen", "Request"],
+    "CWE-502": ["loads", "load", "full_load", "unsafe_load"],
+}
+
+# The label that a loss leaves out.
+IGNORE_INDEX = -100

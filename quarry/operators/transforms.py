@@ -198,7 +198,7 @@ def _variable_rename(fn, rng):
     return len(new)
 
 
-SINK_NAMES = {"execute", "executemany", "raw", "system", "popen", "run", "call", "Popen", "check_output", "open", "send_file", "loads", "load", "eval", "exec", "get", "post", "urlopen", "Markup", "mark_safe", "render_template_string"}
+SINK_NAMES = {name for names in K.SINK_CALLS.values() for name in names}
 
 
 @_mutator("wrapper_extraction")

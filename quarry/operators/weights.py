@@ -93,3 +93,39 @@ def supcon_loss(rows: DataFrame, temperature: float = 0.07) -> DataFrame:
     by = pairs.groupBy("batch", "id").agg(F.max("s").alias("top"))
     parts = pairs.join(by, ["batch", "id"]).groupBy("batch", "id", "top").agg(F.ln(F.sum(F.exp(F.col("s") - F.col("top")))).alias("log"), F.avg(F.when(F.col("same"), F.col("s"))).alias("mean"))
     return parts.filter("mean is not null").groupBy("batch").agg(F.avg(F.col("log") + F.col("top") - F.col("mean")).alias("loss"))
+
+
+def training_examples(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """sample_id, class_index, sub_labels, cvss_score, loss_weight, is_hard_negative of rows (id, cwe, content_hash, is_hard_negative).
+
+    targets (key, letters: struct of metric letters or null, score, loss_weight) are looked up by content hash, or by id for rows without one. A class that is not known is safe; a metric without a valid
+    letter has IGNORE_INDEX, a missing score is NaN, a missing weight 0.
+    """
+    found = rows.withColumn("key", F.coalesce(F.nullif("content_hash", F.lit("")), "id")).join(targets, "key", "left")
+    place = lambda k, letters: F.when(F.length(F.col(f"letters.{k}")) == 1, F.nullif(F.instr(F.lit(letters), F.col(f"letters.{k}")), F.lit(0)) - 1)
+    labels = F.array(*(F.coalesce(place(k, v), F.lit(K.IGNORE_INDEX)).cast("int") for k, v in K.CVSS_LETTERS.items()))
+    out = feature_rows(found)
+    score, weight = F.coalesce("score", F.lit(float("nan"))), F.coalesce("loss_weight", F.lit(0.0))
+    return out.select(F.col("id").alias("sample_id"), "class_index", labels.alias("sub_labels"), score.alias("cvss_score"), weight.alias("loss_weight"), F.coalesce("is_hard_negative", F.lit(False)).alias("is_hard_negative"))
+
+
+def draws_with_replacement(df: DataFrame, draws: int, seed: int, key: str = "id", weight: str = "weight") -> DataFrame:
+    """key, times: how often each row is drawn in as many independent draws by weight; rows that are never drawn, and those without a key or a positive weight, are left out.
+
+    Weights are summed up in the order of hashed keys, by ranges of hashes first; a draw is a hashed point, and points and rows meet in cells of the whole length.
+    """
+    rows = df.filter(F.col(key).isNotNull() & (F.col(weight) > 0)).select(F.col(key).alias("id"), F.col(weight).cast("double").alias("w"), F.sha2(F.col(key).cast("string"), 256).alias("h"))
+    rows = rows.withColumn("range", F.substring("h", 1, 3))
+    sums = rows.groupBy("range").agg(F.sum("w").alias("s"))
+    before = sums.select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("before"))
+    total = sums.agg(F.sum("s")).first()[0]
+    if not total or draws < 1:
+        return rows.limit(0).select(F.col("id").alias(key), F.lit(0).cast("long").alias("times"))
+    near = Window.partitionBy("range").orderBy("h", "id")
+    placed = rows.join(F.broadcast(before), "range").withColumn("hi", F.col("before") + F.sum("w").over(near)).withColumn("lo", F.col("hi") - F.col("w"))
+    cell = total / max(1, draws // 256)
+    spans = placed.select("id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))).alias("cell"))
+    point = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("j").cast("string")), 256), 1, 13), 16, 10).cast("double") / float(16**13) * total
+    points = df.sparkSession.range(draws).select(F.col("id").alias("j")).select("j", point.alias("u")).withColumn("cell", F.floor(F.col("u") / cell))
+    hit = points.join(spans, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("times")).select(F.col("id").alias(key), "times")

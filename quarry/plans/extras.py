@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
+from ..functions import severity as V
 from ..functions import text as X
 from ..operators import advisory, metrics, split, weights
 from ..sources import relations as R
+from ..sources import snippets as C
+from ..sources import tables
 from .registry import query
 
 WITH = "WITH " + R.SAMPLES_SQL
@@ -71,3 +75,55 @@ def tree_ancestors(spark, d):
     """How many ancestors each class of the tree has, by a recursive query."""
     up = metrics.tree_closure(spark).filter("up > 0")
     return up.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("n_up"))
+
+
+# training tables
+
+
+LETTERS_SQL = ", ".join(f"CASE WHEN w THEN coalesce(nullif(strpos('{v}', regexp_extract(cvss_vector, '(^|/){k}:([A-Z])', 2)), 0) - 1, {K.IGNORE_INDEX}) ELSE {K.IGNORE_INDEX} END" for k, v in K.CVSS_LETTERS.items())
+
+
+@query(f"""WITH {C.SNIPPETS_SQL}, {R.CVSS_SQL}, t AS (SELECT replace(id, 'order_', 'doc_') AS key, cvss_vector, coalesce(length(cvss_vector) > 30, false) AS w, cvss_score FROM v_cvss),
+r AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN substr(sha256(code), 1, 16) ELSE id END AS key FROM v_snippets)
+SELECT r.id AS sample_id, list_position({R._list(K.LABELS)}, cwe)::INT - 1 AS class_index, array_to_string(CASE WHEN t.key IS NULL THEN list_transform(range(8), lambda x: {K.IGNORE_INDEX}) ELSE [{LETTERS_SQL}] END, ',') AS sub_labels,
+coalesce(cvss_score, 'nan'::DOUBLE) AS cvss_score, CASE WHEN t.key IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS loss_weight, is_hard_negative FROM r LEFT JOIN t ON t.key = r.key""")
+def training_examples(spark, d):
+    """Class index, labels of the eight metrics, score and weight of each program; a third is looked up by a content hash that has no target."""
+    rows = C.snippets(spark, d)
+    rows = rows.select("id", "cwe", "is_hard_negative", F.when(F.col("doc_id") % 3 == 0, X.code_hash(F.col("code"))).alias("content_hash"))
+    scored, letters = V.with_parts(R.cvss_rows(spark, d), "cvss_vector")
+    whole = V.is_whole(F.col("cvss_vector"), letters)
+    targets = scored.select(F.replace("id", F.lit("order_"), F.lit("doc_")).alias("key"), F.when(whole, F.struct(*(v.alias(k) for k, v in letters.items()))).alias("letters"), F.col("cvss_score").alias("score"), F.lit(0.5).alias("loss_weight"))
+    return weights.training_examples(rows, targets).withColumn("sub_labels", F.array_join(F.transform("sub_labels", lambda x: x.cast("string")), ","))
+
+
+@query("SELECT vec_id AS id, round(0.5 * exp(-(embedding[1]::DOUBLE)) * pow(label - embedding[2]::DOUBLE, 2) + 0.5 * embedding[1]::DOUBLE, 6) AS nll FROM embeddings WHERE embedding IS NOT NULL")
+def gaussian_losses(spark, d):
+    """Heteroscedastic losses with the first component as log variance and the second as mean."""
+    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return R.read(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.round(weights.nll(v(1), v(0), F.col("label")), 6).alias("nll"))
+
+
+@query(f"""{WITH}, w AS (SELECT id, [1.0, 2.0, 4.0, 8.0][(doc_id % 4 + 1)::INT]::DOUBLE AS weight FROM v_samples), c AS (SELECT id, weight, sum(weight) OVER (ORDER BY sha256(id), id) AS hi FROM w),
+d AS (SELECT ('0x' || substr(sha256('7:' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (SELECT sum(weight) FROM w) AS u FROM (SELECT unnest(range(2000)) AS j))
+SELECT id, count(*) AS times FROM c JOIN d ON u >= hi - weight AND u < hi GROUP BY id""")
+def balanced_draws(spark, d):
+    """2000 draws with replacement by weight."""
+    weight = F.element_at(F.array(*map(F.lit, [1.0, 2.0, 4.0, 8.0])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return weights.draws_with_replacement(R.samples(spark, d, False).select("id", weight.alias("weight")), 2000, 7)
+
+
+# projected scans
+
+
+@query(f"{WITH} SELECT id, cwe, repo, framework, source, is_hard_negative, parent_sample_id FROM v_samples")
+def split_inputs(spark, d):
+    """The columns that a split needs; no text is read."""
+    return tables.split_inputs(R.samples(spark, d))
+
+
+@query(f"WITH {C.SNIPPETS_SQL} SELECT id, substr(sha256(code), 1, 16) AS content_hash, cwe, cve_id FROM v_snippets WHERE cve_id IS NOT NULL AND cve_id <> '' AND cwe NOT IN ('safe', '')")
+def enrichable_rows(spark, d):
+    """Rows that have a class and an advisory."""
+    rows = C.snippets(spark, d).withColumn("content_hash", X.code_hash(F.col("code")))
+    return tables.present(rows, ["cve_id", "cwe"]).filter("cwe <> 'safe'").select("id", "content_hash", "cwe", "cve_id")

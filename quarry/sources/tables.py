@@ -59,9 +59,20 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("sample_id is not null").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
 
 
-def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    """json of each advisory file in a tree; see operators.advisory.parse."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumnRenamed("value", "json")
+def present(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a value, not null and not empty, in each of the columns."""
+    return rows.filter(" and ".join(f"`{c}` is not null and `{c}` <> ''" for c in columns)) if columns else rows
+
+
+def split_inputs(rows: DataFrame) -> DataFrame:
+    """What a split needs of rows with an id; rows that do not say so are no hard negatives."""
+    rows = rows.filter("id is not null and id <> ''")
+    return rows.select("id", "cwe", "repo", "framework", "source", F.coalesce("is_hard_negative", F.lit(False)).alias("is_hard_negative"), "parent_sample_id")
+
+
+def config_inputs(rows: DataFrame) -> DataFrame:
+    """What class weights and severity targets need of rows with an id."""
+    return rows.filter("id is not null and id <> ''").select("id", "content_hash", "cwe", "split", "cvss_score", "cvss_severity", "cvss_vector", "label_confidence")
 
 
 def read_first(readers: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[str, DataFrame]:

@@ -80,3 +80,46 @@ def test_unknown_detectors_and_broken_reports(spark):
     assert got == {"a": ["CWE-89"], "b": []}
     with pytest.raises(ValueError):
         detectors.records(samples, reports, "other", "1")
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    from quarry.sources import tables
+
+    rows = [(f"r{i}", "CWE-94" if i % 2 else "CWE-89", "s", "a.py", f"x = eval(a)\ny = {i}\n", f"x = int(a)\ny = {i}\n", False, None) for i in range(6)]
+    triples = stages.export_triples(spark.createDataFrame(rows, ROW))
+    tables.write_export(triples, str(tmp_path / "out"))
+    back = {(r["cwe"], r["folder_index"]): (r["id"], r["snippet"], r["sink_lines"]) for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert back["CWE-94", 1] == ("r1", "x = eval(a)", [1]) and back["CWE-89", 3] == ("r4", "x = eval(a)", []) and len(back) == 6
+
+
+def test_projected_inputs(spark):
+    from quarry.sources import tables
+
+    rows = tables.canonical(spark.createDataFrame([("a", "CWE-89", "x = 1"), ("", "CWE-89", "x"), (None, None, None)], "id string, cwe string, code_before string"))
+    assert [r["id"] for r in tables.split_inputs(rows).collect()] == ["a"] and tables.config_inputs(rows).count() == 1
+    assert tables.present(rows, ["id", "cwe"]).count() == 1 and tables.present(rows, []).count() == 3
+
+
+def test_sampled_rows_follow_their_weights(spark):
+    from quarry.operators import weights
+
+    rows = [(f"i{n}", float(n % 3)) for n in range(300)] + [("heavy", 600.0), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "id string, weight double")
+    got = {r["id"]: r["times"] for r in weights.draws_with_replacement(df, 6000, 5).collect()}
+    assert sum(got.values()) == 6000 and "none" not in got and not any(k and k != "heavy" and int(k[1:]) % 3 == 0 for k in got)
+    assert abs(got["heavy"] - 6000 * 600 / 900) < 150
+    assert got == {r["id"]: r["times"] for r in weights.draws_with_replacement(df.repartition(7), 6000, 5).collect()}
+    assert weights.draws_with_replacement(df.limit(0), 10, 1).collect() == [] and weights.draws_with_replacement(df, 0, 1).collect() == []
+
+
+def test_training_examples_without_targets(spark):
+    import math
+
+    from quarry.operators import weights
+
+    rows = spark.createDataFrame([("a", "CWE-502", None, None), ("b", "other", "h", True)], "id string, cwe string, content_hash string, is_hard_negative boolean")
+    letters = "AV string, AC string, PR string, UI string, S string, C string, I string, A string"
+    targets = spark.createDataFrame([("h", ("N", "H", "X", None, "C", "N", "", "H"), 9.5, 0.3)], f"key string, letters struct<{', '.join(x.replace(' ', ':') for x in letters.split(', '))}>, score double, loss_weight double")
+    got = {r["sample_id"]: r for r in weights.training_examples(rows, targets).collect()}
+    assert got["b"]["sub_labels"] == [0, 1, -100, -100, 1, 0, -100, 2] and got["b"]["class_index"] == 7 and got["b"]["cvss_score"] == 9.5 and got["b"]["is_hard_negative"]
+    assert got["a"]["sub_labels"] == [-100] * 8 and math.isnan(got["a"]["cvss_score"]) and got["a"]["loss_weight"] == 0.0 and got["a"]["class_index"] == 6
