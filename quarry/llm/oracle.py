@@ -79,3 +79,44 @@ full_epochs AS (SELECT doc_id, domain, lang, source, unnest(generate_series(0, w
 o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY l3 ORDER BY sha256('{seed}:' || whole::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WHERE rest > 0)
 SELECT doc_id, domain, lang, source, epoch::BIGINT AS epoch, n_tokens, used_tokens::BIGINT AS used_tokens FROM full_epochs
 UNION ALL SELECT doc_id, domain, lang, source, whole::BIGINT, n_tokens, least(n_tokens, rest - before)::BIGINT FROM o WHERE before < rest"""
+
+
+def _vector_codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Codebooks of vector parts: nearest entries, then integer means, again and again."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT row, p, any_value(x) AS x, min({{'far': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'k': k}}) AS best FROM pt JOIN c{r} USING (p) GROUP BY row, p)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT p, best.k AS k, j, sum(x[j]) AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(generate_series(1, len(x))) AS j) GROUP BY ALL)")
+            steps.append(f"m{r} AS (SELECT p, k, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{r} GROUP BY p, k)")
+            steps.append(f"c{r + 1} AS (SELECT p, k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (p, k))")
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pt AS (SELECT row, p, e[p * (len(e) // {parts}) + 1 : (p + 1) * (len(e) // {parts})] AS x FROM v, LATERAL (SELECT unnest(generate_series(0, {parts - 1})) AS p)),
+c0 AS (SELECT p, row - 1 AS k, x AS c FROM pt WHERE row <= {entries}),
+{", ".join(steps)},
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds}),
+o AS (SELECT row, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.far)::BIGINT AS error FROM a{rounds} GROUP BY row),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN o USING (row) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN o USING (row) JOIN l ON l.label IS NOT DISTINCT FROM v.label, b"""
+
+
+VECTOR_CODES = _vector_codes(16, 64, 2, 256)
+
+# Runs of letters, the crc32 of id and run from its table, words without one letter, and near words by what is left without one letter.
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY doc_id, w),
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+hx AS (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS hx FROM runs),
+bytes AS (SELECT w, n, list_transform(range(0, length(hx), 2), lambda i: ('0x' || substr(hx, i + 1, 2))::BIGINT) AS bs FROM hx),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, bs), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM bytes, t),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+p AS (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM p),
+ins AS (SELECT DISTINCT d.word AS a, w.word AS b FROM d JOIN words w ON w.word = d.rest),
+pairs AS (SELECT a, b FROM ins UNION ALL SELECT b, a FROM ins UNION ALL SELECT x.word, y.word FROM d x JOIN d y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, max(w.n) AS most, min({{'n': -w.n, 'w': encode(b)}}) AS first FROM pairs JOIN words w ON w.word = b GROUP BY a),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN decode(first.w) END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS root, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language, mixing, oracle, quality, suffix_dedup, token_counts, topk_search
+from . import chat_format, decontaminate, html_extract, jaccard_join, language, mixing, oracle, packing, quality, spelling, suffix_dedup, token_counts, topk_search, vector_codes
 from .shared import table
 
 #: Folder of the public tokenizers' files; a parameter, as the files are no part of this repository.
@@ -104,8 +104,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector's 16 parts by codebooks of 64 entries."""
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least 7 letters, its frequent neighbour by one letter, and where following those ends."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_source_mixing, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_source_mixing, op4_html_extraction, op5_exact_topk, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_suffix_array_dedup, op10_token_counts, op11_sequence_packing, op12_vector_codes, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -116,4 +134,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_topk": oracle.TOPK,
         "op6_benchmark_decontamination": oracle.LEAKS,
         "op7_chat_formatting": oracle.CHATS,
+        "op12_vector_codes": oracle.VECTOR_CODES,
+        "op13_spelling_variants": oracle.SPELLING,
     }
