@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import decontaminate
@@ -123,3 +124,36 @@ def test_a_window_of_many_items_and_places_is_searched_in_portions():
     assert found.shape == (5, 4000) and (found[2] == 0).all() and (found[4] == 10).all()
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
+
+
+def test_long_items_are_searched_in_parts(docs, benchmark, local, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 700)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
+    long = max((r["text"] for r in local if r["text"]), key=len)
+    more = [*items, (77, long), (78, "é" * 900)]
+    check(find_leaks(docs, docs.sparkSession.createDataFrame(more, "item_id long, text string")), local, more)
+
+
+def test_a_block_takes_24_bytes_a_word():
+    """A megabyte of text of one-letter words is the worst block; one of true words takes less than half of that."""
+    for text, most in (("a " * (1 << 19), 14 << 20), (" ".join(f"word{i % 9000}" for i in range(120_000)), 6 << 20)):
+        block = decontaminate.Items(["x"], [text], 10)
+        sent = sum(v.nbytes for v in vars(block).values() if isinstance(v, np.ndarray))
+        assert sent <= 24 * len(block.number) + 8 * len(block.vocabulary) + 1000 and sent < most
+
+
+def test_a_large_benchmark_takes_bounded_memory():
+    """Seventeen megabytes of items, block by block: what is held is one block's work."""
+    import resource
+
+    rng = np.random.default_rng(1)
+    names = [f"w{i}" for i in range(50_000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    sent = 0
+    for _ in range(17):
+        texts = [" ".join(names[i] for i in rng.integers(0, len(names), 150)) for _ in range(1100)]
+        block = decontaminate.Items([str(i) for i in range(len(texts))], texts, 10)
+        sent += sum(v.nbytes for v in vars(block).values() if isinstance(v, np.ndarray))
+    assert sent < 100 << 20
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
