@@ -8,6 +8,7 @@ without such elements, all its siblings and those of its ancestors that are not
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import partial
 from html import unescape
 
@@ -24,10 +25,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("html body table td th caption button object article section main div ul ol dl aside nav header footer form".split())
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertorial sponsor sponsored sponsors banner banners promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations pagination pager comment comments commentlist disqus replies respond form search searchbox skip outbrain taboola teaser complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertisements advertorial sponsor sponsored sponsors banner banners promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations pagination pager comment comments commentlist disqus replies respond form search searchbox skip outbrain taboola teaser complementary contentinfo copyright colophon responses".split()
 )
+# Words that begin names of adverts, offers and buttons, whatever follows; words of names that say where or in what shape something stands, not what it is.
+LEADING = frozenset("ad ads adv advert adverts advertisement advertisements advertorial sponsor sponsored sponsors promo promos banner banners newsletter subscribe subscription share sharing social related recommended recommendations cookie cookies consent gdpr outbrain taboola".split())
+SHAPES = frozenset("site top bottom global left right sticky fixed floating mobile desktop bar box link links list wrapper wrap container area section block inner outer button buttons icons slot unit panel row column zone card strip placeholder posts articles stories items".split())
 #: Furniture words that in a longer name, or on a paragraph, say little of what the element is; last words of names of content; words that begin or end names of page states.
-VAGUE = frozenset("form search social header teaser share sharing notice notices related recommended respond promotion overlay".split())
+VAGUE = frozenset("form search social header teaser share sharing notice notices related recommended respond promotion overlay responses".split())
 CONTENT = frozenset("article post entry content body text story main".split())
 STATES = frozenset("has with without no is open opened closed on off enabled disabled allowed".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies".split())
@@ -63,8 +67,10 @@ def _attributes(raw: str) -> dict[str, str]:
 def _furniture(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
     """(named, hinted, comment): whether a whole name is a furniture term, whether furniture words stand in names at all, whether a name tells of reader comments.
 
-    A whole name is one of furniture words alone, or the only name of its attribute if it ends in one that is not vague (ad-banner). A name of comments begins or ends with a word for
-    them (readerComments, comment-list) and not with one of a state (has-comments). An element that has a name of content as well (content right-sidebar) is hinted.
+    A whole name is one of furniture words alone or with words of shape (site-header, footer-links, top-bar), one that begins with a word for adverts, offers or sharing (ad-300x250, sponsored-content,
+    related-posts), or the only name of its attribute if it ends in a furniture word that is not vague (skyscraper-ad). A name of comments begins or ends with a word for
+    them (readerComments, comment-list). None of these ends or begins with a word of a state (has-comments, ads-disabled). An element that has another name of content as well
+    (content right-sidebar) is hinted.
     """
     named = hinted = content = comment = False
     for key in ("class", "id", "role"):
@@ -72,25 +78,90 @@ def _furniture(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
         for words in names:
             if not words:
                 continue
-            content |= words[-1] in CONTENT
-            comment |= words[0] not in STATES and words[-1] not in STATES and bool(COMMENTS.intersection((words[0], words[-1])))
+            state = words[0] in STATES or words[-1] in STATES
+            comment |= not state and bool(COMMENTS.intersection((words[0], words[-1])))
             found = FURNITURE.intersection(words)
+            if len(words) > 1 and "".join(words) in FURNITURE:
+                found = set(words)
+            first = words[0] in LEADING and not state
+            content |= words[-1] in CONTENT and not first
             if not found:
                 continue
             hinted = True
             if found == set(words):
                 named |= tag != "p" or not found <= VAGUE
+            elif first or (found | SHAPES).issuperset(words):
+                named |= not state and (tag != "p" or not found <= VAGUE)
             elif len(names) == 1 and words[-1] in FURNITURE and words[-1] not in VAGUE:
-                named |= words[0] not in STATES
+                named |= not state
     return named and not content, hinted, comment
 
 
+class _Open:
+    """The open elements, with the places of each tag and of scopes, so that no tag climbs through all of them."""
+
+    def __init__(self, root: Node):
+        self.path: list[Node] = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all in it."""
+        while len(self.path) > place:
+            node = self.path.pop()
+            self.places[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, tag: str) -> None:
+        """An end tag: closes the last open element of its name; one of an inline element does not reach out of a scope."""
+        place = self.last(tag)
+        if place and not (tag in INLINE and self.scopes and self.scopes[-1] > place):
+            self.cut(place)
+
+    def imply(self, ends, stop) -> None:
+        """Closes the first element of a tag in ends behind the last one of a tag in stop (None: a scope)."""
+        last = (self.scopes[-1] if self.scopes else 0) if stop is None else max(self.last(t) for t in stop)
+        found = []
+        for tag in ends:
+            places = self.places.get(tag, ())
+            k = bisect_right(places, last)
+            if k < len(places):
+                found.append(places[k])
+        if found:
+            self.cut(min(found))
+
+
+#: What an opening tag closes, and where the search for it stops.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "option": (("option",), ("select",)),
+}
+
+
 def parse(html: str) -> Node:
     """The element tree; children are nodes, or strings for text. Unclosed and stray tags are mended."""
-    root = node = Node("#root", None)
+    root = Node("#root", None)
+    opened = _Open(root)
     at, end = 0, len(html)
     while at < end:
         m = TOKEN.search(html, at)
+        node = opened.path[-1]
         if m is None:
             node.children.append(html[at:])
             break
@@ -101,26 +172,14 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            up = node
-            while up is not root and up.tag != tag:
-                if up.tag in SCOPE and tag in INLINE:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            opened.close(tag)
             continue
         raw = m[3] or m[6] or ""
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"p"} if tag in CLOSES_P else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {"tr", "td", "th"} if tag == "tr" else {tag}
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}.get(tag, SCOPE)
-            up, last = node, None
-            while up is not root and up.tag not in stop:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
+        if tag in CLOSES_P:
+            opened.imply(("p",), None)
+        elif tag in IMPLIED:
+            opened.imply(*IMPLIED[tag])
+        node = opened.path[-1]
         new = Node(tag, node)
         node.children.append(new)
         if tag in DROPPED:
@@ -139,10 +198,8 @@ def parse(html: str) -> Node:
                 at = html.find(">", close.end())
                 at = end if at < 0 else at + 1
             continue
-        if tag not in VOID and not raw.endswith("/"):
-            node = new
-        elif raw.endswith("/") and tag not in VOID and tag not in ("svg", "math"):
-            node = new
+        if tag not in VOID and not (raw.endswith("/") and tag in ("svg", "math")):
+            opened.push(new)
     return root
 
 
@@ -311,6 +368,7 @@ def _extract(batches, html: str):
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The main text of every page: keep columns, text, n_chars (code points).
 
+    A header element is dropped whole, and with it a title inside an article's own header: what is kept is the article without headers.
     A null or empty page, and one without any main text, give an empty text. The whole page is read; repeated rows each give
     their row, an empty table gives none. Very long and deep pages are walked without recursion. Other columns of pages may have any names (text and n_chars too).
     """

@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from quarry.llm.html_extract import extract, main_text
+from quarry.llm.html_extract import extract, main_text, parse
 from quarry.llm.token_counts import Automaton, pieces_of, token_counts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -68,6 +71,85 @@ def test_whole_names_and_link_blocks_go(furniture):
     assert extract(f"<article><p>{LONG}</p>{furniture.format(LONG)}</article>") == LONG
 
 
+FURNISHED = ["ad-slot", "ad-container", "ad-300x250", "sponsored-content", "newsletter-box", "share-bar", "social-buttons", "related-posts", "AdUnit", "top-bar", "copyright"]
+
+
+@pytest.mark.parametrize("name", FURNISHED)
+def test_names_of_adverts_and_offers_go(name):
+    assert extract(f"<article><p>{LONG}</p><div class='{name}'><h3>More</h3><p>{LONG} Buy.</p></div><p>End.</p></article>") == f"{LONG} End."
+
+
+@pytest.mark.parametrize("furniture", ["<div id=site-header><p>{}</p></div>", "<div class=footer-links>{}</div>", "<div class=top-bar>{}</div>", "<div class=copyright><p>{}</p></div>", "<div class=responses><p>{}</p></div>"])
+def test_furniture_of_pages_without_article_goes(furniture):
+    assert extract(f"<body>{furniture.format('Not text. ' + LONG)}<div class=content><p>{LONG}</p><p>{LONG} again</p></div></body>") == f"{LONG} {LONG} again"
+
+
+@pytest.mark.parametrize("name", ["ads-disabled", "no-ads", "newsletter-on", "entry-content social-off", "api-responses"])
+def test_names_of_states_and_content_stay(name):
+    assert extract(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG} again</p></div></body>") == f"{LONG} {LONG} again"
+
+
+def test_an_articles_header_goes_whole():
+    assert extract(f"<article><header><h1>Title</h1></header><p>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("stray", ["<b>" * 40000 + "</i>" * 40000, "<span>" * 40000 + "<p>" * 40000, "<i><div>" + "<b>" * 40000 + "</i>" * 40000, "<ul><li>" + "<b>" * 40000 + "<li>" * 40000, "<td>" * 40000 + "<tr>" * 40000])
+def test_stray_tags_take_linear_time(stray):
+    began = time.process_time()
+    parse(stray + LONG)
+    assert time.process_time() - began < 1.5
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_trees_equal_those_of_climbing(seed):
+    rng = random.Random(seed)
+    tags = ["p", "div", "b", "i", "ul", "li", "table", "tr", "td", "dl", "dt", "dd", "section", "span", "br", "select", "option", "article"]
+    for _ in range(60):
+        html = "".join(rng.choice([f"<{t}>", f"</{t}>", f"x{k} "]) for k, t in enumerate(rng.choices(tags, k=rng.randrange(60))))
+        assert shape(parse(html)) == climbed(html), html
+
+
+def shape(node):
+    return [x for c in node.children for x in (c.split() if isinstance(c, str) else [(c.tag, shape(c))])]
+
+
+def climbed(html):
+    """The tree by climbing through all open elements at each tag."""
+    import re
+
+    from quarry.llm import html_extract as H
+
+    root = ["#root", []]
+    path = [root]
+    for slash, tag, text in re.findall("<(/?)([a-z]+)>|(x[0-9]+) ", html):
+        if text:
+            path[-1][1].append(text)
+            continue
+        if slash:
+            for k in range(len(path) - 1, 0, -1):
+                if path[k][0] == tag:
+                    del path[k:]
+                    break
+                if path[k][0] in H.SCOPE and tag in H.INLINE:
+                    break
+            continue
+        ends, stop = (("p",), H.SCOPE) if tag in H.CLOSES_P else H.IMPLIED.get(tag, ((), ()))
+        least = None
+        for k in range(len(path) - 1, 0, -1):
+            if path[k][0] in stop:
+                break
+            if path[k][0] in ends:
+                least = k
+        if least is not None:
+            del path[least:]
+        new = [tag, []]
+        path[-1][1].append(new)
+        if tag not in H.VOID:
+            path.append(new)
+    plain = lambda n: [c if isinstance(c, str) else (c[0], plain(c)) for c in n[1]]
+    return plain(root)
+
+
 def test_main_text_edge_cases(spark):
     ddl = "page_id long, url string, html string, text string, n_chars int, k0 int"
     rows = [(1, "u", f"<article><p>é{LONG}</p></article>", "x", 1, 2), (2, None, None, None, None, None), (1, "u", f"<article><p>é{LONG}</p></article>", "x", 1, 2), (None, "v", "<div>" * 3000 + LONG, "y", 0, 0)]
