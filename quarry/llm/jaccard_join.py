@@ -500,12 +500,30 @@ def _often(rows: DataFrame, n: int):
     return rows.sparkSession.sparkContext.broadcast(np.sort(often.select("code").toArrow().column("code").to_numpy().view(U64)))
 
 
+def _same_id(base: DataFrame) -> DataFrame:
+    """(u, v): the sets of each id that has several, linked to the least of them."""
+    sets = base.filter("doc_id is not null and n_shingles > 0")
+    several = cut(sets.groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most").drop("most"))
+    return sized_join(sets.select("doc_id", F.col("fp").alias("u")), several, "doc_id", "inner", 48).filter("u <> v").select("u", "v")
+
+
+def _with_empty(out: DataFrame, base: DataFrame, named: DataFrame) -> DataFrame:
+    """out with of_id: for a row without shingles the component of another row of its id that has some; else null."""
+    empty = cut(base.filter("doc_id is not null and n_shingles = 0").select("doc_id").distinct())
+    others = cut(sized_join(base.filter("n_shingles > 0"), empty, "doc_id", "left_semi", 32).select("doc_id", "fp").distinct())
+    if others.isEmpty():
+        return out.withColumn("of_id", F.lit(None).cast(base.schema["doc_id"].dataType))
+    of_id = cut(others.join(named, "fp").groupBy("doc_id").agg(F.min("component").alias("of_id")))
+    return sized_join(out, of_id, "doc_id", "left", 48)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: the least doc_id of its component of links.
 
     Words are runs without ASCII white space, with A-Z in lower case; a set holds the distinct n-word shingles of the whole text, or all words as one shingle if
     they are fewer. Sets are linked if 100 * intersection >= percent * union. A null or empty text, or one without words, has size 0 and no
-    links. A row without doc_id links nothing and has no component_id, rows that repeat an id count as one document that has several sets.
+    links. A row without doc_id links nothing and has no component_id, rows that repeat an id count as one document that has several sets:
+    these are in one component, and what links to any of them links to the document.
     An empty table gives no rows; other columns of docs may have any names.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -525,10 +543,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         if not large.isEmpty():
             large_sets = sets(cut(sized_join(asked, large.select("gid"), "gid", "left_semi", 16)))
             asked = cut(sized_join(asked, large.select("gid"), "gid", "left_anti", 16))
-    found = components(links(sets(asked), large_sets, large, percent))
+    found = components(links(sets(asked), large_sets, large, percent).unionByName(_same_id(base)))
     rep = first.select("fp", "rep").join(found.withColumnRenamed("node", "fp"), "fp")
     least = rep.groupBy("root").agg(F.min("rep").alias("component"))
     linked = cut(rep.join(least, "root").select("fp", "component"))
     named = cut(sized_join(first.select("fp", "rep"), linked, "fp", "left", 16).select("fp", F.coalesce("component", "rep").alias("component")))
-    out = sized_join(base, named, "fp", "left", 16)
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    out = _with_empty(sized_join(base, named, "fp", "left", 16), base, named)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.coalesce("of_id", "doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

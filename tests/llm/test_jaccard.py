@@ -87,6 +87,49 @@ def test_regions_are_cut_by_their_rarest_shingles(spark, monkeypatch, heavy):
     assert {tuple(r) for r in got} == brute(rows, 5, 80) and seen
 
 
+def repeated(rows, n, percent):
+    """Components of rows (id, text), all sets of an id being one document."""
+    sets = []
+    for i, t in rows:
+        w = (t or "").split()
+        sets.append((i, {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()))
+    own = {i: i for i, _ in sets}
+
+    def find(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                own[max(x, y)] = min(x, y)
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def test_sets_of_one_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a + " z"), (5, b), (7, b + " y"), (5, ""), (9, None), (9, "c d e f g h"), (11, "")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(tuple(r) for r in got) == repeated(rows, 3, 90)
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 5, 7)} == {3}
+
+
+def test_repeated_ids_against_all_pairs(spark):
+    rng = random.Random(8)
+    base = [[f"{c}{i}" for i in range(50)] for c in "abcdefgh"]
+    rows = []
+    for _ in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(50)] = f"x{rng.randrange(10**6)}"
+        rows.append((rng.randrange(40), " ".join(w if rng.random() < 0.5 else w + [f"y{rng.randrange(10**6)}" for _ in range(40)])))
+    rows += [(1, None), (2, ""), (99, "")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90).collect()
+    assert sorted(tuple(r) for r in got) == repeated(rows, 3, 90)
+
+
 def test_empty_table(empty):
     assert near_duplicates(empty, 3, 90).collect() == []
 
