@@ -1,8 +1,7 @@
 """Chat formatting of reply trees with DataFrame functions alone.
 
-Messages with a parent form trees. Self-joins that double the distance enumerate the ancestors of every leaf, so that
-a path of length n takes about log2(n) joins; branches are ranked by score within their tree; each chosen
-path becomes one string with marked turns and the spans that the loss covers.
+Messages with a parent form trees. Self-joins that double the distance sum up the scores of every leaf's path, by which branches are ranked within their tree, and enumerate the
+messages of each chosen path, so that a path of length n takes about log2(n) joins; each chosen path becomes one string with marked turns and the spans that the loss covers.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """(leaf, node, up): every ancestor of every leaf, up being the distance from the leaf (0: itself).
+def leaf_paths(messages: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(leaf, node, up): every ancestor of every leaf, or of the leaves in chosen (leaf) alone, up being the distance from the leaf (0: itself).
 
     messages has node (unique, not null) and parent. Round r joins the pairs known so far with jumps over 2^r
     messages, so there are as many rows as the paths have messages. A parent that is not among the messages makes its child a root.
@@ -44,8 +43,8 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     nodes = cut(messages.select("node", "parent"))
     rounds = nodes.count().bit_length()
     jumps = cut(nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
-    leaves = nodes.join(jumps.select(F.col("parent").alias("node")), "node", "left_anti")
-    paths = cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    leaves = nodes.join(jumps.select(F.col("parent").alias("node")), "node", "left_anti").select(F.col("node").alias("leaf")) if chosen is None else chosen.select("leaf")
+    paths = cut(leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
     for r in range(rounds):
         if jumps.isEmpty():
             return paths
@@ -57,6 +56,29 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     return paths.join(looped, "leaf", "left_anti")
 
 
+def leaf_scores(messages: DataFrame) -> DataFrame:
+    """(leaf, tree, score) of every leaf: the scores of its path, summed up along jumps that double, one row a message in each round.
+
+    messages: node (unique, not null), parent, tree, score. A tree's only leaf is not summed, and has a null score. Leaves whose ancestors run into a cycle are left out where scores are summed.
+    """
+    parents = messages.select(F.col("parent").alias("node")).distinct()
+    leaves = cut(messages.select("node", "tree").join(parents, "node", "left_anti").select(F.col("node").alias("leaf"), "tree"))
+    rivals = cut(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("tree").alias("rival")))
+    if rivals.isEmpty():
+        return leaves.withColumn("score", F.lit(None).cast("double"))
+    there = messages.select(F.col("node").alias("parent"), F.lit(True).alias("on"))
+    state = messages.select("node", "parent", "score").join(there, "parent", "left")
+    state = cut(state.select("node", F.when(F.col("on"), F.col("parent")).alias("at"), F.col("score").alias("total")))
+    for _ in range(messages.count().bit_length()):
+        if state.filter("at is not null").isEmpty():
+            break
+        onward = state.select(F.col("node").alias("at"), F.col("at").alias("over"), F.col("total").alias("more"))
+        moved = state.filter("at is not null").join(onward, "at").select("node", F.col("over").alias("at"), (F.col("total") + F.col("more")).alias("total"))
+        state = cut(moved.unionByName(state.filter("at is null")))
+    scores = state.filter("at is null").select(F.col("node").alias("leaf"), F.col("total").alias("score"))
+    return leaves.join(scores, "leaf")
+
+
 def format_chats(messages: DataFrame, max_branches: int = 1) -> DataFrame:
     """The best branches of each reply tree as training texts: tree, branch, n_turns, formatted, loss_spans.
 
@@ -67,11 +89,10 @@ def format_chats(messages: DataFrame, max_branches: int = 1) -> DataFrame:
     """
     body = F.struct(F.col("parent"), F.col("tree"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     single = cut(messages.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(body).alias("m")).select("node", "m.*"))
-    paths = leaf_paths(single)
-    ranked = paths.join(single.select("node", "score"), "node").groupBy("leaf").agg(F.sum("score").alias("score"))
-    ranked = ranked.join(single.select(F.col("node").alias("leaf"), "tree"), "leaf")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = ranked.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= max_branches)
+    chosen = cut(leaf_scores(single).withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= max_branches).select("leaf", "tree", "branch"))
+    # leaves are ranked before their paths are listed, so that only the chosen paths are ever rows
+    paths = leaf_paths(single, chosen)
     turns = paths.join(chosen.select("leaf", "tree", "branch"), "leaf").join(single.select("node", "role", "text"), "node")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     turns = turns.select("leaf", "tree", "branch", "role", (-F.col("up")).alias("at"), head.alias("head"), escape_text(F.col("text")).alias("body"))

@@ -71,7 +71,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -1 made of control strings, formatted and read back."""
+    """Every conversation, and conversation -1 made of control strings, formatted and read back. If the table has a conversation -1, its turns and the added ones are one conversation."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", SPECIAL_CONVERSATION), (-1, 1, "assistant", SPECIAL_CONVERSATION)], "conv_id long, turn long, role string, text string")
     out = chat_format.format_chats(chat_format.linear_messages(rows.unionByName(extra)))

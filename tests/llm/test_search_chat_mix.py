@@ -118,6 +118,23 @@ def test_best_branches_of_trees(spark):
     assert turns(5) == {("t", 1): "ABD", ("t", 2): "ACE", ("u", 1): "X"}
 
 
+def test_a_wide_tree_lists_its_chosen_path_alone(spark, monkeypatch):
+    """A trunk of 200 messages with a reply at each: 200 leaves, whose paths have 20,000 messages."""
+    rng = np.random.default_rng(2)
+    score = [float(x) for x in rng.integers(-9, 9, 400)]
+    trunk = [("t", f"t{i:03}", f"t{i - 1:03}" if i else None, "user", f"T{i} ", score[i]) for i in range(200)]
+    replies = [("t", f"r{i:03}", f"t{i:03}", "assistant", f"R{i}", score[200 + i]) for i in range(200)]
+    df = spark.createDataFrame(trunk + replies, "tree string, node string, parent string, role string, text string, score double")
+    total = np.cumsum(score[:200]) + np.array(score[200:])
+    order = sorted(range(200), key=lambda i: (-total[i], f"r{i:03}"))
+    listed = []
+    whole = chat_format.leaf_paths
+    monkeypatch.setattr(chat_format, "leaf_paths", lambda *a: listed.append(whole(*a)) or listed[-1])
+    out = chat_format.format_chats(df, 2).select("branch", chat_format.read_turns(F.col("formatted")).alias("t")).collect()
+    assert {r["branch"]: r["t"][-1]["text"] for r in out} == {k + 1: f"R{order[k]}" for k in range(2)}
+    assert sum(p.count() for p in listed) == sum(order[k] + 2 for k in range(2))
+
+
 def test_deep_paths(spark):
     rows = [("c", str(i), str(i - 1) if i else None, "user", str(i % 10), 0.0) for i in range(100)]
     df = spark.createDataFrame(rows, "tree string, node string, parent string, role string, text string, score double")
