@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..functions.prefilter import Catalogue
 
 
 def keep_first(df: DataFrame, key: Column, order: list) -> DataFrame:
@@ -79,13 +80,19 @@ CLASS_SIGNALS = {
 }
 
 
-def class_signals(code: Column, cwe: str) -> dict[str, Column]:
+#: The patterns of all class checks.
+SIGNALS = Catalogue([*(p for names in CLASS_SIGNALS.values() for name in names for p in K.AUDIT[name]), K.TAINT_AUDIT])
+
+
+def class_signals(code: Column, cwe: str, possible: Column | None = None) -> dict[str, Column]:
     """The signals of one class: has_<signal> for each of CLASS_SIGNALS, has_taint_source, confident, plausible.
 
     A label is confirmed by request data beside a sink of its class (for SQL by an unsafe statement that is run), and plausible with a sink alone.
+    possible: a column of SIGNALS.possible(code), by which only patterns that can match are run.
     """
-    has = {name: X.any_of(code, K.AUDIT[name]) for name in CLASS_SIGNALS[cwe]}
-    taint = code.rlike(K.TAINT_AUDIT)
+    found = lambda patterns: X.any_of(code, patterns) if possible is None else SIGNALS.matches(code, possible, patterns)
+    has = {name: found(K.AUDIT[name]) for name in CLASS_SIGNALS[cwe]}
+    taint = found([K.TAINT_AUDIT])
     extra = {}
     if cwe == "CWE-89":
         built = has["sql_inline"] | has["sql_multiline"]
@@ -101,11 +108,11 @@ def class_signals(code: Column, cwe: str) -> dict[str, Column]:
     return {f"has_{k}": v for k, v in has.items()} | extra | {"has_taint_source": taint, "confident": sure, "plausible": maybe}
 
 
-def class_checks(code: Column, cwe: Column) -> dict[str, Column]:
+def class_checks(code: Column, cwe: Column, possible: Column | None = None) -> dict[str, Column]:
     """confident, plausible and has_taint_source of a row by its class; null where the class has no check."""
     out = {name: F.lit(None).cast("boolean") for name in ("confident", "plausible", "has_taint_source")}
     for c in CLASS_SIGNALS:
-        found = class_signals(code, c)
+        found = class_signals(code, c, possible)
         out = {name: F.when(cwe == c, found[name]).otherwise(value) for name, value in out.items()}
     return out
 

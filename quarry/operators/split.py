@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .hierarchy import inherited
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -69,10 +70,15 @@ def simple_split(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def group_keys(df: DataFrame) -> DataFrame:
-    """df with group_key: a hard negative has its parent's; else the repository, else the row's own id. A missing parent counts as none."""
+    """df with group_key: a hard negative has the key of its parent, whose own parent counts likewise, up any number of levels; else the repository, else the row's own id.
+
+    A missing parent counts as none; hard negatives whose parents form a cycle have their own keys. Rows that do not say is_hard_negative are taken by their parent alone.
+    """
     own = F.when(F.col("repo").isNotNull() & (F.col("repo") != ""), F.concat(F.lit("repo::"), "repo")).otherwise(F.concat(F.lit("solo::"), F.col("id")))
-    parent = df.select(F.col("id").alias("parent_sample_id"), own.alias("_parent"))
-    return df.join(parent, "parent_sample_id", "left").withColumn("group_key", F.coalesce("_parent", own)).drop("_parent")
+    hard = F.col("is_hard_negative") if "is_hard_negative" in df.columns else F.lit(True)
+    rows = df.select("id", F.when(hard, F.col("parent_sample_id")).alias("parent"), own.alias("own"))
+    keys = inherited(rows, "parent", "own", "group_key").select("id", "group_key")
+    return df.join(keys, "id")
 
 
 def dominant_label(df: DataFrame) -> DataFrame:

@@ -64,15 +64,17 @@ def health_audit(rows: DataFrame) -> DataFrame:
     """Rows with the structural signals, confident, plausible and has_taint_source of their class, issues and status; safe rows are SKIPPED, rows without code FAIL."""
     code, cwe = F.col("code"), F.col("cwe")
     s = curate.structure(code, F.col("_valid"))
-    checks = curate.class_checks(code, cwe)
-    out = rows.withColumn("_valid", syntax.is_valid_python(F.coalesce("code", F.lit("")))).withColumns({**s, **checks, "issues": curate.health_issues(s, checks, cwe)}).drop("_valid")
+    checks = curate.class_checks(code, cwe, F.col("_possible"))
+    read = rows.withColumns({"_valid": syntax.is_valid_python(F.coalesce("code", F.lit(""))), "_possible": curate.SIGNALS.possible(code)})
+    out = read.withColumns({**s, **checks, "issues": curate.health_issues(s, checks, cwe)}).drop("_valid", "_possible")
     status = F.when(cwe == "safe", "SKIPPED").when(code.isNull(), "FAIL").otherwise(curate.health_status(F.col("issues")))
     return out.withColumn("status", status)
 
 
 def class_signal_columns(rows: DataFrame) -> DataFrame:
     """id and a struct of named signals for the check of each class."""
-    return rows.select("id", "cwe", *(F.struct(*(v.alias(k) for k, v in curate.class_signals(F.col("code"), c).items())).alias(K.CLASS_SLUGS[c]) for c in curate.CLASS_SIGNALS))
+    read = rows.select("id", "cwe", "code", curate.SIGNALS.possible(F.col("code")).alias("_possible"))
+    return read.select("id", "cwe", *(F.struct(*(v.alias(k) for k, v in curate.class_signals(F.col("code"), c, F.col("_possible")).items())).alias(K.CLASS_SLUGS[c]) for c in curate.CLASS_SIGNALS))
 
 
 def health_rollup(audited: DataFrame) -> DataFrame:

@@ -181,6 +181,24 @@ def parent_group_key(spark, d):
     return split.group_keys(R.samples(spark, d, False)).select("id", "group_key")
 
 
+CHAINS_SQL = f"""WITH RECURSIVE {R.CHAINED_SQL}, o AS (SELECT *, CASE WHEN repo IS NOT NULL THEN 'repo::' || repo ELSE 'solo::' || id END AS own FROM v_chained),
+l AS (SELECT a.id, b.id AS parent FROM o a JOIN o b ON a.is_hard_negative AND a.parent_sample_id = b.id), r(id, up) AS (SELECT id, id FROM o UNION SELECT r.id, l.parent FROM r JOIN l ON l.id = r.up),
+e AS (SELECT r.id, r.up FROM r WHERE r.up NOT IN (SELECT id FROM l)), chained AS (SELECT o.id, o.cwe, coalesce(p.own, o.own) AS group_key FROM o LEFT JOIN e ON e.id = o.id LEFT JOIN o p ON p.id = e.up)"""
+
+
+@query(f"{CHAINS_SQL} SELECT id, group_key FROM chained")
+def parent_chains(spark, d):
+    """Group keys that hard negatives inherit up chains of parents."""
+    return split.group_keys(R.chained_samples(spark, d)).select("id", "group_key")
+
+
+@query(f"{CHAINS_SQL} SELECT group_key, count(*) AS n, count(DISTINCT cwe) AS n_classes FROM chained GROUP BY group_key HAVING count(*) > 1")
+def chained_groups(spark, d):
+    """Sizes of the groups that chains of parents bring together."""
+    groups = split.group_keys(R.chained_samples(spark, d)).groupBy("group_key")
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cwe").alias("n_classes")).filter("n > 1")
+
+
 @query(f"""{GROUPS_SQL}, c AS (SELECT group_key, cwe, count(*) AS n FROM grouped GROUP BY group_key, cwe), r AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY n DESC, cwe) AS k FROM c)
 SELECT group_key, cwe, n FROM r WHERE k = 1""")
 def dominant_label(spark, d):

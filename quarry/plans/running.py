@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import code_hash
+from ..operators import skipsets
+from ..operators.lineage import shared_folder
 from ..sources import relations as R
 from ..streaming import incremental
 from .registry import query
@@ -36,6 +40,32 @@ def incremental_ingest(spark, d):
     return incremental.new_rows(docs.filter("doc_id % 2 = 0").select("content_hash"), docs.filter("doc_id % 2 = 1"), "content_hash")
 
 
+@query("""SELECT 'repo' || (doc_id % 97) AS repo, substr(sha256(text), 1, 16) AS sha, doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 3 = 1 AND k.doc_id % 97 = documents.doc_id % 97 AND k.text = documents.text)""")
+def skip_known_commits(spark, d):
+    """Documents as files of repositories without those whose (repo, sha) a third of them has."""
+    docs = R.read(spark, d, "documents").select(F.concat(F.lit("repo"), (F.col("doc_id") % 97).cast("string")).alias("repo"), code_hash(F.col("text")).alias("sha"), "doc_id")
+    return skipsets.skip_known(docs, docs.filter("doc_id % 3 = 1"), ["repo", "sha"])
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_returnflag = 'R' AND k.l_orderkey = lineitem.l_orderkey AND k.l_suppkey % 7 = lineitem.l_suppkey % 7 AND k.l_partkey % 5 = lineitem.l_partkey % 5)""")
+def skip_known_triples(spark, d):
+    """Lines without those whose key of three parts a line sent back has."""
+    rows = R.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", (F.col("l_suppkey") % 7).alias("s"), (F.col("l_partkey") % 5).alias("p"))
+    return skipsets.skip_known(rows, rows.filter("l_returnflag = 'R'"), ["l_orderkey", "s", "p"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query("""SELECT DISTINCT substr(sha256(text), 1, 16) AS content_hash FROM documents d WHERE doc_id % 4 <> 0 AND text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 4 = 0 AND k.text = d.text)""")
+def stateful_ingest(spark, d):
+    """Contents of arriving documents, once each, that a quarter of the table, known before, has not: read as a stream whose state holds what was seen."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    docs = R.read(spark, d, "documents").select("doc_id", F.col("text").alias("code"))
+    known = docs.filter("doc_id % 4 = 0 and code is not null").select(code_hash(F.col("code")).alias("content_hash"))
+    # a table is one file or a folder of them; a stream reads it by a pattern
+    stream = spark.readStream.schema("doc_id long, text string").parquet(f"{d}/documents.parque[t]").filter("doc_id % 4 <> 0").select(F.col("text").alias("code"))
+    incremental.ingest_stream(spark, stream, f"{folder}/rows", f"{folder}/state", known).awaitTermination()
+    return incremental.read_ingested(spark, f"{folder}/rows", f"{folder}/state").select("content_hash")
+
+
 @query("SELECT date_trunc('day', ts)::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def window_monitor(spark, d):
     w = incremental.windowed_counts(R.read(spark, d, "events"))

@@ -37,6 +37,15 @@ def samples(spark: SparkSession, sf_dir: str, with_code: bool = True) -> DataFra
     )
 
 
+def chained_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, cwe, repo, is_hard_negative, parent_sample_id of every document: chains of up to 96 parents, with orphans, rows that end a chain in its middle, and cycles."""
+    d, i = read(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id")
+    at = i % 97
+    parent = F.when(at == 0, None).when(at == 40, "gone").when((at == 60) & (i % 2 == 0), F.concat(F.lit("doc_"), (i + 7).cast("string"))).otherwise(F.concat(F.lit("doc_"), (i - 1).cast("string")))
+    repo = F.when(i % 3 != 0, F.concat(F.lit("r"), (i % 31).cast("string")))
+    return d.select(F.concat(F.lit("doc_"), i.cast("string")).alias("id"), label(i % 8).alias("cwe"), repo.alias("repo"), (i % 29 != 0).alias("is_hard_negative"), parent.alias("parent_sample_id"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction records of three tools on three variants of every document."""
     d = read(spark, sf_dir, "documents").select("doc_id")
@@ -87,6 +96,11 @@ SAMPLES_SQL = f"""v_samples AS (
          CASE WHEN doc_id % 4 <> 0 THEN 'CVE-' || (doc_id % 13) END AS cve_id
   FROM documents)"""
 
+CHAINED_SQL = f"""v_chained AS (
+  SELECT 'doc_' || doc_id AS id, ({_list(K.LABELS)})[(doc_id % 8 + 1)::INT] AS cwe, CASE WHEN doc_id % 3 <> 0 THEN 'r' || (doc_id % 31) END AS repo, doc_id % 29 <> 0 AS is_hard_negative,
+         CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 97 = 40 THEN 'gone' WHEN doc_id % 97 = 60 AND doc_id % 2 = 0 THEN 'doc_' || (doc_id + 7) ELSE 'doc_' || (doc_id - 1) END AS parent_sample_id
+  FROM documents)"""
+
 PREDICTIONS_SQL = f"""v_raw AS (
   SELECT doc_id, t, v, ({_list(K.LABELS)})[(doc_id % 8 + 1)::INT] AS truth,
          CASE WHEN (doc_id * 11 + t * 3 + v) % (v + 5) < 3 - t % 2 THEN ({_list(K.LABELS)})[(doc_id % 8 + 1)::INT]

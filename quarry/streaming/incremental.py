@@ -16,19 +16,59 @@ def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return incoming.join(known.select(key), key, "left_anti").dropDuplicates([key])
 
 
-def stream_ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, gate: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
-    """Appends new, gated rows of arriving JSON files to a Parquet table, each content once: within the stream and against the table.
+#: Fixed name of Spark's state store that keeps its keys on disk instead of in memory.
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The checkpoint folder keeps what has been read, so that a restarted job goes on where it stopped. Rows need a column code.
+
+def ingest_stream(spark: SparkSession, arriving: DataFrame, target: str, checkpoint: str, known: DataFrame | None = None, gate: Callable[[DataFrame], DataFrame] = lambda x: x, key: str = "content_hash") -> StreamingQuery:
+    """Writes new, gated rows of a stream to a Parquet table, each content once over all batches and restarts.
+
+    The keys that were seen are the state of a streaming deduplication, kept on executors' disks and versioned in the checkpoint folder by batch: a batch looks up its own keys only, so that its
+    time does not grow with the target, which is never read. Keys of known (content_hash), which stand in other tables, are the state's first entries: they are a stream beside the
+    arriving rows in the first batch, and that batch alone is compared with them. Batch n is the partition batch_id=n of the target, which a repetition after a
+    failure overwrites, so that a crash between writing and committing leaves no row twice. Rows need a column code; null code has no key and is left out.
     """
+    rows = gate(arriving).withColumn(key, code_hash(F.col("code"))).filter(F.col(key).isNotNull()).withColumn("_known", F.lit(False))
+    if known is not None:
+        seeds = _as_stream(spark, known.select(key).filter(F.col(key).isNotNull()).distinct(), f"{checkpoint}-known")
+        rows = rows.unionByName(seeds.withColumn("_known", F.lit(True)), allowMissingColumns=True)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = gate(batch).withColumn("content_hash", code_hash(F.col("code")))
-        known = spark.read.parquet(target).select("content_hash") if _exists(spark, target) else spark.createDataFrame([], "content_hash string")
-        new_rows(rows, known, "content_hash").withColumn("batch_id", F.lit(number)).write.mode("append").parquet(target)
+        new = batch.filter("not _known").drop("_known")
+        if number == 0 and known is not None:
+            new = new.join(known.select(key), key, "left_anti")
+        new.withColumn("batch_id", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
+
+    before = spark.conf.get(_STATE, None)
+    spark.conf.set(_STATE, DISK_STATE)
+    try:
+        return rows.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(_STATE) if before is None else spark.conf.set(_STATE, before)
+
+
+_STATE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _as_stream(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """df as a stream of one batch; it is written once, so that a restarted query goes on with the same files."""
+    if not _exists(spark, f"{folder}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema(df.schema).parquet(folder)
+
+
+def stream_ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, gate: Callable[[DataFrame], DataFrame] = lambda x: x, known: DataFrame | None = None, files_per_batch: int | None = None) -> StreamingQuery:
+    """ingest_stream() of the JSON files that arrive in a folder, files_per_batch of them at a time if it is given."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return ingest_stream(spark, reader.json(source), target, checkpoint, known, gate)
+
 
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_ingested(spark: SparkSession, target: str, checkpoint: str) -> DataFrame:
+    """Rows of the batches that the checkpoint has committed; those of a batch that was written and not committed will be written again and do not count."""
+    done = spark.read.text(f"{checkpoint}/commits").select(F.regexp_extract(F.input_file_name(), "([0-9]+)$", 1).cast("int").alias("batch_id")).filter("batch_id is not null").distinct()
+    return spark.read.parquet(target).join(F.broadcast(done), "batch_id", "left_semi")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
