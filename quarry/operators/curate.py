@@ -10,9 +10,20 @@ from ..functions import text as X
 from ..functions.prefilter import Catalogue
 
 
-def keep_first(df: DataFrame, key: Column, order: list) -> DataFrame:
-    """Rows with a flag `kept`: the first of each key. Only key and order columns are needed beside the rest of df, so drop wide ones before."""
-    return df.withColumn("kept", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
+def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Rows with a flag `kept`: the first of each key; of rows that are equal in key and order too, one. Only key and order columns are needed beside the rest of df, so drop wide ones before.
+
+    The first place of each key is a minimum with partial sums, and rows meet it by key and place together, so that a key that half of all rows have is spread over all tasks.
+    """
+    at = [f"_at{i}" for i in range(len(order))]
+    rows = df.withColumns({"_key": key} | {a: F.col(o) for a, o in zip(at, order, strict=True)})
+    first = rows.groupBy("_key").agg(F.min(F.struct(*at)).alias("_f")).select(F.col("_key").alias("_k"), *(F.col(f"_f.{a}").alias(f"{a}f") for a in at), F.lit(True).alias("_hit"))
+    same = F.row_number().over(Window.partitionBy("_key", *at).orderBy("_key"))
+    met = F.col("_key").eqNullSafe(F.col("_k"))
+    for a in at:
+        met = met & F.col(a).eqNullSafe(F.col(f"{a}f"))
+    flagged = rows.withColumn("_n", same).join(first, met, "left").withColumn("kept", F.col("_hit").isNotNull() & (F.col("_n") == 1))
+    return flagged.select(*df.columns, "kept")
 
 
 def dedup_by_hash(samples: DataFrame) -> DataFrame:

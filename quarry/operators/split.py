@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from .hierarchy import inherited
+from .lineage import cut
+
+#: Bytes of a join side that is broadcast at most.
+BROADCAST_BYTES = 32 << 20
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -29,14 +33,22 @@ def seeded_rank(df: DataFrame, by: str, seed: int) -> DataFrame:
     return rows.join(sizes, "_k").withColumn("r", F.col("_before") + rank).drop("_o", "_k", "_before")
 
 
-def ordered_rank(df: DataFrame, by: str, order: str, prefix: int = 8) -> DataFrame:
-    """df with r, the rank (from 1) of each row within its value of by in the order of a text column; counted per prefix of the text first, so that no value is ranked by one task."""
-    rows = df.withColumn("_b", F.substring(order, 1, prefix))
-    sizes = rows.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_b")) - F.col("_n")).select(F.col(by).alias("_by"), F.col("_b").alias("_p"), "_before")
-    near = F.row_number().over(Window.partitionBy(by, "_b").orderBy(order))
-    out = rows.withColumn("_r", near).join(sizes, F.col(by).eqNullSafe(F.col("_by")) & F.col("_b").eqNullSafe(F.col("_p")))
-    return out.withColumn("r", F.col("_before") + F.col("_r")).drop("_b", "_r", "_by", "_p", "_before")
+def ordered_rank(df: DataFrame, by: str, order: str, ranges: int | None = None) -> DataFrame:
+    """df with r, the rank (from 1) of each row within its value of by in the order of another column.
+
+    Rows are dealt by sampled ranges of both columns, whatever their prefixes, and sorted there; a row's rank is its place in its task and what earlier tasks have of its value, so
+    that no value is ranked by one task. The sorted rows are cut, as places must not change between the two readings.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(ranges, by, order).sortWithinPartitions(by, order)
+    laid = cut(laid.withColumn("_i", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_i", 33))
+    parts = laid.groupBy(by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_p")) - F.col("_n")
+    parts = cut(parts.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), (before - F.col("_first") + 1).alias("_add")))
+    if parts.count() * 64 <= BROADCAST_BYTES:
+        parts = F.broadcast(parts)
+    out = laid.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q")))
+    return out.select(*df.columns, (F.col("_i") + F.col("_add")).alias("r"))
 
 
 def cap_per_group(df: DataFrame, keys: list[str], cap: int, order: list) -> DataFrame:

@@ -90,8 +90,9 @@ def canonical_insert(existing: DataFrame, incoming: DataFrame, targets: list[str
     there = existing.select(X.code_hash(F.col("code")).alias("content_hash")).distinct().withColumn("_there", F.lit(True))
     scope = F.lit(True) if targets is None else F.coalesce(F.col("cwe").isin(targets), F.lit(False))
     rows = rows.withColumn("_fine", scope & F.col("sink_ok")).withColumn("_scope", scope).drop("code")
-    first = F.row_number().over(Window.partitionBy("content_hash", "_fine").orderBy("id")) == 1
-    rows = rows.withColumn("_first", first).join(there, "content_hash", "left")
+    rows = curate.keep_first(rows, F.struct("content_hash", "_fine"), ["id"]).withColumnRenamed("kept", "_first")
+    # what is there is asked for by the first row of each content alone; the others have keys of their own, which spread them
+    rows = rows.withColumn("_asked", F.when(F.col("_first"), F.col("content_hash")).otherwise(F.concat(F.lit("-"), "id"))).join(there.withColumnRenamed("content_hash", "_asked"), "_asked", "left")
     action = F.when(~F.col("_scope"), "out_of_scope").when(~F.col("sink_ok"), "rejected").when(F.col("_there") | ~F.col("_first"), "present").otherwise("inserted")
     return rows.select("id", "cwe", "content_hash", action.alias("action"))
 
