@@ -348,5 +348,24 @@ SINK_CALLS = {
     "CWE-502": ["loads", "load", "full_load", "unsafe_load"],
 }
 
+# Calls that transforms hide, as module and function; functions that are sinks whatever object they belong to; built-in ones.
+HIDDEN_CALLS = {
+    "os": ["system", "popen", "spawnl", "spawnle", "spawnlp", "spawnlpe", "spawnv", "spawnve", "spawnvp", "spawnvpe"],
+    "subprocess": ["call", "run", "Popen", "check_call", "check_output", "getoutput", "getstatusoutput"],
+    "commands": ["getoutput", "getstatusoutput"],
+    "requests": ["get", "post", "put", "patch", "delete", "head", "options", "request"],
+    "urllib": ["urlopen"],
+    "urllib2": ["urlopen"],
+    "httpx": ["get", "post", "put", "patch", "delete"],
+    "pickle": ["load", "loads"],
+    "cPickle": ["load", "loads"],
+    "dill": ["load", "loads"],
+    "yaml": ["load", "load_all", "unsafe_load", "unsafe_load_all"],
+    "marshal": ["load", "loads"],
+    "shelve": ["open"],
+}
+HIDDEN_METHODS = ["execute", "executemany", "executescript", "raw"]
+HIDDEN_BUILTINS = ["eval", "exec", "compile", "__import__"]
+
 # The label that a loss leaves out.
 IGNORE_INDEX = -100

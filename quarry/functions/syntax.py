@@ -105,14 +105,14 @@ def gate(code: str | None, cwe: str | None, path: str | None, context: frozenset
 
 
 def routes(code: str | None) -> list[str]:
-    """Source of each decorated route function, decorators included."""
+    """Source of each function that is decorated with a call of route, decorators included: of an object's .route(...), or of a bare route(...)."""
     if not parses(code):
         return []
     lines, out = code.split("\n"), []
     for node in ast.walk(ast.parse(code)):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            marks = [d.func if isinstance(d, ast.Call) else d for d in node.decorator_list]
-            if any(isinstance(d, ast.Attribute) and d.attr in ("route", "get", "post", "put", "delete", "patch") for d in marks):
+            marks = [ast.unparse(d) for d in node.decorator_list]
+            if any(".route(" in d or d.startswith("route(") for d in marks):
                 first = min(d.lineno for d in node.decorator_list)
                 out.append("\n".join(lines[first - 1 : node.end_lineno]))
     return out

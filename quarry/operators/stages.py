@@ -105,13 +105,14 @@ def training_config(rows: DataFrame, beta: float = 0.9999) -> DataFrame:
 
 
 def export_triples(rows: DataFrame) -> DataFrame:
-    """id, cwe, folder_index, sink_lines and snippet of positive rows with both sides: lines of before that after lacks, sorted. Rows are numbered within a class by id."""
+    """id, cwe, folder_index, sink_lines, snippet and changed_lines of positive rows with both sides: lines of before that after lacks, sorted, and the lines that a difference without
+    context removes and adds, in order. Rows are numbered within a class by id."""
     rows = rows.filter((F.col("cwe") != "safe") & (F.coalesce("code_after", F.lit("")) != ""))
     trimmed = lambda c: F.filter(F.transform(X.lines(F.col(c)), lambda x: F.trim(x)), lambda x: x != "")
     sinks = F.lit(None).cast("array<struct<line:int,text:string>>")
     for c, patterns in K.SINKS.items():
         sinks = F.when(F.col("cwe") == c, X.sink_lines(F.col("code"), patterns)).otherwise(sinks)
-    narrow = rows.select("id", "cwe", sinks["line"].alias("sink_lines"), F.array_join(F.array_sort(F.array_except(trimmed("code"), trimmed("code_after"))), "\n").alias("snippet"))
+    narrow = rows.select("id", "cwe", sinks["line"].alias("sink_lines"), F.array_join(F.array_sort(F.array_except(trimmed("code"), trimmed("code_after"))), "\n").alias("snippet"), syntax.changed_lines_udf("code", "code_after").alias("changed_lines"))
     return split.ordered_rank(narrow, "cwe", "id").withColumnRenamed("r", "folder_index")
 
 

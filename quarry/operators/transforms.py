@@ -15,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,20 +221,21 @@ def _wrapper(fn, rng):
     return 1
 
 
-ATTRIBUTE_SINKS = {"os.system", "os.popen", "subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "pickle.loads", "pickle.load", "yaml.load", "marshal.loads", "requests.get", "requests.post", "urllib.request.urlopen"}
-ATTRIBUTE_LAST = {"execute", "executemany", "executescript", "raw"}
-BUILTIN_SINKS = {"eval", "exec", "open", "compile", "__import__"}
+ATTRIBUTE_SINKS = {f"{module}.{name}" for module, names in K.HIDDEN_CALLS.items() for name in names}
 
 
 def _is_sink(call: ast.AST) -> bool:
-    name = chain(call.func) if isinstance(call, ast.Call) else ""
-    return name in ATTRIBUTE_SINKS or name in BUILTIN_SINKS or (isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr in ATTRIBUTE_LAST)
+    if not isinstance(call, ast.Call):
+        return False
+    if isinstance(call.func, ast.Name):
+        return call.func.id in K.HIDDEN_BUILTINS
+    return isinstance(call.func, ast.Attribute) and (call.func.attr in K.HIDDEN_METHODS or chain(call.func) in ATTRIBUTE_SINKS)
 
 
 @_mutator("sink_attr_obfuscate", True)
 def _attr_obfuscate(tree, rng):
     def edit(n):
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and _is_sink(n):
+        if _is_sink(n) and isinstance(n.func, ast.Attribute):
             n.func = _expr(f"getattr(_v, {n.func.attr!r})", _v=n.func.value)
             return n
         return None
@@ -243,14 +245,15 @@ def _attr_obfuscate(tree, rng):
 
 @_mutator("sink_via_globals", True)
 def _via_globals(tree, rng):
+    """Built-in sinks are looked up by name in their module. What is written in their place is not looked at again."""
+
     def edit(n):
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in BUILTIN_SINKS:
-            n.func = _expr(f"getattr(__import__('builtins'), {n.func.id!r})") if n.func.id != "__import__" else _expr("globals()['__builtins__']['__import__']")
+        if _is_sink(n) and isinstance(n.func, ast.Name):
+            n.func = _expr(f"__import__('builtins').__dict__[{n.func.id!r}]")
             return n
         return None
 
-    own = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.ClassDef))}
-    return _edit(tree, lambda n: None if isinstance(n, ast.Call) and chain(n.func) in own else edit(n) if not (isinstance(n, ast.Call) and chain(n.func) == "__import__") else None)
+    return _edit(tree, edit)
 
 
 @_mutator("taint_through_dict", True)
@@ -487,8 +490,11 @@ def _attempt(source: str, transforms: list[Transform], rng: random.Random) -> tu
 
 def mutate(source: str | None, names: list[str], seed: int, least: int = 1, most: int = 3) -> tuple[str | None, list[str], list[str]]:
     """Applies a seeded choice of least to most of the named mutators in seeded order."""
-    if not parses(source):
-        return source, [], ["does not parse"]
+    return _mutated(source, names, seed, least, most) if parses(source) else (source, [], ["does not parse"])
+
+
+def _mutated(source: str, names: list[str], seed: int, least: int, most: int) -> tuple[str, list[str], list[str]]:
+    """mutate() of a text that is known to parse."""
     rng = random.Random(seed)
     pool = [MUTATORS[n] for n in names]
     if not pool:
@@ -497,13 +503,22 @@ def mutate(source: str | None, names: list[str], seed: int, least: int = 1, most
     return _attempt(source, rng.sample(pool, k), rng)
 
 
+def variants(source: str | None, names: list[str], seeds: list[int]) -> list[tuple[str | None, list[str], list[str]]]:
+    """Named variants of one text, which is parsed once to see that it can be: the text itself for clean, two or three mutators for composed, else a single one."""
+    fine = any(n != "clean" for n in names) and parses(source)
+
+    def one(name: str, seed: int):
+        if name == "clean":
+            return source, [], []
+        if not fine:
+            return source, [], ["does not parse"]
+        return _mutated(source, K.MUTATORS, seed, 2, 3) if name == "composed" else _mutated(source, [name], seed, 1, 1)
+
+    return [one(n, s) for n, s in zip(names, seeds, strict=True)]
+
+
 def variant(source: str | None, name: str, seed: int) -> tuple[str | None, list[str], list[str]]:
-    """One named variant: the text itself for clean, two or three mutators for composed, else a single one."""
-    if name == "clean":
-        return source, [], []
-    if name == "composed":
-        return mutate(source, K.MUTATORS, seed, 2, 3)
-    return mutate(source, [name], seed, 1, 1)
+    return variants(source, [name], [seed])[0]
 
 
 def sanitize(source: str | None, cwe: str, seed: int) -> dict:
@@ -535,21 +550,42 @@ VARIANT = T.StructType().add("variant_code", T.StringType()).add("applied", T.Ar
 TWIN = T.StructType().add("success", T.BooleanType()).add("source", T.StringType()).add("rule", T.StringType()).add("n_rewritten", T.IntegerType()).add("reason", T.StringType())
 
 
-@pandas_udf(VARIANT)
-def variant_udf(code: pd.Series, name: pd.Series, sample_id: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([variant(c, n, seed_of(i, n)) for c, n, i in zip(code, name, sample_id, strict=True)], columns=["variant_code", "applied", "reasons"])
-
-
 @pandas_udf(TWIN)
 def sanitize_udf(code: pd.Series, cwe: pd.Series, sample_id: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sanitize(c, w, seed_of(i, w)) for c, w, i in zip(code, cwe, sample_id, strict=True)])
 
 
+#: Rows whose variants are made and sent at once.
+VARIANT_ROWS = 128
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for dear work in Python: those that few large files hold are dealt out to all tasks first, others stay where they are."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+
+
+def variant_inputs(samples: DataFrame, with_canonical: bool = False) -> DataFrame:
+    """The rows that variants are made of: vulnerable test rows with code, no hard negatives and, unless asked for, no canonical ones."""
+    kept = (F.col("split") == "test") & F.col("cwe").isNotNull() & (F.col("cwe") != "safe") & ~F.coalesce("is_hard_negative", F.lit(False)) & F.col("code").isNotNull()
+    return samples.filter(kept if with_canonical else kept & ~F.coalesce(F.col("source") == "canonical", F.lit(False)))
+
+
 def build_variants(samples: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """id, variant, variant_code, applied, reasons of each sample (id, code) in each variant."""
+    """id, variant, variant_code, applied, reasons of each sample (id, code) in each variant. A text goes to Python and is checked once for all its variants."""
     names = K.VARIANTS if names is None else names
-    grid = samples.select("id", "code", F.explode(F.array(*map(F.lit, names))).alias("variant"))
-    return grid.select("id", "variant", variant_udf.asNondeterministic()("code", "variant", "id").alias("x")).select("id", "variant", "x.*")
+
+    def run(batches):
+        for batch in batches:
+            # some rows at a time, as each gives as many texts as there are variants
+            for at in range(0, batch.num_rows, VARIANT_ROWS):
+                part = batch.slice(at, VARIANT_ROWS)
+                rows = [(i, n, *x) for i, code in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for n, x in zip(names, variants(code, names, [seed_of(i, n) for n in names]), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "variant", "variant_code", "applied", "reasons"])
+
+    text, texts = pa.string(), pa.list_(pa.string())
+    kinds = [text, text, text, texts, texts]
+    return spread(samples.select(F.col("id").cast("string").alias("id"), "code")).mapInArrow(run, "id string, variant string, variant_code string, applied array<string>, reasons array<string>")
 
 
 def success_rates(variants: DataFrame) -> DataFrame:
@@ -574,6 +610,6 @@ def hard_negatives(samples: DataFrame, existing: DataFrame) -> DataFrame:
     """Safe twins of vulnerable samples (id, code, cwe, repo, cve_id) that have none in existing (parent_sample_id): rows of class safe
     that keep repository and advisory, and for the others the reason."""
     open_rows = samples.filter((F.col("cwe") != "safe") & (F.trim("code") != "")).join(existing.select(F.col("parent_sample_id").alias("id")), "id", "left_anti")
-    x = open_rows.withColumn("x", sanitize_udf.asNondeterministic()("code", "cwe", "id"))
+    x = spread(open_rows).withColumn("x", sanitize_udf.asNondeterministic()("code", "cwe", "id"))
     new_id = F.concat(F.lit("hardneg_"), F.col("x.rule"), F.lit("_"), code_hash(F.col("x.source")))
     return x.select(F.when(F.col("x.success"), new_id).alias("id"), F.col("id").alias("parent_sample_id"), F.lit("safe").alias("cwe"), F.col("cwe").alias("parent_cwe"), "repo", "cve_id", F.col("x.source").alias("code"), F.col("x.rule").alias("sanitization_transform"), F.col("x.success").alias("is_hard_negative"), F.col("x.reason").alias("reason"))

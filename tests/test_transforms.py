@@ -162,3 +162,50 @@ def test_renamed_variables_get_other_words():
         assert got["f"](5) == 30
         names |= {n.id for n in ast.walk(ast.parse(out)) if isinstance(n, ast.Name)}
     assert names & {"sql_text"} and any(n.startswith("var_") for n in names)
+
+
+def test_all_listed_sinks_are_hidden():
+    from quarry.functions import constants as K
+
+    hidden = lambda code, name: T.variant(code, name, 1)[0]
+    for module, names in K.HIDDEN_CALLS.items():
+        for n in names:
+            code = f"def f(x):\n    {module}.{n}(x)\n"
+            assert hidden(code, "sink_attr_obfuscate") == f"def f(x):\n    getattr({module}, '{n}')(x)"
+            assert "x}['k']" in hidden(code, "taint_through_dict")
+    for n in K.HIDDEN_METHODS:
+        assert hidden(f"def f(x):\n    a.b().{n}(x)\n", "sink_attr_obfuscate") == f"def f(x):\n    getattr(a.b(), '{n}')(x)"
+    for n in K.HIDDEN_BUILTINS:
+        code = f"def f(x):\n    {n}(x)\n"
+        assert hidden(code, "sink_via_globals") == f"def f(x):\n    __import__('builtins').__dict__['{n}'](x)"
+        assert hidden(code, "sink_attr_obfuscate") == code
+    for code in ("def f(x):\n    open(x)\n", "def f(x):\n    a.requests.get(x)\n", "def f(x):\n    os.path(x)\n"):
+        assert hidden(code, "sink_via_globals") == hidden(code, "sink_attr_obfuscate") == hidden(code, "taint_through_dict") == code
+    scope = {}
+    exec(hidden("def f(x):\n    return __import__(x)\n", "sink_via_globals"), scope)
+    assert scope["f"]("math").pi > 3
+
+
+def test_variants_of_a_frame_equal_those_of_a_row(spark):
+    from quarry.functions import constants as K
+
+    rows = [(f"s{i}", CODE[i % len(CODE)] if i % 7 else None) for i in range(300)] + [("bad", "def (")]
+    got = T.build_variants(spark.createDataFrame(rows, "id string, code string")).collect()
+    assert len(got) == len(rows) * len(K.VARIANTS)
+    code = dict(rows)
+    for r in got:
+        assert (r["variant_code"], r["applied"], r["reasons"]) == T.variant(code[r["id"]], r["variant"], T.seed_of(r["id"], r["variant"]))
+    assert T.build_variants(spark.createDataFrame([], "id string, code string")).collect() == []
+
+
+def test_variants_are_made_of_vulnerable_test_rows(spark):
+    rows = [("a", "CWE-89", "test", "s", False, "x"), ("b", "safe", "test", "s", False, "x"), ("c", None, "test", "s", False, "x"), ("d", "CWE-89", "train", "s", False, "x"), ("e", "CWE-89", "test", "s", True, "x"), ("f", "CWE-89", "test", "canonical", None, "x"), ("g", "CWE-89", "test", None, None, "x"), ("h", "CWE-89", "test", "s", False, None)]
+    df = spark.createDataFrame(rows, "id string, cwe string, split string, source string, is_hard_negative boolean, code string")
+    assert sorted(r["id"] for r in T.variant_inputs(df).collect()) == ["a", "g"]
+    assert sorted(r["id"] for r in T.variant_inputs(df, True).collect()) == ["a", "f", "g"]
+
+
+def test_routes_are_calls_of_route_alone():
+    code = "@app.route('/a')\n@login\ndef a(): pass\n@route('/b')\nasync def b(): pass\n@app.get('/c')\ndef c(): pass\n@app.route\ndef d(): pass\n@x(app.route('/e'))\ndef e(): pass\n"
+    assert [r.split("\n")[0] for r in syntax.routes(code)] == ["@app.route('/a')", "@route('/b')", "@x(app.route('/e'))"]
+    assert syntax.routes("def (") == []
