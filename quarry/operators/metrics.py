@@ -66,11 +66,16 @@ def wu_palmer(spark: SparkSession) -> DataFrame:
     return met.join(da, "a").join(db, "b").select(F.concat(F.lit("CWE-"), "a").alias("a"), F.concat(F.lit("CWE-"), "b").alias("b"), value.alias("similarity"))
 
 
-def confusion(records: DataFrame, by: list[str] = BY) -> DataFrame:
-    """by, cwe, tp, fp, fn, tn: one-vs-rest counts of each target class."""
-    rows = records.select(*by, "ground_truth", "predicted", F.explode(F.array(*map(F.lit, K.TARGETS))).alias("cwe"))
+def _n(condition: Column, weight: str | None) -> Column:
+    """How many rows fulfil a condition, each counting as often as its weight says, if there is one."""
+    return F.count_if(condition) if weight is None else F.sum(F.when(condition, F.col(weight)).otherwise(0))
+
+
+def confusion(records: DataFrame, by: list[str] = BY, weight: str | None = None) -> DataFrame:
+    """by, cwe, tp, fp, fn, tn: one-vs-rest counts of each target class; weight: a column that says how often a record counts."""
+    rows = records.select(*by, "ground_truth", "predicted", *([weight] if weight else []), F.explode(F.array(*map(F.lit, K.TARGETS))).alias("cwe"))
     truth, said = F.col("ground_truth") == F.col("cwe"), F.array_contains("predicted", F.col("cwe"))
-    return rows.groupBy(*by, "cwe").agg(F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"), F.count_if(~truth & ~said).alias("tn"))
+    return rows.groupBy(*by, "cwe").agg(_n(truth & said, weight).alias("tp"), _n(~truth & said, weight).alias("fp"), _n(truth & ~said, weight).alias("fn"), _n(~truth & ~said, weight).alias("tn"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -83,22 +88,22 @@ def class_scores(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"precision": p, "recall": r, "f1": _ratio(2 * p * r, p + r), "support": F.col("tp") + F.col("fn"), "present": F.col("tp") + F.col("fn") + F.col("fp") > 0})
 
 
-def macro_f1(records: DataFrame, by: list[str] = BY) -> DataFrame:
-    scored = class_scores(confusion(records, by))
+def macro_f1(records: DataFrame, by: list[str] = BY, weight: str | None = None) -> DataFrame:
+    scored = class_scores(confusion(records, by, weight))
     return scored.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("present"), F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
 
 
-def binary(records: DataFrame, by: list[str] = BY) -> DataFrame:
+def binary(records: DataFrame, by: list[str] = BY, weight: str | None = None) -> DataFrame:
     """by, tp, fp, fn, tn of any prediction against any vulnerability."""
     truth, said = F.col("ground_truth") != "safe", F.size("predicted") > 0
-    return records.groupBy(*by).agg(F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"), F.count_if(~truth & ~said).alias("tn"))
+    return records.groupBy(*by).agg(_n(truth & said, weight).alias("tp"), _n(~truth & said, weight).alias("fp"), _n(truth & ~said, weight).alias("fn"), _n(~truth & ~said, weight).alias("tn"))
 
 
-def mcc(records: DataFrame, by: list[str] = BY) -> DataFrame:
+def mcc(records: DataFrame, by: list[str] = BY, weight: str | None = None) -> DataFrame:
     """Matthews correlation; null if a class is absent or all answers are alike."""
     d = {c: F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")}
     base = (d["tp"] + d["fp"]) * (d["tp"] + d["fn"]) * (d["tn"] + d["fp"]) * (d["tn"] + d["fn"])
-    return binary(records, by).withColumn("mcc", F.try_divide(d["tp"] * d["tn"] - d["fp"] * d["fn"], F.sqrt(F.nullif(base, F.lit(0.0)))))
+    return binary(records, by, weight).withColumn("mcc", F.try_divide(d["tp"] * d["tn"] - d["fp"] * d["fn"], F.sqrt(F.nullif(base, F.lit(0.0)))))
 
 
 def severity_weighted_recall(records: DataFrame, scores: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -129,10 +134,10 @@ def disagreement(a: Column, b: Column) -> Column:
     return F.when(a == b, 0.0).when((a == "safe") | (b == "safe"), 1.0).otherwise(1 - similarity(a, b))
 
 
-def weighted_kappa(records: DataFrame, by: list[str] = BY) -> DataFrame:
+def weighted_kappa(records: DataFrame, by: list[str] = BY, weight: str | None = None) -> DataFrame:
     """by, kappa, observed_agreement, n: chance-corrected agreement with tree-based weights; null if chance disagreement is 0."""
     truth = F.when(F.col("ground_truth").isin(K.LABELS), F.col("ground_truth")).otherwise("safe")
-    cells = records.groupBy(*by, truth.alias("a"), verdict(F.col("predicted")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = records.groupBy(*by, truth.alias("a"), verdict(F.col("predicted")).alias("b")).agg(_n(F.lit(True), weight).alias("n"))
     rows = cells.groupBy(*by, "a").agg(F.sum("n").alias("na"))
     columns = cells.groupBy(*by, "b").agg(F.sum("n").alias("nb"))
     w = disagreement(F.col("a"), F.col("b"))

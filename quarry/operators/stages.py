@@ -6,7 +6,7 @@ reports are grouped from narrow rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -34,6 +34,28 @@ def refilter(rows: DataFrame) -> DataFrame:
     return gated(rows).withColumn("reason", curate.refilter_reason(F.col("is_hard_negative"), F.col("cwe"), F.col("source"), F.col("sink_ok")))
 
 
+def write_outcomes(rows: DataFrame, reason: Column, reasons: list[str], path: str) -> DataFrame:
+    """Writes rows to path by their outcome, `kept` or the reason to move them aside, and gives the manifest (outcome, n), all in one pass over the rows.
+
+    Counts are observed as the rows are written; reasons names those that are counted each, others count as `other` in the manifest and are written under their own names.
+    Kept and quarantined rows are read back from their partitions alone. Outcomes that are written again replace those of an earlier run.
+    """
+    spark = rows.sparkSession
+    seen = Observation()
+    outcome = F.col("outcome")
+    flagged = rows.withColumn("outcome", F.coalesce(reason, F.lit("kept")))
+    names = ["kept", *reasons]
+    counted = flagged.observe(seen, F.count(F.lit(1)).alias("n"), *(F.count_if(outcome == r).alias(f"n{i}") for i, r in enumerate(names)))
+    counted.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    got = [(r, seen.get[f"n{i}"]) for i, r in enumerate(names)]
+    return spark.createDataFrame([*got, ("other", seen.get["n"] - sum(n for _, n in got))], "outcome string, n long").filter("n > 0")
+
+
+def read_outcome(spark: SparkSession, path: str, outcome: str = "kept") -> DataFrame:
+    """The rows of one outcome; other partitions are not read."""
+    return spark.read.parquet(path).filter(F.col("outcome") == outcome).drop("outcome")
+
+
 def refilter_report(flagged: DataFrame) -> DataFrame:
     """Counts by class, by source and of all."""
     n = F.count(F.lit(1))

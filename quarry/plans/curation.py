@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import constants as K
 from ..functions import syntax
 from ..functions import text as X
 from ..operators import curate, detectors, split, stages
+from ..operators.lineage import shared_folder
 from ..sources import snippets as C
 from ..sources.relations import literal
 from .registry import query
@@ -136,6 +139,16 @@ def refilter_quarantine(spark, d):
     return flagged.filter("reason is not null").select("id", "cwe", "source", "reason")
 
 
+@query(f"{WITH}, {REFILTER_SQL} SELECT coalesce(reason, 'kept') AS outcome, count(*) AS n, count(DISTINCT id) AS n_written, count(DISTINCT source) AS n_sources FROM v_reason GROUP BY 1")
+def one_pass_quarantine(spark, d):
+    """Refiltering that writes kept and quarantined rows and counts them in one pass, and what is read back from their partitions."""
+    folder = f"{shared_folder(spark)}/refiltered-{uuid.uuid4().hex}"
+    flagged = stages.refilter(code_rows(spark, d))
+    manifest = stages.write_outcomes(flagged, F.col("reason"), ["blocked_source", "sink_absent"], folder)
+    written = spark.read.parquet(folder).groupBy("outcome").agg(F.countDistinct("id").alias("n_written"), F.countDistinct("source").alias("n_sources"))
+    return manifest.join(written, "outcome").select("outcome", "n", "n_written", "n_sources")
+
+
 @query(f"""{WITH}, {REFILTER_SQL} SELECT cwe, source, count(*) AS n, count(reason) AS n_rejected, count(*) FILTER (WHERE reason = 'blocked_source') AS n_blocked,
 round(100.0::DOUBLE * count(reason) / count(*), 6) AS reject_pct FROM v_reason GROUP BY GROUPING SETS ((cwe), (source), ())""")
 def refilter_report(spark, d):

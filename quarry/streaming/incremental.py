@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import code_hash
+from ..operators.lineage import cut
 
 
 def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -90,10 +91,52 @@ def fill_missing(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     return samples.join(predictions, "sample_id", "left").withColumn("predicted", F.array_sort(F.coalesce("predicted", F.array().cast("array<string>"))))
 
 
-def evaluate(samples: DataFrame, detector: Callable, version: str) -> DataFrame:
+class TimeLimit:
+    """Ends a block with an error when it takes longer than some seconds; where a thread cannot be interrupted, or without a limit, it does nothing."""
+
+    def __init__(self, seconds: float | None):
+        self.seconds = seconds
+
+    def __enter__(self):
+        import signal
+        import threading
+
+        self.on = self.seconds is not None and threading.current_thread() is threading.main_thread()
+        if self.on:
+            self.before = signal.signal(signal.SIGALRM, self._stop)
+            signal.setitimer(signal.ITIMER_REAL, self.seconds)
+        return self
+
+    def __exit__(self, *error):
+        import signal
+
+        if self.on:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, self.before)
+
+    def _stop(self, *_):
+        raise TimeoutError(f"no answer in {self.seconds} s")
+
+
+def ask(detector: Callable, rows: list[tuple], seconds: float | None = None) -> tuple[dict, dict]:
+    """(answers, errors) of a detector by sample id, whose call on all rows is one start of the tool. A call that fails, or takes longer than some seconds, is made again on each half of its
+    rows, so that a row that breaks it loses its own answer alone."""
+    try:
+        with TimeLimit(seconds):
+            return dict(detector(rows)), {}
+    except Exception as e:
+        if len(rows) == 1:
+            return {}, {rows[0][0]: f"{type(e).__name__}: {e}"}
+    middle = len(rows) // 2
+    (a, x), (b, y) = ask(detector, rows[:middle], seconds), ask(detector, rows[middle:], seconds)
+    return a | b, x | y
+
+
+def evaluate(samples: DataFrame, detector: Callable, version: str, seconds: float | None = None) -> DataFrame:
     """Records of samples (variant, sample_id, ground_truth, code) under a detector: a function from a list of (id, code) to {id: set of classes}.
 
-    A partition's batch is one call, which shares the start of a tool among its rows; a sample without an answer, and a batch whose detector fails, have empty predictions.
+    A partition's batch is one call, which shares the start of a tool among its rows; a batch whose call fails or takes longer than `seconds` is halved until the rows that
+    break it stand alone. A sample without an answer has an empty prediction, one that breaks the detector its error too.
     """
 
     def run(batches):
@@ -102,18 +145,35 @@ def evaluate(samples: DataFrame, detector: Callable, version: str) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            began, error = time.time(), None
-            try:
-                found = detector(list(zip(pdf["sample_id"], pdf["code"], strict=True)))
-            except Exception as e:
-                found, error = {}, f"{type(e).__name__}: {e}"
+            began = time.time()
+            found, errors = ask(detector, list(zip(pdf["sample_id"], pdf["code"], strict=True)), seconds) if len(pdf) else ({}, {})
             each = int((time.time() - began) * 1000 // max(1, len(pdf)))
-            yield pd.DataFrame({"variant": pdf["variant"], "sample_id": pdf["sample_id"], "ground_truth": pdf["ground_truth"], "predicted": [sorted(found.get(i, ())) for i in pdf["sample_id"]], "error": error, "latency_ms": each, "tool_version": version})
+            yield pd.DataFrame({"variant": pdf["variant"], "sample_id": pdf["sample_id"], "ground_truth": pdf["ground_truth"], "predicted": [sorted(found.get(i, ())) for i in pdf["sample_id"]], "error": [errors.get(i) for i in pdf["sample_id"]], "latency_ms": each, "tool_version": version})
 
     kind = "variant string, sample_id string, ground_truth string, predicted array<string>, error string, latency_ms int, tool_version string"
     return samples.select("variant", "sample_id", "ground_truth", "code").mapInPandas(run, kind)
 
 
+def resumable_evaluation(samples: DataFrame, detector: Callable, tool: str, version: str, path: str, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, plan): all records of a tool on samples (variant, sample_id, ground_truth, code), of which path keeps what earlier runs have done.
+
+    A variant with as many records as samples is done and its detector is not called; one that has fewer or others is done again from scratch. Each tool and variant is a partition of
+    path, replaced as a whole, so that a run that ends early leaves the variants before it whole. Every sample has one record in the end.
+    """
+    from ..sources.tables import PREDICTION, write_by_variant
+
+    spark = samples.sparkSession
+    read = lambda: spark.read.schema(PREDICTION).json(path).filter(F.col("tool") == tool) if _exists(spark, path) else spark.createDataFrame([], PREDICTION)
+    plan = cut(resume_plan(samples, read(), ["variant"]))
+    for variant in [r["variant"] for r in plan.filter("action <> 'skip'").select("variant").orderBy("variant").collect()]:
+        asked = evaluate(samples.filter(F.col("variant") == variant), detector, version, seconds)
+        records = asked.select(F.lit(tool).alias("tool"), "variant", "sample_id", "ground_truth", "predicted", F.col("error").alias("raw_output"), "latency_ms", "tool_version")
+        write_by_variant(records, path)
+    done = read().select("variant", "sample_id", "predicted")
+    every = samples.select("variant", "sample_id", "ground_truth").join(done, ["variant", "sample_id"], "left")
+    return every.withColumn("predicted", F.array_sort(F.coalesce("predicted", F.array().cast("array<string>")))), plan
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day", value: Column | None = None) -> DataFrame:
     """window_start, event_type, n, total of tumbling windows; on a stream, rows later than `late` are left out once their window is closed."""
     v = F.col("value") if value is None else value
