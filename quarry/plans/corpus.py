@@ -87,16 +87,22 @@ def _score_sql(names: dict[str, str]) -> str:
     return f"CASE WHEN {impact} <= 0 THEN 0::DOUBLE ELSE ceil({raw} * 10) / 10::DOUBLE END"
 
 
-@query("WITH " + ", ".join(f"t{k}(m{k}) AS (VALUES {', '.join(f'(\'{x}\')' for x in v)})" for k, v in GRID.items()) + " SELECT " + " || ".join(f"m{k}" for k in GRID) + f" AS letters, {_score_sql({k: 'm' + k for k in GRID})} AS score FROM " + ", ".join(f"t{k}" for k in GRID))
+PARTS_SQL = {k: f"regexp_extract(cvss_vector, '(^|/){k}:([A-Z])', 2)" for k in V.KEYS}
+
+
+@query(f"WITH {R.CVSS_SQL}, o AS (SELECT " + " || ".join(PARTS_SQL[k] for k in GRID) + " AS letters, count(*) AS n FROM v_cvss WHERE cvss_vector IS NOT NULL GROUP BY 1), " + ", ".join(f"t{k}(m{k}) AS (VALUES {', '.join(f'(\'{x}\')' for x in v)})" for k, v in GRID.items()) + " SELECT " + " || ".join(f"m{k}" for k in GRID) + f" AS letters, {_score_sql({k: 'm' + k for k in GRID})} AS score, coalesce(o.n, 0) AS n FROM " + ", ".join(f"t{k}" for k in GRID) + " LEFT JOIN o ON o.letters = " + " || ".join(f"m{k}" for k in GRID))
 def cvss_score_all(spark, d):
+    """The score of every combination of letters, and how many vectors have it."""
+    part = lambda k: F.regexp_extract("cvss_vector", f"(^|/){k}:([A-Z])", 2)
+    seen = R.cvss_rows(spark, d).filter("cvss_vector is not null").groupBy(F.concat(*map(part, GRID)).alias("letters")).agg(F.count(F.lit(1)).alias("n"))
     df = spark.range(1)
     for k, v in GRID.items():
         df = df.withColumn(f"m{k}", F.explode(F.array(*map(F.lit, v))))
     letters = {k: F.col(f"m{k}") for k in GRID}
-    return df.select(F.concat(*letters.values()).alias("letters"), V.base_score(letters).alias("score"))
+    scored = df.select(F.concat(*letters.values()).alias("letters"), V.base_score(letters).alias("score"))
+    return scored.join(seen, "letters", "left").select("letters", "score", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-PARTS_SQL = {k: f"regexp_extract(cvss_vector, '(^|/){k}:([A-Z])', 2)" for k in V.KEYS}
 TARGET_SQL = f"""{R.CVSS_SQL}, p AS (SELECT *, coalesce(length(cvss_vector) > 30, false) AS whole, {", ".join(f"{s} AS m{k}" for k, s in PARTS_SQL.items())},
   CASE upper(cvss_severity) WHEN 'CRITICAL' THEN 9.5 WHEN 'HIGH' THEN 7.5 WHEN 'MEDIUM' THEN 5.0 WHEN 'LOW' THEN 2.5 WHEN 'NONE' THEN 0.0 END AS mid FROM v_cvss),
 q AS (SELECT *, CASE WHEN whole AND cvss_score IS NOT NULL THEN 'advisory' WHEN whole THEN 'computed_from_vector' WHEN cvss_score IS NOT NULL THEN 'advisory_score_only' WHEN mid IS NOT NULL THEN 'band_midpoint' ELSE 'missing' END AS score_source,
@@ -127,10 +133,12 @@ def severity_band(spark, d):
     return _targets(spark, d).select("id", V.band(F.col("score")).alias("band"))
 
 
-@query(f"WITH {R.values_sql('v', 'vector, score, lenient', S.VECTORS)} SELECT vector, score::DOUBLE AS score, lenient::DOUBLE AS lenient FROM v")
+@query(f"""WITH {R.CVSS_SQL}, {R.values_sql('v', 'vector, score, lenient', S.VECTORS)} SELECT vector, score::DOUBLE AS score, lenient::DOUBLE AS lenient, (SELECT count(*) FROM v_cvss o WHERE o.cvss_vector IS NOT DISTINCT FROM v.vector) AS n FROM v""")
 def cvss_cases(spark, d):
-    rows = S.frame(spark, "vector string, score double, lenient double", S.VECTORS)
-    return rows.select("vector", V.vector_score(F.col("vector")).alias("score"), V.lenient_score(F.col("vector")).alias("lenient"))
+    """Published scores of some vectors, and how many of the table's are the same."""
+    seen = R.cvss_rows(spark, d).groupBy(F.col("cvss_vector").alias("seen")).agg(F.count(F.lit(1)).alias("n"))
+    rows = S.frame(spark, "vector string, score double, lenient double", S.VECTORS).join(seen, F.col("vector").eqNullSafe(F.col("seen")), "left")
+    return rows.select("vector", V.vector_score(F.col("vector")).alias("score"), V.lenient_score(F.col("vector")).alias("lenient"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # caps and splits

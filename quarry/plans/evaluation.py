@@ -106,22 +106,28 @@ def score_bundle(spark, d):
     return s.select(*BY, F.round("macro_f1", 9).alias("macro_f1"), F.round("mcc", 9).alias("mcc"), "n")
 
 
-@query(f"WITH {R.values_sql('g', 'tool, macro_f1, hcma, kappa, observed_agreement', [('g', 0.5, 0.416667, 0.166667, 0.4)])} SELECT tool, macro_f1::DOUBLE AS macro_f1, hcma::DOUBLE AS hcma, kappa::DOUBLE AS kappa, observed_agreement::DOUBLE AS observed_agreement FROM g")
+@query(f"""{WITH}, {R.values_sql('g', 'tool, macro_f1, hcma, kappa, observed_agreement', [('g', 0.5, 0.416667, 0.166667, 0.4)])}, {R.values_sql('k', 'truth, said', [(t, p) for _, _, _, t, p in S.GOLD])}
+SELECT tool, macro_f1::DOUBLE AS macro_f1, hcma::DOUBLE AS hcma, kappa::DOUBLE AS kappa, observed_agreement::DOUBLE AS observed_agreement, (SELECT count(*) FROM v_predictions p WHERE EXISTS (SELECT 1 FROM k WHERE truth = p.ground_truth AND array_to_string(said, '|') = array_to_string(p.predicted, '|'))) AS n_alike FROM g""")
 def published_scores(spark, d):
-    records = S.frame(spark, S.GOLD_DDL, S.GOLD)
-    s = metrics.score_bundle(records, S.frame(spark, "sample_id string, score double", [("a", 5.0)]))
-    return s.select("tool", *(F.round(c, 6).alias(c) for c in ("macro_f1", "hcma", "kappa", "observed_agreement")))
+    """Records whose scores are published, scored beside all predictions of the table, and how many of these are like one of them."""
+    gold, own = S.frame(spark, S.GOLD_DDL, S.GOLD), R.predictions(spark, d)
+    alike = own.join(F.broadcast(gold.select("ground_truth", "predicted").distinct()), ["ground_truth", "predicted"], "left_semi").agg(F.count(F.lit(1)).alias("n_alike"))
+    s = metrics.score_bundle(gold.unionByName(own), S.frame(spark, "sample_id string, score double", [("a", 5.0)])).filter("tool = 'g'")
+    return s.crossJoin(alike).select("tool", *(F.round(c, 6).alias(c) for c in ("macro_f1", "hcma", "kappa", "observed_agreement")), "n_alike")
 
 
 TREE_VALUES = ", ".join(f"('{c}', '{p}')" for c, p in K.TREE)
 
 
-@query(f"""WITH RECURSIVE edges(child, parent) AS (VALUES {TREE_VALUES}), up AS (SELECT child AS node, child AS ancestor, 0 AS up FROM edges UNION ALL SELECT up.node, e.parent, up.up + 1 FROM up JOIN edges e ON up.ancestor = e.child),
+@query(f"""WITH RECURSIVE {R.PREDICTIONS_SQL}, said AS (SELECT a, b, count(*) AS n FROM (SELECT ground_truth AS a, unnest(predicted) AS b FROM v_predictions) GROUP BY a, b), edges(child, parent) AS (VALUES {TREE_VALUES}), up AS (SELECT child AS node, child AS ancestor, 0 AS up FROM edges UNION ALL SELECT up.node, e.parent, up.up + 1 FROM up JOIN edges e ON up.ancestor = e.child),
 depth AS (SELECT node, max(up) AS depth FROM up GROUP BY node), own AS (SELECT * FROM up WHERE node IN ('22', '78', '79', '89', '94', '502', '918')),
 m AS (SELECT a.node AS a, b.node AS b, max(coalesce(d.depth, 0)) AS low FROM own a JOIN own b ON a.ancestor = b.ancestor LEFT JOIN depth d ON d.node = a.ancestor GROUP BY a.node, b.node)
-SELECT 'CWE-' || a AS a, 'CWE-' || b AS b, round(CASE WHEN a = b THEN 1 ELSE 2.0::DOUBLE * low / (x.depth + y.depth) END, 9) AS similarity FROM m JOIN depth x ON x.node = a JOIN depth y ON y.node = b""")
+SELECT 'CWE-' || m.a AS a, 'CWE-' || m.b AS b, round(CASE WHEN m.a = m.b THEN 1 ELSE 2.0::DOUBLE * low / (x.depth + y.depth) END, 9) AS similarity, coalesce(n, 0) AS n
+FROM m JOIN depth x ON x.node = m.a JOIN depth y ON y.node = m.b LEFT JOIN said ON said.a = 'CWE-' || m.a AND said.b = 'CWE-' || m.b""")
 def wu_palmer(spark, d):
-    return metrics.wu_palmer(spark).withColumn("similarity", F.round("similarity", 9))
+    """Similarity of each two classes, and how often the one was predicted where the other was true."""
+    said = R.predictions(spark, d).select(F.col("ground_truth").alias("a"), F.explode("predicted").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.wu_palmer(spark).join(said, ["a", "b"], "left").select("a", "b", F.round("similarity", 9).alias("similarity"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""{BINARY_SQL}, r AS (SELECT tool, variant, tp::DOUBLE AS k, (tp + fn)::DOUBLE AS n FROM b)

@@ -70,11 +70,15 @@ def supcon_losses(spark, d):
     return weights.supcon_loss(e).withColumn("loss", F.round("loss", 6))
 
 
-@query("WITH " + R.values_sql("c", "node, n_up", [(c, n) for c, n in sorted((k, len(v) - 1) for k, v in metrics._depths()[0].items())]) + " SELECT * FROM c")
+@query("WITH " + R.SAMPLES_SQL + ", " + R.values_sql("c", "node, ups", [(c, v) for c, v in sorted(metrics._depths()[0].items())]) + """, b AS (SELECT node, count(*) AS n FROM (SELECT unnest(ups) AS node FROM c JOIN v_samples ON cwe = 'CWE-' || c.node) GROUP BY node)
+SELECT c.node, len(ups) - 1 AS n_up, coalesce(b.n, 0) AS n_samples FROM c LEFT JOIN b USING (node)""")
 def tree_ancestors(spark, d):
-    """How many ancestors each class of the tree has, by a recursive query."""
-    up = metrics.tree_closure(spark).filter("up > 0")
-    return up.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("n_up"))
+    """How many ancestors each class of the tree has, and how many samples are of it or of a class below it, by a recursive query."""
+    up = metrics.tree_closure(spark)
+    own = R.samples(spark, d, False).groupBy("cwe").agg(F.count(F.lit(1)).alias("own")).select(F.replace("cwe", F.lit("CWE-")).alias("node"), "own")
+    below = up.join(own, "node").groupBy("ancestor").agg(F.sum("own").alias("n_samples")).withColumnRenamed("ancestor", "node")
+    counted = up.filter("up > 0").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("n_up"))
+    return counted.join(below, "node", "left").select("node", "n_up", F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
 
 
 # training tables
