@@ -1,10 +1,10 @@
 """Removal of repeated strings of bytes, or of words, by distributed refinement of buckets of equal spans.
 
-A position's bucket is the set of positions whose next q bytes are equal; a bucket's name is a hash of those
-bytes. To find every string of `length` bytes that starts at two places, buckets are refined from q bytes to
-`length` bytes, and as in suffix sorting by bucket pointers a bucket with one member is final and drops out. A longer bucket's name is
-not made of the names of shorter ones at later offsets, as in suffix sorting: it is a 64-bit fingerprint of the span's bytes, taken anew where the
-text is, as names at later offsets would be needed at every position and shuffled, while anchors name one position of each string.
+A position's bucket is the set of positions whose next q bytes are equal (q = length / 2); its identifier is a hash of those
+bytes. To find every string of `length` bytes that starts at two places, buckets are refined from q bytes to `length` bytes: a longer bucket is named by the identifiers of the q-gram
+buckets at the offsets that follow, 0, q, 2q and so on, and of its last q bytes; positions are grouped by these names, a bucket with one member is final and drops out, and the
+others go to the next round. Identifiers at later offsets are looked up in the prefix sums of the text, where it is, and not kept in a table of all positions, which would be
+shuffled in every round: at 16 bytes for each byte of text that is 26 times the input of the check tool, of which 4 times may lie on disk.
 
 Round 0 names only one position of each string: the q-gram of least hash among those inside it (q = length / 2), so that equal
 strings choose equal offsets. Around each such anchor, the starts of strings that hold it form a range. For a range of starts,
@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numeric import BASES, SLICE_BYTES, U64, byte_table, mix, prefix_sums, reduced, row_slices, span_hashes, text_slices, utf8, word_hashes, words
@@ -126,6 +126,19 @@ def _cells(rows, p, a, b, width: int, length: int):
     return rows, p, np.maximum(a, p + c0), np.minimum(b, p + c1), p + c1, p + c0 + length
 
 
+def _bucket(sums: np.ndarray, start: np.ndarray, end: np.ndarray, q: int, base: int) -> np.ndarray:
+    """Names of the buckets of spans of at least q units: of a q-gram its identifier; of a longer span the identifiers of the q-gram buckets at its offsets 0, q, 2q ... and of its last q units, in order, and its length."""
+    size = end - start
+    name = span_hashes(sums, start, start + q, base)
+    longer = np.flatnonzero(size > q)
+    name[longer] = mix(name[longer] + mix(size[longer].astype(U64)))
+    for k in range(1, -(-int(size.max(initial=0)) // q)):
+        has = np.flatnonzero(k * q < size)
+        at = np.minimum(start[has] + k * q, end[has] - q)
+        name[has] = mix(name[has] ^ span_hashes(sums, at, at + q, base))
+    return name
+
+
 def _items(batches, length: int, unit: str, width: int | None):
     """Ranges with the bucket names of core (g, g2) and cover (f, f2): all of round 0, or those of each row's list `todo` cut to width."""
     for part, data, offsets in text_slices(batches, "text"):
@@ -144,7 +157,7 @@ def _items(batches, length: int, unit: str, width: int | None):
         names = []
         for base in BASES:
             sums = prefix_sums(data, base)
-            names.append((span_hashes(sums, start + core, start + core_end, base), span_hashes(sums, start + a, start + b + length, base)))
+            names.append((_bucket(sums, start + core, start + core_end, length // 2, base), _bucket(sums, start + a, start + b + length, length // 2, base)))
         (g, f), (g2, f2) = names
         fp = part.column(part.schema.get_field_index("fp")).to_numpy()[rows]
         at = [pa.array(x.astype(np.int32)) for x in (core, p, a, b)]
@@ -192,7 +205,11 @@ def repeated_spans(texts: DataFrame, length: int = 400, unit: str = "bytes") ->
     spans = covered[0]
     for more in covered[1:]:
         spans = spans.unionByName(more)
-    return spans.groupBy("fp").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    # spans that touch are merged as they pass in order, so that a text's list has its maximal runs alone
+    order = Window.partitionBy("fp").orderBy("s", "e")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", (before.isNull() | (F.col("s") > before)).cast("long")).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy("fp", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("fp").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
