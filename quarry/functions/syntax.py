@@ -127,6 +127,36 @@ def chain(node: ast.AST) -> str:
     return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else ""
 
 
+def imports(code: str | None) -> list[dict]:
+    """The imports of a module's top level, in order: of `import a.b as c` the module a.b and the alias c, of `from m import n as c` also the name n; a relative import has the dots before its module."""
+    out = []
+    for node in ast.parse(code).body if parses(code) else ():
+        if isinstance(node, ast.Import):
+            out += [{"module": a.name, "name": None, "alias": a.asname} for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            out += [{"module": "." * node.level + (node.module or ""), "name": a.name, "alias": a.asname} for a in node.names]
+    return out
+
+
+def insert_import(code: str | None, module: str, name: str | None = None) -> str | None:
+    """Code with `import module`, or `from module import name`, behind its docstring and its imports from the future, unless it has one already; code that does not parse stays as it is."""
+    if not parses(code):
+        return code
+    if any(x["module"] == module and (x["name"] == name if name else True) for x in imports(code)):
+        return code
+    lines, at = code.splitlines(keepends=True), 0
+    for i, node in enumerate(ast.parse(code).body):
+        docstring = i == 0 and isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
+        if not docstring and not (isinstance(node, ast.ImportFrom) and node.module == "__future__"):
+            break
+        at = node.end_lineno
+    if at and not lines[at - 1].endswith(("\n", "\r")):
+        lines[at - 1] += "\n"
+    lines.insert(at, f"from {module} import {name}\n" if name else f"import {module}\n")
+    new = "".join(lines)
+    return new if parses(new) else code
+
+
 def changed_lines(before: str | None, after: str | None) -> list[dict]:
     """Removed and added lines of a difference without context."""
     out = []
@@ -198,6 +228,11 @@ def changed_lines_udf(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([changed_lines(b, a) for b, a in zip(before, after, strict=True)])
 
 
+@pandas_udf(T.ArrayType(T.StructType().add("module", T.StringType()).add("name", T.StringType()).add("alias", T.StringType())))
+def imports_udf(code: pd.Series) -> pd.Series:
+    return code.map(imports)
+
+
 @pandas_udf(T.StructType().add("line", T.IntegerType()).add("pattern", T.StringType()))
 def locate_udf(code: pd.Series, cwe: pd.Series, recorded: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([locate(*x) for x in zip(code, cwe, recorded, strict=True)], columns=["line", "pattern"]).astype({"line": "Int32"})

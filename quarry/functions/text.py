@@ -22,11 +22,6 @@ def first_of(text: Column, named: dict[str, list[str]]) -> Column:
     return F.coalesce(*(F.when(any_of(text, patterns), F.lit(name)) for name, patterns in named.items()))
 
 
-def first_pattern(text: Column, patterns: list[str]) -> Column:
-    """The first pattern that is found; else null."""
-    return F.coalesce(*(F.when(text.rlike(p), F.lit(p)) for p in patterns))
-
-
 def code_hash(code: Column) -> Column:
     return F.substring(F.sha2(code, 256), 1, 16)
 
@@ -61,6 +56,7 @@ def is_test_path(path: Column) -> Column:
 
 
 def blank_keep_newlines(text: Column) -> Column:
+    """A text of blanks with the same lines and length."""
     return F.regexp_replace(text, r"[^\n]", " ")
 
 
@@ -177,3 +173,20 @@ def recorded_line(code: Column, pattern: Column) -> Column:
     """The line of the first match of a pattern that each row has of its own; null without a match."""
     at = F.regexp_instr(code, pattern)
     return F.when(at > 0, F.size(F.split(F.substr(code, F.lit(1), at), "\n"))).cast("int")
+
+
+def has_import(imports: Column, module: str, alias: str | None = None) -> Column:
+    """Whether imports (see syntax.imports) have a module: by any name, or with alias under that name. Names taken from the module count too."""
+    plain = lambda x: x["name"].isNull() & ((F.coalesce(x["alias"], x["module"]) == alias) if alias else F.lit(True))
+    return F.exists(imports, lambda x: (x["module"] == module) & (x["name"].isNotNull() | plain(x)))
+
+
+def has_from_import(imports: Column, module: str, name: str) -> Column:
+    """Whether imports take a name from a module."""
+    return F.exists(imports, lambda x: (x["module"] == module) & F.coalesce(x["name"] == name, F.lit(False)))
+
+
+def call_matches(call: Column, target: str) -> Column:
+    """Whether the dotted name of a call is the target; a target without a dot is compared with its last part. Calls without a dotted name match nothing."""
+    same = (call == target) if "." in target else (F.substring_index(call, ".", -1) == target)
+    return F.coalesce((call != "") & same, F.lit(False))

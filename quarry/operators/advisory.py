@@ -51,6 +51,13 @@ def sarif_classes(tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(numbers, X.fold))))
 
 
+def rule_classes(properties: Column) -> Column:
+    """Target classes of a rule's properties: of its tags, and of its list of classes (CWE-78, cwe-78 or 78)."""
+    none = F.array().cast("array<string>")
+    listed = F.array_compact(F.transform(F.coalesce(properties["cwe"], none), X.normalize_class))
+    return F.array_union(sarif_classes(F.coalesce(properties["tags"], none)), listed)
+
+
 def fold_findings(samples: DataFrame, findings: DataFrame) -> DataFrame:
     """sample_id, predicted: sorted classes of each sample's findings (path, rule); a sample without findings has none."""
     stem = F.regexp_extract("path", r"([^/\\]+?)(\.py)?$", 1)
@@ -100,8 +107,7 @@ def scan_findings(reports: DataFrame) -> DataFrame:
 def sarif_findings(reports: DataFrame) -> DataFrame:
     """path, cwe of each result of SARIF reports (column json): target classes of its rule's tags and class list."""
     run = reports.select(F.explode(F.from_json("json", SARIF_REPORT)["runs"]).alias("run"), F.monotonically_increasing_id().alias("report"))
-    listed = lambda p: F.array_compact(F.transform(F.coalesce(p.cwe, F.array().cast("array<string>")), X.normalize_class))
-    rule = run.select("report", F.explode("run.tool.driver.rules").alias("r")).select("report", F.col("r.id").alias("rule"), F.array_union(sarif_classes(F.coalesce("r.properties.tags", F.array().cast("array<string>"))), listed(F.col("r.properties"))).alias("classes"))
+    rule = run.select("report", F.explode("run.tool.driver.rules").alias("r")).select("report", F.col("r.id").alias("rule"), rule_classes(F.col("r.properties")).alias("classes"))
     result = run.select("report", F.explode("run.results").alias("x")).select("report", F.col("x.ruleId").alias("rule"), F.explode("x.locations").alias("at"))
     return result.join(rule, ["report", "rule"]).select(F.col("at.physicalLocation.artifactLocation.uri").alias("path"), F.explode("classes").alias("cwe")).distinct()
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .advisory import SARIF_REPORT, SCAN_REPORT, sarif_classes
+from .advisory import SARIF_REPORT, SCAN_REPORT, rule_classes
 
 DETECTORS: dict[str, Callable[[Column], Column]] = {}
 
@@ -33,10 +33,10 @@ def rule_report(report: Column) -> Column:
 
 @detector("sarif")
 def sarif_report(report: Column) -> Column:
-    """Results in the SARIF format, by the tags of their rules."""
+    """Results in the SARIF format, by the tags and the class lists of their rules."""
     runs = F.from_json(report, SARIF_REPORT)["runs"]
     hit = lambda run, rule: F.exists(run.results, lambda x: x.ruleId == rule.id)
-    return F.flatten(F.transform(runs, lambda run: F.flatten(F.transform(F.filter(run.tool.driver.rules, lambda rule: hit(run, rule)), lambda rule: sarif_classes(rule.properties.tags)))))
+    return F.flatten(F.transform(runs, lambda run: F.flatten(F.transform(F.filter(run.tool.driver.rules, lambda rule: hit(run, rule)), lambda rule: rule_classes(rule.properties)))))
 
 
 @detector("verdict")

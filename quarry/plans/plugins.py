@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import syntax
+from ..functions import text as X
 from ..operators import transforms
+from ..sources import relations as R
+from ..sources import snippets as C
 from .curation import code_rows
 from .registry import query
 
 
+WITH = "WITH " + C.SNIPPETS_SQL
+
+
 def _programs(spark, d):
     return code_rows(spark, d).select("id", "doc_id", "code", "code_after", "cwe", "path", F.lit("r").alias("repo"), "cve_id", (F.col("cwe") == "safe").alias("is_hard_negative"))
 
@@ -51,6 +57,35 @@ def calls(spark, d):
     return spark.sql(f"SELECT s.id, c.call, c.line FROM {name}_rows s, LATERAL {name}(s.code) c")
 
 
+@query(f"""{WITH} SELECT id, shape = 3 AS has_os, shape = 0 AS has_request, shape IN (6, 7, 11) AS has_parser, CASE WHEN shape IN (0, 3, 6, 7, 11) THEN 1 ELSE 0 END AS n_imports FROM v_snippets""")
+def import_signals(spark, d):
+    """What each program imports: a module, a name of one, and one of several modules."""
+    read = _programs(spark, d).select("id", syntax.imports_udf("code").alias("x"))
+    x = F.col("x")
+    parser = X.has_import(x, "pickle") | X.has_import(x, "requests") | X.has_import(x, "yaml", "yaml")
+    return read.select("id", X.has_import(x, "os").alias("has_os"), X.has_from_import(x, "flask", "request").alias("has_request"), parser.alias("has_parser"), F.size(x).alias("n_imports"))
+
+
+@query()
+def sink_calls(spark, d):
+    """How many calls of a function by its whole name, and by its last part, each program has."""
+    from uuid import uuid4
+
+    name = f"quarry_{uuid4().hex}"
+    spark.udtf.register(name, syntax.calls_table())
+    _programs(spark, d).select("id", "code").createOrReplaceTempView(f"{name}_rows")
+    found = spark.sql(f"SELECT s.id, c.call FROM {name}_rows s, LATERAL {name}(s.code) c")
+    one = lambda target, out: F.count_if(X.call_matches(F.col("call"), target)).alias(out)
+    return found.groupBy("id").agg(one("pickle.loads", "n_pickle_loads"), one("loads", "n_loads"), one("execute", "n_execute"), F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '[^\n]', ' ', 'g')) AS blank_sha, length(text) - length(replace(text, chr(10), '')) AS n_newlines FROM documents")
+def blanked_texts(spark, d):
+    """Every text as blanks with the same lines."""
+    blank = X.blank_keep_newlines(F.col("text"))
+    return R.read(spark, d, "documents").select("doc_id", F.sha2(blank, 256).alias("blank_sha"), F.regexp_count(blank, F.lit("\n")).cast("long").alias("n_newlines"))
+
+
 @query()
 def locate_sink(spark, d):
     """The line of a recorded pattern, or of the first one of the class's catalogue."""

@@ -10,11 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import code_hash
 from ..operators.lineage import cut
+from ..operators.skipsets import skip_known
 
 
-def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not known yet, the first of each key; running it again on the same input gives none."""
-    return incoming.join(known.select(key), key, "left_anti").dropDuplicates([key])
+def new_rows(incoming: DataFrame, known: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows whose key, of one column or several, is not known yet, one of each key; running it again on the same input gives none. A Bloom filter of the known keys spares new rows the comparison."""
+    keys = [key] if isinstance(key, str) else key
+    return skip_known(incoming, known, keys).dropDuplicates(keys)
 
 
 #: Fixed name of Spark's state store that keeps its keys on disk instead of in memory.

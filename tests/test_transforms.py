@@ -209,3 +209,41 @@ def test_routes_are_calls_of_route_alone():
     code = "@app.route('/a')\n@login\ndef a(): pass\n@route('/b')\nasync def b(): pass\n@app.get('/c')\ndef c(): pass\n@app.route\ndef d(): pass\n@x(app.route('/e'))\ndef e(): pass\n"
     assert [r.split("\n")[0] for r in syntax.routes(code)] == ["@app.route('/a')", "@route('/b')", "@x(app.route('/e'))"]
     assert syntax.routes("def (") == []
+
+
+def test_imports_and_where_new_ones_go():
+    code = "import os.path as p, sys\nfrom a.b import c as d, e\nfrom . import f\nfrom ..g import h\ndef x():\n    import z\n"
+    assert [(i["module"], i["name"], i["alias"]) for i in syntax.imports(code)] == [("os.path", None, "p"), ("sys", None, None), ("a.b", "c", "d"), ("a.b", "e", None), (".", "f", None), ("..g", "h", None)]
+    assert syntax.imports("def (") == [] == syntax.imports(None)
+    assert syntax.insert_import("x = 1\n", "json") == "import json\nx = 1\n"
+    head = "'''doc\nmore'''\nfrom __future__ import annotations\n"
+    assert syntax.insert_import(head + "x = 1", "json", "loads") == head + "from json import loads\nx = 1"
+    assert syntax.insert_import("'''doc'''", "json") == "'''doc'''\nimport json\n"
+    for have in ("import json\n", "from json import loads\n", "import json as j\n"):
+        assert syntax.insert_import(have, "json") == have
+    assert syntax.insert_import("from json import loads\n", "json", "dumps").startswith("from json import dumps\n")
+    assert syntax.insert_import("def (", "json") == "def ("
+
+
+def test_imports_and_calls_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import text as X
+
+    rows = [("import os as o\nimport yaml\nfrom flask import request\n",), ("x = (",), (None,), ("",)]
+    x = F.col("x")
+    got = spark.createDataFrame(rows, "code string").select(syntax.imports_udf("code").alias("x")).select(X.has_import(x, "os"), X.has_import(x, "os", "o"), X.has_import(x, "os", "os"), X.has_import(x, "yaml", "yaml"), X.has_import(x, "flask"), X.has_from_import(x, "flask", "request"), X.has_from_import(x, "yaml", "load")).collect()
+    assert [tuple(r) for r in got] == [(True, True, False, True, True, True, False)] + [(False,) * 7] * 3
+    calls = spark.createDataFrame([("pickle.loads",), ("a.pickle.loads",), ("loads",), ("",), (None,)], "c string")
+    assert [r[0] for r in calls.select(X.call_matches(F.col("c"), "pickle.loads")).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in calls.select(X.call_matches(F.col("c"), "loads")).collect()] == [True, True, True, False, False]
+
+
+def test_reports_name_classes_in_tags_and_lists(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import detectors
+
+    report = '{"runs":[{"tool":{"driver":{"rules":[{"id":"a","properties":{"cwe":["CWE-78","CWE-77","x"]}},{"id":"b","properties":{"tags":["external/cwe/cwe-089"]}},{"id":"c","properties":{"cwe":["CWE-22"]}}]}},"results":[{"ruleId":"a"},{"ruleId":"b"}]}]}'
+    got = spark.createDataFrame([(report,)], "r string").select(F.array_sort(F.array_distinct(detectors.sarif_report(F.col("r")))).alias("c")).first()["c"]
+    assert got == ["CWE-78", "CWE-89"]
