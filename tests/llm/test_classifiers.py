@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -135,3 +136,46 @@ def test_many_languages_leave_the_driver_flat(spark):
     tracemalloc.stop()
     out = {r["doc_id"]: r["lang_pred"] for r in language.with_fold(language.identify(docs, codes)).collect()}
     assert np.mean([out[i] == lang for i, _, lang in rows if fold(i)]) > 0.9
+
+
+def plain_ngrams(text):
+    """Square roots of shares of hashed letter pairs and triples, one character code after the other."""
+    low = [b + 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in text.encode()]
+    out = [0.0] * language.WIDTH
+    for size in (2, 3):
+        for i in range(len(low) - size + 1):
+            if low[i] == low[i + 1] == 0x20:
+                continue
+            code = 0
+            for c in low[i : i + size]:
+                code = (code << 8 | c) & 0xFFFFFFFF
+            out[((code * 2654435761 + size * 40503) & 0xFFFFFFFF) >> 21] += 1
+    total = max(1.0, sum(out))
+    return [math.sqrt(x / total) for x in out]
+
+
+def plain_decode(codes, text):
+    """The language of least loss by a loop over codewords and bits."""
+    x = plain_ngrams(text)
+    bits = len(codes.code[0])
+    said = [min(3.0, max(-3.0, sum(x[f] * codes.weights[f][b] for f in range(language.WIDTH) if x[f]) + codes.weights[-1][b])) for b in range(bits)]
+    loss = [sum(codes.trust[c][b] * math.exp(-2 * codes.code[c][b] * said[b]) for b in range(bits)) for c in range(len(codes.languages))]
+    best = min(range(len(loss)), key=lambda c: (loss[c], c))
+    share = [math.exp(-4 * (v - loss[best])) for v in loss]
+    two = sorted(loss)[:2]
+    return codes.languages[best], max(share) / sum(share), two[1] - two[0] < language.AMBIGUOUS * two[1]
+
+
+@pytest.mark.parametrize("k", [2, 4, 9])
+def test_decoding_equals_a_loop_over_codewords(k):
+    rng = np.random.default_rng(k)
+    languages = [f"l{i}" for i in range(k)]
+    bits = language.codewords(k).shape[1]
+    codes = language.Codes(languages, rng.normal(size=(language.WIDTH + 1, bits)) * 3).trusted(rng.random((k, bits)))
+    texts = ["", "a", "The cat, the hat!", "été à la plage", "x" * 300, "123 456", "日本語 テキスト", *(" ".join(rng.choice(["und", "les", "with", "niño"], 12)) for _ in range(6))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    best, score, doubt = codes.decode(language.ngrams(data, offsets))
+    for t, b, s, d in zip(texts, best, score, doubt, strict=True):
+        name, share, ambiguous = plain_decode(codes, t)
+        assert (languages[b], bool(d)) == (name, ambiguous) and abs(s - share) < 1e-9, t
