@@ -188,6 +188,24 @@ def rollback(df: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~gone | F.col("source").isNull()), df.filter(gone).groupBy("source", "cwe").agg(F.count(F.lit(1)).alias("n"))
 
 
+def key_axis(*frames: DataFrame, key: str) -> DataFrame:
+    """The values of a key that any of some tables has, once each: the rows of a report that compares them."""
+    out = None
+    for f in frames:
+        own = f.select(key).filter(F.col(key).isNotNull()).distinct()
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def report_beside(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """key and a count for each named table, 0 where it has no row of the key."""
+    long = None
+    for name, f in frames.items():
+        own = f.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, F.lit(name).alias("_name"), "n")
+        long = own if long is None else long.unionByName(own)
+    return long.groupBy(key).pivot("_name", list(frames)).agg(F.sum("n")).na.fill(0, list(frames))
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     """All rows of sources whose columns may differ."""
     out = frames[0]

@@ -613,3 +613,11 @@ def hard_negatives(samples: DataFrame, existing: DataFrame) -> DataFrame:
     x = spread(open_rows).withColumn("x", sanitize_udf.asNondeterministic()("code", "cwe", "id"))
     new_id = F.concat(F.lit("hardneg_"), F.col("x.rule"), F.lit("_"), code_hash(F.col("x.source")))
     return x.select(F.when(F.col("x.success"), new_id).alias("id"), F.col("id").alias("parent_sample_id"), F.lit("safe").alias("cwe"), F.col("cwe").alias("parent_cwe"), "repo", "cve_id", F.col("x.source").alias("code"), F.col("x.rule").alias("sanitization_transform"), F.col("x.success").alias("is_hard_negative"), F.col("x.reason").alias("reason"))
+
+
+def twin_counters(twins: DataFrame) -> DataFrame:
+    """counter, key, n of hard_negatives(): attempts, successes and failures in all, successes by class and by rule, failures by reason."""
+    ok = F.col("is_hard_negative")
+    one = lambda name, key, when: F.struct(F.lit(name).alias("counter"), key.alias("key"), when.alias("on"))
+    every = F.array(one("attempted", F.lit("all"), F.lit(True)), one("succeeded", F.lit("all"), ok), one("failed", F.lit("all"), ~ok), one("class", F.col("parent_cwe"), ok), one("rule", F.col("sanitization_transform"), ok), one("reason", F.col("reason"), ~ok))
+    return twins.select(F.explode(every).alias("x")).select("x.*").filter("on").groupBy("counter", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -59,6 +59,28 @@ def weighted_draws(df: DataFrame, draws: int, seed: int, key: str = "id", weight
     return df.join(F.broadcast(total)).withColumn("times", (F.floor(want) + (u < want - F.floor(want)).cast("int")).cast("long")).drop("_total")
 
 
+def target_summary(targets: DataFrame) -> DataFrame:
+    """what, key, n of severity targets (id, content_hash, score, score_source, confidence, and whole: whether all parts of a vector are known).
+
+    The total counts distinct keys, the content hash or else the id; the coverages, sources and confidences count every row that has a key, as rows of one content are counted each.
+    """
+    rows = targets.withColumn("_key", F.coalesce(F.nullif("content_hash", F.lit("")), F.nullif("id", F.lit("")))).filter("_key is not null")
+    total = rows.agg(F.countDistinct("_key").alias("n")).select(F.lit("total").alias("what"), F.lit("all").alias("key"), "n")
+    one = lambda what, key, on: F.struct(F.lit(what).alias("what"), key.alias("key"), on.alias("on"))
+    every = F.array(one("score_coverage", F.lit("all"), F.col("score").isNotNull()), one("subvector_coverage", F.lit("all"), F.col("whole")), one("score_source", F.col("score_source"), F.lit(True)), one("confidence", F.col("confidence"), F.lit(True)))
+    counted = rows.select(F.explode(every).alias("x")).select("x.*").groupBy("what", "key").agg(F.count_if("on").alias("n"))
+    return total.unionByName(counted)
+
+
+def weight_schedule(spark: SparkSession, counts: DataFrame, labels: list[str] | None = None, beta: float = 0.999, top: float = 0.5, epochs: int = 10, share: float = 0.8) -> DataFrame:
+    """position, cwe, n, phase, first_epoch, n_epochs, weight, margin: each label in order, with 0 where it has no rows, in two phases: uniform weights first, weights by effective numbers then."""
+    first, second = drw_phases(epochs, share)
+    every = ldam_margins(effective_number(with_label_order(spark, counts, labels), beta), top)
+    phase = lambda name, at, n, w: F.struct(F.lit(name).alias("phase"), F.lit(at).alias("first_epoch"), F.lit(n).alias("n_epochs"), w.alias("weight"))
+    phases = F.array(phase("uniform", 0, first, F.lit(1.0)), phase("effective_number", first, second, F.col("weight")))
+    return every.select("position", "cwe", "n", "margin", F.explode(phases).alias("x")).select("position", "cwe", "n", "x.*", "margin")
+
+
 def drw_phases(total: int = 10, share: float = 0.8) -> tuple[int, int]:
     first = int(round(total * share))
     return first, total - first

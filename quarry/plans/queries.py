@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, curation, derived, evaluation, extras, plugins, running  # noqa: F401
+from . import corpus, curation, derived, evaluation, extras, plugins, reports, running  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

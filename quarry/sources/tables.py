@@ -75,6 +75,40 @@ def config_inputs(rows: DataFrame) -> DataFrame:
     return rows.filter("id is not null and id <> ''").select("id", "content_hash", "cwe", "split", "cvss_score", "cvss_severity", "cvss_vector", "label_confidence")
 
 
+def label_scan(rows: DataFrame) -> DataFrame:
+    """id, cwe of rows that have both: the true labels that predictions are held against."""
+    return present(rows, ["id", "cwe"]).select("id", "cwe")
+
+
+def score_scan(rows: DataFrame) -> DataFrame:
+    """id, score of rows whose score is a finite number above 0."""
+    score = F.col("cvss_score").try_cast("double")
+    return rows.select("id", score.alias("score")).filter("id is not null and score > 0 and score < double('infinity')")
+
+
+def preview(rows: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """The first n rows in an order, for a report: each task keeps n rows at most."""
+    return rows.orderBy(*order).limit(n)
+
+
+def encode_records(records: DataFrame) -> DataFrame:
+    """(line): each prediction record as a line of JSON; fields without a value are left out."""
+    return records.select(F.to_json(F.struct(*(F.col(f.name) if f.name in records.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PREDICTION.fields))).alias("line"))
+
+
+def decode_records(lines: DataFrame) -> DataFrame:
+    """Prediction records of lines (line) of JSON: a missing list of classes is empty, a missing latency 0; lines without a sample, or that cannot be parsed, are left out."""
+    r = lines.select(F.from_json("line", PREDICTION).alias("r")).select("r.*").filter("sample_id is not null")
+    return r.withColumns({"predicted": F.coalesce("predicted", F.array().cast("array<string>")), "latency_ms": F.coalesce("latency_ms", F.lit(0))})
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Rows to both stores: the table under table/, and under files/ a line of JSON for each row, its metadata beside its code, in a folder for each class."""
+    rows = canonical(samples)
+    rows.write.mode("overwrite").parquet(f"{path}/table")
+    rows.write.mode("overwrite").partitionBy("cwe").json(f"{path}/files")
+
+
 def read_first(readers: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[str, DataFrame]:
     """The first source that has rows, with its name."""
     for name, read in readers:
