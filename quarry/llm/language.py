@@ -162,6 +162,20 @@ def _predict(batches, text: str, codes):
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(score), pa.array(doubt | silent)], [*kept, "lang", "score", "ambiguous"])
 
 
+def _solve(batches, sums):
+    """The weights that solve the normal equations with a small ridge, by a task, so that the driver only holds the sums."""
+    total = sums.value
+    half = np.triu_indices(WIDTH + 1)
+    for batch in batches:
+        if batch.num_rows:
+            left = np.zeros((WIDTH + 1, WIDTH + 1))
+            left[half] = total[: len(half[0])]
+            left = np.triu(left) + np.triu(left, 1).T
+            left[np.diag_indices(WIDTH)] += 1e-3
+            weights = np.linalg.solve(left, total[len(half[0]) :].reshape(WIDTH + 1, -1))
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
     """A model of the language labels, fitted on at most fit_rows documents of each language that are not held out.
 
@@ -178,12 +192,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
     equations = partial(_equations, share={y: 1 / n for y, n in counts.items()}, languages=languages, code=codes.code)
     # at most FIT_TASKS sums, of which the driver holds one at a time
     total = sum(np.frombuffer(r["sums"]) for r in cut(rows.mapInArrow(equations, "sums binary")).toLocalIterator())
-    half = np.triu_indices(WIDTH + 1)
-    left = np.zeros((WIDTH + 1, WIDTH + 1))
-    left[half] = total[: len(half[0])]
-    left = np.triu(left) + np.triu(left, 1).T
-    left[np.diag_indices(WIDTH)] += 1e-3
-    codes = Codes(languages, np.linalg.solve(left, total[len(half[0]) :].reshape(WIDTH + 1, -1)))
+    solved = spark.range(1, numPartitions=1).mapInArrow(partial(_solve, sums=spark.sparkContext.broadcast(total)), "weights binary").first()
+    codes = Codes(languages, np.frombuffer(solved["weights"]).reshape(WIDTH + 1, -1))
     model = spark.sparkContext.broadcast(codes)
     right = sum(np.frombuffer(r["right"]).reshape(codes.code.shape) for r in rows.mapInArrow(partial(_right, model=model), "right binary").toLocalIterator())
     return codes.trusted(right / np.array([[counts[y]] for y in languages]))
