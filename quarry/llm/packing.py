@@ -7,33 +7,45 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numeric import row_slices, text_slices, utf8
 from .shared import Carried, kept_arrays, schema
 
 #: Documents of one group, on average; a group is one unit of packing.
 GROUP_DOCS = 1000
 #: Sequences with at most this share of their length left open stay as they are.
 OPEN_SHARE = 64
-#: Distinct chunks of text whose ids a worker keeps, and the longest of them; the memory is emptied beyond it, results stay the same.
-MEMORY_CHUNKS, CHUNK_CHARS = 400_000, 32
+#: Bytes of text that are tokenised at once, a longer text alone, and bytes of their distinct chunks that are encoded at once.
+TEXT_BYTES, CALL_BYTES = 8 << 20, 1 << 16
 
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A blank before a character that is no white space by any definition: no token of the pattern goes over the place before it.
-_CUT = re.compile("[ ](?=[!-~¡-ԯ])")
 #: Characters whose classes are the same in all versions of Unicode that the libraries follow.
-_PLAIN = re.compile("[\t\n\r -~¡-ʯЀ-ҁҊ-ԓ]*")
+_PLAIN = "[\t\n\r -~¡-ʯЀ-ҁҊ-ԓ]*"
+#: A chunk after a cut: a blank and a character that is no white space by any definition; no token of the pattern goes over its start.
+_CHUNK = " [!-~¡-ԯ]"
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where a chunk of the pattern _CHUNK starts in the UTF-8 of the rows."""
+    blank = data == 32
+    blank[offsets[1:][np.diff(offsets) > 0] - 1] = False
+    at = np.flatnonzero(blank)
+    lead, after = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    known = ((lead > 0x20) & (lead < 0x7F)) | ((lead > 0xC2) & (lead < 0xD4)) | ((lead == 0xC2) & (after > 0xA0)) | ((lead == 0xD4) & (after < 0xB0))
+    return at[known]
 
 
 class Encoder:
-    """Ids of a byte-level vocabulary, as bytes of little-endian unsigned 32-bit numbers.
+    """Ids of a byte-level vocabulary, as little-endian unsigned 32-bit numbers.
 
-    Text is cut before single blanks, where no token can go across, so that the ids of a chunk (" word") are looked up and joined.
-    A chunk that was not seen is encoded from the vocabulary's ranks; one with characters outside a plain set, or with a very long
-    run, by the tokenizer itself. Strings of special tokens are ordinary text.
+    Texts are cut before single blanks, where no token can go across, so that each distinct chunk (" word") of many texts is encoded once and its ids are
+    put where it stands. Chunks are encoded many at a time, as one text, whose ids are cut by the bytes that each stands for: from the vocabulary's ranks,
+    or, with characters outside a plain set or a very long run, by the tokenizer itself. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, description: str):
@@ -48,31 +60,50 @@ class Encoder:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(False).items() if t not in special}
         self.ranked = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.chunks = _Chunks(self)
-
-    def encode(self, text: str) -> bytes:
-        plain = len(text) < 100_000 and _PLAIN.fullmatch(text) is not None
-        ids = self.ranked.encode_ordinary(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
+
+    def encode(self, text: str) -> np.ndarray:
+        plain = len(text) < 100_000 and re.fullmatch(_PLAIN, text) is not None
+        return np.array(self.ranked.encode_ordinary(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, n): the ids of each chunk are n ones from start."""
+        cut, plain = (pc.match_substring_regex(chunks, rf"\A{p}").to_numpy(zero_copy_only=False) for p in (_CHUNK, rf"{_PLAIN}\z"))
+        ids, order, n = [], [], np.zeros(len(chunks), np.int64)
+        for at in (np.flatnonzero(cut & plain), np.flatnonzero(cut & ~plain)):
+            data, offsets = utf8(chunks.take(pa.array(at)))
+            for a, b in row_slices(offsets, CALL_BYTES):
+                ids.append(self.encode(data[offsets[a] : offsets[b]].tobytes().decode()))
+                ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), offsets[a + 1 : b + 1] - offsets[a]) + 1
+                n[at[a:b]] = np.diff(ends, prepend=0)
+                order.append(at[a:b])
+        # how a text begins, up to its first cut
+        for i in np.flatnonzero(~cut):
+            ids.append(self.encode(chunks[i].as_py()))
+            n[i] = len(ids[-1])
+            order.append([i])
+        start, order = np.zeros(len(chunks), np.int64), np.concatenate(order)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(ids), start, n
+
+    def many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows, one row after the other, and where each row's end."""
+        cuts, first = _cuts(data, offsets), offsets[:-1]
+        rows = np.arange(len(first)) + np.searchsorted(cuts, first)
+        bounds = np.full(len(first) + len(cuts) + 1, len(data), np.int32)
+        bounds[rows] = first
+        bounds[np.arange(len(cuts)) + np.searchsorted(first, cuts, "right")] = cuts
+        chunks = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        ids, start, n = self.distinct(chunks.dictionary)
+        which = chunks.indices.to_numpy()
+        count = n[which]
+        ends = np.cumsum(count)
+        return ids[np.repeat(start[which] - ends + count, count) + np.arange(ends[-1])], ends[np.append(rows[1:], len(which)) - 1]
 
     def __call__(self, text: str) -> bytes:
-        if len(self.chunks) > MEMORY_CHUNKS:
-            self.chunks.clear()
-        first, *rest = _CUT.split(text)
-        return self.encode(first) + b"".join(map(self.chunks.__getitem__, rest))
-
-
-class _Chunks(dict):
-    """Ids of a blank and the chunk."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoder.encode(" " + chunk)
-        if len(chunk) <= CHUNK_CHARS:
-            self[chunk] = ids
-        return ids
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.many(data, np.array([0, len(data)]))[0].tobytes()
 
 
 def _tokenize(batches, description, end: int):
@@ -80,17 +111,19 @@ def _tokenize(batches, description, end: int):
     from pyspark import TaskContext
 
     encoder, seen = Encoder(description.value), {}
-    part, last = TaskContext.get().partitionId() << 32, np.array([end], "<u4").tobytes()
-    for batch in batches:
-        names, arrays = kept_arrays(batch)
-        ids, copies = [], []
-        keys = batch.column(batch.schema.get_field_index("d"))
-        for key, text in zip(keys.to_pylist(), batch.column(batch.schema.get_field_index("t")).to_pylist(), strict=True):
-            ids.append((encoder(text) if text else b"") + last)
-            what = hash((key, text))
+    part = TaskContext.get().partitionId() << 32
+    for rows, data, offsets in text_slices(batches, "t", TEXT_BYTES):
+        names, arrays = kept_arrays(rows)
+        ids, ends = encoder.many(data, offsets)
+        ids = np.insert(ids, ends, end)
+        places = 4 * np.append(0, ends + np.arange(1, len(ends) + 1)).astype(np.int32)
+        keys, texts = (rows.column(rows.schema.get_field_index(k)) for k in "dt")
+        copies = []
+        for what in map(hash, zip(keys.to_pylist(), texts.to_pylist(), strict=True)):
             n = seen[what] = seen.get(what, -1) + 1
             copies.append(n and part + n)
-        yield pa.RecordBatch.from_arrays([*arrays, keys, pa.array(ids, pa.binary()), pa.array(copies, pa.int64())], [*names, "d", "ids", "copy"])
+        made = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(ids)])
+        yield pa.RecordBatch.from_arrays([*arrays, keys, made, pa.array(copies, pa.int64())], [*names, "d", "ids", "copy"])
 
 
 class Bins:

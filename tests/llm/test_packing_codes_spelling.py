@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,6 +51,27 @@ def test_ids_of_any_text(parts):
     assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_that_were_not_seen_are_encoded_together(encoder, tokenizer, monkeypatch):
+    calls, encode = [], packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, text: calls.append(len(text)) or encode(self, text))
+    text = " ".join(f"Word{i}x ñ{i}, 日{i % 7}  \n" for i in range(4000))
+    assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 12 and max(calls) < 100_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("  \n\tab!~\x7f\x80\xa0\xa1\xadéΏЀԯ\u0530日😀\x1f"), max_size=12), max_size=8))
+def test_ids_of_rows_side_by_side(texts):
+    encoder = _cache("encoder", lambda: packing.Encoder(open(PATH, encoding="utf-8").read()))
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    places = [int(a) + len(t[: m.start()].encode()) for a, t in zip(offsets, texts, strict=False) for m in re.finditer("(?=[ ][!-~\xa1-\u052f])", t)]
+    assert packing._cuts(data, offsets).tolist() == places
+    if texts:
+        ids, ends = encoder.many(data, offsets)
+        assert [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == list(map(encoder, texts))
+
+
 _CACHE: dict = {}
 
 
