@@ -94,9 +94,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated 400-byte strings."""
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+    """What is left of every document without its repeated 400-byte strings; beside it, how many of its words stand in passages of 50 words that start twice."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, passages=50)
+    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    return out.select("doc_id", *(F.col(f"_{m}").alias(m) for m in made))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

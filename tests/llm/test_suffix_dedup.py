@@ -104,3 +104,50 @@ def test_lists_without_broadcast(docs, local, monkeypatch):
 
 def test_empty_table(empty):
     assert remove_repeats(empty).collect() == []
+
+
+def passage_words(texts, length):
+    """Words of each text that stand in strings of length words which start twice."""
+    named = [re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode()) for t in texts]
+    count = Counter(tuple(w[i : i + length]) for w in named for i in range(len(w) - length + 1))
+    return [len({j for i in range(len(w) - length + 1) if count[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}) for w in named]
+
+
+@pytest.mark.parametrize("passages", [20, 7])
+def test_passage_words_beside_removed_bytes(docs, local, passages):
+    got = sorted((str(r["doc_id"]), r["_n_removed"], r["_kept_sha256"], r["_n_passage_words"]) for r in remove_repeats(docs, 60, passages=passages).collect())
+    texts = [r["text"] for r in local]
+    assert got == sorted((str(r["doc_id"]), w[1], w[3], n) for r, w, n in zip(local, brute(texts, 60), passage_words(texts, passages), strict=True))
+    assert any(g[3] for g in got)
+
+
+def test_query_tells_passages_of_50_words_shorter_than_400_bytes(spark, tmp_path):
+    from quarry.llm.queries import op9_suffix_array_dedup
+
+    passage = " ".join(f"p{i}" for i in range(55))
+    texts = [f"one {passage} two", f"three {passage}", "alone " + " ".join(f"w{i}" for i in range(80)), "copy", "copy", None, "", " ".join(f"c{i}" for i in range(120)), " ".join(f"c{i}" for i in range(120))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: tuple(r)[1:] for r in op9_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) < 400
+    assert got == {i: (*w[:4], n) for i, (w, n) in enumerate(zip(brute(texts, 400), passage_words(texts, 50), strict=True))}
+    assert [got[i][4] for i in range(9)] == [55, 55, 0, 0, 0, 0, 0, 120, 120]
+
+
+@pytest.mark.parametrize("values", ["bytes", "numbers"])
+def test_equal_runs_have_one_hash_wherever_they_stand(values):
+    from quarry.llm.numeric import run_hashes
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3000).astype(np.uint8) if values == "bytes" else rng.integers(0, 1 << 61, 3000).astype(np.uint64)
+    data[2000:2300] = data[5:305]
+    names = run_hashes(data, 40)
+    assert len(names) == 2961 and (names[2000:2261] == names[5:266]).all() and len(set(names.tolist())) == 2700
+
+
+def test_ranges_end_with_anchors_and_rows():
+    rng = np.random.default_rng(4)
+    sizes = [130, 0, 99, 100, 101, 3, 500, 0]
+    data, offsets = rng.integers(97, 100, sum(sizes)).astype(np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+    rows, p, a, b, _ = suffix_dedup._ranges(data, offsets, 100)
+    starts = sorted((r, s) for r, x, y in zip(rows.tolist(), a.tolist(), b.tolist(), strict=True) for s in range(x, y + 1))
+    assert starts == [(r, s) for r, n in enumerate(sizes) for s in range(n - 99)] and (p >= b).all() and (p <= a + 50).all()
