@@ -162,25 +162,28 @@ def _predict(batches, text: str, codes):
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(score), pa.array(doubt | silent)], [*kept, "lang", "score", "ambiguous"])
 
 
-def _solve(batches, sums):
-    """The weights that solve the normal equations with a small ridge, by a task, so that the driver only holds the sums."""
-    total = sums.value
-    half = np.triu_indices(WIDTH + 1)
+def _solve(batches):
+    """The weights that solve the normal equations with a small ridge, from the sums of all tasks, which are added up one after the other."""
+    total = None
     for batch in batches:
-        if batch.num_rows:
-            left = np.zeros((WIDTH + 1, WIDTH + 1))
-            left[half] = total[: len(half[0])]
-            left = np.triu(left) + np.triu(left, 1).T
-            left[np.diag_indices(WIDTH)] += 1e-3
-            weights = np.linalg.solve(left, total[len(half[0]) :].reshape(WIDTH + 1, -1))
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+        for sums in batch.column(0):
+            own = np.frombuffer(sums.as_buffer())
+            total = own.copy() if total is None else np.add(total, own, out=total)
+    if total is not None:
+        half = np.triu_indices(WIDTH + 1)
+        left = np.zeros((WIDTH + 1, WIDTH + 1))
+        left[half] = total[: len(half[0])]
+        left = np.triu(left) + np.triu(left, 1).T
+        left[np.diag_indices(WIDTH)] += 1e-3
+        weights = np.linalg.solve(left, total[len(half[0]) :].reshape(WIDTH + 1, -1))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
     """A model of the language labels, fitted on at most fit_rows documents of each language that are not held out.
 
     Up to EXHAUSTIVE languages have all possible bits, more have random codes whose length grows with the logarithm of their number. The normal equations are summed up by each of
-    FIT_TASKS tasks and then on the driver, one sum after the other, so that it holds a few matrices of the features whatever the number of languages and documents.
+    FIT_TASKS tasks, then added up and solved by one, so that the driver gets the weights alone and no matrix of features by features.
     """
     spark = docs.sparkSession
     rows = cut(learning_rows(docs, docs.select("doc_id", F.col("lang").alias("y")), fit_rows).select("doc_id", "y", "text").coalesce(FIT_TASKS).sortWithinPartitions("doc_id"))
@@ -190,9 +193,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Codes:
     if len(languages) < 2:
         return codes
     equations = partial(_equations, share={y: 1 / n for y, n in counts.items()}, languages=languages, code=codes.code)
-    # at most FIT_TASKS sums, of which the driver holds one at a time
-    total = sum(np.frombuffer(r["sums"]) for r in cut(rows.mapInArrow(equations, "sums binary")).toLocalIterator())
-    solved = spark.range(1, numPartitions=1).mapInArrow(partial(_solve, sums=spark.sparkContext.broadcast(total)), "weights binary").first()
+    # at most FIT_TASKS sums of fixed size; cut, so that they are made by FIT_TASKS tasks and not by the one that adds them up
+    [solved] = cut(rows.mapInArrow(equations, "sums binary")).coalesce(1).mapInArrow(_solve, "weights binary").collect()
     codes = Codes(languages, np.frombuffer(solved["weights"]).reshape(WIDTH + 1, -1))
     model = spark.sparkContext.broadcast(codes)
     right = sum(np.frombuffer(r["right"]).reshape(codes.code.shape) for r in rows.mapInArrow(partial(_right, model=model), "right binary").toLocalIterator())

@@ -1,6 +1,10 @@
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -179,3 +183,24 @@ def test_decoding_equals_a_loop_over_codewords(k):
     for t, b, s, d in zip(texts, best, score, doubt, strict=True):
         name, share, ambiguous = plain_decode(codes, t)
         assert (languages[b], bool(d)) == (name, ambiguous) and abs(s - share) < 1e-9, t
+
+
+SMALL_RESULTS = """
+import random
+from pyspark.sql import SparkSession
+from quarry.llm import language
+
+spark = SparkSession.builder.master("local[2]").config("spark.driver.maxResultSize", "2m").config("spark.sql.shuffle.partitions", "4").config("spark.sql.adaptive.enabled", "false").config("spark.ui.enabled", "false").getOrCreate()
+rng = random.Random(5)
+rows = [(i, " ".join(rng.choice("xyz" if i % 2 else "abc") for _ in range(40)), "x" if i % 2 else "a") for i in range(200)]
+docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+out = language.identify(docs, language.fit(docs)).join(docs, "doc_id")
+assert out.count() == 200 and out.filter("_lang <> lang").count() == 0
+spark.stop()
+"""
+
+
+def test_language_fit_sends_no_feature_matrix_to_the_driver():
+    """Sums of four tasks, and a driver that takes 2 MB of results at most: one task's sums of the equations are 17 MB."""
+    run = subprocess.run([sys.executable, "-c", SMALL_RESULTS], env=os.environ | {"PYTHONPATH": str(Path(language.__file__).parents[2])}, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
